@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import packing, quality, tiff, token_output
+from . import html_main, packing, quality, tiff, token_output, toxicity
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
     "op3_media_tiff": tiff.op3_media_tiff,
+    "op5_toxicity": toxicity.op5_toxicity,
+    "op8_html_main": html_main.op8_html_main,
     "op9_packing": packing.op9_packing,
     "op10_token_output": token_output.op10_token_output,
 }
