@@ -1,6 +1,6 @@
 """Quality classifier: supervised subword embeddings.
 
-A document is the average of learned vectors of its hashed words (as written, and their shape) and character
+A document is the average of learned vectors of its hashed words (as written, their shape, and whether they repeat the word before) and character
 n-grams (3 to 5 bytes). A softmax over two classes stands on that average; vectors and output layer
 are trained together by minibatch stochastic gradient descent in numpy.
 
@@ -51,6 +51,9 @@ def features(data: np.ndarray, offsets: np.ndarray, s: Settings) -> tuple[np.nda
     for salt, h in ((1, words.hash), (2, span_hash(rolling(shapes), words.start, np.minimum(words.end, words.start + 6)))):
         parts_b.append((mix(h + U64(salt)) & keep).astype(np.int32))
         parts_d.append(words.doc)
+    again = np.flatnonzero((words.hash[1:] == words.hash[:-1]) & (words.doc[1:] == words.doc[:-1]))
+    parts_b.append(np.repeat((mix(np.arange(3, 7, dtype=U64)) & keep).astype(np.int32), len(again)))  # a word said twice in a row
+    parts_d.append(np.tile(words.doc[:-1][again], 4))
     n = len(data)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)).astype(np.int32)
     sums = rolling(data) if n else np.zeros(1, U64)
