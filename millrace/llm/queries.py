@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import html_main, packing, quality, tiff, token_output, toxicity
+from . import html_main, jaccard, packing, quality, tiff, token_output, toxicity
 
 QUERIES = {
+    "op1_ngram_jaccard": jaccard.op1_ngram_jaccard,
     "op2_quality": quality.op2_quality,
     "op3_media_tiff": tiff.op3_media_tiff,
     "op5_toxicity": toxicity.op5_toxicity,

@@ -247,14 +247,16 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     found = docs.sparkSession.sparkContext.broadcast({r.f for r in rows})
 
     def contexts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(feature, its neighbours): a word that only copies of one text repeat has few neighbours."""
+        """(feature, neighbours of its first occurrence): copies of one text have them in common."""
         restorer, seen = Restorer(shipped.value), set()
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 words = ["", *_WORD.findall(restore(text, restorer)), ""]
+                once: set[str] = set()
                 for i in range(1, len(words) - 1):
                     for f in (words[i], *(words[i][:k] + "~" for k in s.prefixes if len(words[i]) >= k)):
-                        if f in found.value:
+                        if f in found.value and f not in once:
+                            once.add(f)
                             seen.add((f, f"{words[i - 1]} {words[i + 1]}"))
         rows = sorted(seen)
         for lo in range(0, len(rows), 20_000):
