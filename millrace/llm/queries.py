@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import html_main, jaccard, packing, quality, tiff, token_output, toxicity
+from . import decontaminate, html_main, jaccard, line_dedup, packing, quality, repeats, tiff, token_output, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard": jaccard.op1_ngram_jaccard,
     "op2_quality": quality.op2_quality,
     "op3_media_tiff": tiff.op3_media_tiff,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_line_templates": line_dedup.op6_line_templates,
+    "op7_suffix_array": repeats.op7_suffix_array,
     "op8_html_main": html_main.op8_html_main,
     "op9_packing": packing.op9_packing,
     "op10_token_output": token_output.op10_token_output,
