@@ -1,6 +1,668 @@
-"""Registry of the curation and evaluation queries, each with its oracle SQL where SQL can express it."""
+"""Registry of the curation and evaluation queries, each with its oracle SQL where SQL can express it.
+
+Every query binds operators to whole tables: documents as the manifest (label = lang, source = source_kind,
+text digest = content hash), labels as the review queue, benchmark as the frozen holdout, embeddings as
+predictions, events as the observation stream, pages as source metadata and conversations as sessions.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.functions import boxes as B
+from millrace.functions import hashing as H
+from millrace.functions import text as X
+from millrace.functions import vectors as V
+from millrace.operators import audit, dedup, graph, metrics, sampling
+from millrace.sources.storage import cut, table
+from millrace.sources.tables import LABELS
+from millrace.streaming import windows as W
+
+TARGETS = 5
+LANGS = ("en", "fr", "de", "es")
+RATIOS = (0.85, 0.10, 0.05)
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _r(c: Column | str, digits: int = 6) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, digits)
+
+
+# ---------------------------------------------------------------- predictions
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, truth, p: softmax of 20 times the first six embedding entries."""
+    scaled = F.transform(F.slice("embedding", 1, 6), lambda v: v.cast("double") * 20)
+    return table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 6).alias("truth"), V.softmax(scaled).alias("p"))
+
+
+P = """
+z AS (SELECT vec_id, (label % 6)::INT AS truth, list_transform(embedding[1:6], lambda v: v::DOUBLE * 20) AS z FROM embeddings),
+e AS (SELECT vec_id, truth, list_transform(z, lambda v: exp(v - list_max(z))) AS e FROM z),
+p AS (SELECT vec_id, truth, list_transform(e, lambda v: v / list_sum(e)) AS p FROM e),
+q AS (SELECT *, list_position(p, list_max(p)) - 1 AS pred FROM p),
+lab AS (SELECT * FROM (VALUES ('ragdoll',0),('singapura',1),('persian',2),('sphynx',3),('pallas',4),('not_target',5)) t(label, idx))
+"""
+
+
+@query(f"WITH {P} SELECT t.label AS truth, r.label AS pred, count(q.vec_id)::BIGINT AS n FROM lab t CROSS JOIN lab r LEFT JOIN q ON q.truth = t.idx AND q.pred = r.idx GROUP BY 1, 2")
+def prediction_confusion(spark, sf_dir):
+    return metrics.confusion(predictions(spark, sf_dir), LABELS)
+
+
+@query(f"""WITH {P} SELECT count(*)::BIGINT AS n, round(avg((truth = pred)::INT), 6) AS accuracy, round(avg((truth = pred)::INT) FILTER (truth < 5), 6) AS target_accuracy,
+round(avg((truth = pred)::INT) FILTER (truth >= 5), 6) AS rejection_rate FROM q""")
+def prediction_accuracy(spark, sf_dir):
+    return metrics.accuracy(predictions(spark, sf_dir), TARGETS).select("n", _r("accuracy").alias("accuracy"), _r("target_accuracy").alias("target_accuracy"), _r("rejection_rate").alias("rejection_rate"))
+
+
+F1 = """c AS (SELECT idx, count(*) FILTER (truth = idx AND pred = idx) AS tp, count(*) FILTER (truth <> idx AND pred = idx) AS fp, count(*) FILTER (truth = idx AND pred <> idx) AS fn FROM {src} CROSS JOIN lab GROUP BY idx),
+f AS (SELECT idx, tp + fn AS support, CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2.0 * tp / (2 * tp + fp + fn) END AS f1, tp, fp, fn FROM c)"""
+
+
+@query(f"WITH {P}, s AS (SELECT * FROM q WHERE truth < 5), {F1.format(src='s')} SELECT round(avg(f1), 6) AS macro_f1 FROM f WHERE idx < 5")
+def prediction_macro_f1_target(spark, sf_dir):
+    return metrics.macro_f1_target(predictions(spark, sf_dir), LABELS, TARGETS).select(_r("macro_f1").alias("macro_f1"))
+
+
+@query(f"WITH {P}, {F1.format(src='q')} SELECT round(avg(f1), 6) AS macro_f1 FROM f WHERE support > 0")
+def prediction_macro_f1_supported(spark, sf_dir):
+    return metrics.macro_f1_supported(predictions(spark, sf_dir), LABELS).select(_r("macro_f1").alias("macro_f1"))
+
+
+@query(f"""WITH {P}, {F1.format(src='q')} SELECT label, support::BIGINT AS support, round(CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) END, 6) AS precision,
+round(CASE WHEN tp + fn > 0 THEN tp::DOUBLE / (tp + fn) END, 6) AS recall, round(f1, 6)::DOUBLE AS f1 FROM f JOIN lab USING (idx)""")
+def prediction_label_scores(spark, sf_dir):
+    s = metrics.label_scores(predictions(spark, sf_dir), LABELS)
+    return s.select("label", "support", _r("precision").alias("precision"), _r("recall").alias("recall"), _r("f1").alias("f1"))
+
+
+T1 = """l AS (SELECT vec_id, truth, list_transform(p, lambda v: ln(greatest(v, 1e-12)) / {t}) AS l FROM p),
+x AS (SELECT vec_id, truth, list_transform(l, lambda v: exp(v - list_max(l))) AS x FROM l),
+s AS (SELECT vec_id, truth, list_transform(x, lambda v: v / list_sum(x)) AS s FROM x)"""
+
+
+@query(f"WITH {P}, {T1.format(t='1.0')} SELECT round(avg(-ln(greatest(s[truth + 1], 1e-12))), 6) AS nll FROM s")
+def prediction_nll(spark, sf_dir):
+    return metrics.negative_log_likelihood(predictions(spark, sf_dir)).select(_r("nll").alias("nll"))
+
+
+@query(f"""WITH {P}, {T1.format(t='1.0')}, b AS (SELECT least(14, floor(list_max(s) * 15)) AS bin, list_max(s) AS conf, (list_position(s, list_max(s)) - 1 = truth)::INT::DOUBLE AS ok FROM s),
+g AS (SELECT bin, count(*) AS n, avg(conf) AS c, avg(ok) AS a FROM b GROUP BY bin) SELECT round(sum(n * abs(c - a)) / sum(n), 6) AS ece FROM g""")
+def prediction_ece(spark, sf_dir):
+    return metrics.calibration_error(predictions(spark, sf_dir)).select(_r("ece").alias("ece"))
+
+
+GRID = """g AS (SELECT 0.5 + i * 4.5 / {n} AS t FROM range({n} + 1) r(i)),
+k AS (SELECT t, truth, list_transform(p, lambda v: ln(greatest(v, 1e-12)) / t) AS l FROM p CROSS JOIN g),
+m AS (SELECT t, -ln(greatest(exp(l[truth + 1] - list_max(l)) / list_sum(list_transform(l, lambda v: exp(v - list_max(l)))), 1e-12)) AS loss FROM k),
+r AS (SELECT t, avg(loss) AS nll FROM m GROUP BY t)"""
+
+
+@query(f"WITH {P}, {GRID.format(n=45)} SELECT round(t, 6) AS t, round(nll, 6) AS nll FROM r")
+def temperature_grid(spark, sf_dir):
+    return metrics.temperature_grid_chunk(predictions(spark, sf_dir), [0.5 + i * 4.5 / 45 for i in range(46)]).select(_r("t").alias("t"), _r("nll").alias("nll"))
+
+
+@query(f"WITH {P}, {GRID.format(n=450)} SELECT round(t, 6) AS t, round(nll, 6) AS nll FROM r ORDER BY r.nll, r.t LIMIT 1")
+def temperature_fit(spark, sf_dir):
+    return metrics.fit_temperature(predictions(spark, sf_dir)).select(_r("t").alias("t"), _r("nll").alias("nll"))
+
+
+@query(f"""WITH {P}, u AS (SELECT vec_id, p, unnest(range(1, 7)) AS i FROM p), o AS (SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY p[i] DESC, i) AS k, i, p[i] AS v FROM u),
+t AS (SELECT vec_id, string_agg(label || ':' || printf('%.4f', v), '|' ORDER BY k) AS top3, max(v) - min(v) FILTER (k = 2) AS margin FROM o JOIN lab ON idx = i - 1 WHERE k <= 3 GROUP BY vec_id)
+SELECT vec_id, top3, round(margin, 6) AS margin FROM t""")
+def topk_margin(spark, sf_dir):
+    rows = predictions(spark, sf_dir).select("vec_id", V.top_k(F.col("p"), LABELS, 3).alias("t"), V.margin(F.col("p")).alias("margin"))
+    return rows.select("vec_id", F.array_join(F.transform("t", lambda s: F.format_string("%s:%.4f", s["label"], s["p"])), "|").alias("top3"), _r("margin").alias("margin"))
+
+
+@query(f"""WITH {P}, n AS (SELECT vec_id % 50 AS grp, pred, count(*) AS votes, sum(list_max(p)) AS conf FROM q GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY votes DESC, conf DESC, pred) AS k FROM n) SELECT grp, pred::INT AS pred, votes::BIGINT AS votes, round(conf, 6) AS confidence FROM o WHERE k = 1""")
+def majority_vote(spark, sf_dir):
+    rows = predictions(spark, sf_dir).withColumn("grp", F.col("vec_id") % 50)
+    return metrics.majority_vote(rows, "grp").select("grp", "pred", "votes", _r("confidence").alias("confidence"))
+
+
+POLICY = """y AS (SELECT vec_id, truth, k, list_position(w, list_max(w)) - 1 AS pred FROM (SELECT vec_id, truth, k, list_transform(range(1, 7), lambda i: p[i] * (CASE WHEN (i + k) % 6 = 0 THEN 1.0 + k / 4.0 ELSE 1.0 END)) AS w FROM p CROSS JOIN range(4) r(k)))"""
+
+
+def _policies(spark, sf_dir) -> DataFrame:
+    """Four policies per sample: the control and three that favour one label each."""
+    rows = predictions(spark, sf_dir)
+    k = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")
+    wide = rows.select("vec_id", "truth", "p", k)
+    weighted = F.transform("p", lambda v, i: v * F.when((i + 1 + F.col("k")) % 6 == 0, 1.0 + F.col("k") / 4.0).otherwise(1.0))
+    return wide.select("vec_id", "truth", F.concat(F.lit("policy"), F.col("k").cast("string")).alias("policy"), V.argmax(weighted).alias("pred"))
+
+
+@query(f"""WITH {P}, {POLICY} SELECT 'policy' || a.k AS policy, count(*)::BIGINT AS n, count(*) FILTER (a.pred <> b.pred)::BIGINT AS changed,
+count(*) FILTER (a.pred = a.truth AND b.pred <> a.truth)::BIGINT AS corrections, count(*) FILTER (a.pred <> a.truth AND b.pred = a.truth)::BIGINT AS regressions FROM y a JOIN y b ON a.vec_id = b.vec_id AND b.k = 0 GROUP BY 1""")
+def policy_delta(spark, sf_dir):
+    return metrics.policy_delta(_policies(spark, sf_dir), ["vec_id"], "policy", "policy0")
+
+
+@query(f"""WITH {P}, {POLICY}, b AS (SELECT vec_id, (pred = truth)::INT AS o FROM y WHERE k = 0), c AS (SELECT vec_id, (pred = truth)::INT AS n FROM y WHERE k = 3)
+SELECT count(*)::BIGINT AS samples, count(*) FILTER (o = 0 AND n > 0)::BIGINT AS recovered, count(*) FILTER (o > 0 AND n = 0)::BIGINT AS lost, count(*) FILTER (o = n)::BIGINT AS same FROM b JOIN c USING (vec_id)""")
+def model_transitions(spark, sf_dir):
+    hits = _policies(spark, sf_dir).withColumn("found", (F.col("pred") == F.col("truth")).cast("int"))
+    return metrics.transitions(hits.where("policy = 'policy0'"), hits.where("policy = 'policy3'"), "vec_id", "found")
+
+
+@query(f"""WITH {P}, f AS (SELECT vec_id, list_sum(p[1:5]) AS s, p FROM p) SELECT vec_id, round(p[1] / s, 6) AS p0, round(p[5] / s, 6) AS p4, 0.0::DOUBLE AS p5,
+round(CASE WHEN vec_id % 3 = 0 THEN (p[1] * 0.6 + p[2] * 0.2 + p[3] * 0.2) ELSE p[2] * 0.7 + p[3] * 0.3 END, 6) AS fused0 FROM f""")
+def fused_probabilities(spark, sf_dir):
+    rows = predictions(spark, sf_dir)
+    turn = lambda k: F.transform("p", lambda v, i: F.get(F.col("p"), (i + F.lit(k)) % 6))
+    fused = V.fuse_views(turn(1), turn(2), F.when(F.col("vec_id") % 3 == 0, F.col("p")))
+    t = V.target_only(F.col("p"), TARGETS)
+    return rows.select("vec_id", _r(F.get(t, F.lit(0))).alias("p0"), _r(F.get(t, F.lit(4))).alias("p4"), _r(F.get(t, F.lit(5))).alias("p5"), _r(F.get(fused, F.lit(0))).alias("fused0"))
+
+
+@query(f"""WITH {P}, o AS (SELECT vec_id // 8 AS key, vec_id, p, vec_id % 5 <> 0 AS valid, (vec_id % 3 + 1)::DOUBLE AS w FROM p), v AS (SELECT * FROM o WHERE valid)
+SELECT key, max(vec_id) AS captured_at_ns, count(*)::BIGINT AS n, round(sum(p[1] * w) / sum(w), 6) AS p0, round(sum(p[6] * w) / sum(w), 6) AS p5 FROM v GROUP BY key""")
+def weighted_observations(spark, sf_dir):
+    rows = predictions(spark, sf_dir).select(F.floor(F.col("vec_id") / 8).alias("key"), F.col("vec_id").alias("captured_at_ns"), F.lit("m").alias("model_id"), "p", (F.col("vec_id") % 5 != 0).alias("valid"))
+    out = W.aggregate_observations(rows, "key", (F.col("captured_at_ns") % 3 + 1).cast("double"))
+    return out.select("key", "captured_at_ns", "n", _r(F.get("p", F.lit(0))).alias("p0"), _r(F.get("p", F.lit(5))).alias("p5"))
+
+
+@query("""WITH v AS (SELECT vec_id % 4 AS model, vec_id // 4 AS key, unnest(range(1, 65)) AS pos, embedding FROM embeddings)
+SELECT key, (pos - 1)::INT AS pos, round(sum(embedding[pos]::DOUBLE * CASE model WHEN 0 THEN 0.4 WHEN 1 THEN 0.3 WHEN 2 THEN 0.2 ELSE 0.1 END), 6) AS value FROM v GROUP BY 1, 2""")
+def weight_average(spark, sf_dir):
+    parts = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("m"), (F.col("vec_id") % 4).cast("string")).alias("model"), F.floor(F.col("vec_id") / 4).alias("key"), F.posexplode("embedding").alias("pos", "value")).withColumn("value", F.col("value").cast("double"))
+    return metrics.weighted_average(parts, {"m0": 0.4, "m1": 0.3, "m2": 0.2, "m3": 0.1}).select("key", "pos", _r("value").alias("value"))
+
+
+# ---------------------------------------------------------------- counts, percentiles, roll-ups
+
+
+@query("""WITH d AS (SELECT * FROM (VALUES ('en',0),('fr',1),('de',2),('es',3),('it',4)) t(label, idx)) SELECT label, idx::INT AS idx, count(doc_id)::BIGINT AS n FROM d LEFT JOIN documents ON lang = label GROUP BY 1, 2""")
+def label_counts_zero_filled(spark, sf_dir):
+    return metrics.zero_filled_counts(table(spark, sf_dir, "documents"), "lang", [*LANGS, "it"])
+
+
+@query("""SELECT source, count(*) FILTER (lang = 'en')::BIGINT AS en, count(*) FILTER (lang = 'fr')::BIGINT AS fr, count(*) FILTER (lang = 'de')::BIGINT AS de, count(*) FILTER (lang = 'es')::BIGINT AS es FROM documents GROUP BY source""")
+def split_label_pivot(spark, sf_dir):
+    return metrics.split_label_pivot(table(spark, sf_dir, "documents"), "source", "lang", LANGS)
+
+
+def _percentile(kind: str, position: str):
+    def run(spark, sf_dir):
+        return metrics.percentile(table(spark, sf_dir, "events"), "value", 0.95, kind, ["event_type"])
+
+    run.__name__ = f"latency_percentile_{kind}"
+    sql = f"""WITH o AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
+SELECT event_type, n::BIGINT AS n, value AS percentile FROM o WHERE i = greatest(0, least(n - 1, {position}))"""
+    return query(sql)(run)
+
+
+_percentile("nearest", "ceil(n * 0.95) - 1")
+_percentile("rounded", "round_even((n - 1) * 0.95, 0)")
+_percentile("floored", "floor(n * 0.95) - 1")
+
+
+@query("""SELECT coalesce(event_type, 'all') AS scope, count(*)::BIGINT AS n, count(*) FILTER (value > 50)::BIGINT AS hits, round(count(*) FILTER (value > 50) / count(*)::DOUBLE, 6) AS rate, round(avg(value), 6) AS mean_found
+FROM events GROUP BY GROUPING SETS ((event_type), ())""")
+def cluster_rollup(spark, sf_dir):
+    return metrics.rollup_summary(table(spark, sf_dir, "events"), "event_type", F.col("value") > 50, F.col("value")).select("scope", "n", "hits", _r("rate").alias("rate"), _r("mean_found").alias("mean_found"))
+
+
+@query("""WITH g AS (SELECT doc_id // 500 AS chunk, source, count(*) AS n FROM documents GROUP BY 1, 2), b AS (SELECT source, chunk, n, row_number() OVER (PARTITION BY source ORDER BY n DESC, chunk) AS k FROM g) SELECT source, chunk, n::BIGINT AS n FROM b WHERE k = 1""")
+def best_epoch(spark, sf_dir):
+    per = table(spark, sf_dir, "documents").groupBy("source", F.floor(F.col("doc_id") / 500).alias("chunk")).agg(F.count("*").alias("n"))
+    return per.groupBy("source").agg(F.max_by(F.struct("chunk", "n"), F.struct(F.col("n"), -F.col("chunk"))).alias("b")).select("source", "b.chunk", "b.n")
+
+
+@query("""SELECT doc_id // 1000 AS chunk, count(*)::BIGINT AS files, sha256(string_agg(doc_id::VARCHAR || chr(0) || sha256(text), chr(10) ORDER BY doc_id)) AS digest FROM documents GROUP BY 1""")
+def snapshot_digest(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha"), F.floor(F.col("doc_id") / 1000).alias("chunk"))
+    return metrics.snapshot_digest(rows, "doc_id", "sha", ["chunk"])
+
+
+# ---------------------------------------------------------------- manifest and review
+
+
+def manifest(spark, sf_dir) -> DataFrame:
+    """documents as manifest rows; some fields are emptied or broken by fixed rules, so that every rule has work."""
+    d = table(spark, sf_dir, "documents")
+    i = F.col("doc_id")
+    status = F.when(i % 7 == 0, "accepted").when(i % 7 < 4, "quarantine").when(i % 7 == 4, "pending").when(i % 7 == 5, "rejected").otherwise("unknown")
+    split = F.when(i % 5 == 0, "train").when(i % 5 == 1, "val_select").when(i % 5 == 2, "val_cal").when(i % 5 == 3, "staging").otherwise(F.when(i % 11 == 0, "other").otherwise(""))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    return d.select(
+        (i + 2).alias("row"), F.concat(F.lit("img-"), F.floor(i / 2 * F.when(i % 50 == 1, 0).otherwise(2)).cast("long").cast("string")).alias("image_id"), F.col("lang").alias("label"), F.col("source").alias("source_kind"), F.col("source").alias("source_dataset"),
+        F.lit("https://example.test/page").alias("source_page_url"), F.concat(F.lit("https://example.test/"), i.cast("string")).alias("original_url"), F.lit("").alias("author"),
+        F.when(i % 13 == 0, "").otherwise("CC-BY-4.0").alias("license_name"), F.lit("https://example.test/license").alias("license_url"), F.lit("2026-01-01T00:00:00+00:00").alias("downloaded_at"),
+        F.concat(F.lit("group-"), (i % 400).cast("string")).alias("source_group_id"), F.when(i % 17 == 0, "zz").otherwise(F.sha2(text(F.col("text")), 256)).alias("exact_sha256"), F.when(i % 19 == 0, "12").otherwise("0123456789abcdef").alias("perceptual_hash"),
+        F.when(i % 23 == 0, "0").otherwise(F.col("n_chars").cast("string")).alias("width"), F.when(i % 29 == 0, "x").otherwise("480").alias("height"), status.alias("review_status"), F.when(i % 3 == 0, "").otherwise("r1").alias("reviewer"),
+        F.when(i % 2 == 0, F.concat(F.lit("c-"), (i % 300).cast("string"))).otherwise("").alias("duplicate_cluster_id"), split.alias("split"),
+    )
+
+
+M = """m AS (SELECT doc_id + 2 AS row, 'img-' || (CASE WHEN doc_id % 50 = 1 THEN 0 ELSE doc_id END)::VARCHAR AS image_id, lang AS label, source AS source_kind, CASE WHEN doc_id % 13 = 0 THEN '' ELSE 'CC-BY-4.0' END AS license_name,
+'group-' || (doc_id % 400) AS source_group_id, CASE WHEN doc_id % 17 = 0 THEN 'zz' ELSE sha256(coalesce(text, '')) END AS exact_sha256, CASE WHEN doc_id % 19 = 0 THEN '12' ELSE '0123456789abcdef' END AS perceptual_hash,
+CASE WHEN doc_id % 23 = 0 THEN '0' ELSE n_chars::VARCHAR END AS width, CASE WHEN doc_id % 29 = 0 THEN 'x' ELSE '480' END AS height,
+CASE WHEN doc_id % 7 = 0 THEN 'accepted' WHEN doc_id % 7 < 4 THEN 'quarantine' WHEN doc_id % 7 = 4 THEN 'pending' WHEN doc_id % 7 = 5 THEN 'rejected' ELSE 'unknown' END AS review_status, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'r1' END AS reviewer,
+CASE WHEN doc_id % 2 = 0 THEN 'c-' || (doc_id % 300) ELSE '' END AS duplicate_cluster_id,
+CASE WHEN doc_id % 5 = 0 THEN 'train' WHEN doc_id % 5 = 1 THEN 'val_select' WHEN doc_id % 5 = 2 THEN 'val_cal' WHEN doc_id % 5 = 3 THEN 'staging' WHEN doc_id % 11 = 0 THEN 'other' ELSE '' END AS split FROM documents),
+live AS (SELECT * FROM m WHERE review_status IN ('accepted', 'quarantine')), acc AS (SELECT * FROM m WHERE review_status = 'accepted'),
+grp AS (SELECT lower(exact_sha256) AS sha, count(*) AS n, max(row) AS row, bool_or(review_status = 'accepted') AS a, list_sort(list_distinct(list(split))) AS splits FROM live WHERE regexp_full_match(exact_sha256, '[0-9a-fA-F]{64}') GROUP BY 1 HAVING count(*) > 1),
+frst AS (SELECT image_id, min(row) AS f FROM m GROUP BY 1 HAVING count(*) > 1),
+pairs AS (SELECT 'cross_split_source_group' AS code, source_group_id AS value, split FROM acc WHERE split IN ('train', 'val_select', 'val_cal') UNION ALL SELECT 'cross_split_duplicate_cluster', duplicate_cluster_id, split FROM acc WHERE split IN ('train', 'val_select', 'val_cal')),
+leak AS (SELECT code, value, list_sort(list_distinct(list(split))) AS splits FROM pairs WHERE value <> '' GROUP BY 1, 2 HAVING count(DISTINCT split) > 1)"""
+
+
+@query(f"""WITH {M}, issues AS (
+SELECT 'error' AS severity, 'invalid_label' AS code FROM m WHERE label NOT IN ('en', 'fr', 'de') UNION ALL
+SELECT 'error', 'invalid_review_status' FROM m WHERE review_status = 'unknown' UNION ALL SELECT 'error', 'invalid_split' FROM m WHERE split = 'other' UNION ALL
+SELECT 'error', 'missing_license_name' FROM live WHERE license_name = '' UNION ALL SELECT 'error', 'missing_split' FROM live WHERE split = '' UNION ALL
+SELECT 'error', 'invalid_sha256' FROM live WHERE exact_sha256 = 'zz' UNION ALL SELECT 'error', 'missing_reviewer' FROM acc WHERE reviewer = '' UNION ALL
+SELECT 'error', 'invalid_perceptual_hash' FROM acc WHERE perceptual_hash = '12' UNION ALL SELECT 'error', 'invalid_width' FROM live WHERE coalesce(try_cast(width AS BIGINT), 0) <= 0 UNION ALL
+SELECT 'error', 'invalid_height' FROM live WHERE height = 'x' UNION ALL SELECT 'error', 'duplicate_image_id' FROM m JOIN frst USING (image_id) WHERE row > f UNION ALL
+SELECT CASE WHEN a THEN 'error' ELSE 'warning' END, CASE WHEN a THEN 'exact_duplicate' ELSE 'candidate_exact_duplicate' END FROM grp UNION ALL
+SELECT 'error', 'cross_split_exact_duplicate' FROM grp WHERE a AND len(splits) > 1 UNION ALL SELECT 'error', code FROM leak)
+SELECT severity, code, count(*)::BIGINT AS n FROM issues GROUP BY 1, 2""")
+def manifest_rule_audit(spark, sf_dir):
+    return audit.manifest_issues(manifest(spark, sf_dir), ("en", "fr", "de")).groupBy("severity", "code").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {M} SELECT row, 'first row ' || f AS detail FROM m JOIN frst USING (image_id) WHERE row > f")
+def manifest_duplicate_first_row(spark, sf_dir):
+    return audit.manifest_issues(manifest(spark, sf_dir), LANGS).where("code = 'duplicate_image_id'").select("row", "detail")
+
+
+@query(f"WITH {M} SELECT code, value || ':' || array_to_string(splits, ',') AS detail FROM leak")
+def cross_split_leakage(spark, sf_dir):
+    rows = manifest(spark, sf_dir).where(F.col("review_status") == "accepted").where(F.col("split").isin(*audit.FINAL_SPLITS))
+    return audit.cross_split(rows, {"source_group_id": "cross_split_source_group", "duplicate_cluster_id": "cross_split_duplicate_cluster"}).select("code", "detail")
+
+
+@query(f"""WITH {M}, c AS (SELECT label, count(DISTINCT lower(exact_sha256)) AS n FROM acc WHERE exact_sha256 <> 'zz' GROUP BY 1)
+SELECT label, n::BIGINT AS n, greatest(0, 400 - n)::BIGINT AS gap, ceil(greatest(0, 400 - n) * 1.25)::BIGINT AS fetch FROM c""")
+def coverage_gap(spark, sf_dir):
+    return audit.coverage(audit.distinct_contents(manifest(spark, sf_dir)), 400)
+
+
+def _review(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("image_id"), F.col("lang").alias("label"), F.concat(F.lit("near-"), (F.col("doc_id") % 97).cast("string")).alias("duplicate_cluster_id"))
+    i = F.col("doc_id")
+    q = table(spark, sf_dir, "labels")
+    first = q.select(i.alias("row"), i.alias("image_id"), F.when(F.col("quality") == 1, "Accepted").otherwise("rejected").alias("decision"), F.when(i % 10 == 0, "").otherwise("r1").alias("reviewer"), F.when(F.col("toxic") == 1, "rejected").otherwise("accepted").alias("second_decision"), F.when(i % 4 == 0, "").when(i % 4 == 1, "R1").otherwise("r2").alias("second_reviewer"))
+    again = first.where("image_id % 20 = 3").withColumn("row", F.col("row") + 10_000_000)
+    strange = first.where("image_id % 20 = 7").withColumn("image_id", F.col("image_id") + 10_000_000)
+    return audit.review_issues(docs, first.unionAll(again).unionAll(strange), ("es", "fr"))
+
+
+REVIEW = """base AS (SELECT doc_id AS row, doc_id AS image_id, CASE WHEN quality = 1 THEN 'accepted' ELSE 'rejected' END AS decision, CASE WHEN doc_id % 10 = 0 THEN '' ELSE 'r1' END AS reviewer, CASE WHEN toxic = 1 THEN 'rejected' ELSE 'accepted' END AS d2,
+CASE WHEN doc_id % 4 = 0 THEN '' WHEN doc_id % 4 = 1 THEN 'R1' ELSE 'r2' END AS r2 FROM labels),
+queue AS (SELECT *, 1 AS nth FROM base UNION ALL SELECT row, image_id, decision, reviewer, d2, r2, 2 FROM base WHERE image_id % 20 = 3 UNION ALL SELECT row, image_id + 10000000, decision, reviewer, d2, r2, 1 FROM base WHERE image_id % 20 = 7),
+j AS (SELECT coalesce(q.image_id, d.doc_id) AS image_id, d.lang AS label, 'near-' || (d.doc_id % 97) AS cluster, q.decision, q.reviewer, q.d2, q.r2, q.nth, CASE WHEN q.row IS NULL THEN 'missing_queue_row' WHEN nth > 1 THEN 'duplicate_queue_id' WHEN d.doc_id IS NULL THEN 'unknown_or_rejected_candidate' END AS stop
+FROM queue q FULL JOIN documents d ON q.image_id = d.doc_id),
+err AS (SELECT image_id, label, cluster, CASE WHEN stop IS NULL THEN decision ELSE 'pending' END AS decision, CASE WHEN stop IS NOT NULL THEN stop ELSE concat_ws('|', CASE WHEN reviewer = '' THEN 'missing_reviewer' END,
+CASE WHEN label IN ('es', 'fr') AND d2 <> decision THEN 'second_review_disagrees_or_missing' END, CASE WHEN label IN ('es', 'fr') AND r2 = '' THEN 'missing_second_reviewer' END, CASE WHEN label IN ('es', 'fr') AND r2 <> '' AND lower(r2) = lower(reviewer) THEN 'reviewers_must_be_distinct' END) END AS errors FROM j)"""
+
+
+@query(f"WITH {REVIEW} SELECT image_id, decision, errors FROM err")
+def review_reconcile(spark, sf_dir):
+    return _review(spark, sf_dir).select("image_id", "decision", F.array_join("errors", "|").alias("errors"))
+
+
+@query(f"""WITH {REVIEW}, k AS (SELECT * FROM err WHERE errors NOT IN ('duplicate_queue_id', 'unknown_or_rejected_candidate')), c AS (SELECT count(*) AS candidates, count(*) FILTER (decision = 'accepted') AS accepted, count(*) FILTER (decision = 'rejected') AS rejected FROM k),
+e AS (SELECT sum(CASE WHEN errors = '' THEN 0 ELSE len(string_split(errors, '|')) END) AS errors FROM err)
+SELECT candidates::BIGINT AS candidates, accepted::BIGINT AS accepted, rejected::BIGINT AS rejected, (candidates - accepted - rejected)::BIGINT AS pending, errors::BIGINT AS errors, false AS ready FROM c, e""")
+def review_ready(spark, sf_dir):
+    return audit.review_verdict(_review(spark, sf_dir), 60, "es", 10)
+
+
+@query(f"WITH {REVIEW} SELECT cluster AS duplicate_cluster_id, count(*)::BIGINT AS accepted, string_agg(image_id::VARCHAR, '|' ORDER BY image_id) AS members FROM err WHERE decision = 'accepted' GROUP BY 1 HAVING count(*) > 1")
+def review_cluster_conflicts(spark, sf_dir):
+    return audit.clusters_with_many_accepted(_review(spark, sf_dir)).select("duplicate_cluster_id", "accepted", F.array_join(F.transform("members", lambda x: x.cast("string")), "|").alias("members"))
+
+
+@query("""WITH c AS (SELECT count(*) > 0 AS a, count(*) FILTER (lang IS NULL) = 0 AS b, count(*) FILTER (n_chars < 0) = 0 AS c, count(DISTINCT lang) = 5 AS d FROM documents)
+SELECT a AND b AND c AND d AS passed, array_to_string(list_filter([CASE WHEN NOT d THEN 'five_labels' END, CASE WHEN NOT b THEN 'labels_present' END, CASE WHEN NOT c THEN 'lengths' END, CASE WHEN NOT a THEN 'rows' END], lambda x: x IS NOT NULL), '|') AS failed FROM c""")
+def gate_verdict(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    checks = {"rows": d.agg((F.count("*") > 0).alias("passed")), "labels_present": d.agg((F.count_if(F.col("lang").isNull()) == 0).alias("passed")), "lengths": d.agg((F.count_if(F.col("n_chars") < 0) == 0).alias("passed")), "five_labels": d.agg((F.countDistinct("lang") == 5).alias("passed"))}
+    return audit.gate(checks).select("passed", F.array_join("failed", "|").alias("failed"))
+
+
+# ---------------------------------------------------------------- text
+
+
+@query("""SELECT page_id, CASE WHEN lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) = 'http' THEN 'https' ELSE lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) END || '://' || lower(regexp_extract(url, '://([^/?#]*)', 1)) || regexp_extract(url, '://[^/?#]*([^?#]*)', 1) || regexp_extract(url, '(#.*)$', 1) AS url FROM pages""")
+def url_normalize(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", X.normalize_url(F.col("url")).alias("url"))
+
+
+@query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \t\n\r\f]+', ' ', 'g')) AS text FROM pages""")
+def html_clean(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", X.clean_html(F.col("html")).alias("text"))
+
+
+@query("""WITH u AS (SELECT page_id, 'https://creativecommons.org/' || (CASE page_id % 6 WHEN 0 THEN 'publicdomain/zero/1.0/' WHEN 1 THEN 'licenses/by-nc-sa/4.0/' WHEN 2 THEN 'licenses/BY-NC/4.0/' WHEN 3 THEN 'licenses/by-sa/4.0/' WHEN 4 THEN 'licenses/by/4.0/' ELSE 'other/' END) AS u FROM pages)
+SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'cc0' WHEN 1 THEN 'cc-by-nc-sa' WHEN 2 THEN 'cc-by-nc' WHEN 3 THEN 'cc-by-sa' WHEN 4 THEN 'cc-by' ELSE '' END AS code FROM u""")
+def license_code(spark, sf_dir):
+    i = F.col("page_id") % 6
+    url = F.concat(F.lit("https://creativecommons.org/"), F.when(i == 0, "publicdomain/zero/1.0/").when(i == 1, "licenses/by-nc-sa/4.0/").when(i == 2, "licenses/BY-NC/4.0/").when(i == 3, "licenses/by-sa/4.0/").when(i == 4, "licenses/by/4.0/").otherwise("other/"))
+    return table(spark, sf_dir, "pages").select("page_id", X.license_code(url).alias("code"))
+
+
+@query(r"""SELECT p_partkey, regexp_replace(replace(lower(trim((p_partkey % 12)::VARCHAR || '-' || p_name)), ' ', '_'), '^\d+[_-]', '') AS name, regexp_replace(regexp_replace(lower(p_type || ' / ' || p_name), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug, try_cast(regexp_extract(p_brand || '_' || p_size, '_(\d+)$', 1) AS BIGINT) AS number FROM part""")
+def name_normalize(spark, sf_dir):
+    c = F.col
+    return table(spark, sf_dir, "part").select("p_partkey", X.normalize_name(F.concat_ws("-", (c("p_partkey") % 12).cast("string"), c("p_name"))).alias("name"), X.slug(F.concat(c("p_type"), F.lit(" / "), c("p_name"))).alias("slug"), X.trailing_number(F.concat_ws("_", c("p_brand"), c("p_size").cast("string"))).alias("number"))
+
+
+@query("""SELECT event_id, coalesce(json_extract_string(props, '$.k'), '') AS k, coalesce(json_extract_string(props, '$.missing.deep'), '-') AS deep FROM events""")
+def json_navigation(spark, sf_dir):
+    p = F.col("props")
+    return table(spark, sf_dir, "events").select("event_id", X.json_path(p, "$.k").alias("k"), X.json_path(p, "$.missing.deep", "-").alias("deep"))
+
+
+@query("""SELECT doc_id, sha256(text) AS sha, md5(source) AS md5, ('0x' || substr(sha256(lang), 1, 16))::UBIGINT::VARCHAR AS seed, sha256('20260715:' || doc_id) AS stable FROM documents""")
+def digests(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha"), F.md5("source").alias("md5"), H.seed_number(F.col("lang")).alias("seed"), H.stable_key(20260715, F.col("doc_id")).alias("stable"))
+
+
+# ---------------------------------------------------------------- duplicates and groups
+
+
+@query("""WITH g AS (SELECT sha256(text) AS sha, count(*) AS n, min(doc_id) AS keeper, list_sort(list_distinct(list(lang))) AS labels FROM documents GROUP BY 1 HAVING count(*) > 1)
+SELECT 'exact-' || substr(sha, 1, 12) AS cluster, n::BIGINT AS members, keeper, array_to_string(labels, ',') AS labels, len(labels) > 1 AS cross_label FROM g""")
+def exact_dedup_canonical(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("sha"))
+    return dedup.exact_duplicates(rows, "sha", "doc_id", "lang").select("cluster", "members", "keeper", F.array_join("labels", ",").alias("labels"), "cross_label")
+
+
+def _two_sources(spark, sf_dir) -> DataFrame:
+    """pages, and every third page once more from another source with the scheme and the query changed."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", F.lit("gbif").alias("source"))
+    swapped = F.concat(F.when(F.col("url").startswith("https"), F.regexp_replace("url", "^https", "http")).otherwise(F.regexp_replace("url", "^http", "https")))
+    second = p.where("page_id % 3 = 0").select((F.col("page_id") + 1_000_000_000).alias("page_id"), F.regexp_replace(swapped, r"\?[^#]*", "").alias("url"), F.lit("wikimedia_commons").alias("source"))
+    return p.unionAll(second)
+
+
+URLN = "CASE WHEN regexp_extract({u}, '^([a-z]+)://', 1) IN ('http', 'https') THEN 'https' ELSE '' END || '://' || lower(regexp_extract({u}, '://([^/?#]*)', 1)) || regexp_extract({u}, '://[^/?#]*([^?#]*)', 1) || regexp_extract({u}, '(#.*)$', 1)"
+
+
+@query(f"""WITH p AS (SELECT page_id, {URLN.format(u='url')} AS u, 3 AS prio FROM pages UNION ALL SELECT page_id + 1000000000, {URLN.format(u='url')}, 2 FROM pages WHERE page_id % 3 = 0),
+g AS (SELECT page_id, u, count(*) OVER (PARTITION BY u) AS n, first_value(page_id) OVER (PARTITION BY u ORDER BY prio, page_id) AS keeper FROM p) SELECT page_id, n::BIGINT AS n, keeper, page_id <> keeper AS rejected FROM g WHERE n > 1""")
+def url_dedup_priority(spark, sf_dir):
+    rows = _two_sources(spark, sf_dir).withColumn("u", X.normalize_url(F.col("url")))
+    out = dedup.canonical(rows, "u", [dedup.source_priority(F.col("source"))], "page_id")
+    return out.where("n > 1").select("page_id", "n", "keeper", (F.col("page_id") != F.col("keeper")).alias("rejected"))
+
+
+SIM = """w AS (SELECT doc_id, lang, unnest(string_split_regex(lower(text), '\\s+')) AS w FROM documents), c AS (SELECT doc_id, lang, w, count(*) AS n FROM w WHERE w <> '' GROUP BY ALL),
+h AS (SELECT doc_id, lang, n, ('0x' || substr(md5(w), 1, 16))::UBIGINT AS h FROM c), b AS (SELECT doc_id, lang, i, sum(CASE WHEN (h >> i) & 1 = 1 THEN n ELSE -n END) AS s FROM h CROSS JOIN range(64) r(i) GROUP BY ALL),
+s0 AS (SELECT doc_id, lang, sum(CASE WHEN s > 0 THEN 1::UBIGINT << i ELSE 0::UBIGINT END)::UBIGINT AS h FROM b GROUP BY ALL), s AS (SELECT d.doc_id, d.lang, coalesce(s0.h, 0::UBIGINT) AS h FROM documents d LEFT JOIN s0 USING (doc_id)),
+r AS (SELECT lang, h, min(doc_id) AS id FROM s GROUP BY ALL),
+np AS (SELECT x.lang, x.id AS a, y.id AS b, bit_count(xor(x.h, y.h)) AS distance FROM r x JOIN r y ON x.lang = y.lang AND x.id < y.id AND bit_count(xor(x.h, y.h)) <= 4)"""
+
+
+def _hashed(spark, sf_dir) -> DataFrame:
+    return H.simhash(table(spark, sf_dir, "documents"), "doc_id", "text", ["lang"])
+
+
+@query(f"WITH {SIM} SELECT lang, a, b, distance::INT AS distance FROM np")
+def near_dup_pairs(spark, sf_dir):
+    """Pairs of representatives of different hashes; near_dup_clusters has the membership of equal ones."""
+    return dedup.near_pairs(cut(_hashed(spark, sf_dir)), "doc_id", "simhash", 4, within="lang")
+
+
+@query(f"""WITH RECURSIVE {SIM}, e AS (SELECT a, b FROM np UNION SELECT b, a FROM np UNION SELECT id, id FROM r), cc AS (SELECT a, b FROM e UNION SELECT cc.a, e.b FROM cc JOIN e ON cc.b = e.a),
+k AS (SELECT a AS id, min(b) AS root FROM cc GROUP BY 1), m AS (SELECT s.doc_id AS id, k.root FROM s JOIN r ON s.lang = r.lang AND s.h = r.h JOIN k ON k.id = r.id), z AS (SELECT root, count(*) AS members FROM m GROUP BY 1 HAVING count(*) > 1)
+SELECT id, 'near-' || root AS cluster, members::BIGINT AS members FROM m JOIN z USING (root)""")
+def near_dup_clusters(spark, sf_dir):
+    return dedup.near_clusters(cut(_hashed(spark, sf_dir)), "doc_id", "simhash", 4, within="lang")
+
+
+def _links(spark, sf_dir) -> DataFrame:
+    """documents with two link tokens: a source group of a few ids, and the content."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.col("lang").alias("label"), F.concat(F.col("lang"), (F.col("doc_id") % 331).cast("string")).alias("group_token"), F.concat(F.col("lang"), F.sha2("text", 256)).alias("content_token"))
+
+
+LINK = """t AS (SELECT doc_id, lang AS label, lang || (doc_id % 331) AS g, lang || sha256(text) AS c FROM documents),
+e0 AS (SELECT doc_id AS a, min(doc_id) OVER (PARTITION BY g) AS b FROM t UNION SELECT doc_id, min(doc_id) OVER (PARTITION BY c) FROM t), e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0),
+cc AS (SELECT a, b FROM e UNION SELECT cc.a, e.b FROM cc JOIN e ON cc.b = e.a), k AS (SELECT a AS doc_id, min(b) AS component FROM cc GROUP BY 1)"""
+
+
+@query(f"WITH RECURSIVE {LINK} SELECT doc_id, component FROM k")
+def link_components(spark, sf_dir):
+    return graph.link_components(_links(spark, sf_dir), "doc_id", ["group_token", "content_token"], within="label").select("doc_id", "component")
+
+
+def _allocated(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    rows = cut(graph.link_components(_links(spark, sf_dir), "doc_id", ["group_token", "content_token"], within="label"))
+    groups = rows.groupBy("label", F.col("component").alias("group")).agg(F.count("*").alias("size"), F.array_join(F.transform(F.sort_array(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("member_key"))
+    return rows, sampling.allocate_groups(groups, RATIOS, 20260715)
+
+
+@query()
+def split_allocate(spark, sf_dir):
+    return _allocated(spark, sf_dir)[1]
+
+
+@query("SELECT 0::BIGINT AS leaking_contents, 0::BIGINT AS leaking_groups, count(*)::BIGINT AS rows FROM documents")
+def split_leakage_check(spark, sf_dir):
+    rows, chosen = _allocated(spark, sf_dir)
+    split = rows.join(chosen.select("label", F.col("group").alias("component"), "split"), ["label", "component"])
+    leaks = [split.groupBy(c).agg(F.countDistinct("split").alias("n")).agg(F.count_if(F.col("n") > 1).alias(f"leaking_{name}")) for c, name in (("content_token", "contents"), ("group_token", "groups"))]
+    return leaks[0].join(leaks[1], F.lit(True)).join(split.agg(F.count("*").alias("rows")), F.lit(True))
+
+
+@query()
+def split_ratio_fill(spark, sf_dir):
+    """Groups of one source id each, filled by count over target."""
+    rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("label"), (F.col("doc_id") % 331).alias("group")).groupBy("label", "group").agg(F.count("*").alias("size")).withColumn("member_key", F.col("group").cast("string"))
+    return sampling.ratio_fill(rows, RATIOS, 20260715)
+
+
+# ---------------------------------------------------------------- sampling
+
+
+@query("""WITH o AS (SELECT o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY sha256('20260715:' || o_orderkey), o_orderkey) AS nth FROM orders) SELECT o_orderpriority, o_orderkey, nth::INT AS nth FROM o WHERE nth <= 300""")
+def stable_hash_topn(spark, sf_dir):
+    return sampling.hash_top_n(table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey"), "o_orderpriority", "o_orderkey", 300, 20260715)
+
+
+@query("""WITH c AS (SELECT source, lang, count(*)::BIGINT AS n FROM documents GROUP BY 1, 2), x AS (SELECT *, [n * 0.85::DOUBLE, n * 0.10::DOUBLE, n * 0.05::DOUBLE] AS e FROM c), y AS (SELECT *, list_transform(e, lambda v: floor(v)::BIGINT) AS b FROM x),
+u AS (SELECT source, lang, n, e, b, unnest([1, 2, 3]) AS i FROM y), r AS (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY e[i] - b[i] DESC, i) AS k FROM u)
+SELECT source, lang, n, string_agg((b[i] + CASE WHEN k <= n - (b[1] + b[2] + b[3]) THEN 1 ELSE 0 END)::VARCHAR, ',' ORDER BY i) AS targets FROM r GROUP BY ALL""")
+def largest_remainder(spark, sf_dir):
+    counts = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
+    return counts.select("source", "lang", "n", F.array_join(F.transform(sampling.target_counts(F.col("n"), RATIOS), lambda x: x.cast("string")), ",").alias("targets"))
+
+
+@query("""WITH o AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY sha256('7:' || p_partkey), p_partkey) - 1 AS nth, count(*) OVER (PARTITION BY p_brand) AS size FROM part),
+t AS (SELECT *, greatest(1, floor((120 - nth - 1) / size::DOUBLE) + 1)::BIGINT AS times FROM o) SELECT p_brand, p_partkey, r::INT AS repeat, (r * size + nth)::BIGINT AS ordinal FROM (SELECT *, unnest(range(times)) AS r FROM t)""")
+def oversample_repeats(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_brand", "p_partkey")
+    return sampling.oversample(rows, "p_brand", "p_partkey", 120, 7).select("p_brand", "p_partkey", "repeat", "ordinal")
+
+
+@query("""WITH o AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+SELECT user_id, event_id, pos AS "at" FROM o WHERE n >= 9 AND list_contains(list_transform(range(9), lambda i: floor(i * (n - 1) / 8.0)::BIGINT), pos)""")
+def even_spacing(spark, sf_dir):
+    return sampling.evenly_spaced(table(spark, sf_dir, "events").select("user_id", "event_id"), "user_id", "event_id", 9).select("user_id", "event_id", "at")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'detector_miss_or_invalid_fallback' WHEN lang = 'es' AND doc_id % 3 <> 0 THEN 'background_original_policy' WHEN n_chars < 400 THEN 'crop_quality_fallback' ELSE 'crop_selected_instead' END AS reason,
+CASE WHEN doc_id % 6 = 0 OR (lang = 'es' AND doc_id % 3 <> 0) OR n_chars < 400 THEN 'original' ELSE 'crop' END AS selected FROM documents""")
+def view_selection(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("lang") == "es").alias("background"), (F.col("doc_id") % 3 == 0).alias("known_other"), (F.col("doc_id") % 6).cast("int").alias("boxes"), F.col("n_chars").alias("short_side"), F.lit(400).alias("minimum"))
+    return sampling.select_views(d).select("doc_id", "reason", "selected")
+
+
+@query("""WITH o AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents) SELECT doc_id, source || '-' || lpad(k::VARCHAR, 6, '0') AS name, printf('%s-%03d', source, ((k - 1) // 40 + 1)::INT) AS batch FROM o""")
+def ordinal_names(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return sampling.batches(sampling.numbered(rows, "source", "doc_id", F.col("source")), "source", "doc_id", 40).select("doc_id", "name", "batch")
+
+
+@query("""WITH p AS (SELECT doc_id, source, lang, sha256(text) AS sha, n_chars, doc_id % 9 = 0 AS bare FROM documents), z AS (SELECT DISTINCT sha256(text) AS sha FROM documents WHERE doc_id % 4 = 0),
+m AS (SELECT p.*, z.sha IS NOT NULL AS frozen FROM p LEFT JOIN z USING (sha)), f AS (SELECT sha, min((source, doc_id)) AS first FROM m WHERE NOT frozen AND n_chars >= 300 AND NOT bare GROUP BY 1),
+r AS (SELECT m.*, CASE WHEN frozen THEN 'already_in_frozen_split' WHEN (source, doc_id) > first THEN 'duplicate_in_new_pool' WHEN n_chars < 300 THEN 'too_small' WHEN bare THEN 'missing_provenance_or_license' END AS reason FROM m LEFT JOIN f USING (sha)),
+n AS (SELECT *, row_number() OVER (PARTITION BY lang, reason IS NULL ORDER BY source, doc_id) AS k FROM r) SELECT doc_id AS image_id, coalesce(reason, CASE WHEN k > 50 THEN 'over_limit' END) AS reason FROM n""")
+def gap_fill(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    pool = d.select(F.col("doc_id").alias("image_id"), F.col("lang").alias("label"), F.col("source").alias("source_kind"), F.sha2("text", 256).alias("sha"), F.col("n_chars").alias("width"), F.col("n_chars").alias("height"), F.when(F.col("doc_id") % 9 == 0, "").otherwise("cc-by").alias("license"), F.lit("p").alias("provenance"))
+    return dedup.gap_fill(pool, d.where("doc_id % 4 = 0").select(F.sha2("text", 256).alias("sha")), min_side=300, limit=50).select("image_id", "reason")
+
+
+# ---------------------------------------------------------------- joins
+
+
+@query("""SELECT count(*)::BIGINT AS overlapping, count(DISTINCT lang)::BIGINT AS labels FROM documents WHERE sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 10 = 1) AND doc_id % 10 <> 1""")
+def benchmark_overlap(spark, sf_dir):
+    """Rows outside a held-out tenth whose content stands in it: a non-zero count blocks a build."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("sha"))
+    return d.where("doc_id % 10 <> 1").join(d.where("doc_id % 10 = 1").select("sha"), "sha", "left_semi").agg(F.count("*").alias("overlapping"), F.countDistinct("lang").alias("labels"))
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
+def anti_join_frozen(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels").where("quality = 0").select("doc_id"), "doc_id", "left_anti")
+
+
+@query("""WITH n AS (SELECT doc_id AS id, source AS v FROM documents WHERE doc_id % 2 = 0), p AS (SELECT doc_id AS id, lang AS v FROM documents WHERE doc_id % 3 = 0) SELECT id, v FROM n UNION ALL SELECT id, v FROM p WHERE id NOT IN (SELECT id FROM n)""")
+def report_merge(spark, sf_dir):
+    from millrace.sources.tables import merge_reports
+
+    d = table(spark, sf_dir, "documents")
+    return merge_reports(d.where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.col("lang").alias("v")), d.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.col("source").alias("v")), "id")
+
+
+# ---------------------------------------------------------------- boxes
+
+
+def _boxes(spark, sf_dir) -> DataFrame:
+    """Three predicted boxes and one true box per part, from its numbers."""
+    k, s = F.col("p_partkey").cast("double"), F.col("p_size").cast("double")
+    box = lambda x, y, w, h, c: F.struct(x.alias("x1"), y.alias("y1"), (x + w).alias("x2"), (y + h).alias("y2"), c.alias("confidence"))
+    a = box(k % 40, k % 30, 20 + s, 30 + s, (k % 100) / 100)
+    b = box(k % 40 + 1, k % 30 + 1, 20 + s, 30 + s, (k % 90) / 100)
+    c = box(k % 17 + 60, k % 23, 10 + s, 10 + s, (k % 80) / 100)
+    return table(spark, sf_dir, "part").select("p_partkey", "p_size", F.array(a, b, c).alias("boxes"), box(k % 40 + 3, k % 30 + 2, 20 + s, 30 + s, F.lit(1.0)).alias("truth"))
+
+
+@query("""WITH b AS (SELECT p_partkey, [p_partkey % 40, p_partkey % 40 + 1, p_partkey % 17 + 60]::DOUBLE[] AS x, [p_partkey % 30, p_partkey % 30 + 1, p_partkey % 23]::DOUBLE[] AS y, [20 + p_size, 20 + p_size, 10 + p_size]::DOUBLE[] AS w, [30 + p_size, 30 + p_size, 10 + p_size]::DOUBLE[] AS h,
+(p_partkey % 40 + 3)::DOUBLE AS tx, (p_partkey % 30 + 2)::DOUBLE AS ty, (20 + p_size)::DOUBLE AS tw, (30 + p_size)::DOUBLE AS th FROM part), u AS (SELECT *, unnest([1, 2, 3]) AS i FROM b),
+o AS (SELECT p_partkey, greatest(least(x[i] + w[i], tx + tw) - greatest(x[i], tx), 0) * greatest(least(y[i] + h[i], ty + th) - greatest(y[i], ty), 0) AS inter, w[i] * h[i] + tw * th AS total FROM u) SELECT p_partkey, round(max(inter / (total - inter)), 6) AS best FROM o GROUP BY 1""")
+def box_iou_best(spark, sf_dir):
+    return _boxes(spark, sf_dir).select("p_partkey", _r(F.get(B.best_overlaps(F.array("truth"), F.col("boxes")), F.lit(0))).alias("best"))
+
+
+@query()
+def box_nms(spark, sf_dir):
+    kept = B.non_maximum_suppression(F.col("boxes"), 0.85)
+    return _boxes(spark, sf_dir).select("p_partkey", F.size(kept).alias("kept"), _r(F.get(kept, F.lit(0))["confidence"]).alias("top"))
+
+
+@query("""WITH b AS (SELECT p_partkey, (p_partkey % 40)::DOUBLE AS x, (p_partkey % 30)::DOUBLE AS y, (20 + p_size)::DOUBLE AS w, (30 + p_size)::DOUBLE AS h FROM part),
+p AS (SELECT p_partkey, greatest(0, floor(x - w * 0.15))::INT AS l, greatest(0, floor(y - h * 0.15))::INT AS t, least(96, ceil(x + w + w * 0.15))::INT AS r, least(96, ceil(y + h + h * 0.15))::INT AS b FROM b),
+q AS (SELECT *, CASE WHEN p_partkey % 11 = 0 THEN 'missing_observation' WHEN p_partkey % 7 = 0 THEN 'invalid_observation' WHEN p_partkey % 5 = 0 THEN 'mismatched_observation' WHEN p_partkey % 3 = 0 THEN 'unstable_detector_box' WHEN least(r - l, b - t) < 40 THEN 'rejected_detector_box_short_side_pixels' ELSE 'accepted_detector_box' END AS reason FROM p)
+SELECT p_partkey, reason, CASE WHEN reason = 'accepted_detector_box' THEN 'detector_crop' ELSE 'centre_fallback' END AS mode, CASE WHEN reason = 'accepted_detector_box' THEN concat_ws(',', l, t, r, b) ELSE '10,10,86,86' END AS bounds FROM q""")
+def roi_route(spark, sf_dir):
+    rows = _boxes(spark, sf_dir)
+    k, frame = F.col("p_partkey"), F.lit(96)
+    bounds = B.padded_bounds(F.get("boxes", F.lit(0)), frame, frame, 0.15)
+    rows = rows.withColumn("b", bounds).withColumn("c", B.center_bounds(frame, frame, 0.79))
+    short = F.least(F.col("b.right") - F.col("b.left"), F.col("b.bottom") - F.col("b.top"))
+    mode, reason = B.route(k % 11 != 0, k % 7 != 0, k % 5 != 0, F.col("boxes"), k % 3 != 0, short, 40)
+    text = lambda s: F.concat_ws(",", *[F.col(f"{s}.{x}").cast("string") for x in ("left", "top", "right", "bottom")])
+    return rows.select("p_partkey", reason.alias("reason"), mode.alias("mode"), F.when(mode == "detector_crop", text("b")).otherwise(text("c")).alias("bounds"))
+
+
+@query("""SELECT p_partkey, printf('%d %.6f %.6f %.6f %.6f', p_size, ((p_partkey % 40) * 2 + 20 + p_size) / 2.0 / 96, ((p_partkey % 30) * 2 + 30 + p_size) / 2.0 / 96, (20 + p_size) / 96.0, (30 + p_size) / 96.0) AS line FROM part""")
+def box_lines(spark, sf_dir):
+    b = F.get("boxes", F.lit(0))
+    return _boxes(spark, sf_dir).select("p_partkey", B.center_form_line(F.col("p_size"), b, F.lit(96.0), F.lit(96.0)).alias("line"))
+
+
+@query("""SELECT event_id, concat_ws('|', CASE WHEN value < 5 THEN 'blur' END, CASE WHEN value < 10 THEN 'underexposed_mean' END, CASE WHEN value > 90 THEN 'overexposed_mean' END, CASE WHEN (event_id % 100) / 100.0 > 0.9 THEN 'overexposed_ratio' END, CASE WHEN (event_id % 50) / 50.0 > 0.9 THEN 'underexposed_ratio' END,
+CASE WHEN event_id % 700 > 500 THEN 'stale' END, CASE WHEN (user_id % 10) / 10.0 < 0.2 THEN 'roi_coverage' END) AS reasons FROM events""")
+def quality_gate(spark, sf_dir):
+    e, v = F.col("event_id"), F.col("value")
+    found = audit.quality_gate(v, v, (e % 100) / 100, (e % 50) / 50, e % 700, (F.col("user_id") % 10) / 10, min_blur=5, min_mean=10, max_mean=90, max_over=0.9, max_under=0.9, max_age_ms=500, min_coverage=0.2)
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(found, "|").alias("reasons"))
+
+
+# ---------------------------------------------------------------- observation streams (batch forms)
+
+
+SEG = """g AS (SELECT *, event_type = 'error' AS reset, sum((event_type = 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS segment FROM events),
+w AS (SELECT *, count(*) OVER p AS c, avg(value) OVER p AS m FROM g WINDOW p AS (PARTITION BY user_id, segment, reset ORDER BY ts, event_id ROWS 6 PRECEDING))"""
+
+
+@query(f"WITH {SEG} SELECT event_id, segment::BIGINT AS segment, CASE WHEN reset THEN 0 ELSE c END::BIGINT AS size, round(CASE WHEN NOT reset THEN m END, 6) AS mean FROM w")
+def temporal_window_batch(spark, sf_dir):
+    rows = table(spark, sf_dir, "events")
+    out = W.resetting_window(rows, "user_id", ["ts", "event_id"], F.col("event_type") == "error", 7)
+    return out.select("event_id", "segment", "size", _r("mean").alias("mean"))
+
+
+@query("""WITH n AS (SELECT *, (SELECT max(ts) FROM events) AS now FROM events), f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM n WHERE ts >= now - INTERVAL 5 DAY AND ts <= now) SELECT user_id, event_id, place::INT AS place FROM f WHERE place <= 8""")
+def fresh_snapshot(spark, sf_dir):
+    rows = table(spark, sf_dir, "events")
+    now = rows.agg(F.max("ts").alias("now"))
+    aged = rows.join(F.broadcast(now), F.lit(True)).withColumn("age", F.unix_micros(F.col("now").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp")))  # one row
+    return W.fresh_snapshot(aged, "user_id", ["ts", "event_id"], F.col("age"), 5 * 86_400_000_000, 8).select("user_id", "event_id", "place")
+
+
+@query("""WITH d AS (SELECT event_id // 3 AS id, event_id, user_id, event_type FROM events) SELECT id, arg_min(user_id, event_id) AS user_id, arg_min(event_type, event_id) AS event_type FROM d GROUP BY id""")
+def exactly_once_events(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 3).alias("id"), "event_id", "user_id", "event_type")
+    return W.first_events(rows, "id", "event_id").select("id", "user_id", "event_type")
+
+
+@query()
+def queue_replay(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", F.when(F.col("turn") % 4 == 0, "confirm").otherwise("preview")).otherwise("pop").alias("kind"))
+    return W.replay_queue(c, "conv_id", "turn")
+
+
+@query("SELECT user_id::VARCHAR AS key, count(*)::BIGINT AS pushed, least(count(*), 8)::BIGINT AS held, (count(*) - least(count(*), 8))::BIGINT AS dropped FROM events GROUP BY user_id")
+def ring_buffer(spark, sf_dir):
+    return W.buffer_counts(table(spark, sf_dir, "events"), "user_id", 8)
+
+
+@query("""SELECT event_id, CASE WHEN event_type = 'error' THEN 'UNKNOWN' WHEN event_type = 'view' THEN 'SEARCHING' ELSE 'STABLE' END AS state,
+strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S+00:00') || ' CONFIRMED species=' || event_type || ' confidence=' || printf('%.3f', (event_id % 64) / 64.0) || ' margin=' || printf('%.3f', (event_id % 32) / 64.0) || ' found=' || (event_id % 8 + 1) || '/8 model=m1' AS line FROM events""")
+def presentation_lines(spark, sf_dir):
+    e = F.col("event_id")
+    ns = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
+    return table(spark, sf_dir, "events").select("event_id", W.preview_state(F.col("event_type") != "error", F.col("event_type"), "view").alias("state"), W.confirmation_line(ns, F.col("event_type"), (e % 64) / 64, (e % 32) / 64, e % 8 + 1, F.lit("m1")).alias("line"))
+
+
+@query("""WITH o AS (SELECT event_id, (event_id + event_id % 4) AS oid, event_id % 4 = 0 AS same FROM events) SELECT e.event_id, o.oid IS NULL AS fallback FROM events e LEFT JOIN o ON o.oid = e.event_id AND o.same""")
+def same_frame_gate(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    ns = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
+    frames = e.select("event_id", F.col("event_id").alias("frame_id"), ns.alias("captured_at_ns"))
+    seen = e.select(F.col("event_id").alias("frame_id"), (ns + F.col("event_id") % 4).alias("captured_at_ns"))
+    return W.same_frame(frames, seen).select("event_id", F.col("o_frame").isNull().alias("fallback"))
+
+
+@query("""WITH a AS (SELECT event_id, value, event_id % 700 - 50 AS age FROM events) SELECT event_id, NOT (age < 0 OR age > 500) AS valid, CASE WHEN age < 0 OR age > 500 THEN 'stale' END AS reason FROM a""")
+def stale_rejection(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", (F.lit(0) - (F.col("event_id") % 700 - 50)).alias("captured_at_ns"), F.lit(None).cast("string").alias("reason"), F.lit(True).alias("valid"))
+    return W.stale_to_invalid(rows, F.lit(0), 500).select("event_id", "valid", "reason")
+
+
