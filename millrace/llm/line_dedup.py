@@ -9,8 +9,8 @@ A template recurs when at least `min_documents` independent documents hold it. A
 none of its four shingle min-hashes is shared with another document, so copies of one text neither
 vote nor lose their text to each other: near-duplicate removal is another operator's task.
 
-Scale: min-hashes and line keys travel as packed or narrow rows; lines of leaves that do not recur are never
-sent. The texts are shuffled once, to meet their drop lists.
+Scale: min-hashes and line keys travel packed; lines of leaves that do not recur are kept back by a bit filter of
+fixed size. The texts are shuffled once, to meet their drop lists.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, partitions, table
-from .textops import U64, Words, buffers, mix, slices
+from .textops import U64, Words, buffers, slices
 
 DEPTH = 3
 MIN_TOKENS = 4
@@ -34,65 +34,102 @@ FIELD = "<*>"
 _DIGIT = re.compile(r"\d")
 
 
-def masked(line: str) -> list[str]:
-    return [FIELD if _DIGIT.search(t) else t for t in line.split()]
+def leaf_of(tokens: list[str], depth: int = DEPTH) -> int:
+    """Leaf of a line: token count and leading tokens, a token with a digit being a variable field."""
+    return xxhash.xxh64_intdigest(f"{len(tokens)}\x1f" + "\x1f".join([FIELD if _DIGIT.search(t) else t for t in tokens[:depth]])) - (1 << 63)
 
 
-def leaf_of(tokens: list[str], depth: int = DEPTH) -> int:
-    return xxhash.xxh64_intdigest(f"{len(tokens)}\x1f" + "\x1f".join(tokens[:depth])) - (1 << 63)
+LOW, LEAF = 0, 1
+FILTER_BITS = 1 << 20
+
+
+def _leaves(text: str, depth: int, min_tokens: int) -> Iterator[tuple[int, int, list[str]]]:
+    """(line number, leaf, unmasked tokens) of the lines that take part."""
+    for i, line in enumerate(text.split("\n")):
+        tokens = line.split()
+        if len(tokens) >= min_tokens:
+            yield i, leaf_of(tokens, depth), tokens
+
 
+def votes_and_copies(texts: DataFrame, depth: int, min_tokens: int, min_documents: int, k: int = 5, hashes: int = 4) -> DataFrame:
+    """texts (key, text) -> kind, value, key. LOW: a document that shares a min-hash with another; LEAF: a leaf held by
+    at least `min_documents` documents, and one of them. One scan; values travel packed by bucket."""
+    n_buckets = partitions(texts.sparkSession)
 
-def independent(texts: DataFrame, k: int = 5, hashes: int = 4) -> DataFrame:
-    """texts (key, text) -> keys of documents that share a min-hash with another one."""
-    n_buckets = 2 * partitions(texts.sparkSession)
+    def packed(kind: int, value: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+        bucket = (value >> U64(8)) % U64(n_buckets)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1, dtype=U64))
+        rows = [(2 * int(b) + kind, value[o].tobytes(), key[o].tobytes()) for b in np.flatnonzero(np.diff(cuts)) for o in [order[cuts[b] : cuts[b + 1]]]]
+        cols = list(zip(*rows, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["bucket", "value", "key"])
 
     def post(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
-            data, offsets = buffers(batch.column(1))
+            column = batch.column(1)
+            data, offsets = buffers(column)
             for lo, hi in slices(offsets):
                 h, d = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]).shingles(k)
-                if not len(h):
-                    continue
-                begin = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-                lows = [np.minimum.reduceat(mix(h + U64(j)), begin) ^ U64(j << 60) for j in range(hashes)]
-                low, key = np.concatenate(lows), np.tile(keys[lo + d[begin]], hashes)
-                bucket = (low >> U64(8)) % U64(n_buckets)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1, dtype=U64))
-                rows = [(int(b), low[o].tobytes(), key[o].tobytes()) for b in np.flatnonzero(np.diff(cuts)) for o in [order[cuts[b] : cuts[b + 1]]]]
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["bucket", "low", "keys"])
+                if len(h):
+                    begin = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+                    lows = [np.minimum.reduceat(h * U64(2 * j + 1) ^ (h >> U64(17 + j)), begin) * U64(0x9E3779B97F4A7C15) + U64(j) for j in range(hashes)]
+                    yield packed(LOW, np.concatenate(lows), np.tile(keys[lo + d[begin]], hashes))
+                leaf, owner = [], []
+                for key, text in zip(keys[lo:hi].tolist(), column.slice(lo, hi - lo).to_pylist(), strict=True):
+                    found = {x for _, x, _ in _leaves(text or "", depth, min_tokens)}
+                    leaf += found
+                    owner += [key] * len(found)
+                if leaf:
+                    yield packed(LEAF, np.array(leaf, np.int64).view(U64), np.array(owner, np.int64))
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low, key = [], []
+        values: list[list[np.ndarray]] = [[], []]
+        keys: list[list[np.ndarray]] = [[], []]
         for batch in batches:
-            low += [np.frombuffer(x, U64) for x in batch.column(1).to_pylist()]
-            key += [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
-        if low:
-            low, key = np.concatenate(low), np.concatenate(key)
-            _, inverse, counts = np.unique(low, return_inverse=True, return_counts=True)
-            shared = np.unique(key[counts[inverse] > 1])
-            for at in range(0, len(shared), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(shared[at : at + 100_000])], names=["key"])
-
-    posted = texts.select("key", "text").mapInArrow(post, "bucket int, low binary, keys binary")
-    return posted.repartition(partitions(texts.sparkSession), "bucket").mapInArrow(meet, "key long")
-
-
-def lines_of(texts: DataFrame, depth: int, min_tokens: int) -> DataFrame:
-    """texts (key, doc_id, text) -> key, doc_id, line, leaf, tokens."""
+            for bucket, value, key in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                values[bucket % 2].append(np.frombuffer(value, U64))
+                keys[bucket % 2].append(np.frombuffer(key, np.int64))
+        for kind, least in ((LOW, 2), (LEAF, min_documents)):
+            if not values[kind]:
+                continue
+            value, key = np.concatenate(values[kind]), np.concatenate(keys[kind])
+            _, inverse, counts = np.unique(value, return_inverse=True, return_counts=True)
+            keep = counts[inverse] >= least
+            value, key = value[keep], key[keep]
+            if kind == LOW:
+                key = np.unique(key)
+                value = np.zeros(len(key), U64)
+            for at in range(0, len(key), 100_000):
+                part = slice(at, at + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[part]), kind, np.int32)), pa.array(value[part].view(np.int64)), pa.array(key[part])], names=["kind", "value", "key"])
+
+    posted = texts.select("key", "text").mapInArrow(post, "bucket int, value binary, key binary")
+    return posted.repartition(n_buckets, "bucket").mapInArrow(meet, "kind int, value long, key long")
+
+
+def lines_of(texts: DataFrame, leaves: DataFrame, depth: int, min_tokens: int) -> DataFrame:
+    """texts (key, doc_id, text) -> key, doc_id, line, leaf, masked tokens of the lines whose leaf is among leaves (leaf).
+
+    A bit filter of fixed size, folded natively, keeps most other lines from being sent; the join decides.
+    """
+    bit = F.col("leaf").bitwiseAND(F.lit(FILTER_BITS - 1))
+    words = leaves.select(bit.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("bits")).collect()
+    filter_ = np.zeros(FILTER_BITS // 64, np.int64)
+    for r in words:  # at most FILTER_BITS / 64 rows
+        filter_[r.w] = r.bits
+    shipped = texts.sparkSession.sparkContext.broadcast(filter_)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(shipped.value.view(np.uint8), bitorder="little").view(bool)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 rows = []
                 for key, doc_id, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                    for i, line in enumerate((text or "").split("\n")):
-                        tokens = masked(line)
-                        if len(tokens) >= min_tokens:
-                            rows.append((key, doc_id, i, leaf_of(tokens, depth), tokens))
+                    for i, leaf, tokens in _leaves(text or "", depth, min_tokens):
+                        if bits[leaf & (FILTER_BITS - 1)]:
+                            rows.append((key, doc_id, i, leaf, [FIELD if _DIGIT.search(t) else t for t in tokens]))
                 if rows:
                     cols = list(zip(*rows, strict=True))
                     types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string())]
@@ -103,14 +140,11 @@ def lines_of(texts: DataFrame, depth: int, min_tokens: int) -> DataFrame:
 
 def dropped_lines(texts: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_documents: int = MIN_DOCUMENTS, agree: float = 0.8) -> DataFrame:
     """texts (key, doc_id, text) -> key, line numbers to drop."""
-    copies = independent(texts).distinct()
-    lines = lines_of(texts, depth, min_tokens)
-    seen = lines.select("leaf", "key").groupBy("leaf", "key").agg(F.lit(1).alias("one"))
-    often = seen.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_documents).select("leaf")
-    held = cut(lines.join(often, "leaf"))
-    voters = held.join(copies, "key", "left_anti")
-    votes = voters.select("leaf", "key").distinct().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_documents).select("leaf")
-    held = cut(held.join(votes, "leaf"))
+    found = cut(votes_and_copies(texts, depth, min_tokens, min_documents))
+    copies = cut(found.where(F.col("kind") == LOW).select("key").distinct())
+    heard = found.where(F.col("kind") == LEAF).select(F.col("value").alias("leaf"), "key").join(copies, "key", "left_anti")
+    leaves = cut(heard.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_documents).select("leaf"))
+    held = cut(lines_of(texts, leaves, depth, min_tokens).join(leaves, "leaf"))
     voters = held.join(copies, "key", "left_anti")
     spots = voters.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count("*").alias("n"))
     mode = spots.groupBy("leaf", "at").agg(F.sum("n").alias("all"), F.max(F.struct("n", "token")).alias("top"))
