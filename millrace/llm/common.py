@@ -2,38 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import gc
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources.storage import cut, fresh_path, shared_dir, table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["cut", "fresh_path", "partitions", "release", "remainder", "rows_with", "shared_dir", "table"]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given.rstrip("/")
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder, so that a lost executor never recomputes what lies above."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:
@@ -43,3 +25,8 @@ def partitions(spark: SparkSession) -> int:
 def remainder(doc_id, m: int):
     """crc32(doc_id as text) mod m, as the split of labelled rows is defined; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(m)
+
+
+def rows_with(df: DataFrame, extra: str) -> str:
+    """Schema text of df's columns and one more."""
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), extra])

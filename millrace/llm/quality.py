@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remainder, table
+from .common import remainder, rows_with, table
 from .textops import U64, Words, buffers, mix, rolling, slices, span_hash
 
 THRESHOLD = 0.3
@@ -68,7 +68,7 @@ def features(data: np.ndarray, offsets: np.ndarray, s: Settings) -> tuple[np.nda
 def sparse_rows(batch_column, s: Settings) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(row, buckets, counts) of each text."""
     data, offsets = buffers(batch_column)
-    for lo, hi in slices(offsets, 1 << 21):
+    for lo, hi in slices(offsets, 1 << 18):
         part = data[offsets[lo] : offsets[hi]]
         b, d = features(part, offsets[lo : hi + 1] - offsets[lo], s)
         key, counts = np.unique(d.astype(np.int64) * s.buckets + b, return_counts=True)
@@ -160,7 +160,8 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
 
 
 def score(docs: DataFrame, model: Model, s: Settings = Settings()) -> DataFrame:
-    """docs plus a double column `score` in (0, 1); a null or empty text scores by the intercept alone."""
+    """docs plus a double column `score` in (0, 1), in place of one that is there; a null or empty text scores by the intercept alone."""
+    docs = docs.drop("score")
     weights, bias = model.folded()
     shipped = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float64), bias))
 
@@ -169,15 +170,14 @@ def score(docs: DataFrame, model: Model, s: Settings = Settings()) -> DataFrame:
         for batch in batches:
             data, offsets = buffers(batch.column(batch.schema.get_field_index("text")))
             out = np.empty(batch.num_rows)
-            for lo, hi in slices(offsets, 1 << 21):
+            for lo, hi in slices(offsets, 1 << 19):
                 bucket, doc = features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], s)
                 n = np.bincount(doc, minlength=hi - lo)
                 total = np.bincount(doc, weights=w[bucket], minlength=hi - lo)
                 out[lo:hi] = 1 / (1 + np.exp(-np.clip(total / np.maximum(n, 1) + b, -500, 500)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "score"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{kinds}, score double")
+    return docs.mapInArrow(run, rows_with(docs, "score double"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

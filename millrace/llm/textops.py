@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_SPLIT_BYTES = 1 << 22
+_SPLIT_BYTES = 1 << 21
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, remainder, table
+from .common import cut, remainder, rows_with, table
 from .quality import labelled_sample
 from .textops import buffers, slices
 
@@ -80,7 +80,7 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
         total = np.zeros(SYMBOLS**4, np.int64)
         for batch in batches:
             data, offsets = buffers(batch.column(0))
-            for lo, hi in slices(offsets, 1 << 21):
+            for lo, hi in slices(offsets, 1 << 20):
                 part = data[offsets[lo] : offsets[hi]]
                 s = _SYMBOL[part[(part & 0xC0) != 0x80]].astype(np.int32)
                 s = np.concatenate([np.zeros(3, np.int32), s, np.zeros(1, np.int32)])
@@ -295,7 +295,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, label: np.ndarray, steps: int = 3000
 
 
 def score(docs: DataFrame, model: Model, s: Settings = Settings()) -> DataFrame:
-    """docs plus a double column `score` in (0, 1); a null or empty text has no evidence."""
+    """docs plus a double column `score` in (0, 1), in place of one that is there; a null or empty text has no evidence."""
+    docs = docs.drop("score")
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,8 +312,7 @@ def score(docs: DataFrame, model: Model, s: Settings = Settings()) -> DataFrame:
                     out.append(1 / (1 + math.exp(-max(-500.0, min(500.0, a + b * x + c * y)))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "score"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{kinds}, score double")
+    return docs.mapInArrow(run, rows_with(docs, "score double"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
