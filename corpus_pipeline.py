@@ -17,8 +17,9 @@ from millrace.llm.common import fresh_path, release, table
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores under its threshold go."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score(docs.drop("score"), model) if "score" in docs.columns else quality.score(docs, model)
-    return scored.where(F.col("score") >= quality.THRESHOLD).select(*[c for c in docs.columns if c != "score"])
+    held = docs.withColumnRenamed("score", "__score")  # a column of that name is not the classifier's
+    scored = quality.score(held, model).where(F.col("score") >= quality.THRESHOLD).drop("score")
+    return scored.withColumnRenamed("__score", "score").select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
