@@ -15,8 +15,9 @@ from millrace.functions import hashing as H
 from millrace.functions import text as X
 from millrace.functions import vectors as V
 from millrace.operators import audit, dedup, graph, metrics, sampling
+from millrace.plans import builders
 from millrace.sources.storage import cut, table
-from millrace.sources.tables import LABELS
+from millrace.sources.tables import LABELS, merge_reports
 from millrace.streaming import windows as W
 
 TARGETS = 5
@@ -543,8 +544,6 @@ def anti_join_frozen(spark, sf_dir):
 
 @query("""WITH n AS (SELECT doc_id AS id, source AS v FROM documents WHERE doc_id % 2 = 0), p AS (SELECT doc_id AS id, lang AS v FROM documents WHERE doc_id % 3 = 0) SELECT id, v FROM n UNION ALL SELECT id, v FROM p WHERE id NOT IN (SELECT id FROM n)""")
 def report_merge(spark, sf_dir):
-    from millrace.sources.tables import merge_reports
-
     d = table(spark, sf_dir, "documents")
     return merge_reports(d.where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.col("lang").alias("v")), d.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.col("source").alias("v")), "id")
 
@@ -666,3 +665,48 @@ def stale_rejection(spark, sf_dir):
     return W.stale_to_invalid(rows, F.lit(0), 500).select("event_id", "valid", "reason")
 
 
+
+
+# ---------------------------------------------------------------- builders
+
+
+@query("""WITH d AS (SELECT doc_id AS id, lang AS label, sha256(CASE WHEN doc_id % 40 = 1 THEN 'one content' ELSE text END) AS sha, CASE WHEN doc_id % 31 = 0 THEN 'rejected_decode_error' WHEN n_chars < 200 THEN 'rejected_below_minimum' ELSE 'candidate' END AS s FROM documents),
+g AS (SELECT sha, count(DISTINCT label) AS labels, min((label, id)) FILTER (s = 'candidate') AS keeper FROM d WHERE s <> 'rejected_decode_error' GROUP BY 1 HAVING count(*) > 1)
+SELECT id, CASE WHEN s = 'rejected_decode_error' OR g.sha IS NULL THEN s WHEN labels > 1 THEN 'rejected_cross_label_exact' WHEN s = 'candidate' AND (label, id) <> keeper THEN 'rejected_redundant_exact' ELSE s END AS status FROM d LEFT JOIN g USING (sha)""")
+def intake_status(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    size = F.when(F.col("doc_id") % 31 != 0, F.col("n_chars"))
+    h = H.simhash(d, "doc_id", "text").select("doc_id", "simhash")
+    content = F.when(F.col("doc_id") % 40 == 1, "one content").otherwise(F.col("text"))
+    rows = d.join(h, "doc_id").select(F.col("doc_id").alias("id"), F.col("lang").alias("label"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), size.alias("width"), size.alias("height"), F.sha2(content, 256).alias("sha"), F.col("simhash").alias("phash"))
+    return builders.process_intake(rows, min_side=200).select("id", "status")
+
+
+@query("""WITH b AS (SELECT user_id AS burst, min(event_id) AS lo, max(event_id) AS hi FROM events WHERE event_type = 'click' GROUP BY 1) SELECT user_id AS burst, event_id AS "at" FROM events JOIN b ON burst = user_id WHERE event_id BETWEEN lo AND hi""")
+def burst_range(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("burst"), F.col("event_id").alias("at"), "event_type")
+    return builders.burst_rows(e.drop("event_type"), e.where("event_type = 'click'").select("burst", "at"))
+
+
+@query("""WITH v AS (SELECT doc_id AS arrival, sha256(text) AS s, sha256(source || (n_chars // 50)) AS w FROM documents), b AS (SELECT s AS sha FROM v WHERE arrival % 9 = 0),
+o AS (SELECT * FROM v WHERE arrival % 9 <> 0 AND s NOT IN (SELECT sha FROM b)), f AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY arrival) AS k FROM o), u AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY arrival) AS j FROM f WHERE k = 1) SELECT arrival FROM u WHERE j = 1""")
+def view_hash_dedup(spark, sf_dir):
+    v = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("arrival"), F.sha2("text", 256).alias("source_sha"), F.sha2(F.concat("source", F.floor(F.col("n_chars") / 50).cast("string")), 256).alias("view_sha"))
+    return builders.view_survivors(v.where("arrival % 9 <> 0"), v.where("arrival % 9 = 0").select(F.col("source_sha").alias("sha"))).select("arrival")
+
+
+@query("SELECT doc_id, CASE quality WHEN 1 THEN 'accepted' WHEN 0 THEN 'rejected' ELSE '' END AS decision, CASE WHEN quality IS NULL THEN '' ELSE 'r1' END AS reviewer FROM (SELECT doc_id FROM documents) LEFT JOIN labels USING (doc_id)")
+def review_upsert(spark, sf_dir):
+    prior = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "accepted").otherwise("rejected").alias("decision"), F.lit("r1").alias("reviewer"))
+    return builders.upsert_decisions(table(spark, sf_dir, "documents").select("doc_id"), prior, "doc_id", ["decision", "reviewer"])
+
+
+@query("SELECT lang, count(*)::BIGINT AS images, sum(doc_id % 4)::BIGINT AS boxes, count(*) FILTER (doc_id % 4 > 1)::BIGINT AS multi_box, count(*) FILTER (doc_id % 4 = 0)::BIGINT AS without FROM documents GROUP BY 1")
+def detector_box_counts(spark, sf_dir):
+    return builders.box_counts(table(spark, sf_dir, "documents").select("lang", (F.col("doc_id") % 4).alias("box_count")), ["lang"])
+
+
+@query("SELECT sha256(text) AS sha256, count(*)::BIGINT AS copies, min(n_chars)::BIGINT AS length, ((count(*) - 1) * min(n_chars))::BIGINT AS wasted, string_agg(doc_id::VARCHAR, '|' ORDER BY doc_id::VARCHAR) AS paths FROM documents GROUP BY 1 HAVING count(*) > 1")
+def same_content_files(spark, sf_dir):
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("sha256"), F.col("n_chars").alias("length"))
+    return builders.same_content_groups(files).select("sha256", "copies", "length", "wasted", F.array_join("paths", "|").alias("paths"))
