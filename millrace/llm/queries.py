@@ -17,4 +17,10 @@ QUERIES = {
     "op10_token_output": token_output.op10_token_output,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op1_ngram_jaccard": r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+t AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s), p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM t a JOIN t b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+e0 AS (SELECT a, b FROM p WHERE 100 * c >= 75 * (na + nb - c)), e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0), cc AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT cc.a, e.b FROM cc JOIN e ON cc.b = e.a),
+k AS (SELECT a, min(b) AS root FROM cc GROUP BY 1) SELECT doc_id, len(s)::BIGINT AS n_shingles, root AS component_id FROM s JOIN k ON k.a = s.doc_id""",
+}
