@@ -192,9 +192,10 @@ class Evidence:
             self.cache[word] = got
         return got
 
-    def summary(self, words: set[str]) -> tuple[float, float]:
-        strong = sorted((e for e in map(self.of, words) if e >= self.s.min_evidence), reverse=True)
-        return (strong[0] if strong else 0.0), math.log1p(len(strong))
+    def summary(self, words: set[str]) -> tuple[float, float, float, float]:
+        """The three strongest evidences, and the log of the number of words (more words, more chance hits)."""
+        strong = sorted((e for e in map(self.of, words) if e >= self.s.min_evidence), reverse=True)[:3]
+        return (*strong, *[0.0] * (3 - len(strong)), math.log1p(len(words)))
 
 
 def _features(words: set[str], s: Settings) -> list[str]:
@@ -205,7 +206,7 @@ def _features(words: set[str], s: Settings) -> list[str]:
 class Model:
     language: np.ndarray
     weights: dict[str, float]
-    coefficients: tuple[float, float, float]  # intercept, strongest evidence, log count
+    coefficients: tuple[float, ...]  # intercept, three strongest evidences, log number of words
 
 
 def held_out(doc_id):
@@ -223,8 +224,10 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     n1, n0 = size.get(1, 0), size.get(0, 0)
     if not n1 or not n0:
         prior = math.log((n1 + 0.5) / (n0 + 0.5)) if n1 + n0 else 0.0
-        return Model(language, {}, (prior, 0.0, 0.0))
+        return Model(language, {}, (prior, 0.0, 0.0, 0.0, 0.0))
     shipped = docs.sparkSession.sparkContext.broadcast(language)
+    known_rows = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
+    prior = known_rows.agg(F.avg("toxic")).first()[0]
 
     def explode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(shipped.value)
@@ -277,20 +280,22 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
         restorer, evidence = Restorer(shipped.value), Evidence(known.value, s)
         for batch in batches:
             found = [evidence.summary(restorer.words(t or "")) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([x for x, _ in found], pa.float64()), pa.array([y for _, y in found], pa.float64())], names=["label", "x", "y"])
+            columns = zip(*found, strict=True) if found else [[]] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(c, pa.float64()) for c in columns)], names=["label", "a", "b", "c", "n"])
 
-    got = sample.mapInArrow(measure, "label int, x double, y double").toArrow().sort_by([("label", "ascending"), ("x", "ascending"), ("y", "ascending")])
-    return Model(language, weights, _logistic(got.column("x").to_numpy(), got.column("y").to_numpy(), got.column("label").to_numpy()))
+    got = sample.mapInArrow(measure, "label int, a double, b double, c double, n double").toArrow().sort_by([(x, "ascending") for x in ("label", "a", "b", "c", "n")])
+    return Model(language, weights, _logistic(np.stack([got.column(x).to_numpy() for x in ("a", "b", "c", "n")], 1), got.column("label").to_numpy(), prior))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, label: np.ndarray, steps: int = 3000) -> tuple[float, float, float]:
-    """Ridge logistic regression by gradient descent; both classes weigh the same."""
-    m = np.stack([np.ones_like(x), x, y], 1)
-    w = np.where(label == 1, 0.5 / max(1, (label == 1).sum()), 0.5 / max(1, (label == 0).sum()))
-    beta = np.array([-2.0, 0.5, 0.5])
+def _logistic(x: np.ndarray, label: np.ndarray, prior: float, ridge: float = 0.5, steps: int = 40) -> tuple[float, ...]:
+    """Ridge logistic regression by Newton steps; the classes weigh as among all labelled rows."""
+    m = np.concatenate([np.ones((len(x), 1)), x], 1)
+    w = np.where(label == 1, prior * len(x) / max(1, (label == 1).sum()), (1 - prior) * len(x) / max(1, (label == 0).sum()))
+    beta, keep = np.zeros(m.shape[1]), np.diag([0.0, *[ridge] * x.shape[1]])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(m @ beta, -30, 30)))
-        beta -= 0.5 * (m.T @ (w * (p - label)) + 1e-3 * np.array([0, 1, 1]) * beta)
+        hessian = (m * (w * p * (1 - p))[:, None]).T @ m + keep + 1e-9 * np.eye(len(beta))
+        beta -= np.linalg.solve(hessian, m.T @ (w * (p - label)) + keep @ beta)
     return tuple(float(b) for b in beta)
 
 
@@ -302,14 +307,14 @@ def score(docs: DataFrame, model: Model, s: Settings = Settings()) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
         restorer, evidence = Restorer(m.language), Evidence(m.weights, s)
-        a, b, c = m.coefficients
+        first, *rest = m.coefficients
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("text"))
             out = []
             for lo in range(0, len(column), 256):
                 for text in column.slice(lo, 256).to_pylist():
-                    x, y = evidence.summary(restorer.words(text or ""))
-                    out.append(1 / (1 + math.exp(-max(-500.0, min(500.0, a + b * x + c * y)))))
+                    z = first + sum(b * x for b, x in zip(rest, evidence.summary(restorer.words(text or "")), strict=True))
+                    out.append(1 / (1 + math.exp(-max(-500.0, min(500.0, z)))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "score"])
 
     return docs.mapInArrow(run, rows_with(docs, "score double"))
