@@ -154,9 +154,10 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
             )
 
     sample = labelled_sample(docs, labels, "quality", held_out, s.sample_per_class).select("doc_id", "text", "label")
-    rows = sample.mapInArrow(sparse, "doc_id long, label int, buckets binary, counts binary").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.label, bytes(r.buckets), bytes(r.counts)))
-    return train([(np.frombuffer(r.buckets, np.uint16), np.frombuffer(r.counts, "<u2").astype(np.float32), r.label) for r in rows], s)
+    got = sample.mapInArrow(sparse, "doc_id long, label int, buckets binary, counts binary").toArrow()
+    rows = sorted(zip(*(got.column(c).to_pylist() for c in ("doc_id", "label", "buckets", "counts")), strict=True))
+    del got
+    return train([(np.frombuffer(b, np.uint16), np.frombuffer(c, "<u2"), label) for _, label, b, c in rows], s)
 
 
 def score(docs: DataFrame, model: Model, s: Settings = Settings()) -> DataFrame:
