@@ -517,24 +517,28 @@ def ordinal_names(spark, sf_dir):
     return sampling.batches(sampling.numbered(rows, "source", "doc_id", F.col("source")), "source", "doc_id", 40).select("doc_id", "name", "batch")
 
 
-@query("""WITH p AS (SELECT doc_id, source, lang, sha256(text) AS sha, n_chars, doc_id % 9 = 0 AS bare FROM documents), z AS (SELECT DISTINCT sha256(text) AS sha FROM documents WHERE doc_id % 4 = 0),
+@query("""WITH p AS (SELECT doc_id, source, lang, sha256(text) AS sha, n_chars, doc_id % 9 = 0 AS bare FROM documents), z AS (SELECT DISTINCT sha256(text) AS sha FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)),
 m AS (SELECT p.*, z.sha IS NOT NULL AS frozen FROM p LEFT JOIN z USING (sha)), f AS (SELECT sha, min((source, doc_id)) AS first FROM m WHERE NOT frozen AND n_chars >= 300 AND NOT bare GROUP BY 1),
 r AS (SELECT m.*, CASE WHEN frozen THEN 'already_in_frozen_split' WHEN (source, doc_id) > first THEN 'duplicate_in_new_pool' WHEN n_chars < 300 THEN 'too_small' WHEN bare THEN 'missing_provenance_or_license' END AS reason FROM m LEFT JOIN f USING (sha)),
 n AS (SELECT *, row_number() OVER (PARTITION BY lang, reason IS NULL ORDER BY source, doc_id) AS k FROM r) SELECT doc_id AS image_id, coalesce(reason, CASE WHEN k > 50 THEN 'over_limit' END) AS reason FROM n""")
 def gap_fill(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     pool = d.select(F.col("doc_id").alias("image_id"), F.col("lang").alias("label"), F.col("source").alias("source_kind"), F.sha2("text", 256).alias("sha"), F.col("n_chars").alias("width"), F.col("n_chars").alias("height"), F.when(F.col("doc_id") % 9 == 0, "").otherwise("cc-by").alias("license"), F.lit("p").alias("provenance"))
-    return dedup.gap_fill(pool, d.where("doc_id % 4 = 0").select(F.sha2("text", 256).alias("sha")), min_side=300, limit=50).select("image_id", "reason")
+    frozen = d.join(table(spark, sf_dir, "labels").where("quality = 0"), "doc_id", "left_semi").select(F.sha2("text", 256).alias("sha"))
+    return dedup.gap_fill(pool, frozen, min_side=300, limit=50).select("image_id", "reason")
 
 
 # ---------------------------------------------------------------- joins
 
 
-@query("""SELECT count(*)::BIGINT AS overlapping, count(DISTINCT lang)::BIGINT AS labels FROM documents WHERE sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 10 = 1) AND doc_id % 10 <> 1""")
+@query("""WITH h AS (SELECT doc_id FROM labels WHERE quality = 0), c AS (SELECT sha256(text) AS sha FROM documents WHERE doc_id IN (SELECT doc_id FROM h))
+SELECT count(*)::BIGINT AS overlapping, count(DISTINCT lang)::BIGINT AS labels FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM h) AND sha256(text) IN (SELECT sha FROM c)""")
 def benchmark_overlap(spark, sf_dir):
-    """Rows outside a held-out tenth whose content stands in it: a non-zero count blocks a build."""
+    """Rows outside the held-out set (here the rejected ones) whose content stands in it: a count over zero blocks a build."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("sha"))
-    return d.where("doc_id % 10 <> 1").join(d.where("doc_id % 10 = 1").select("sha"), "sha", "left_semi").agg(F.count("*").alias("overlapping"), F.countDistinct("lang").alias("labels"))
+    held = table(spark, sf_dir, "labels").where("quality = 0").select("doc_id")
+    inside = d.join(held, "doc_id", "left_semi").select("sha")
+    return d.join(held, "doc_id", "left_anti").join(inside, "sha", "left_semi").agg(F.count("*").alias("overlapping"), F.countDistinct("lang").alias("labels"))
 
 
 @query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
@@ -542,10 +546,12 @@ def anti_join_frozen(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels").where("quality = 0").select("doc_id"), "doc_id", "left_anti")
 
 
-@query("""WITH n AS (SELECT doc_id AS id, source AS v FROM documents WHERE doc_id % 2 = 0), p AS (SELECT doc_id AS id, lang AS v FROM documents WHERE doc_id % 3 = 0) SELECT id, v FROM n UNION ALL SELECT id, v FROM p WHERE id NOT IN (SELECT id FROM n)""")
+@query("""SELECT doc_id AS id, lang AS v FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'quality ' || quality FROM labels""")
 def report_merge(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return merge_reports(d.where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.col("lang").alias("v")), d.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.col("source").alias("v")), "id")
+    """Entries of the labels replace those of the documents with the same id."""
+    prior = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("v"))
+    new = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("v"))
+    return merge_reports(prior, new, "id")
 
 
 # ---------------------------------------------------------------- boxes
@@ -688,11 +694,12 @@ def burst_range(spark, sf_dir):
     return builders.burst_rows(e.drop("event_type"), e.where("event_type = 'click'").select("burst", "at"))
 
 
-@query("""WITH v AS (SELECT doc_id AS arrival, sha256(text) AS s, sha256(source || (n_chars // 50)) AS w FROM documents), b AS (SELECT s AS sha FROM v WHERE arrival % 9 = 0),
-o AS (SELECT * FROM v WHERE arrival % 9 <> 0 AND s NOT IN (SELECT sha FROM b)), f AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY arrival) AS k FROM o), u AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY arrival) AS j FROM f WHERE k = 1) SELECT arrival FROM u WHERE j = 1""")
+@query("""WITH v AS (SELECT doc_id AS arrival, sha256(text) AS s, sha256(source || (n_chars // 50)) AS w FROM documents), b AS (SELECT s AS sha FROM v WHERE arrival IN (SELECT doc_id FROM labels)),
+o AS (SELECT * FROM v WHERE arrival NOT IN (SELECT doc_id FROM labels) AND s NOT IN (SELECT sha FROM b)), f AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY arrival) AS k FROM o), u AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY arrival) AS j FROM f WHERE k = 1) SELECT arrival FROM u WHERE j = 1""")
 def view_hash_dedup(spark, sf_dir):
     v = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("arrival"), F.sha2("text", 256).alias("source_sha"), F.sha2(F.concat("source", F.floor(F.col("n_chars") / 50).cast("string")), 256).alias("view_sha"))
-    return builders.view_survivors(v.where("arrival % 9 <> 0"), v.where("arrival % 9 = 0").select(F.col("source_sha").alias("sha"))).select("arrival")
+    base = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("arrival"))
+    return builders.view_survivors(v.join(base, "arrival", "left_anti"), v.join(base, "arrival", "left_semi").select(F.col("source_sha").alias("sha"))).select("arrival")
 
 
 @query("SELECT doc_id, CASE quality WHEN 1 THEN 'accepted' WHEN 0 THEN 'rejected' ELSE '' END AS decision, CASE WHEN quality IS NULL THEN '' ELSE 'r1' END AS reviewer FROM (SELECT doc_id FROM documents) LEFT JOIN labels USING (doc_id)")
