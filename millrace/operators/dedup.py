@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,28 +37,30 @@ def exact_duplicates(rows: DataFrame, digest: str, id_col: str, label_col: str)
     return per.where("members > 1").select(F.concat(F.lit("exact-"), F.substring(digest, 1, 12)).alias("cluster"), digest, "members", "keeper", "labels", (F.size("labels") > 1).alias("cross_label"))
 
 
-def near_pairs(rows: DataFrame, id_col: str, hash_col: str, threshold: int = 4, within: str | None = None) -> DataFrame:
+def near_pairs(rows: DataFrame, id_col: str, hash_col: str, threshold: int = 4, within: str | None = None, agree: int = 2) -> DataFrame:
     """Pairs (a, b, distance) of representatives of different hashes within `threshold` bits.
 
     Rows with equal hashes are one class, spoken for by its smallest id (see near_clusters for membership). The 64
-    bits are cut into threshold + 1 bands; hashes within the threshold agree on one of them, so an
-    equi-join on (band, bits) loses nothing. A pair is kept at the first band it agrees on.
+    bits are cut into threshold + agree blocks; hashes within the threshold agree on at least `agree` of them, so an
+    equi-join on (choice of blocks, bits) loses nothing. With two blocks of six a key has 21 bits, so unrelated
+    hashes seldom meet; larger tables take a larger `agree`. A pair is kept at the first choice it agrees on.
     """
     scope = [within] if within else []
     reps = rows.groupBy(*scope, hash_col).agg(F.min(id_col).alias("id"))
     hi, lo = halves(F.col(hash_col))
     reps = reps.select(*scope, "id", F.col(hash_col).alias("h"), hi.alias("hi"), lo.alias("lo"))
-    bands = threshold + 1
-    edges = [round(i * 64 / bands) for i in range(bands + 1)]
+    blocks = threshold + agree
+    edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
+    choices = list(combinations(range(blocks), agree))
     bits = F.concat(F.lpad(F.conv("hi", 10, 2), 32, "0"), F.lpad(F.conv("lo", 10, 2), 32, "0"))
-    cuts = F.array(*[F.substring(bits, a + 1, b - a) for a, b in zip(edges, edges[1:], strict=False)])
+    cuts = F.array(*[F.concat(*[F.substring(bits, edges[i] + 1, edges[i + 1] - edges[i]) for i in c]) for c in choices])
     keyed = reps.select(*scope, "id", "h", cuts.alias("cuts"))
     posted = keyed.select(*scope, "id", "h", "cuts", F.posexplode("cuts").alias("band", "bits"))
     left, right = posted.alias("l"), posted.alias("r")
     same = (F.col("l.band") == F.col("r.band")) & (F.col("l.bits") == F.col("r.bits")) & (F.col("l.id") < F.col("r.id"))
     for s in scope:
         same &= F.col(f"l.{s}") == F.col(f"r.{s}")
-    first = F.forall(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: (i >= F.col("l.band")) | (F.get(F.col("l.cuts"), i) != F.get(F.col("r.cuts"), i)))
+    first = F.forall(F.sequence(F.lit(0), F.lit(len(choices) - 1)), lambda i: (i >= F.col("l.band")) | (F.get(F.col("l.cuts"), i) != F.get(F.col("r.cuts"), i)))
     pairs = left.join(right, same).where(first)
     return pairs.select(*[F.col(f"l.{s}").alias(s) for s in scope], F.col("l.id").alias("a"), F.col("r.id").alias("b"), hamming(F.col("l.h"), F.col("r.h")).alias("distance")).where(F.col("distance") <= threshold)
 
