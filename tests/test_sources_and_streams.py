@@ -97,6 +97,40 @@ def test_remote(spark):
     assert remote.batched_lookup(list("abcde"), 2, lambda k: dict.fromkeys(k, len(k))) == {"a": 2, "b": 2, "c": 2, "d": 2, "e": 1}
 
 
+class Camera:
+    frames, opened = [b"a", b"b", None, b"c"], 0
+
+    def __init__(self):
+        Camera.opened += 1
+
+    def read(self):
+        return Camera.frames.pop(0) if Camera.frames else None
+
+    def release(self): ...
+
+
+def test_frame_reader_reconnects():
+    """Ids go on after a failed read; what was read stays replayable until the next batch."""
+    r = remote.FrameReader({"capture": "tests.test_sources_and_streams:Camera", "perbatch": "3"})
+    rows, at = r.read(r.initialOffset())
+    first = list(rows)
+    assert [x[0] for x in first] == [0, 1] and at == {"frame": 2} and r.capture is None
+    assert list(r.readBetweenOffsets({"frame": 0}, at)) == first
+    rows, at = r.read(at)
+    assert [(x[0], x[2]) for x in rows] == [(2, b"c")] and at == {"frame": 3}
+
+
+def test_exactly_once_stream(spark, tmp_path):
+    rows = [(i // 2, f"2026-01-01 00:00:{i:02d}") for i in range(20)]
+    for b in range(2):
+        spark.createDataFrame(rows[b * 9 : b * 9 + 11], "event_id long, t string").select("event_id", F.col("t").cast("timestamp").alias("ts")).coalesce(1).write.parquet(str(tmp_path / f"e{b}"))
+    s = spark.readStream.schema("event_id long, ts timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path))
+    q = windows.exactly_once(s, "event_id", "ts", "1 hour").writeStream.format("memory").queryName("once").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = [r.event_id for r in spark.table("once").collect()]
+    assert sorted(got) == list(range(10))
+
+
 EVENTS = [(i, i * 10, i % 3, i % 7 != 3, float(i)) for i in range(60)]
 SCHEMA = "event_id long, at long, k long, valid boolean, value double"
 
