@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, table
+from .common import cut, dealt, partitions, release, table
 from .suffix import permuted_common_prefixes, suffix_array
 from .textops import U64, buffers, mix, powers, rolling, slices
 
@@ -101,7 +101,7 @@ FULL, CHECK, BOTH, HOT, HOT_BOTH = 1, 2, 3, 4, 5
 
 def decisions(texts: DataFrame, length: int, gram: int, max_contexts: int) -> DataFrame:
     """texts (key, text) -> key, first, size, anchor, state of every run whose anchor occurs more than once."""
-    n_buckets = 2 * partitions(texts.sparkSession)
+    n_buckets = partitions(texts.sparkSession)
 
     def post(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,7 +151,7 @@ def decisions(texts: DataFrame, length: int, gram: int, max_contexts: int) -> Da
             yield pa.RecordBatch.from_arrays([pa.array(key[k]), pa.array(first[k].astype(np.int64)), pa.array(size[k].astype(np.int32)), pa.array(anchor[k].view(np.int64)), pa.array(state[k].astype(np.int32))], names=["key", "first", "size", "anchor", "state"])
 
     posted = texts.select("key", "text").mapInArrow(post, "bucket int, anchor binary, context binary, key binary, first binary, size binary")
-    return posted.repartition(partitions(texts.sparkSession), "bucket").mapInArrow(decide, "key long, first long, size int, anchor long, state int")
+    return dealt(posted).mapInArrow(decide, "key long, first long, size int, anchor long, state int")
 
 
 def shard_marks(contexts: DataFrame, length: int, shard_bytes: int) -> DataFrame:
@@ -166,15 +166,18 @@ def shard_marks(contexts: DataFrame, length: int, shard_bytes: int) -> DataFrame
                 return None
             data = np.frombuffer(b"\xff".join(h[2] for h in held), np.uint8)  # no UTF-8 text holds this byte
             sa = suffix_array(data)
-            phi, plcp = permuted_common_prefixes(data, sa, length)
+            sizes = np.array([len(h[2]) for h in held])
+            begins = np.concatenate([[0], np.cumsum(sizes + 1)])
+            window = np.zeros(begins[-1] + 1, np.int8)  # 1 where a whole window starts; others reach over a separator
+            window[begins[:-1]] += 1
+            window[begins[:-1] + np.maximum(sizes - length + 1, 0)] -= 1
+            window = np.cumsum(window, dtype=np.int8)[: len(data)] > 0
+            phi, plcp = permuted_common_prefixes(data, sa, length, window)
             hit = plcp >= length
             hit[phi[hit]] = True
             at = np.flatnonzero(hit)
-            begins = np.concatenate([[0], np.cumsum([len(h[2]) + 1 for h in held])])
             which = np.searchsorted(begins, at, side="right") - 1
             starts = at - begins[which]
-            inside = starts + length <= np.array([len(h[2]) for h in held])[which]  # others reach over a separator
-            at, which, starts = at[inside], which[inside], starts[inside]
             edge = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(which) != 0)])) if len(at) else np.zeros(0, int)
             ends = np.append(edge[1:], len(at)) - 1 if len(at) else edge
             if not len(edge):
@@ -202,7 +205,7 @@ def shard_marks(contexts: DataFrame, length: int, shard_bytes: int) -> DataFrame
 
 def hash_marks(texts: DataFrame, length: int) -> DataFrame:
     """texts (key, text, runs array<struct<first,size>>) -> key, first, size: starts whose window occurs twice among them."""
-    n_buckets = 2 * partitions(texts.sparkSession)
+    n_buckets = partitions(texts.sparkSession)
 
     def post(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,7 +251,7 @@ def hash_marks(texts: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(key[o]), pa.array(first[o].astype(np.int64)), pa.array(np.zeros(len(o), np.int32))], names=["key", "first", "size"])
 
     posted = texts.select("key", "text", "runs").mapInArrow(post, "bucket int, h binary, key binary, first binary")
-    return posted.repartition(partitions(texts.sparkSession), "bucket").mapInArrow(meet, "key long, first long, size int")
+    return dealt(posted).mapInArrow(meet, "key long, first long, size int")
 
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, max_contexts: int = MAX_CONTEXTS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -268,8 +271,12 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, max
 
     checked = shard_marks(both.select("key", "text", "check").mapInArrow(contexts, "key long, first long, anchor long, context binary"), length, shard_bytes)
     marks = full.unionAll(cut(checked))
+    del checked
+    release(texts.sparkSession)
     if found.where(F.col("state") >= HOT).limit(1).count():
         marks = marks.unionAll(cut(hash_marks(both.where(F.size("hot") > 0).select("key", "text", F.col("hot").alias("runs")), length)))
+    del both
+    release(texts.sparkSession)
     return marks
 
 

@@ -161,14 +161,17 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     return _sort(np.append(data.astype(np.int64) + 1, 0))[1:]
 
 
-def permuted_common_prefixes(data: np.ndarray, sa: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each position: the suffix before it in the array (-1: none), and their common prefix up to limit."""
+def permuted_common_prefixes(data: np.ndarray, sa: np.ndarray, limit: int, where: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each position: the suffix before it in the array (-1: none), and their common prefix up to limit.
+
+    where: a mask of the positions whose prefixes are wanted; the others get 0.
+    """
     n = len(data)
     phi = np.full(n, -1, np.int64)
     phi[sa[1:]] = sa[:-1]
     up, down = _power(n + 1)
     sums = np.concatenate([[U64(0)], np.cumsum(mix(data.astype(U64) + U64(1)) * up[:n], dtype=U64)])
-    at = np.flatnonzero(phi >= 0)
+    at = np.flatnonzero(phi >= 0 if where is None else (phi >= 0) & where)
     a, b = at, phi[at]
     size = np.zeros(len(at), np.int64)
     most = np.minimum(limit, n - np.maximum(a, b))
