@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.sources.storage import cut, fresh_path, shared_dir, table
 
-__all__ = ["cut", "fresh_path", "partitions", "release", "remainder", "rows_with", "shared_dir", "table"]
+__all__ = ["cut", "dealt", "fresh_path", "partitions", "release", "remainder", "rows_with", "shared_dir", "table"]
 
 
 def release(spark: SparkSession) -> None:
@@ -22,6 +22,11 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def dealt(df: DataFrame, part=None) -> DataFrame:
+    """Rows of bucket b in partition b mod n: packed rows spread evenly, which hashing a few numbers would not do."""
+    return df.repartitionById(partitions(df.sparkSession), F.col("bucket") if part is None else part)
+
+
 def remainder(doc_id, m: int):
     """crc32(doc_id as text) mod m, as the split of labelled rows is defined; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(m)
