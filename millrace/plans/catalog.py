@@ -717,3 +717,18 @@ def detector_box_counts(spark, sf_dir):
 def same_content_files(spark, sf_dir):
     files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("sha256"), F.col("n_chars").alias("length"))
     return builders.same_content_groups(files).select("sha256", "copies", "length", "wasted", F.array_join("paths", "|").alias("paths"))
+
+
+@query("""WITH d AS (SELECT doc_id, lang, sha256(text) AS sha, 'https://h.test/' || (doc_id // 3) AS url, CASE doc_id % 4 WHEN 0 THEN 3 WHEN 1 THEN 0 WHEN 2 THEN 2 ELSE 99 END AS prio, CASE WHEN n_chars < 160 THEN 'too_small' END AS r0 FROM documents),
+g AS (SELECT sha, count(*) AS n, count(DISTINCT lang) AS l, min(doc_id) AS k FROM d WHERE r0 IS NULL GROUP BY 1 HAVING count(*) > 1),
+e AS (SELECT d.*, CASE WHEN r0 IS NULL AND g.l > 1 THEN 'exact_label_conflict' WHEN r0 IS NULL AND doc_id <> g.k THEN 'exact_duplicate' ELSE r0 END AS r1 FROM d LEFT JOIN g USING (sha)),
+u AS (SELECT url, count(DISTINCT lang) AS l, arg_min(doc_id, (prio, doc_id)) AS k FROM e WHERE r1 IS NULL GROUP BY 1 HAVING count(*) > 1)
+SELECT doc_id AS image_id, CASE WHEN r1 IS NULL AND u.l > 1 THEN 'url_label_conflict' WHEN r1 IS NULL AND doc_id <> u.k THEN 'url_duplicate' ELSE r1 END AS reason FROM e LEFT JOIN u USING (url)""")
+def candidate_preparation(spark, sf_dir):
+    """The staged decision over all documents; every three neighbours share an address."""
+    d = table(spark, sf_dir, "documents")
+    h = H.simhash(d, "doc_id", "text").select("doc_id", F.col("simhash").alias("perceptual_hash"))
+    i = F.col("doc_id")
+    kind = F.when(i % 4 == 0, "gbif").when(i % 4 == 1, "oxford_iiit_pet").when(i % 4 == 2, "wikimedia_commons").otherwise("other")
+    rows = d.join(h, "doc_id").select(i.alias("image_id"), F.col("lang").alias("label"), kind.alias("source_kind"), F.lit("d").alias("source_dataset"), F.sha2("text", 256).alias("exact_sha256"), "perceptual_hash", F.concat(F.lit("http://H.test/"), F.floor(i / 3).cast("string"), F.lit("?q="), i.cast("string")).alias("original_url"), F.col("n_chars").alias("width"), F.lit(480).cast("long").alias("height"))
+    return dedup.prepare_candidates(rows).select("image_id", "reason")
