@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.graph import connected_components
 
-from .common import cut, partitions, release, table
+from .common import cut, dealt, partitions, release, table
 from .textops import U64, Words, buffers, distinct_per_doc, mix, slices
 
 PERCENT = 75
@@ -181,8 +181,8 @@ def shared_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Data
             i = stay[lo : lo + 2048]
             yield pa.RecordBatch.from_arrays([pa.array(cls[begin[i]].view(np.int64)), pa.array(n[begin[i]]), pa.array([token[a:b].tobytes() for a, b in zip(begin[i], end[i], strict=True)], pa.binary())], names=["cls", "n", "tokens"])
 
-    dealt = docs.select("text").mapInArrow(deal, DEALT).repartition(n_buckets, "bucket").mapInArrow(count, DEALT)
-    return dealt.repartition(n_buckets, "bucket").mapInArrow(gather, "cls long, n long, tokens binary")
+    counted = dealt(docs.select("text").mapInArrow(deal, DEALT)).mapInArrow(count, DEALT)
+    return dealt(counted).mapInArrow(gather, "cls long, n long, tokens binary")
 
 
 def candidate_edges(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -258,7 +258,7 @@ def _meet(posted: DataFrame, percent: int) -> DataFrame:
             for lo in range(0, len(a), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(a[lo : lo + 100_000].view(np.int64)), pa.array(b[lo : lo + 100_000].view(np.int64))], names=["a", "b"])
 
-    return posted.repartition(partitions(posted.sparkSession), "bucket").mapInArrow(meet, "a long, b long")
+    return dealt(posted).mapInArrow(meet, "a long, b long")
 
 
 def list_edges(token: np.ndarray, cls: np.ndarray, n: np.ndarray, rest: np.ndarray, percent: int, small: int = 64) -> tuple[np.ndarray, np.ndarray]:
