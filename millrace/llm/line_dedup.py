@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, table
+from .common import cut, dealt, partitions, table
 from .textops import U64, Words, buffers, slices
 
 DEPTH = 3
@@ -105,7 +105,7 @@ def votes_and_copies(texts: DataFrame, depth: int, min_tokens: int, min_document
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[part]), kind, np.int32)), pa.array(value[part].view(np.int64)), pa.array(key[part])], names=["kind", "value", "key"])
 
     posted = texts.select("key", "text").mapInArrow(post, "bucket int, value binary, key binary")
-    return posted.repartition(n_buckets, "bucket").mapInArrow(meet, "kind int, value long, key long")
+    return dealt(posted, F.shiftright("bucket", 1)).mapInArrow(meet, "kind int, value long, key long")
 
 
 def lines_of(texts: DataFrame, leaves: DataFrame, depth: int, min_tokens: int) -> DataFrame:
