@@ -157,17 +157,48 @@ class Restorer:
             self.cache[span] = result
         return result
 
-    def words(self, text: str) -> set[str]:
-        """Distinct words of the text as written and as restored."""
+    def words(self, text: str, suspicious: bool = True) -> set[str]:
+        """Distinct words of the text as written and, where it may hide some, as restored."""
         low = text.lower()
         found = set(_WORD.findall(low))
-        for m in _SPAN.finditer(low):
+        for m in _SPAN.finditer(low) if suspicious else ():
             restored = self.decode(m[0])
             if restored != m[0]:
                 found.update(_WORD.findall(restored))
         return found
 
 
+_LETTER_BYTE = np.zeros(256, bool)
+_LETTER_BYTE[65:91] = _LETTER_BYTE[97:123] = _LETTER_BYTE[0xC0:] = True
+_SYMBOL_BYTE = np.zeros(256, bool)
+_SYMBOL_BYTE[[ord(c) for c in "0123456789@$!|+(*.-_"]] = True
+_SYMBOL_BYTE[0xC0:] = True
+
+
+def suspicious_texts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """False for texts in which no span can match; a few array passes spare most texts the search.
+
+    A span holds a symbol right before a letter, a letter three times in a row, or four letters with one other
+    character between each two. Characters outside ASCII count as letters and as symbols.
+    """
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    lead = data[at]
+    second = data[np.minimum(at + 1, len(data) - 1)] if len(data) else lead
+    letter, n = _LETTER_BYTE[lead], len(lead)
+    code = np.where(lead >= 0xC0, lead.astype(np.uint16) << 8 | second | 0x20, lead | 0x20)
+    hit = np.zeros(n, bool)
+    if n > 2:
+        last = np.zeros(len(data) + 1, bool)
+        last[offsets] = True
+        hit[:-1] |= ~last[at[1:]] & _SYMBOL_BYTE[lead[:-1]] & letter[1:] & ((lead[:-1] < 0xC0) | (lead[:-1] >= 0xE2))
+        hit[:-2] |= letter[:-2] & (code[:-2] == code[1:-1]) & (code[1:-1] == code[2:])
+    if n > 6:
+        hit[:-6] |= letter[:-6] & ~letter[1:-5] & letter[2:-4] & ~letter[3:-3] & letter[4:-2] & ~letter[5:-1] & letter[6:]
+    out = np.zeros(len(offsets) - 1, bool)
+    out[np.searchsorted(offsets, at[hit], side="right") - 1] = True
+    return out
+
+
 def restore(text: str, restorer: Restorer) -> str:
     """The lower-cased text with every span replaced by its best reading."""
     return _SPAN.sub(lambda m: restorer.decode(m[0]), (text or "").lower())
@@ -311,9 +342,11 @@ def score(docs: DataFrame, model: Model, s: Settings = Settings()) -> DataFrame:
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("text"))
             out = []
-            for lo in range(0, len(column), 256):
-                for text in column.slice(lo, 256).to_pylist():
-                    z = first + sum(b * x for b, x in zip(rest, evidence.summary(restorer.words(text or "")), strict=True))
+            data, offsets = buffers(column)
+            for lo, hi in slices(offsets, 1 << 20):
+                flags = suspicious_texts(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                for text, flag in zip(column.slice(lo, hi - lo).to_pylist(), flags.tolist(), strict=True):
+                    z = first + sum(b * x for b, x in zip(rest, evidence.summary(restorer.words(text or "", flag)), strict=True))
                     out.append(1 / (1 + math.exp(-max(-500.0, min(500.0, z)))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "score"])
 
