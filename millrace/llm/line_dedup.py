@@ -5,11 +5,11 @@ variable field. Each leaf that recurs is generalised: a position whose most freq
 half of the leaf's lines is constant, any other is a variable field. Lines that agree with the constants of a recurring
 template are dropped, but for those of the document with the smallest id that holds it.
 
-A template recurs when at least `min_documents` independent documents hold it. A document is independent when
-none of its four shingle min-hashes is shared with another document, so copies of one text neither
-vote nor lose their text to each other: near-duplicate removal is another operator's task.
+A template recurs when at least `min_documents` independent documents hold it. Documents that are linked by a
+shingle similarity of at least 0.75 have one vote together (exact classes of the near-duplicate operator), so copies of one
+text do not make its lines recur: near-duplicate removal is another operator's task.
 
-Scale: min-hashes and line keys travel packed; lines of leaves that do not recur are kept back by a bit filter of
+Scale: shingles and line keys travel packed; lines of leaves that do not recur are kept back by a bit filter of
 fixed size. The texts are shuffled once, to meet their drop lists.
 """
 
@@ -24,8 +24,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, dealt, partitions, table
-from .textops import U64, Words, buffers, slices
+from . import jaccard
+from .common import cut, dealt, partitions, release, table
+from .textops import U64, buffers, slices
 
 DEPTH = 3
 MIN_TOKENS = 4
@@ -39,7 +40,6 @@ def leaf_of(tokens: list[str], depth: int = DEPTH) -> int:
     return xxhash.xxh64_intdigest(f"{len(tokens)}\x1f" + "\x1f".join([FIELD if _DIGIT.search(t) else t for t in tokens[:depth]])) - (1 << 63)
 
 
-LOW, LEAF = 0, 1
 FILTER_BITS = 1 << 20
 
 
@@ -51,16 +51,26 @@ def _leaves(text: str, depth: int, min_tokens: int) -> Iterator[tuple[int, int,
             yield i, leaf_of(tokens, depth), tokens
 
 
-def votes_and_copies(texts: DataFrame, depth: int, min_tokens: int, min_documents: int, k: int = 5, hashes: int = 4) -> DataFrame:
-    """texts (key, text) -> kind, value, key. LOW: a document that shares a min-hash with another; LEAF: a leaf held by
-    at least `min_documents` documents, and one of them. One scan; values travel packed by bucket."""
+def near_copies(texts: DataFrame) -> DataFrame:
+    """texts (key, text) -> key, voice for the texts that are near copies of others: the smallest key of their class."""
+    found = jaccard.jaccard_components(texts.select(F.col("key").alias("doc_id"), "text"))
+    return found.where("doc_id <> component_id").select(F.col("doc_id").alias("key"), F.col("component_id").alias("voice")).distinct()
+
+
+def with_voice(rows: DataFrame, copies: DataFrame) -> DataFrame:
+    """rows (key, ...) and their voice; a text without near copies is its own."""
+    return rows.join(copies, "key", "left").withColumn("voice", F.coalesce("voice", "key"))
+
+
+def leaf_votes(texts: DataFrame, depth: int, min_tokens: int, min_documents: int) -> DataFrame:
+    """texts (key, text) -> leaf, key: the leaves held by at least `min_documents` documents. Values travel packed by bucket."""
     n_buckets = partitions(texts.sparkSession)
 
-    def packed(kind: int, value: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+    def packed(value: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
         bucket = (value >> U64(8)) % U64(n_buckets)
         order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1, dtype=U64))
-        rows = [(2 * int(b) + kind, value[o].tobytes(), key[o].tobytes()) for b in np.flatnonzero(np.diff(cuts)) for o in [order[cuts[b] : cuts[b + 1]]]]
+        rows = [(int(b), value[o].tobytes(), key[o].tobytes()) for b in np.flatnonzero(np.diff(cuts)) for o in [order[cuts[b] : cuts[b + 1]]]]
         cols = list(zip(*rows, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], names=["bucket", "value", "key"])
 
@@ -68,44 +78,34 @@ def votes_and_copies(texts: DataFrame, depth: int, min_tokens: int, min_document
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             column = batch.column(1)
-            data, offsets = buffers(column)
+            _, offsets = buffers(column)
             for lo, hi in slices(offsets):
-                h, d = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]).shingles(k)
-                if len(h):
-                    begin = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-                    lows = [np.minimum.reduceat(h * U64(2 * j + 1) ^ (h >> U64(17 + j)), begin) * U64(0x9E3779B97F4A7C15) + U64(j) for j in range(hashes)]
-                    yield packed(LOW, np.concatenate(lows), np.tile(keys[lo + d[begin]], hashes))
                 leaf, owner = [], []
                 for key, text in zip(keys[lo:hi].tolist(), column.slice(lo, hi - lo).to_pylist(), strict=True):
                     found = {x for _, x, _ in _leaves(text or "", depth, min_tokens)}
                     leaf += found
                     owner += [key] * len(found)
                 if leaf:
-                    yield packed(LEAF, np.array(leaf, np.int64).view(U64), np.array(owner, np.int64))
+                    yield packed(np.array(leaf, np.int64).view(U64), np.array(owner, np.int64))
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values: list[list[np.ndarray]] = [[], []]
-        keys: list[list[np.ndarray]] = [[], []]
+        values: list[np.ndarray] = []
+        keys: list[np.ndarray] = []
         for batch in batches:
-            for bucket, value, key in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                values[bucket % 2].append(np.frombuffer(value, U64))
-                keys[bucket % 2].append(np.frombuffer(key, np.int64))
-        for kind, least in ((LOW, 2), (LEAF, min_documents)):
-            if not values[kind]:
-                continue
-            value, key = np.concatenate(values[kind]), np.concatenate(keys[kind])
-            _, inverse, counts = np.unique(value, return_inverse=True, return_counts=True)
-            keep = counts[inverse] >= least
-            value, key = value[keep], key[keep]
-            if kind == LOW:
-                key = np.unique(key)
-                value = np.zeros(len(key), U64)
-            for at in range(0, len(key), 100_000):
-                part = slice(at, at + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[part]), kind, np.int32)), pa.array(value[part].view(np.int64)), pa.array(key[part])], names=["kind", "value", "key"])
+            values += [np.frombuffer(x, U64) for x in batch.column(1).to_pylist()]
+            keys += [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
+        if not values:
+            return
+        value, key = np.concatenate(values), np.concatenate(keys)
+        _, inverse, counts = np.unique(value, return_inverse=True, return_counts=True)
+        keep = counts[inverse] >= min_documents
+        value, key = value[keep], key[keep]
+        for at in range(0, len(key), 100_000):
+            part = slice(at, at + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(value[part].view(np.int64)), pa.array(key[part])], names=["leaf", "key"])
 
     posted = texts.select("key", "text").mapInArrow(post, "bucket int, value binary, key binary")
-    return dealt(posted, F.shiftright("bucket", 1)).mapInArrow(meet, "kind int, value long, key long")
+    return dealt(posted).mapInArrow(meet, "leaf long, key long")
 
 
 def lines_of(texts: DataFrame, leaves: DataFrame, depth: int, min_tokens: int) -> DataFrame:
@@ -140,20 +140,20 @@ def lines_of(texts: DataFrame, leaves: DataFrame, depth: int, min_tokens: int) -
 
 def dropped_lines(texts: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_documents: int = MIN_DOCUMENTS, agree: float = 0.8) -> DataFrame:
     """texts (key, doc_id, text) -> key, line numbers to drop."""
-    found = cut(votes_and_copies(texts, depth, min_tokens, min_documents))
-    copies = cut(found.where(F.col("kind") == LOW).select("key").distinct())
-    heard = found.where(F.col("kind") == LEAF).select(F.col("value").alias("leaf"), "key").join(copies, "key", "left_anti")
+    copies = cut(near_copies(texts))
+    release(texts.sparkSession)
+    heard = with_voice(leaf_votes(texts, depth, min_tokens, min_documents), copies).select("leaf", "voice").distinct()
     leaves = cut(heard.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_documents).select("leaf"))
-    held = cut(lines_of(texts, leaves, depth, min_tokens).join(leaves, "leaf"))
-    voters = held.join(copies, "key", "left_anti")
+    held = cut(with_voice(lines_of(texts, leaves, depth, min_tokens).join(leaves, "leaf"), copies))
+    voters = held.select("leaf", "voice", "tokens").distinct()
     spots = voters.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count("*").alias("n"))
     mode = spots.groupBy("leaf", "at").agg(F.sum("n").alias("all"), F.max(F.struct("n", "token")).alias("top"))
     constant = (2 * F.col("top.n") >= F.col("all")) & (F.col("top.token") != FIELD)
     template = mode.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.when(constant, F.struct(F.col("at"), F.col("top.token").alias("token"))))).alias("template"))
     same = F.size(F.filter(F.map_entries("template"), lambda e: F.get("tokens", e["key"]) == e["value"]))
-    fits = held.join(template, "leaf").where((F.size("template") > 0) & (2 * F.size("template") >= F.size("tokens")) & (same >= agree * F.size("template"))).select("leaf", "key", "doc_id", "line")
+    fits = held.join(template, "leaf").where((F.size("template") > 0) & (2 * F.size("template") >= F.size("tokens")) & (same >= agree * F.size("template"))).select("leaf", "key", "voice", "doc_id", "line")
     fits = cut(fits)
-    voices = fits.join(copies, "key", "left_anti").select("leaf", "key").distinct().groupBy("leaf").count().where(F.col("count") >= min_documents)
+    voices = fits.select("leaf", "voice").distinct().groupBy("leaf").count().where(F.col("count") >= min_documents)
     first = fits.join(voices.select("leaf"), "leaf").groupBy("leaf").agg(F.min(F.struct("doc_id", "key")).alias("owner")).select("leaf", F.col("owner.key").alias("owner"))
     return fits.join(first, "leaf").where("key <> owner").groupBy("key").agg(F.collect_set("line").alias("drop"))
 

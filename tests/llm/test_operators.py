@@ -273,6 +273,15 @@ def test_line_templates(spark, odd, empty):
     assert {r.n_lines for r in out.where("text is null").collect()} == {0} and line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_documents_that_share_a_line_vote(spark):
+    shared = "Read our terms and the privacy notice before you use any of these free services"
+    rows = [(i, f"{prose(i, 9)}\n{shared}") for i in range(30)]
+    rows += [(100 + i, edit(prose("copy", 200), 60, f"v{i}_") + "\nOnly the near copies of one text hold this long line") for i in range(20)]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].n_dropped == 0 and all(got[i].n_dropped == 1 and shared not in got[i].text for i in range(1, 30))
+    assert all(got[100 + i].n_dropped == 0 for i in range(20))  # a class of near copies has one vote
+
+
 # ---------------------------------------------------------------- 7
 
 
