@@ -1,9 +1,11 @@
 """Line dedup with a log-template tree.
 
 A line is parsed at fixed depth: token count, then its leading tokens, with tokens that hold a digit as a
-variable field. Each leaf that recurs is generalised: a position whose most frequent token holds at least
-half of the leaf's lines is constant, any other is a variable field. Lines that agree with the constants of a recurring
-template are dropped, but for those of the document with the smallest id that holds it.
+variable field. The lines of a leaf that recurs form groups: all of them, those that share a quarter of the line,
+and those that are equal. Each group that recurs is generalised: a position whose most frequent token holds at least
+half of the group's lines is constant, any other is a variable field. So a leaf has as many templates as it needs, however much
+prose shares it. Lines that agree with the constants of a recurring template are dropped, but for those of the document with
+the smallest id that holds it.
 
 A template recurs when at least `min_documents` independent documents hold it. Documents that are linked by a
 shingle similarity of at least 0.75 have one vote together (exact classes of the near-duplicate operator), so copies of one
@@ -29,6 +31,7 @@ from .common import cut, dealt, partitions, release, table
 from .textops import U64, buffers, slices
 
 DEPTH = 3
+QUARTERS = 4
 MIN_TOKENS = 4
 MIN_DOCUMENTS = 10
 FIELD = "<*>"
@@ -138,6 +141,13 @@ def lines_of(texts: DataFrame, leaves: DataFrame, depth: int, min_tokens: int) -
     return texts.select("key", "doc_id", "text").mapInArrow(run, "key long, doc_id long, line int, leaf long, tokens array<string>")
 
 
+def groups_of(leaf: str, tokens: str):
+    """Ids of the groups of a line: its leaf, the leaf with each quarter of the line, and the whole masked line."""
+    edge = [F.floor(F.size(tokens) * F.lit(j) / QUARTERS).cast("int") for j in range(QUARTERS + 1)]
+    quarters = [F.slice(tokens, edge[j] + 1, edge[j + 1] - edge[j]) for j in range(QUARTERS)]
+    return F.array(F.col(leaf), *[F.xxhash64(leaf, F.lit(j), part) for j, part in enumerate([*quarters, F.col(tokens)])])
+
+
 def dropped_lines(texts: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_documents: int = MIN_DOCUMENTS, agree: float = 0.8) -> DataFrame:
     """texts (key, doc_id, text) -> key, line numbers to drop."""
     copies = cut(near_copies(texts))
@@ -145,17 +155,22 @@ def dropped_lines(texts: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TO
     heard = with_voice(leaf_votes(texts, depth, min_tokens, min_documents), copies).select("leaf", "voice").distinct()
     leaves = cut(heard.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_documents).select("leaf"))
     held = cut(with_voice(lines_of(texts, leaves, depth, min_tokens).join(leaves, "leaf"), copies))
-    voters = held.select("leaf", "voice", "tokens").distinct()
-    spots = voters.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count("*").alias("n"))
-    mode = spots.groupBy("leaf", "at").agg(F.sum("n").alias("all"), F.max(F.struct("n", "token")).alias("top"))
+    parts = held.withColumn("group", F.explode(groups_of("leaf", "tokens")))
+    common = parts.select("group", "voice").distinct().groupBy("group").count().where(F.col("count") >= min_documents)
+    parts = cut(parts.join(common.select("group"), "group"))
+    voters = parts.select("group", "voice", "tokens").distinct()
+    spots = voters.select("group", F.posexplode("tokens").alias("at", "token")).groupBy("group", "at", "token").agg(F.count("*").alias("n"))
+    mode = spots.groupBy("group", "at").agg(F.sum("n").alias("all"), F.max(F.struct("n", "token")).alias("top"))
     constant = (2 * F.col("top.n") >= F.col("all")) & (F.col("top.token") != FIELD)
-    template = mode.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.when(constant, F.struct(F.col("at"), F.col("top.token").alias("token"))))).alias("template"))
+    template = mode.groupBy("group").agg(F.map_from_entries(F.collect_list(F.when(constant, F.struct(F.col("at"), F.col("top.token").alias("token"))))).alias("template"))
     same = F.size(F.filter(F.map_entries("template"), lambda e: F.get("tokens", e["key"]) == e["value"]))
-    fits = held.join(template, "leaf").where((F.size("template") > 0) & (2 * F.size("template") >= F.size("tokens")) & (same >= agree * F.size("template"))).select("leaf", "key", "voice", "doc_id", "line")
+    fits = parts.join(template, "group").where((F.size("template") > 0) & (2 * F.size("template") >= F.size("tokens")) & (same >= agree * F.size("template"))).select("group", "key", "voice", "doc_id", "line")
     fits = cut(fits)
-    voices = fits.select("leaf", "voice").distinct().groupBy("leaf").count().where(F.col("count") >= min_documents)
-    first = fits.join(voices.select("leaf"), "leaf").groupBy("leaf").agg(F.min(F.struct("doc_id", "key")).alias("owner")).select("leaf", F.col("owner.key").alias("owner"))
-    return fits.join(first, "leaf").where("key <> owner").groupBy("key").agg(F.collect_set("line").alias("drop"))
+    voices = fits.select("group", "voice").distinct().groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") >= min_documents)
+    # A line belongs to one template, the one with the most voices, so every template that drops lines has a keeper.
+    chosen = cut(fits.join(voices, "group").groupBy("key", "doc_id", "line").agg(F.max(F.struct("n", "group")).alias("top")).select("key", "doc_id", "line", F.col("top.group").alias("group")))
+    first = chosen.groupBy("group").agg(F.min(F.struct("doc_id", "key")).alias("owner")).select("group", F.col("owner.key").alias("owner"))
+    return chosen.join(first, "group").where("key <> owner").groupBy("key").agg(F.collect_set("line").alias("drop"))
 
 
 def dedup_lines(docs: DataFrame, **settings) -> DataFrame:

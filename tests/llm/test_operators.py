@@ -282,6 +282,15 @@ def test_documents_that_share_a_line_vote(spark):
     assert all(got[100 + i].n_dropped == 0 for i in range(20))  # a class of near copies has one vote
 
 
+def test_a_leaf_has_several_templates(spark):
+    ends = ["from the editors of our local paper", "with offers for all registered club members", "and win one ticket to next year's fair"]
+    rows = [(100 * j + i, f"{prose(f't{j}-{i}', 9)}\nPlease subscribe today {end}") for j, end in enumerate(ends) for i in range(12)]
+    rows += [(1000 + i, f"{prose(f'u{i}', 9)}\nPlease subscribe today {' '.join(random.Random(i).sample(WORDS, 7))}") for i in range(60)]
+    got = {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[100 * j + i] == (i > 0) for j in range(3) for i in range(12))
+    assert all(got[1000 + i] == 0 for i in range(60))
+
+
 # ---------------------------------------------------------------- 7
 
 
