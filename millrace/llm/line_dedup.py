@@ -7,7 +7,8 @@ half of the group's lines is constant, any other is a variable field. So a leaf
 prose shares it. Lines that agree with the constants of a recurring template are dropped, but for those of the document with
 the smallest id that holds it.
 
-A template recurs when at least `min_documents` independent documents hold it. Documents that are linked by a
+A template recurs when at least `min_documents` independent documents hold it; a line of LONG_TOKENS tokens or more that is
+the same but for tokens with digits recurs when LONG_DOCUMENTS do. Lines of under `min_tokens` tokens are compared as they are. Documents that are linked by a
 shingle similarity of at least 0.75 have one vote together (exact classes of the near-duplicate operator), so copies of one
 text do not make its lines recur: near-duplicate removal is another operator's task.
 
@@ -34,6 +35,8 @@ DEPTH = 3
 QUARTERS = 4
 MIN_TOKENS = 4
 MIN_DOCUMENTS = 10
+LONG_TOKENS = 50
+LONG_DOCUMENTS = 2
 FIELD = "<*>"
 _DIGIT = re.compile(r"\d")
 
@@ -47,11 +50,16 @@ FILTER_BITS = 1 << 20
 
 
 def _leaves(text: str, depth: int, min_tokens: int) -> Iterator[tuple[int, int, list[str]]]:
-    """(line number, leaf, unmasked tokens) of the lines that take part."""
+    """(line number, leaf, unmasked tokens) of the lines that are not blank. A short line's leaf is the line itself.
+
+    The lowest bit of a leaf tells long lines.
+    """
     for i, line in enumerate(text.split("\n")):
         tokens = line.split()
         if len(tokens) >= min_tokens:
-            yield i, leaf_of(tokens, depth), tokens
+            yield i, leaf_of(tokens, depth) & ~1 | (len(tokens) >= LONG_TOKENS), tokens
+        elif tokens:
+            yield i, (xxhash.xxh64_intdigest("\x1e" + "\x1f".join(tokens)) - (1 << 63)) & ~1, tokens
 
 
 def near_copies(texts: DataFrame) -> DataFrame:
@@ -66,7 +74,7 @@ def with_voice(rows: DataFrame, copies: DataFrame) -> DataFrame:
 
 
 def leaf_votes(texts: DataFrame, depth: int, min_tokens: int, min_documents: int) -> DataFrame:
-    """texts (key, text) -> leaf, key: the leaves held by at least `min_documents` documents. Values travel packed by bucket."""
+    """texts (key, text) -> leaf, key: the leaves held by enough documents for their length. Values travel packed by bucket."""
     n_buckets = partitions(texts.sparkSession)
 
     def packed(value: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
@@ -101,7 +109,7 @@ def leaf_votes(texts: DataFrame, depth: int, min_tokens: int, min_documents: int
             return
         value, key = np.concatenate(values), np.concatenate(keys)
         _, inverse, counts = np.unique(value, return_inverse=True, return_counts=True)
-        keep = counts[inverse] >= min_documents
+        keep = counts[inverse] >= np.where(value & U64(1), min(LONG_DOCUMENTS, min_documents), min_documents)
         value, key = value[keep], key[keep]
         for at in range(0, len(key), 100_000):
             part = slice(at, at + 100_000)
@@ -132,7 +140,7 @@ def lines_of(texts: DataFrame, leaves: DataFrame, depth: int, min_tokens: int) -
                 for key, doc_id, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                     for i, leaf, tokens in _leaves(text or "", depth, min_tokens):
                         if bits[leaf & (FILTER_BITS - 1)]:
-                            rows.append((key, doc_id, i, leaf, [FIELD if _DIGIT.search(t) else t for t in tokens]))
+                            rows.append((key, doc_id, i, leaf, tokens if len(tokens) < min_tokens else [FIELD if _DIGIT.search(t) else t for t in tokens]))
                 if rows:
                     cols = list(zip(*rows, strict=True))
                     types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string())]
@@ -141,22 +149,25 @@ def lines_of(texts: DataFrame, leaves: DataFrame, depth: int, min_tokens: int) -
     return texts.select("key", "doc_id", "text").mapInArrow(run, "key long, doc_id long, line int, leaf long, tokens array<string>")
 
 
-def groups_of(leaf: str, tokens: str):
-    """Ids of the groups of a line: its leaf, the leaf with each quarter of the line, and the whole masked line."""
+def groups_of(leaf: str, tokens: str, min_documents: int, fewest: int):
+    """Groups of a line and the votes each needs: its leaf, the leaf with each quarter of the line, the whole masked line."""
     edge = [F.floor(F.size(tokens) * F.lit(j) / QUARTERS).cast("int") for j in range(QUARTERS + 1)]
     quarters = [F.slice(tokens, edge[j] + 1, edge[j + 1] - edge[j]) for j in range(QUARTERS)]
-    return F.array(F.col(leaf), *[F.xxhash64(leaf, F.lit(j), part) for j, part in enumerate([*quarters, F.col(tokens)])])
+    ids = [F.col(leaf), *[F.xxhash64(leaf, F.lit(j), part) for j, part in enumerate([*quarters, F.col(tokens)])]]
+    need = [F.lit(min_documents)] * (len(ids) - 1) + [F.when(F.size(tokens) >= LONG_TOKENS, fewest).otherwise(min_documents)]
+    return F.array(*[F.struct(g.alias("group"), n.alias("need")) for g, n in zip(ids, need, strict=True)])
 
 
 def dropped_lines(texts: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_documents: int = MIN_DOCUMENTS, agree: float = 0.8) -> DataFrame:
     """texts (key, doc_id, text) -> key, line numbers to drop."""
+    fewest = min(LONG_DOCUMENTS, min_documents)
     copies = cut(near_copies(texts))
     release(texts.sparkSession)
     heard = with_voice(leaf_votes(texts, depth, min_tokens, min_documents), copies).select("leaf", "voice").distinct()
-    leaves = cut(heard.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_documents).select("leaf"))
+    leaves = cut(heard.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= F.when(F.col("leaf").bitwiseAND(F.lit(1)) == 1, fewest).otherwise(min_documents)).select("leaf"))
     held = cut(with_voice(lines_of(texts, leaves, depth, min_tokens).join(leaves, "leaf"), copies))
-    parts = held.withColumn("group", F.explode(groups_of("leaf", "tokens")))
-    common = parts.select("group", "voice").distinct().groupBy("group").count().where(F.col("count") >= min_documents)
+    parts = held.withColumn("part", F.explode(groups_of("leaf", "tokens", min_documents, fewest))).select("*", "part.*").drop("part")
+    common = parts.select("group", "need", "voice").distinct().groupBy("group", "need").count().where("count >= need")
     parts = cut(parts.join(common.select("group"), "group"))
     voters = parts.select("group", "voice", "tokens").distinct()
     spots = voters.select("group", F.posexplode("tokens").alias("at", "token")).groupBy("group", "at", "token").agg(F.count("*").alias("n"))
@@ -164,9 +175,9 @@ def dropped_lines(texts: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TO
     constant = (2 * F.col("top.n") >= F.col("all")) & (F.col("top.token") != FIELD)
     template = mode.groupBy("group").agg(F.map_from_entries(F.collect_list(F.when(constant, F.struct(F.col("at"), F.col("top.token").alias("token"))))).alias("template"))
     same = F.size(F.filter(F.map_entries("template"), lambda e: F.get("tokens", e["key"]) == e["value"]))
-    fits = parts.join(template, "group").where((F.size("template") > 0) & (2 * F.size("template") >= F.size("tokens")) & (same >= agree * F.size("template"))).select("group", "key", "voice", "doc_id", "line")
+    fits = parts.join(template, "group").where((F.size("template") > 0) & (2 * F.size("template") >= F.size("tokens")) & (same >= agree * F.size("template"))).select("group", "need", "key", "voice", "doc_id", "line")
     fits = cut(fits)
-    voices = fits.select("group", "voice").distinct().groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") >= min_documents)
+    voices = fits.select("group", "need", "voice").distinct().groupBy("group", "need").agg(F.count("*").alias("n")).where("n >= need").drop("need")
     # A line belongs to one template, the one with the most voices, so every template that drops lines has a keeper.
     chosen = cut(fits.join(voices, "group").groupBy("key", "doc_id", "line").agg(F.max(F.struct("n", "group")).alias("top")).select("key", "doc_id", "line", F.col("top.group").alias("group")))
     first = chosen.groupBy("group").agg(F.min(F.struct("doc_id", "key")).alias("owner")).select("group", F.col("owner.key").alias("owner"))
@@ -176,7 +187,7 @@ def dropped_lines(texts: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TO
 def dedup_lines(docs: DataFrame, **settings) -> DataFrame:
     """docs with recurring template lines dropped from `text`, plus n_lines and n_dropped.
 
-    A null text stays null and has no lines; lines of under `min_tokens` tokens and blank lines are kept.
+    A null text stays null and has no lines; blank lines are kept, lines of under `min_tokens` tokens recur only as they are.
     Rows that are equal in id and text are treated alike. All other columns pass through, but columns named
     n_lines or n_dropped are replaced.
     """

@@ -291,6 +291,15 @@ def test_a_leaf_has_several_templates(spark):
     assert all(got[1000 + i] == 0 for i in range(60))
 
 
+def test_short_and_long_lines(spark):
+    long = " ".join(random.Random(8).choices(WORDS, k=55))
+    rows = [(i, f"{prose(f's{i}', 9)}\nAll rights reserved.\n\nNo. {i}") for i in range(12)]
+    rows += [(100 + i, f"{prose(f'l{i}', 300)}\n{long}\nOnly two documents hold this line") for i in range(2)]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i].n_dropped == (i > 0) and got[i].text.endswith(f"\n\nNo. {i}") for i in range(12))
+    assert got[100].n_dropped == 0 and got[101].n_dropped == 1 and long not in got[101].text
+
+
 # ---------------------------------------------------------------- 7
 
 
