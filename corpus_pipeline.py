@@ -38,7 +38,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak a benchmark item go."""
-    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"), whole=True)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

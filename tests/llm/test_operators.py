@@ -244,6 +244,16 @@ def test_leaks(spark, odd, empty):
     assert decontaminate.leaks(empty, b).count() == 0 and decontaminate.leaks(d, b.limit(0)).count() == 0
 
 
+def test_short_documents_and_items_leak(spark):
+    item = prose("item", 59)
+    docs = [(1, " ".join(item.split()[:54])), (2, " ".join(item.split()[:30])), (3, prose(3, 6) + " Omega omega PSI " + prose(4, 6)), (4, "psi omega omega"), (5, prose(5, 20)), (6, prose(6, 4) + " omega"), (7, "omega psi")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(1, item), (2, "omega omega psi")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.first_word, round(r.similarity, 3)) for r in decontaminate.leaks(d, b, whole=True).collect()}
+    assert got == {(1, 1): (0, round(50 / 55, 3)), (3, 2): (6, 1.0)}
+    assert sorted(r.doc_id for r in decontaminate.without_leaks(d, b, whole=True).collect()) == [2, 4, 5, 6, 7]
+
+
 def test_hamming_index_finds_all():
     rng = np.random.default_rng(3)
     prints = rng.integers(0, 2**63, 50).astype(np.uint64)
