@@ -1,7 +1,7 @@
 """Toxicity: noisy-channel deobfuscation, then scoring of the restored text.
 
-Spans that may hide a word (digits or symbols among letters, single letters that are spaced out,
-letters repeated three times or more) become character lattices: every symbol may stand for itself,
+Spans that may hide a word (tokens that mix letters with digits or symbols, three or more single letters that are
+spaced out, letters repeated three times or more) become character lattices: every symbol may stand for itself,
 for the letters it imitates, or, where it repeats or separates, for nothing. A Viterbi decoder picks
 the path with the best product of channel and character language model; a span whose best path is
 itself stays. Restored words are then scored by evidence learned from labelled rows.
@@ -35,10 +35,12 @@ IMITATES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t
 IMITATE, SAME, DROP_REPEAT, DROP_SEPARATOR, KEEP_ODD = math.log(0.3), 0.0, math.log(0.4), math.log(0.4), math.log(0.02)
 
 _LEET = r"0-9@$!|+(€*"
+_MIXED = rf"(?:[^\W\d_][.\-_]*[{_LEET}]|[{_LEET}][.\-_]*[^\W\d_]|[^\W\d_][.\-_]+[^\W\d_])"
+_PART = rf"(?:[^\W\d_]|[{_LEET}.\-_])"
+_SPACED = r"[^\W\d_](?:[ .\-_*]+[^\W\d_]){2,}"
 _SPAN = re.compile(
-    rf"(?<![^\W_])(?:[^\W\d_{_LEET}][ .\-_*]){{3,}}[^\W\d_](?![^\W_])"  # spaced-out letters
-    rf"|(?<!\S)[{_LEET}]*[^\W\d_]+(?:[{_LEET}.\-_]+[^\W\d_]+)+"  # symbols among letters
-    rf"|(?<!\S)[{_LEET}]{{1,2}}[^\W\d_]{{2,}}"  # a symbol before letters
+    rf"(?<![^\W_]){_SPACED}(?![^\W_])"  # spaced-out letters
+    rf"|(?<![^\W\d_])(?<![{_LEET}.\-_])(?!\({_SPACED}(?![^\W_]))(?={_PART}*?{_MIXED}){_PART}+"  # letters and symbols mixed
     r"|[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*"  # repeats
 )
 _WORD = re.compile(r"[^\W\d_]+")
@@ -114,7 +116,7 @@ class Restorer:
 
     def arcs(self, span: str) -> list[list[tuple[str, float]]]:
         """For each character, what it may stand for ('' for nothing) and the channel's log probability."""
-        lattice, spaced = [], len(re.findall(r"[ .\-_*]", span)) >= 3
+        lattice, spaced = [], len(re.findall(r"[ .\-_*]", span)) >= 3 or re.fullmatch(_SPACED, span)
         for i, c in enumerate(span):
             out = []
             if c.isalpha():
@@ -173,13 +175,18 @@ _LETTER_BYTE[65:91] = _LETTER_BYTE[97:123] = _LETTER_BYTE[0xC0:] = True
 _SYMBOL_BYTE = np.zeros(256, bool)
 _SYMBOL_BYTE[[ord(c) for c in "0123456789@$!|+(*.-_"]] = True
 _SYMBOL_BYTE[0xC0:] = True
+_LEET_BYTE = np.zeros(256, bool)
+_LEET_BYTE[[ord(c) for c in "0123456789@$!|+(*"]] = True
+_LEET_BYTE[0xE2:] = True
+_GAP_BYTE = np.zeros(256, bool)
+_GAP_BYTE[[ord(c) for c in " .-_*"]] = True
 
 
 def suspicious_texts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """False for texts in which no span can match; a few array passes spare most texts the search.
 
-    A span holds a symbol right before a letter, a letter three times in a row, or four letters with one other
-    character between each two. Characters outside ASCII count as letters and as symbols.
+    A span holds a symbol right before a letter, one that imitates a letter right after a letter or a separator, a letter three
+    times in a row, or three single letters with separators between. Characters outside ASCII count as letters and as symbols.
     """
     at = np.flatnonzero((data & 0xC0) != 0x80)
     lead = data[at]
@@ -192,8 +199,17 @@ def suspicious_texts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         last[offsets] = True
         hit[:-1] |= ~last[at[1:]] & _SYMBOL_BYTE[lead[:-1]] & letter[1:] & ((lead[:-1] < 0xC0) | (lead[:-1] >= 0xE2))
         hit[:-2] |= letter[:-2] & (code[:-2] == code[1:-1]) & (code[1:-1] == code[2:])
-    if n > 6:
-        hit[:-6] |= letter[:-6] & ~letter[1:-5] & letter[2:-4] & ~letter[3:-3] & letter[4:-2] & ~letter[5:-1] & letter[6:]
+        dotted = np.isin(lead[:-1], [ord(c) for c in ".-_"])
+        hit[:-1] |= ~last[at[1:]] & (letter[:-1] | dotted) & _LEET_BYTE[lead[1:]]
+        gap = _GAP_BYTE[lead]
+        one = np.flatnonzero(~np.concatenate([[False], gap[1:] & gap[:-1] & ~last[at[1:]]]))  # a run of separators as one
+        x, g = letter[one], gap[one]
+        if len(one) > 4:
+            free = np.concatenate([[True], ~x[:-1] | (lead[one[:-1]] >= 0x80) | last[at[one[1:]]]])  # no ASCII letter before
+            open_ = np.concatenate([free[1:] | ~x[1:] | (lead[one[1:]] >= 0x80), [True]])  # nor behind
+            three = free[:-4] & x[:-4] & g[1:-3] & x[2:-2] & g[3:-1] & x[4:]
+            more = np.flatnonzero(three & (open_[4:]))
+            hit[one[more]] = True
     out = np.zeros(len(offsets) - 1, bool)
     out[np.searchsorted(offsets, at[hit], side="right") - 1] = True
     return out

@@ -159,6 +159,25 @@ def test_viterbi_restores():
         assert toxicity.restore(given, r) == want
 
 
+def test_spans_cover_usual_obfuscations():
+    import pyarrow as pa
+
+    from millrace.llm.textops import buffers
+
+    for given in ("sh!7", "a$$", "5h17", "l0$er5", "b@57@rd5", "$$$hole", "sh1t", "f u k", "f  u  c  k", "f - u - k", "s.h.1.7", "1d10t"):
+        for text in (given, f'"{given}"', f"so ({given})," if given[0] not in "$" else f"[{given}]", f"you {given} there"):
+            assert any(given in m[0] for m in toxicity._SPAN.finditer(text)), text
+            assert toxicity.suspicious_texts(*buffers(pa.array(["plain words", text, "of a kind"]))).tolist() == [False, True, False]
+    words = "you idiot and stupid loser losers are worthless trash bastards shit "
+    s = toxicity._SYMBOL[np.frombuffer((words * 50).encode(), np.uint8)].astype(int)
+    counts = np.zeros(32**4, np.int64)
+    for a, b, c, d in zip(s, s[1:], s[2:], s[3:], strict=False):
+        counts[((a * 32 + b) * 32 + c) * 32 + d] += 1
+    r = toxicity.Restorer(toxicity.language_model(counts))
+    for given, want in {"sh!7": "shit", "5h17": "shit", "l0$er5": "losers", "b@57@rd5": "bastards", '"sh1t"': "shit", "s  h  i  t": "shit", "a r e": "are"}.items():
+        assert want in r.words(given)
+
+
 def test_suspicion_misses_no_span():
     import pyarrow as pa
 
