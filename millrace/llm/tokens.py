@@ -6,8 +6,8 @@ stands around them, each distinct piece is encoded by the library, and its ids a
 Plain texts (ASCII without apostrophes and Latin letters of U+00C0..U+00FF, white space only as single
 spaces and line breaks) are cut into runs of letters, digits, punctuation and white space by a few numpy
 passes; pieces are known by 64-bit hash and their ids are gathered from one array. Other texts are cut at
-spaces in Python; where even that cut cannot be proven (white space on both sides of a space), a text is
-encoded whole.
+spaces in Python; where even that cut cannot be proven (white space on both sides of a space, or a text that holds
+one of the vocabulary's added tokens, which the library finds before all else), a text is encoded whole.
 """
 
 from __future__ import annotations
@@ -58,12 +58,12 @@ class CachedTokenizer:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.kind, self.limit = kind, limit
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.mark = np.zeros(self.tok.get_vocab_size() + 1, bool)  # ids that end (word) or begin (byte) a word
         for token, i in self.tok.get_vocab().items():
             self.mark[i] = token.endswith("</w>") if kind == "word" else token.startswith("\u0120")
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values() if t.content]
         self.cache: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
         self._forget()
@@ -89,6 +89,8 @@ class CachedTokenizer:
         return [out[a] for a in atoms]
 
     def pieces(self, text: str) -> list[str] | None:
+        if any(t in text for t in self.added):
+            return None
         if self.kind == "word":
             with contextlib.suppress(UnicodeEncodeError):  # in Latin-1 lower case has no context and composition changes nothing
                 text.encode("latin-1")
@@ -213,9 +215,11 @@ class CachedTokenizer:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, exactly as the library encodes the whole text without special tokens."""
-        done = self.encode_plain([t.encode() for t in texts]) if texts else []
-        rest = iter(self.encode_other([t for t, d in zip(texts, done, strict=True) if d is None]))
-        return [next(rest) if d is None else d for d in done]
+        whole = [any(t in text for t in self.added) for text in texts]
+        done = iter(self.encode_plain([t.encode() for t, w in zip(texts, whole, strict=True) if not w]) if texts else [])
+        found = [None if w else next(done) for w in whole]
+        rest = iter(self.encode_other([t for t, f in zip(texts, found, strict=True) if f is None]))
+        return [next(rest) if f is None else f for f in found]
 
     def encode_other(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.cache) > self.limit:
