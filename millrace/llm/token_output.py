@@ -6,12 +6,13 @@ the public seekable format, whose entries carry the low 32 bits of XXH64 over ea
 Any zstandard decoder can read the frames; `TokenFile` reads only the ones asked for.
 
 Scale: one range shuffle of the texts by doc_id (the order is part of the contract); shards are
-written under deterministic names with a rename at the end, so a task that runs twice leaves one
-file. Only one manifest row per shard reaches the driver.
+written under a name of their own by every attempt of a task, and the manifest names the attempt that
+ended well, so a task that runs twice never meets its own file. Only one manifest row per shard reaches the driver.
 """
 
 from __future__ import annotations
 
+import bisect
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -23,6 +24,7 @@ import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import fresh_path, partitions, table
 from .tokens import tokenizer, vocabulary
@@ -98,8 +100,18 @@ class TokenFile:
             raise ValueError(f"checksum mismatch in frame {k}")
         return np.frombuffer(raw, f"<u{self.width}")
 
+    def find(self, doc_id: int) -> list[int]:
+        """Frames of the documents with that id; the directory is sorted, null ids first."""
+        nulls = bisect.bisect_left(self.doc_ids, True, key=lambda x: x is not None)
+        lo = bisect.bisect_left(self.doc_ids, doc_id, nulls)
+        return list(range(lo, bisect.bisect_right(self.doc_ids, doc_id, lo)))
+
     def document(self, doc_id: int) -> np.ndarray:
-        return self.frame(self.doc_ids.index(doc_id))
+        """Ids of the first document with that id."""
+        found = self.find(doc_id)
+        if not found:
+            raise KeyError(doc_id)
+        return self.frame(found[0])
 
     def __iter__(self) -> Iterator[tuple[int | None, np.ndarray]]:
         for k, doc_id in enumerate(self.doc_ids):
@@ -126,8 +138,7 @@ def write_token_files(docs: DataFrame, out_dir: str, vocab: str = "word_bpe_49k.
         tok = tokenizer(path, kind)
         end = np.array([end_id], np.int64)
         width = max(tok.dtype.itemsize, 2 if end_id < 1 << 16 else 4)
-        target = f"{base}/shard-{shard:06d}.zst"
-        tmp = f"{target}.{TaskContext.get().taskAttemptId()}.tmp"
+        target = f"{base}/shard-{shard:06d}-{TaskContext.get().taskAttemptId()}.zst"
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
@@ -135,13 +146,12 @@ def write_token_files(docs: DataFrame, out_dir: str, vocab: str = "word_bpe_49k.
                 for doc_id, ids in zip(part.column("doc_id").to_pylist(), tok.encode(texts), strict=True):
                     if writer is None:
                         fs.create_dir(base, recursive=True)
-                        sink = fs.open_output_stream(tmp)
+                        sink = fs.open_output_stream(target, compression=None)
                         writer = TokenFileWriter(sink, width)
                     writer.add(doc_id, np.concatenate([ids.astype(np.int64), end]))
         if writer is not None:
             writer.finish()
             sink.close()
-            fs.move(tmp, target)
             yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [target], "n_docs": [len(writer.docs)], "n_tokens": [writer.n_tokens]})
 
     ordered = docs.select("doc_id", "text").repartitionByRange(n_shards or partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
@@ -152,8 +162,8 @@ def write_token_files(docs: DataFrame, out_dir: str, vocab: str = "word_bpe_49k.
 def read_token_files(spark: SparkSession, manifest: list[tuple[int, str, int, int]], out_dir: str) -> DataFrame:
     """One row per document, read back from the files: doc_id, start, n_tokens, ids_crc32."""
     rows, base = [], 0
-    for _, path, _, n_tokens in manifest:
-        rows.append((path, base))
+    for k, (_, path, _, n_tokens) in enumerate(manifest):
+        rows.append((k, path, base))
         base += n_tokens
     uri = out_dir
 
@@ -176,7 +186,8 @@ def read_token_files(spark: SparkSession, manifest: list[tuple[int, str, int, in
         cols = list(zip(*out, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return spark.createDataFrame(rows, "path string, base long").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    files = spark.createDataFrame(rows, "k int, path string, base long").repartitionById(max(1, len(rows)), F.col("k"))  # a task for each file
+    return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
