@@ -74,7 +74,7 @@ def sparse_rows(batch_column, s: Settings) -> Iterator[tuple[int, np.ndarray, np
         key, counts = np.unique(d.astype(np.int64) * s.buckets + b, return_counts=True)
         cut = np.searchsorted(key, np.arange(hi - lo + 1) * s.buckets)
         for i in range(hi - lo):
-            yield lo + i, (key[cut[i] : cut[i + 1]] % s.buckets).astype(np.uint16), counts[cut[i] : cut[i + 1]].astype(np.float32)
+            yield lo + i, (key[cut[i] : cut[i + 1]] % s.buckets).astype(np.uint16), counts[cut[i] : cut[i + 1]]
 
 
 @dataclass
@@ -149,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
         for batch in batches:
             found = list(sparse_rows(batch.column(1), s))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([b.tobytes() for _, b, _ in found], pa.binary()), pa.array([c.astype("<u2").tobytes() if c.max(initial=0) < 65536 else np.minimum(c, 65535).astype("<u2").tobytes() for _, _, c in found], pa.binary())],
+                [batch.column(0), batch.column(2), pa.array([b.tobytes() for _, b, _ in found], pa.binary()), pa.array([c.astype("<u4").tobytes() for _, _, c in found], pa.binary())],
                 names=["doc_id", "label", "buckets", "counts"],
             )
 
@@ -157,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     got = sample.mapInArrow(sparse, "doc_id long, label int, buckets binary, counts binary").toArrow()
     rows = sorted(zip(*(got.column(c).to_pylist() for c in ("doc_id", "label", "buckets", "counts")), strict=True))
     del got
-    return train([(np.frombuffer(b, np.uint16), np.frombuffer(c, "<u2"), label) for _, label, b, c in rows], s)
+    return train([(np.frombuffer(b, np.uint16), np.frombuffer(c, "<u4"), label) for _, label, b, c in rows], s)
 
 
 def score(docs: DataFrame, model: Model, s: Settings = Settings()) -> DataFrame:
