@@ -22,6 +22,8 @@ from .common import table
 
 # Fixed values of the TIFF 6.0 format.
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
+#: How many bytes a stored byte can become at most: a run of 128 in two bytes, a table entry of up to 3,838 bytes in nine bits, deflate's 1,032.
+EXPANDS = {NONE: 1, LZW: 3838, PACKBITS: 64, DEFLATE: 1032, OLD_DEFLATE: 1032}
 TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 
 
@@ -42,9 +44,9 @@ def packbits_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def packbits_decode(data: bytes) -> bytes:
-    out, i = [], 0
-    while i < len(data):
+def packbits_decode(data: bytes, most: int = 1 << 40) -> bytes:
+    out, i, size = [], 0, 0
+    while i < len(data) and size < most:
         n = data[i]
         if n < 128:
             out.append(data[i + 1 : i + 2 + n])
@@ -54,6 +56,8 @@ def packbits_decode(data: bytes) -> bytes:
             i += 2
         else:
             i += 1
+            continue
+        size += len(out[-1])
     return b"".join(out)
 
 
@@ -89,9 +93,9 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out) + (acc << pad).to_bytes((bits + pad) // 8, "big")
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, most: int = 1 << 40) -> bytes:
     base = [bytes((i,)) for i in range(256)] + [b"", b""]
-    entries, width, acc, bits, out, last = base[:], 9, 0, 0, [], None
+    entries, width, acc, bits, out, last, size = base[:], 9, 0, 0, [], None, 0
     for byte in data:
         acc, bits = acc << 8 | byte, bits + 8
         if bits < width:
@@ -112,11 +116,23 @@ def lzw_decode(data: bytes) -> bytes:
             if len(entries) in (511, 1023, 2047):
                 width += 1
         out.append(entry)
+        size += len(entry)
+        if size >= most:
+            break
         last = entry
     return b"".join(out)
 
 
-_DECODE = {NONE: bytes, LZW: lzw_decode, PACKBITS: packbits_decode, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress}
+def inflate(data: bytes, most: int) -> bytes:
+    """At most `most` bytes, so a small strip cannot claim unbounded memory."""
+    return zlib.decompressobj().decompress(data, most)
+
+
+def _plain(data: bytes, most: int) -> bytes:
+    return data[:most]
+
+
+_DECODE = {NONE: _plain, LZW: lzw_decode, PACKBITS: packbits_decode, DEFLATE: inflate, OLD_DEFLATE: inflate}
 _ENCODE = {NONE: bytes, LZW: lzw_encode, PACKBITS: packbits_encode, DEFLATE: lambda b: zlib.compress(b, 1)}
 
 
@@ -211,14 +227,24 @@ def read_tiff(raw: bytes) -> Iterator[Page]:
         samples, compression, predictor = tags.get(277, (1,))[0], tags.get(259, (1,))[0], tags.get(317, (1,))[0]
         if set(tags.get(258, (1,))) != {8} or tags.get(284, (1,))[0] != 1 or compression not in _DECODE or predictor not in (1, 2):
             raise ValueError("unsupported sample layout or compression")
-        image = np.zeros((height, width, samples), np.uint8)
         tiled = 322 in tags
         bw, bh = (tags[322][0], tags[323][0]) if tiled else (width, min(height, tags.get(278, (height,))[0]))
-        across = -(-width // bw)
-        for k, (offset, size) in enumerate(zip(tags[324 if tiled else 273], tags[325 if tiled else 279], strict=True)):
+        if not (width and height and samples and bw and bh):
+            raise ValueError("a page or its blocks have no size")
+        offsets, sizes = tags[324 if tiled else 273], tags[325 if tiled else 279]
+        across, down = -(-width // bw), -(-height // bh)
+        if len(offsets) != across * down or len(sizes) != len(offsets):
+            raise ValueError("the blocks do not cover the page")
+        if any(o + n > len(raw) for o, n in zip(offsets, sizes, strict=True)):
+            raise ValueError("a block lies outside of the file")
+        claimed = across * bw * (down * bh if tiled else height) * samples
+        if claimed > EXPANDS[compression] * sum(sizes) + 64:
+            raise ValueError("the blocks cannot hold as many samples as the page claims")
+        image = np.zeros((height, width, samples), np.uint8)
+        for k, (offset, size) in enumerate(zip(offsets, sizes, strict=True)):
             y, x = (k // across) * bh, (k % across) * bw
             rows = bh if tiled else min(bh, height - y)
-            flat = np.frombuffer(_DECODE[compression](raw[offset : offset + size]), np.uint8)[: rows * bw * samples]
+            flat = np.frombuffer(_DECODE[compression](raw[offset : offset + size], rows * bw * samples), np.uint8)[: rows * bw * samples]
             block = flat.reshape(rows, bw, samples)
             if predictor == 2:
                 block = np.add.accumulate(block, axis=1, dtype=np.uint8)
@@ -242,7 +268,7 @@ def tiff_pages(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
                 try:
                     for k, p in enumerate(read_tiff(raw or b"")):
                         rows.append((key, k, p.width, p.height, p.samples, p.compression, p.predictor, p.tiled, p.data.tobytes(), None))
-                except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
+                except (ValueError, KeyError, IndexError, ArithmeticError, MemoryError, TypeError, struct.error, zlib.error) as e:
                     rows.append((key, len(rows), None, None, None, None, None, None, None, str(e) or type(e).__name__))
                 cols = list(zip(*rows, strict=True)) if rows else [[] for _ in range(10)]
                 types = [batch.schema.field(0).type, *[pa.int32()] * 6, pa.bool_(), pa.binary(), pa.string()]
@@ -252,14 +278,11 @@ def tiff_pages(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
     return out.withColumnRenamed("id", id_col)
 
 
-def payload_pages(payload: np.ndarray, side: int = 576, page_rows: int = 256) -> list[tuple[np.ndarray, Layout]]:
-    """Rows of `side` bytes as pages: deflate strips and deflate tiles in turn, then the last two rows as PackBits and LZW."""
+def payload_pages(payload: np.ndarray, side: int = 576, page_rows: int = 16) -> list[tuple[np.ndarray, Layout]]:
+    """Rows of `side` bytes as pages, dealt over four layouts in turn; the number of rows says which comes first."""
     rows = payload.reshape(-1, side)
-    body = max(0, len(rows) - 2)
-    pages = [(rows[y : min(y + page_rows, body)], Layout(DEFLATE, 2, (side // 2, 64) if (y // page_rows) % 2 else None)) for y in range(0, body, page_rows)]
-    if len(rows) > 1:
-        pages.append((rows[-2:-1], Layout(PACKBITS, 1)))
-    return [*pages, (rows[-1:], Layout(LZW, 1))]
+    layouts = (Layout(DEFLATE, 2, rows_per_strip=8), Layout(LZW, 1, rows_per_strip=8), Layout(DEFLATE, 2, (side // 2, 16)), Layout(PACKBITS, 1, rows_per_strip=8))
+    return [(rows[y : y + page_rows], layouts[(k + len(rows)) % 4]) for k, y in enumerate(range(0, len(rows), page_rows))]
 
 
 def media_digest(docs: DataFrame, side: int = 576) -> DataFrame:
