@@ -4,8 +4,9 @@
    (leftmost if tied). Equal windows have equal anchors at equal places, so only occurrences of one anchor
    need to be compared. Windows that share an anchor are one run of starts; a run's context is all bytes its
    windows cover. Runs travel as packed arrays of hashes.
-2. Runs whose whole context occurs twice are repeated throughout. Where an anchor has different contexts,
-   one text of each goes to a shard, and the shard's suffix array, built by induced sorting, with
+2. Equal contexts are one, which is repeated throughout if several runs have it; a task settles the copies that it
+   meets in a slice of texts and sends one run for them, so a large group of copies meets nowhere. Where an anchor has
+   different contexts, one text of each goes to a shard, and the shard's suffix array, built by induced sorting, with
    permuted common prefixes shows which starts share `length` bytes with another suffix.
 3. An anchor with more than `MAX_CONTEXTS` different contexts (a phrase that very many documents hold) would
    not fit one shard; its windows are compared by 64-bit hash instead, spread over all tasks.
@@ -97,6 +98,7 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> It
 
 
 FULL, CHECK, BOTH, HOT, HOT_BOTH = 1, 2, 3, 4, 5
+TWICE = 1 << 15  # added to the size of a run (at most length - gram) or of a window hash that speaks for copies
 
 
 def decisions(texts: DataFrame, length: int, gram: int, max_contexts: int) -> DataFrame:
@@ -109,12 +111,21 @@ def decisions(texts: DataFrame, length: int, gram: int, max_contexts: int) -> Da
             for lo, data, offsets in _slices(batch.column(1)):
                 rows = []
                 for row, first, last, anchor, context in _pieces(data, offsets, length, gram):
+                    key, first, size = keys[lo + row], first - offsets[row], last - first
+                    order = np.lexsort((first, key, context, anchor))
+                    again = np.zeros(len(order), bool)
+                    again[1:] = (anchor[order[1:]] == anchor[order[:-1]]) & (context[order[1:]] == context[order[:-1]])
+                    size[order[:-1][again[1:] & ~again[:-1]]] += TWICE  # the first of copies speaks for them
+                    known, order = order[again], order[~again]
+                    if len(known):
+                        b = int(mix(key[known[:1]].view(U64))[0] % U64(n_buckets))
+                        rows.append((b, b"", b"", key[known].tobytes(), first[known].astype("<u4").tobytes(), size[known].astype("<u2").tobytes()))
                     bucket = (anchor >> U64(20)) % U64(n_buckets)
-                    order = np.argsort(bucket, kind="stable")
+                    order = order[np.argsort(bucket[order], kind="stable")]
                     cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1, dtype=U64))
                     for b in np.flatnonzero(np.diff(cuts)):
                         o = order[cuts[b] : cuts[b + 1]]
-                        rows.append((int(b), anchor[o].tobytes(), context[o].tobytes(), keys[lo + row[o]].tobytes(), (first[o] - offsets[row[o]]).astype("<u4").tobytes(), (last[o] - first[o]).astype("<u2").tobytes()))
+                        rows.append((int(b), anchor[o].tobytes(), context[o].tobytes(), key[o].tobytes(), first[o].astype("<u4").tobytes(), size[o].astype("<u2").tobytes()))
                 if rows:
                     cols = list(zip(*rows, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "anchor", "context", "key", "first", "size"])
@@ -122,33 +133,42 @@ def decisions(texts: DataFrame, length: int, gram: int, max_contexts: int) -> Da
     def decide(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[list[np.ndarray]] = [[] for _ in range(5)]
         for batch in batches:
-            for i, kind in enumerate((U64, U64, np.int64, "<u4", "<u2")):
-                parts[i] += [np.frombuffer(x, kind) for x in batch.column(i + 1).to_pylist()]
+            for row in zip(*(batch.column(i).to_pylist() for i in range(1, 6)), strict=True):
+                columns = [np.frombuffer(x, kind) for x, kind in zip(row, (U64, U64, np.int64, "<u4", "<u2"), strict=True)]
+                if row[0]:
+                    for part, column in zip(parts, columns, strict=True):
+                        part.append(column)
+                else:  # settled where they were met
+                    yield rows_of(columns[2], columns[3], columns[4] % TWICE, np.zeros(len(columns[2]), U64), np.full(len(columns[2]), FULL))
         if not parts[0]:
             return
         anchor, context, key, first, size = (np.concatenate(p) for p in parts)
+        twice, size = size // TWICE, size % TWICE
         order = np.argsort(anchor, kind="stable")
         a = anchor[order]
         same = np.concatenate([[False], a[1:] == a[:-1]])
-        many = same.copy()
+        many = same | (twice[order] > 0)
         many[:-1] |= same[1:]
         order = order[many]
         if not len(order):
             return
         order = order[np.lexsort((first[order], key[order], context[order], anchor[order]))]
-        anchor, context, key, first, size = anchor[order], context[order], key[order], first[order], size[order]
+        anchor, context, key, first, size, twice = anchor[order], context[order], key[order], first[order], size[order], twice[order]
         new_a = np.concatenate([[True], anchor[1:] != anchor[:-1]])
         new_c = new_a | np.concatenate([[True], context[1:] != context[:-1]])
         group, cell = np.cumsum(new_a) - 1, np.cumsum(new_c) - 1
         contexts = np.bincount(group[new_c], minlength=group[-1] + 1)[group]
-        copies = np.bincount(cell)[cell]
+        copies = np.bincount(cell, weights=1 + twice)[cell]
         state = np.where(copies > 1, FULL, 0)
         speaks = new_c & (contexts > 1)
         state[speaks] += np.where(contexts[speaks] > max_contexts, HOT, CHECK)
         keep = state > 0
         for lo in range(0, len(state), 50_000):
             k = np.flatnonzero(keep[lo : lo + 50_000]) + lo
-            yield pa.RecordBatch.from_arrays([pa.array(key[k]), pa.array(first[k].astype(np.int64)), pa.array(size[k].astype(np.int32)), pa.array(anchor[k].view(np.int64)), pa.array(state[k].astype(np.int32))], names=["key", "first", "size", "anchor", "state"])
+            yield rows_of(key[k], first[k], size[k], anchor[k], state[k])
+
+    def rows_of(key, first, size, anchor, state) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(first.astype(np.int64)), pa.array(size.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(state.astype(np.int32))], names=["key", "first", "size", "anchor", "state"])
 
     posted = texts.select("key", "text").mapInArrow(post, "bucket int, anchor binary, context binary, key binary, first binary, size binary")
     return dealt(posted).mapInArrow(decide, "key long, first long, size int, anchor long, state int")
@@ -172,8 +192,8 @@ def shard_marks(contexts: DataFrame, length: int, shard_bytes: int) -> DataFrame
             window[begins[:-1]] += 1
             window[begins[:-1] + np.maximum(sizes - length + 1, 0)] -= 1
             window = np.cumsum(window, dtype=np.int8)[: len(data)] > 0
-            phi, plcp = permuted_common_prefixes(data, sa, length, window)
-            hit = plcp >= length
+            phi, plcp = permuted_common_prefixes(data, sa)
+            hit = (plcp >= length) & window
             hit[phi[hit]] = True
             at = np.flatnonzero(hit)
             which = np.searchsorted(begins, at, side="right") - 1
@@ -229,28 +249,43 @@ def hash_marks(texts: DataFrame, length: int) -> DataFrame:
 
     def pack(parts: list[list]) -> pa.RecordBatch:
         h, key, first = (np.concatenate(p) for p in parts)
+        order = np.argsort(h, kind="stable")
+        again = np.zeros(len(order), bool)
+        again[1:] = h[order[1:]] == h[order[:-1]]
+        speaks = np.zeros(len(h), np.uint8)
+        speaks[order[:-1][again[1:] & ~again[:-1]]] = 1
+        known, order = order[again], order[~again]
+        rows = [(int(mix(key[known[:1]].view(U64))[0] % U64(n_buckets)), b"", key[known].tobytes(), first[known].astype("<u4").tobytes(), b"")] if len(known) else []
         bucket = (h >> U64(20)) % U64(n_buckets)
-        order = np.argsort(bucket, kind="stable")
+        order = order[np.argsort(bucket[order], kind="stable")]
         cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1, dtype=U64))
-        rows = [(int(b), h[o].tobytes(), key[o].tobytes(), first[o].astype("<u4").tobytes()) for b in np.flatnonzero(np.diff(cuts)) for o in [order[cuts[b] : cuts[b + 1]]]]
+        rows += [(int(b), h[o].tobytes(), key[o].tobytes(), first[o].astype("<u4").tobytes(), speaks[o].tobytes()) for b in np.flatnonzero(np.diff(cuts)) for o in [order[cuts[b] : cuts[b + 1]]]]
         cols = list(zip(*rows, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "h", "key", "first"])
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "h", "key", "first", "speaks"])
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[list[np.ndarray]] = [[], [], []]
+        parts: list[list[np.ndarray]] = [[], [], [], []]
         for batch in batches:
-            for i, kind in enumerate((U64, np.int64, "<u4")):
-                parts[i] += [np.frombuffer(x, kind) for x in batch.column(i + 1).to_pylist()]
+            for row in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
+                columns = [np.frombuffer(x, kind) for x, kind in zip(row, (U64, np.int64, "<u4", np.uint8), strict=True)]
+                if row[0]:
+                    for part, column in zip(parts, columns, strict=True):
+                        part.append(column)
+                else:
+                    yield rows_of(columns[1], columns[2])
         if not parts[0]:
             return
-        h, key, first = (np.concatenate(p) for p in parts)
-        _, inverse, counts = np.unique(h, return_inverse=True, return_counts=True)
-        k = np.flatnonzero(counts[inverse] > 1)
+        h, key, first, speaks = (np.concatenate(p) for p in parts)
+        _, inverse = np.unique(h, return_inverse=True)
+        k = np.flatnonzero(np.bincount(inverse, weights=1 + speaks.astype(np.int64))[inverse] > 1)
         for lo in range(0, len(k), 50_000):
             o = k[lo : lo + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(key[o]), pa.array(first[o].astype(np.int64)), pa.array(np.zeros(len(o), np.int32))], names=["key", "first", "size"])
+            yield rows_of(key[o], first[o])
+
+    def rows_of(key, first) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(first.astype(np.int64)), pa.array(np.zeros(len(key), np.int32))], names=["key", "first", "size"])
 
-    posted = texts.select("key", "text", "runs").mapInArrow(post, "bucket int, h binary, key binary, first binary")
+    posted = texts.select("key", "text", "runs").mapInArrow(post, "bucket int, h binary, key binary, first binary, speaks binary")
     return dealt(posted).mapInArrow(meet, "key long, first long, size int")
 
 
@@ -319,4 +354,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, **settings) -> DataFra
 
 
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept").withColumn("has_repeats", F.col("n_removed") > 0)

@@ -1,19 +1,20 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, in numpy.
 
 Suffixes are classified as larger or smaller than their right neighbour; leftmost-smaller substrings are
-sorted by induction, named, and their reduced string is sorted recursively; the order of all suffixes
-is then induced from it. Induction runs bucket by bucket: a wave takes all suffixes that are known in a
-bucket and places the suffixes before them, so each step is an array operation.
+sorted by induction, named by comparing neighbours, and their reduced string is sorted recursively; the order of
+all suffixes is then induced from it. Over few symbols induction runs bucket by bucket: a wave takes all suffixes that
+are known in a bucket and places the suffixes before them, so each step is an array operation. Over many symbols, where
+waves would hold a suffix or two, the same induction runs suffix by suffix.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from .textops import U64, mix
+from .textops import U64
 
-#: Above this alphabet the reduced string is sorted by rank doubling, since waves would hold too few suffixes.
-MAX_ALPHABET = 1024
+#: Up to this many symbols induction runs in waves. Both forms give the same order.
+WAVE_SYMBOLS = 1024
 
 
 def _types(s: np.ndarray) -> np.ndarray:
@@ -29,7 +30,9 @@ def _types(s: np.ndarray) -> np.ndarray:
     return smaller
 
 
-class _Buckets:
+class _Waves:
+    """Induction by buckets."""
+
     def __init__(self, s: np.ndarray, smaller: np.ndarray):
         self.s, self.smaller = s, smaller
         counts = np.bincount(s)
@@ -91,19 +94,58 @@ class _Buckets:
         return sa
 
 
-def _doubling(s: np.ndarray) -> np.ndarray:
-    rank, k, n = s.astype(np.int64), 1, len(s)
-    while True:
-        second = np.zeros(n, np.int64)
-        second[:-k] = rank[k:] + 1
-        order = np.lexsort((second, rank))
-        r, t = rank[order], second[order]
-        new = np.concatenate([[0], np.cumsum((r[1:] != r[:-1]) | (t[1:] != t[:-1]))])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        k *= 2
-        if new[-1] == n - 1 or k >= n:
-            return order
+class _Steps:
+    """The same induction, suffix by suffix."""
+
+    def __init__(self, s: np.ndarray, smaller: np.ndarray):
+        self.head = np.concatenate([[0], np.cumsum(np.bincount(s))])
+        # Of each suffix, what its induction asks for: the suffix before it, if that is larger, or if it is smaller.
+        before = np.arange(len(s)) - 1
+        before_smaller = np.concatenate([[False], smaller[:-1]])
+        self.larger = np.where((before >= 0) & ~before_smaller, before, -1).tolist()
+        self.smaller = np.where((before >= 0) & before_smaller, before, -1).tolist()
+        self.s, self.n = s.tolist(), len(s)
+
+    def induce(self, lms: np.ndarray) -> np.ndarray:
+        s, larger, smaller, n = self.s, self.larger, self.smaller, self.n
+        sa = [-1] * n
+        tails = self.head[1:].tolist()
+        for p in reversed(lms.tolist()):
+            c = s[p]
+            tails[c] -= 1
+            sa[tails[c]] = p
+        heads = self.head[:-1].tolist()
+        for i in range(n):
+            p = sa[i]
+            if p >= 0:
+                q = larger[p]
+                if q >= 0:
+                    c = s[q]
+                    sa[heads[c]] = q
+                    heads[c] += 1
+        tails = self.head[1:].tolist()
+        for i in range(n - 1, -1, -1):
+            p = sa[i]
+            if p >= 0:
+                q = smaller[p]
+                if q >= 0:
+                    c = s[q]
+                    tails[c] -= 1
+                    sa[tails[c]] = q
+        return np.array(sa, np.int64)
+
+
+def _names(s: np.ndarray, found: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Ranks of sorted leftmost-smaller substrings (start, size): equal substrings, which are neighbours, get equal ranks."""
+    fresh = np.ones(len(found), bool)
+    pair, k = np.flatnonzero(size[1:] == size[:-1]) + 1, 0
+    while len(pair):
+        pair = pair[s[found[pair] + k] == s[found[pair - 1] + k]]
+        k += 1
+        done = size[pair] == k
+        fresh[pair[done]] = False
+        pair = pair[~done]
+    return np.cumsum(fresh) - 1
 
 
 def _sort(s: np.ndarray) -> np.ndarray:
@@ -113,20 +155,17 @@ def _sort(s: np.ndarray) -> np.ndarray:
         return np.arange(n)[::-1].copy()
     smaller = _types(s)
     lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
-    buckets = _Buckets(s, smaller)
+    buckets = (_Waves if s.max() < WAVE_SYMBOLS else _Steps)(s, smaller)
     if len(lms) == 1:
         return buckets.induce(lms).copy()
     sa = buckets.induce(lms)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     found = sa[is_lms[sa]]
-    # Names: equal substrings from one leftmost-smaller symbol up to the next get equal names.
-    nxt = np.empty(n, np.int64)
-    nxt[lms] = np.append(lms[1:] + 1, n)
-    names_of = _substring_hash(s, found, nxt[found])
-    length = nxt[found] - found
-    fresh = np.concatenate([[True], (names_of[1:] != names_of[:-1]) | (length[1:] != length[:-1])])
-    name = np.cumsum(fresh) - 1
+    # A substring reaches from one leftmost-smaller symbol up to and with the next.
+    end = np.empty(n, np.int64)
+    end[lms] = np.append(lms[1:] + 1, n)
+    name = _names(s, found, end[found] - found)
     reduced = np.empty(n, np.int64)
     reduced[found] = name
     reduced = reduced[lms]
@@ -134,26 +173,10 @@ def _sort(s: np.ndarray) -> np.ndarray:
         order = np.empty(len(lms), np.int64)
         order[reduced] = np.arange(len(lms))
     else:
-        order = _doubling(reduced) if name[-1] + 1 > MAX_ALPHABET else _sort(reduced)
+        order = _sort(reduced)
     return buckets.induce(lms[order]).copy()
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inv = pow(_BASE, -1, 1 << 64)
-    a, b = np.full(n, _BASE, U64), np.full(n, inv, U64)
-    a[0] = b[0] = 1
-    return np.multiply.accumulate(a), np.multiply.accumulate(b)
-
-
-def _substring_hash(s: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    up, down = _power(len(s) + 1)
-    sums = np.concatenate([[U64(0)], np.cumsum(mix(s.astype(U64) + U64(1)) * up[: len(s)], dtype=U64)])
-    return (sums[end] - sums[start]) * down[start]
-
-
 def suffix_array(data: np.ndarray) -> np.ndarray:
     """Suffix array of a byte array (without a sentinel)."""
     if not len(data):
@@ -161,29 +184,34 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     return _sort(np.append(data.astype(np.int64) + 1, 0))[1:]
 
 
-def permuted_common_prefixes(data: np.ndarray, sa: np.ndarray, limit: int, where: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """For each position: the suffix before it in the array (-1: none), and their common prefix up to limit.
+def permuted_common_prefixes(data: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each position: the suffix before it in the array (-1: none), and the length of their common prefix.
 
-    where: a mask of the positions whose prefixes are wanted; the others get 0.
+    A common prefix is found by comparing bytes only where the symbols before the two suffixes differ; everywhere else it
+    is one less than at the position before. The sum of the lengths compared is at most 2 n log n.
     """
     n = len(data)
     phi = np.full(n, -1, np.int64)
     phi[sa[1:]] = sa[:-1]
-    up, down = _power(n + 1)
-    sums = np.concatenate([[U64(0)], np.cumsum(mix(data.astype(U64) + U64(1)) * up[:n], dtype=U64)])
-    at = np.flatnonzero(phi >= 0 if where is None else (phi >= 0) & where)
-    a, b = at, phi[at]
-    size = np.zeros(len(at), np.int64)
-    most = np.minimum(limit, n - np.maximum(a, b))
-    step = 1 << max(0, int(limit).bit_length() - 1)
-    while step:
-        trial = size + step
-        ok = trial <= most
-        x, y, t, z = a[ok], b[ok], step, size[ok]
-        same = (sums[x + z + t] - sums[x + z]) * down[x + z] == (sums[y + z + t] - sums[y + z]) * down[y + z]
-        idx = np.flatnonzero(ok)[same]
-        size[idx] += step
-        step >>= 1
-    plcp = np.zeros(n, np.int64)
-    plcp[at] = size
-    return phi, plcp
+    every = np.arange(n)
+    back = np.maximum(phi, 1) - 1
+    follows = (every > 0) & (phi > 0) & (data[np.maximum(every, 1) - 1] == data[back]) if n else np.zeros(0, bool)
+    at = np.flatnonzero(~follows & (phi >= 0))
+    other = phi[at]
+    size, most = np.zeros(len(at), np.int64), n - np.maximum(at, other)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    word = np.zeros(n, U64)
+    for j in range(8):
+        word |= padded[j : j + n].astype(U64) << U64(8 * j)
+    live = np.arange(len(at))
+    while len(live):
+        differ = word[at[live] + size[live]] ^ word[other[live] + size[live]]
+        equal = differ == 0
+        first = np.bitwise_count((differ & (~differ + U64(1))) - U64(1)) // 8  # bytes before the first that differs
+        size[live] += np.where(equal, 8, first)
+        live = live[equal]
+        live = live[size[live] < most[live]]
+    value = np.zeros(n, np.int64)
+    value[at] = np.minimum(size, most)
+    last = np.maximum.accumulate(np.where(follows, 0, every)) if n else every
+    return phi, value[last] - (every - last)
