@@ -30,7 +30,7 @@ def odd(spark):
     base = prose(1, 120)
     rows = [
         (None, base), (1, None), (2, ""), (3, " \n\t "), (4, "One two"), (5, prose(2, 20_000)), (6, base), (6, base), (7, base.upper()), (8, edit(base, 40, "x")), (9, "one  TWO"),
-        (10, "naïve café\nπ ρ 😀"), (11, edit(base, 3, "y")), (12, "a " * 300), (-5, base), (13, prose(9, 4)), (6, prose(3, 50)),
+        (10, "naïve café\nπ ρ 😀 <|endoftext|> <|startoftext|>x"), (11, edit(base, 3, "y")), (12, "a " * 300), (-5, base), (13, prose(9, 4)), (6, prose(3, 50)),
     ]
     df = spark.createDataFrame([(*r, i, f"s{i}") for i, r in enumerate(rows)], "doc_id long, text string, n long, score string")
     return df.select("*", *[F.lit("clash").alias(c) for c in ("cls", "root", "key", "leaf", "line", "drop", "lines", "label", "count", "token")])
@@ -216,6 +216,7 @@ def test_tiff_pages_and_digest(spark, odd, empty):
     got = collections.Counter((r.id, r.error is None) for r in tiff.tiff_pages(df, "id", "media").collect())
     assert got[1, True] == 2 and got[2, False] == got[3, False] == got[4, False] == 1
     out = tiff.media_digest(odd).collect()
+    assert len({r.feature.split(";")[0] for r in out}) > 1
     want = []
     for d, t in docs_of(odd):
         raw = (t or "").encode()
@@ -225,6 +226,32 @@ def test_tiff_pages_and_digest(spark, odd, empty):
     assert tiff.media_digest(empty).count() == 0
 
 
+def retagged(raw, **values):
+    """A one-page file with other values of tags."""
+    raw = bytearray(raw)
+    at = int.from_bytes(raw[4:8], "little")
+    for i in range(int.from_bytes(raw[at : at + 2], "little")):
+        entry = at + 2 + 12 * i
+        tag = f"t{int.from_bytes(raw[entry : entry + 2], 'little')}"
+        if tag in values:
+            raw[entry + 8 : entry + 12] = values[tag].to_bytes(4, "little")
+    return bytes(raw)
+
+
+def test_tiff_damaged_media_gives_a_row(spark):
+    page = np.arange(64, dtype=np.uint8).reshape(8, 8)
+    media = []
+    for kind in (tiff.NONE, tiff.LZW, tiff.PACKBITS, tiff.DEFLATE):
+        good = tiff.write_tiff([(page, tiff.Layout(kind, 1))])
+        huge = retagged(good, t256=1 << 20, t257=1 << 20, t278=1 << 20)
+        media += [retagged(good, t256=0), retagged(good, t257=0), huge, retagged(good, t278=0), retagged(good, t277=0), retagged(good, t279=1 << 30), retagged(good, t273=1 << 30), retagged(good, t256=16)]
+    bomb = tiff.write_tiff([(np.zeros((4096, 4096), np.uint8), tiff.Layout(tiff.DEFLATE, 1, rows_per_strip=4096))])
+    media.append(retagged(bomb, t256=8, t257=8, t278=8))  # the strip holds far more than the page: only the page is decoded
+    rows = tiff.tiff_pages(spark.createDataFrame(list(enumerate(media)), "id long, media binary"), "id", "media").collect()
+    assert sorted(r.id for r in rows) == list(range(len(media)))
+    assert all(r.error and r.data is None for r in rows if r.id < len(media) - 1) and next(r for r in rows if r.id == len(media) - 1).data == bytes(64)
+
+
 # ---------------------------------------------------------------- 4
 
 
@@ -334,7 +361,9 @@ def test_short_and_long_lines(spark):
 
 @pytest.mark.parametrize("n", [0, 1, 2, 7, 60, 900])
 @pytest.mark.parametrize("kinds", [1, 2, 4, 255])
-def test_suffix_array(n, kinds):
+@pytest.mark.parametrize("wave", [1024, 2])
+def test_suffix_array(monkeypatch, n, kinds, wave):
+    monkeypatch.setattr(suffix, "WAVE_SYMBOLS", wave)
     rng = np.random.default_rng(n * 7 + kinds)
     data = rng.integers(0, kinds, n).astype(np.uint8)
     if n > 50:
@@ -342,9 +371,9 @@ def test_suffix_array(n, kinds):
     raw = data.tobytes()
     sa = suffix.suffix_array(data)
     assert list(sa) == sorted(range(len(raw)), key=lambda i: raw[i:])
-    phi, plcp = suffix.permuted_common_prefixes(data, sa, 50)
+    phi, plcp = suffix.permuted_common_prefixes(data, sa)
     for a, b in zip(sa, sa[1:], strict=False):
-        common = next((k for k in range(50) if a + k >= len(raw) or b + k >= len(raw) or raw[a + k] != raw[b + k]), 50)
+        common = next(k for k in range(len(raw)) if a + k >= len(raw) or b + k >= len(raw) or raw[a + k] != raw[b + k])
         assert phi[b] == a and plcp[b] == common
 
 
@@ -363,7 +392,7 @@ def brute_repeats(rows, length):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize(("contexts", "shard"), [(256, 1 << 20), (2, 700)])
+@pytest.mark.parametrize(("contexts", "shard"), [(256, 1 << 20), (2, 700), (1, 300)])
 def test_repeats(spark, odd, empty, contexts, shard):
     rng = random.Random(3)
     rows = [(i, "".join(rng.choice("ab") for _ in range(rng.randint(0, 200)))) for i in range(50)] + [(100 + i, prose(i, 20) + prose("same", 12) + prose(-i, 20)) for i in range(12)]
@@ -415,7 +444,7 @@ def test_common_lines_is_longest():
 # ---------------------------------------------------------------- 9, 10
 
 
-TEXTS = ["a  b", " a", "a ", "a \n b", "\n \n", "x\n y\n\n z", "  ", "", "it's I'll", "Á é Σας ΟΔΟΣ. 12 3", "<|endoftext|> hi", "e ́x", "x.\ny,", "a²,b", "İx, ÀÉ.", "don't, can't...", " ,a .b\n.c", "tab\tx\n\ty", "Hello, World! 2026-01-01\nNew line", "ß × ÷ å", "a b", "😀 ok"]
+TEXTS = ["a  b", " a", "a ", "a \n b", "\n \n", "x\n y\n\n z", "  ", "", "it's I'll", "Á é Σας ΟΔΟΣ. 12 3", "<|endoftext|> hi", "a<|endoftext|>b", "x <|startoftext|> <|endoftext|>\ny", "<|ENDOFTEXT|> z", "<|end oftext|>", "e ́x", "x.\ny,", "a²,b", "İx, ÀÉ.", "don't, can't...", " ,a .b\n.c", "tab\tx\n\ty", "Hello, World! 2026-01-01\nNew line", "ß × ÷ å", "a b", "😀 ok"]
 
 
 @pytest.mark.parametrize(("name", "kind"), [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
@@ -424,7 +453,6 @@ def test_cached_tokenizer_is_exact(name, kind):
 
     path = tokens.vocabulary(name)
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     cached = tokens.CachedTokenizer(path, kind, limit=50)
     texts = TEXTS + [prose(i, 30).replace(" mu", "\nMu,") for i in range(40)]
     for _ in range(2):
@@ -436,7 +464,6 @@ def ids_of(name, rows, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.vocabulary(name))
-    t.encode_special_tokens = True
     return [(d, [*t.encode(x or "", add_special_tokens=False).ids, end]) for d, x in rows]
 
 
@@ -459,7 +486,11 @@ def test_token_files(spark, odd, empty, tmp_path):
     with open(path, "rb") as f:
         size = f.seek(0, 2)
         file = token_output.TokenFile(f, size)
-        assert file.document(file.doc_ids[0]).tolist() == list(dict(file).values())[0].tolist()
+        every = list(file)
+        for d in set(file.doc_ids):
+            assert file.document(d).tolist() == next(ids.tolist() for x, ids in every if x == d) and len(file.find(d)) == file.doc_ids.count(d)
+        with pytest.raises(KeyError):
+            file.document(10**9)
     raw = bytearray(open(path, "rb").read())
     at = raw.index(b"\x28\xb5\x2f\xfd") + 9
     raw[at] ^= 0xFF
