@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.sources.storage import cut, fresh_path, shared_dir, table
 
-__all__ = ["cut", "dealt", "fresh_path", "partitions", "release", "remainder", "rows_with", "shared_dir", "table"]
+__all__ = ["cut", "dealt", "fresh_path", "partitions", "release", "remainder", "rows_with", "shared_dir", "table", "unused"]
 
 
 def release(spark: SparkSession) -> None:
@@ -32,6 +32,17 @@ def remainder(doc_id, m: int):
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(m)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores until no column of df has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
 def rows_with(df: DataFrame, extra: str) -> str:
     """Schema text of df's columns and one more."""
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), extra])

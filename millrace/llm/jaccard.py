@@ -262,8 +262,9 @@ def _meet(posted: DataFrame, percent: int) -> DataFrame:
 
 
 def list_edges(token: np.ndarray, cls: np.ndarray, n: np.ndarray, rest: np.ndarray, percent: int, small: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate edges of posting lists: filtered pairs of short lists, a chain by size of long ones.
+    """Candidate edges of posting lists: filtered pairs of lists of up to `small` sets, a chain by size of longer ones.
 
+    Both connect all sets that link, which cells decide exactly; a chain only leaves more to the cells.
     rest: how many tokens of the set come from this one on; a pair's overlap is at most the smaller rest.
     """
     order = np.argsort(token, kind="stable")
@@ -383,17 +384,11 @@ class Union:
 def cell_links(ids: np.ndarray, sets: list[np.ndarray], sizes: list[int], queries: list[int], percent: int) -> list[tuple[int, int]]:
     """Edges that join what links: every query against all sets of the cell (queries are among the sets)."""
     union = Union(len(sets))
-    if len(sets) <= 3:
-        for i in queries:
-            for j in range(len(sets)):
-                if i != j and similar(sets[i], sets[j], sizes[i], sizes[j], percent):
-                    union.join(i, j)
-    else:
-        matrix = TokenGroupMatrix(sets, sizes, percent)
-        for i in queries:
-            for j in matrix.open(sets[i], sizes[i]):
-                if union.find(i) != union.find(j) and similar(sets[i], sets[j], sizes[i], sizes[j], percent):
-                    union.join(i, j)
+    matrix = TokenGroupMatrix(sets, sizes, percent)
+    for i in queries:
+        for j in matrix.open(sets[i], sizes[i]):
+            if union.find(i) != union.find(j) and similar(sets[i], sets[j], sizes[i], sizes[j], percent):
+                union.join(i, j)
     return [(int(ids[i]), int(ids[union.find(i)])) for i in range(len(sets)) if union.find(i) != i]
 
 
@@ -486,7 +481,7 @@ def jaccard_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT)
     linked = linked_classes(docs, k, percent)
     some = rows.where("n_shingles > 0 and doc_id is not null").join(linked, "cls", "left").select("doc_id", "n_shingles", F.coalesce("root", "cls").alias("c"))
     some = cut(some)
-    lowest = some.groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    lowest = cut(some.groupBy("c").agg(F.min("doc_id").alias("component_id")))  # apart from the join, so that can split a large class
     full = some.join(lowest, "c").select("doc_id", "n_shingles", "component_id")
     return full.unionAll(rows.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 

@@ -8,12 +8,14 @@ prose shares it. Lines that agree with the constants of a recurring template are
 the smallest id that holds it.
 
 A template recurs when at least `min_documents` independent documents hold it; a line of LONG_TOKENS tokens or more that is
-the same but for tokens with digits recurs when LONG_DOCUMENTS do. Lines of under `min_tokens` tokens are compared as they are. Documents that are linked by a
-shingle similarity of at least 0.75 have one vote together (exact classes of the near-duplicate operator), so copies of one
+the same but for tokens with digits recurs when LONG_DOCUMENTS do. Lines of under `min_tokens` tokens are compared as they are. Near
+copies (module `copies`: an estimated shingle similarity of 0.75) have one vote together, so copies of one
 text do not make its lines recur: near-duplicate removal is another operator's task.
 
-Scale: shingles and line keys travel packed; lines of leaves that do not recur are kept back by a bit filter of
-fixed size. The texts are shuffled once, to meet their drop lists.
+Scale: signatures and line keys travel packed; lines of leaves that do not recur are kept back by a bit filter of
+fixed size. What a leaf, a group or a template has is counted first and checkpointed, so the join that brings it back to
+the lines has no aggregate on it and can be split where one of them holds many lines. The texts are shuffled once, to
+meet their drop lists.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard
-from .common import cut, dealt, partitions, release, table
+from .common import cut, dealt, partitions, release, table, unused
+from .copies import near_copies
 from .textops import U64, buffers, slices
 
 DEPTH = 3
@@ -62,12 +64,6 @@ def _leaves(text: str, depth: int, min_tokens: int) -> Iterator[tuple[int, int,
             yield i, (xxhash.xxh64_intdigest("\x1e" + "\x1f".join(tokens)) - (1 << 63)) & ~1, tokens
 
 
-def near_copies(texts: DataFrame) -> DataFrame:
-    """texts (key, text) -> key, voice for the texts that are near copies of others: the smallest key of their class."""
-    found = jaccard.jaccard_components(texts.select(F.col("key").alias("doc_id"), "text"))
-    return found.where("doc_id <> component_id").select(F.col("doc_id").alias("key"), F.col("component_id").alias("voice")).distinct()
-
-
 def with_voice(rows: DataFrame, copies: DataFrame) -> DataFrame:
     """rows (key, ...) and their voice; a text without near copies is its own."""
     return rows.join(copies, "key", "left").withColumn("voice", F.coalesce("voice", "key"))
@@ -161,48 +157,49 @@ def groups_of(leaf: str, tokens: str, min_documents: int, fewest: int):
 def dropped_lines(texts: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_documents: int = MIN_DOCUMENTS, agree: float = 0.8) -> DataFrame:
     """texts (key, doc_id, text) -> key, line numbers to drop."""
     fewest = min(LONG_DOCUMENTS, min_documents)
-    copies = cut(near_copies(texts))
+    copies = cut(near_copies(texts).where("node <> root").select(F.col("node").alias("key"), F.col("root").alias("voice")))
     release(texts.sparkSession)
     heard = with_voice(leaf_votes(texts, depth, min_tokens, min_documents), copies).select("leaf", "voice").distinct()
     leaves = cut(heard.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= F.when(F.col("leaf").bitwiseAND(F.lit(1)) == 1, fewest).otherwise(min_documents)).select("leaf"))
     held = cut(with_voice(lines_of(texts, leaves, depth, min_tokens).join(leaves, "leaf"), copies))
     parts = held.withColumn("part", F.explode(groups_of("leaf", "tokens", min_documents, fewest))).select("*", "part.*").drop("part")
-    common = parts.select("group", "need", "voice").distinct().groupBy("group", "need").count().where("count >= need")
-    parts = cut(parts.join(common.select("group"), "group"))
+    common = cut(parts.select("group", "need", "voice").distinct().groupBy("group", "need").count().where("count >= need").select("group"))
+    parts = cut(parts.join(common, "group"))
     voters = parts.select("group", "voice", "tokens").distinct()
     spots = voters.select("group", F.posexplode("tokens").alias("at", "token")).groupBy("group", "at", "token").agg(F.count("*").alias("n"))
     mode = spots.groupBy("group", "at").agg(F.sum("n").alias("all"), F.max(F.struct("n", "token")).alias("top"))
     constant = (2 * F.col("top.n") >= F.col("all")) & (F.col("top.token") != FIELD)
     template = mode.groupBy("group").agg(F.map_from_entries(F.collect_list(F.when(constant, F.struct(F.col("at"), F.col("top.token").alias("token"))))).alias("template"))
+    template = cut(template.where((F.size("template") > 0)))
     same = F.size(F.filter(F.map_entries("template"), lambda e: F.get("tokens", e["key"]) == e["value"]))
-    fits = parts.join(template, "group").where((F.size("template") > 0) & (2 * F.size("template") >= F.size("tokens")) & (same >= agree * F.size("template"))).select("group", "need", "key", "voice", "doc_id", "line")
+    fits = parts.join(template, "group").where((2 * F.size("template") >= F.size("tokens")) & (same >= agree * F.size("template"))).select("group", "need", "key", "voice", "doc_id", "line")
     fits = cut(fits)
-    voices = fits.select("group", "need", "voice").distinct().groupBy("group", "need").agg(F.count("*").alias("n")).where("n >= need").drop("need")
+    voices = cut(fits.select("group", "need", "voice").distinct().groupBy("group", "need").agg(F.count("*").alias("n")).where("n >= need").drop("need"))
     # A line belongs to one template, the one with the most voices, so every template that drops lines has a keeper.
     chosen = cut(fits.join(voices, "group").groupBy("key", "doc_id", "line").agg(F.max(F.struct("n", "group")).alias("top")).select("key", "doc_id", "line", F.col("top.group").alias("group")))
-    first = chosen.groupBy("group").agg(F.min(F.struct("doc_id", "key")).alias("owner")).select("group", F.col("owner.key").alias("owner"))
+    first = cut(chosen.groupBy("group").agg(F.min(F.struct("doc_id", "key")).alias("owner")).select("group", F.col("owner.key").alias("owner")))
     return chosen.join(first, "group").where("key <> owner").groupBy("key").agg(F.collect_set("line").alias("drop"))
 
 
-def dedup_lines(docs: DataFrame, **settings) -> DataFrame:
-    """docs with recurring template lines dropped from `text`, plus n_lines and n_dropped.
+def dedup_lines(docs: DataFrame, counts: bool = True, **settings) -> DataFrame:
+    """docs with recurring template lines dropped from `text`, plus n_lines and n_dropped where `counts` is set.
 
     A null text stays null and has no lines; blank lines are kept, lines of under `min_tokens` tokens recur only as they are.
-    Rows that are equal in id and text are treated alike. All other columns pass through, but columns named
-    n_lines or n_dropped are replaced.
+    Rows that are equal in id and text are treated alike. All other columns pass through; the counts replace
+    columns of their names, so without them those pass through too.
     """
-    named = docs.drop("n_lines", "n_dropped")
-    keyed = named.withColumn("__key", F.xxhash64("doc_id", "text"))
-    texts = keyed.select(F.col("__key").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    drops = dropped_lines(texts, **settings).withColumnRenamed("key", "__key").withColumnRenamed("drop", "__drop")
-    lines = F.split("text", "\n")
-    rest = F.filter(F.col("__lines"), lambda _, i: ~F.array_contains("__drop", i))
-    out = keyed.join(drops, "__key", "left").withColumn("__lines", lines)
-    n = F.coalesce(F.size("__drop"), F.lit(0))
+    named = docs.drop("n_lines", "n_dropped") if counts else docs
+    key, drop, lines = unused(named, "key", "drop", "lines")
+    keyed = named.withColumn(key, F.xxhash64("doc_id", "text"))
+    texts = keyed.select(F.col(key).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    drops = dropped_lines(texts, **settings).select(F.col("key").alias(key), F.col("drop").alias(drop))
+    rest = F.filter(F.col(lines), lambda _, i: ~F.array_contains(F.col(drop), i))
+    out = keyed.join(drops, key, "left").withColumn(lines, F.split("text", "\n"))
+    n = F.coalesce(F.size(drop), F.lit(0))
+    numbers = [F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), F.when(n > 0, n).otherwise(0).cast("long").alias("n_dropped")]
     return out.select(
-        *[F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n")).alias("text") if c == "text" else F.col(c) for c in named.columns],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size("__lines")).cast("long").alias("n_lines"),
-        F.when(n > 0, n).otherwise(0).cast("long").alias("n_dropped"),
+        *[F.when(F.col(drop).isNull(), F.col("text")).otherwise(F.array_join(rest, "\n")).alias("text") if c == "text" else F.col(c) for c in named.columns],
+        *(numbers if counts else []),
     )
 
 

@@ -356,6 +356,75 @@ def test_short_and_long_lines(spark):
     assert got[100].n_dropped == 0 and got[101].n_dropped == 1 and long not in got[101].text
 
 
+def brute_dropped(rows, min_documents=10):
+    """The drop rules over (doc_id, text) rows without near copies, one dictionary at a time."""
+    lines = []
+    for d, text in rows:
+        for i, line in enumerate((text or "").split("\n")):
+            t = line.split()
+            if len(t) >= 4:
+                m = ["<*>" if re.search(r"\d", x) else x for x in t]
+                q = [len(t) * j // 4 for j in range(5)]
+                leaf = (len(t), *m[:3])
+                groups = [("leaf", leaf), *[(j, leaf, *m[q[j] : q[j + 1]]) for j in range(4)], ("all", *m)]
+                lines.append((d, i, m, [(g, 2 if g[0] == "all" and len(t) >= 50 else min_documents) for g in groups]))
+            elif t:
+                q = [len(t) * j // 4 for j in range(5)]
+                groups = [("short", *t), *[(j, "short", *t) for j in range(4)], ("all", *t)]
+                lines.append((d, i, t, [(g, min_documents) for g in groups]))
+    held = collections.defaultdict(list)
+    for d, i, m, groups in lines:
+        for g, need in groups:
+            held[g, need].append((d, i, tuple(m)))
+    fits = {}
+    for (g, need), rows_ in held.items():
+        if len({d for d, _, _ in rows_}) < need:
+            continue
+        voters = {(d, m) for d, _, m in rows_}
+        template = {}
+        for at in range(len(rows_[0][2])):
+            counts = collections.Counter(m[at] for _, m in voters if at < len(m))
+            n, token = max((n, x) for x, n in counts.items())
+            if 2 * n >= sum(counts.values()) and token != "<*>":
+                template[at] = token
+        good = [(d, i) for d, i, m in rows_ if template and 2 * len(template) >= len(m) and sum(m[a] == x for a, x in template.items()) >= 0.8 * len(template)]
+        n = len({d for d, _ in good})
+        if n >= need:
+            for x in good:
+                fits.setdefault(x, []).append((n, g))
+    best = {x: max(n for n, _ in found) for x, found in fits.items()}
+    return best
+
+
+def test_line_templates_against_brute_force(spark):
+    rng, rows = random.Random(12), []
+    kinds = [lambda i: f"Page {i} of {i + 9} served at 12:{i % 60:02d} today", lambda i: "All rights reserved", lambda i: f"Posted by {rng.choice(WORDS)} on the list", lambda i: "Read our terms and the privacy notice before use", lambda i: f"Read our terms and {rng.choice(WORDS)} notes before use", lambda i: f"{rng.choice(WORDS)} {rng.choice(WORDS)} one two three"]
+    for i in range(90):
+        lines = [prose(f"bf{i}", rng.randrange(8, 30))] + [rng.choice(kinds)(i) for _ in range(rng.randrange(3))]
+        rng.shuffle(lines)
+        rows.append((i, "\n".join(lines)))
+    best = brute_dropped(rows)
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kept_by_owner = 0
+    for d, text in rows:
+        lines = text.split("\n")
+        recurring = [x for i, x in enumerate(lines) if (d, i) in best]
+        assert all(x in got[d].text.split("\n") for i, x in enumerate(lines) if (d, i) not in best)  # what does not recur stays
+        kept_by_owner += len(recurring) - got[d].n_dropped
+    # Of each template's lines only those of its first document stay.
+    assert 0 < kept_by_owner <= 25 and sum(r.n_dropped for r in got.values()) + kept_by_owner == len(best) > 60
+
+
+def test_copy_classes(spark):
+    from millrace.llm import copies
+
+    rows = [(i, edit(prose("copies", 200), 50 + i, f"c{i}_")) for i in range(30)] + [(100 + i, "Shared boilerplate line of ten words that many documents hold " + prose(f"a{i}", 25)) for i in range(40)] + [(200, None), (201, "")]
+    base = prose("copies", 200)
+    for parts in (1, 8):
+        got = {r.node: r.root for r in copies.near_copies(spark.createDataFrame([*rows, (300, base), (300, base)], "key long, text string").repartition(parts)).collect()}
+        assert got == {**{i: 0 for i in range(30)}, 300: 0}
+
+
 # ---------------------------------------------------------------- 7
 
 

@@ -40,6 +40,7 @@ def test_stages(spark):
 def test_odd_tables(spark, tmp_path):
     rows = [(None, None, "x"), (1, "", "x"), (1, "same words here again now", "y"), (2, "same words here again now", "y"), (2, "same words here again now", "y"), (3, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    docs = docs.select("*", *[F.lit("mine").alias(c) for c in ("n_lines", "n_dropped", "key", "drop", "lines", "row_key", "own_score", "__key")])
     for name, schema in (("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
     for table in (docs, docs.limit(0)):
@@ -48,6 +49,10 @@ def test_odd_tables(spark, tmp_path):
             d = stage(spark, d, str(tmp_path))
             n = d.count()
             assert name == "packing" or d.columns == docs.columns
+            if name != "packing":
+                assert {tuple(r) for r in d.select(*docs.columns[3:]).distinct().collect()} <= {("mine",) * 8}
+            if name == "near_duplicates" and table is docs:
+                assert sorted(((r.doc_id, r.text) for r in d.collect()), key=repr) == sorted([(None, None), (1, ""), (1, "same words here again now"), (3, None)], key=repr)
         assert (n > 0) == (table is docs)
 
 
