@@ -302,12 +302,34 @@ def test_short_documents_and_items_leak(spark):
 
 def test_hamming_index_finds_all():
     rng = np.random.default_rng(3)
-    prints = rng.integers(0, 2**63, 50).astype(np.uint64)
-    queries = np.concatenate([prints ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, 7, replace=False))), rng.integers(0, 2**63, 50).astype(np.uint64)])
-    for r in (0, 3, 7, 24):
-        q, p = decontaminate.HammingIndex(prints, r).search(queries)
-        want = {(i, j) for i, x in enumerate(queries) for j, y in enumerate(prints) if int(x ^ y).bit_count() <= r}
-        assert set(zip(q.tolist(), p.tolist(), strict=True)) == want
+    for bits, block in ((64, 5), (2048, 14), (100, 7)):
+        prints = rng.random((50, bits)) < 0.5
+        far = bits // block - 1  # the radius that the blocks guarantee
+        queries = np.concatenate([rng.random((50, bits)) < 0.5, prints.copy()])
+        for i in range(50):
+            queries[50 + i, rng.choice(bits, rng.integers(far + 1), replace=False)] ^= True
+        for r in (0, 3, far):
+            q, p = decontaminate.HammingIndex(prints, r, block).search(queries)
+            distance = (queries[:, None] != prints[None]).sum(2)
+            assert set(zip(q.tolist(), p.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(distance <= r)), strict=True))
+
+
+def test_hamming_blocks_select():
+    """Unrelated fingerprints seldom share a block; windows at the threshold nearly always do, and lie within the radius."""
+    rng = np.random.default_rng(5)
+    prints = rng.random((300, decontaminate.BITS)) < 0.5
+    index = decontaminate.HammingIndex(prints, decontaminate.radius_of(0.75))
+    q, _ = index.candidates(rng.random((300, decontaminate.BITS)) < 0.5)
+    assert len(q) < 0.01 * 300 * 300
+    found = 0
+    for seed in range(300):
+        r = np.random.default_rng(seed)
+        item = r.integers(0, 2**63, 55).astype(np.uint64)
+        window = item.copy()
+        window[r.choice(55, 7, replace=False)] = r.integers(0, 2**63, 7).astype(np.uint64)  # 48 of 62 in common: 0.774
+        a, b = (decontaminate.signs(x).sum(axis=0) > 0 for x in (item, window))
+        found += len(decontaminate.HammingIndex(a[None], decontaminate.radius_of(0.75)).search(b[None])[0])
+    assert found >= 299
 
 
 # ---------------------------------------------------------------- 6
