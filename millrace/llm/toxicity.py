@@ -38,14 +38,41 @@ _LEET = r"0-9@$!|+(€*"
 _MIXED = rf"(?:[^\W\d_][.\-_]*[{_LEET}]|[{_LEET}][.\-_]*[^\W\d_]|[^\W\d_][.\-_]+[^\W\d_])"
 _PART = rf"(?:[^\W\d_]|[{_LEET}.\-_])"
 _SPACED = r"[^\W\d_](?:[ .\-_*]+[^\W\d_]){2,}"
-_SPAN = re.compile(
+_ODD = re.compile(
     rf"(?<![^\W_]){_SPACED}(?![^\W_])"  # spaced-out letters
     rf"|(?<![^\W\d_])(?<![{_LEET}.\-_])(?!\({_SPACED}(?![^\W_]))(?={_PART}*?{_MIXED}){_PART}+"  # letters and symbols mixed
-    r"|[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*"  # repeats
 )
+_TRIPLE = re.compile(r"([^\W\d_])\1\1+")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def repeats(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the words that hold a letter three times in a row. Every character is passed once."""
+    end = 0
+    for m in _TRIPLE.finditer(text):
+        if m.start() >= end:
+            start = m.start()
+            while start > end and text[start - 1].isalpha():
+                start -= 1
+            word = _WORD.match(text, start)
+            end = word.end() if word else m.end()
+            yield start, end
+
+
+def spans(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the spans that may hide a word, in order; of two that overlap the one that begins first."""
+    odd, more, end = ((m.start(), m.end()) for m in _ODD.finditer(text)), repeats(text), 0
+    a, b = next(odd, None), next(more, None)
+    while a or b:
+        if b is None or (a is not None and a[0] <= b[0]):
+            span, a = a, next(odd, None)
+        else:
+            span, b = b, next(more, None)
+        if span[0] >= end:
+            yield span
+            end = span[1]
+
+
 @dataclass(frozen=True)
 class Settings:
     sample_per_class: int = 2500
@@ -53,7 +80,6 @@ class Settings:
     support_share: float = 0.004
     min_evidence: float = 2.0
     min_likelihood_ratio: float = 24.0
-    max_features: int = 20_000
     prefixes: tuple[int, ...] = (4, 5, 6)
 
 
@@ -138,21 +164,26 @@ class Restorer:
         if known is not None:
             return known
         model = self.model
-        states: dict[tuple[int, int, int], tuple[float, str]] = {(0, 0, 0): (0.0, "")}
+        states: dict[tuple[int, int, int], tuple[float, tuple]] = {(0, 0, 0): (0.0, ())}
         for arcs in self.arcs(span):
-            after: dict[tuple[int, int, int], tuple[float, str]] = {}
-            for (a, b, c), (score, text) in states.items():
+            after: dict[tuple[int, int, int], tuple[float, tuple]] = {}
+            for (a, b, c), (score, path) in states.items():
                 for out, cost in arcs:
                     if out == "":
                         key, value = (a, b, c), score + cost
                     else:
                         d = symbol(out)
-                        key, value = (b, c, d), score + cost + float(model[a, b, c, d])
+                        key, value = (b, c, d), score + cost + model[a, b, c, d]
                     best = after.get(key)
                     if best is None or value > best[0]:
-                        after[key] = (value, text + out)
+                        after[key] = (value, (path, out) if out else path)
             states = after
-        result = max((score + float(model[a, b, c, 0]), text) for (a, b, c), (score, text) in states.items())[1]
+        path = max(states.items(), key=lambda x: (x[1][0] + model[(*x[0], 0)], x[0]))[1][1]
+        letters = []
+        while path:
+            path, out = path
+            letters.append(out)
+        result = "".join(reversed(letters))
         if len(self.cache) >= self.limit:
             self.cache.clear()
         if len(span) <= 64:
@@ -163,9 +194,10 @@ class Restorer:
         """Distinct words of the text as written and, where it may hide some, as restored."""
         low = text.lower()
         found = set(_WORD.findall(low))
-        for m in _SPAN.finditer(low) if suspicious else ():
-            restored = self.decode(m[0])
-            if restored != m[0]:
+        for start, end in spans(low) if suspicious else ():
+            span = low[start:end]
+            restored = self.decode(span)
+            if restored != span:
                 found.update(_WORD.findall(restored))
         return found
 
@@ -217,7 +249,11 @@ def suspicious_texts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def restore(text: str, restorer: Restorer) -> str:
     """The lower-cased text with every span replaced by its best reading."""
-    return _SPAN.sub(lambda m: restorer.decode(m[0]), (text or "").lower())
+    low, out, at = (text or "").lower(), [], 0
+    for start, end in spans(low):
+        out += [low[at:start], restorer.decode(low[start:end])]
+        at = end
+    return "".join([*out, low[at:]])
 
 
 # ---------------------------------------------------------------- evidence
@@ -293,7 +329,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     both = t + c
     ratio = 2 * (t * F.log(t * n / (both * n1)) + F.when(c > 0, c * F.log(c * n / (both * n0))).otherwise(0.0))
     sums = sample.mapInArrow(explode, "f string, t long, c long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    rows = sums.where((F.col("t") >= least) & (F.col("t") * n0 >= 6 * (F.col("c") + 0.5) * n1) & (ratio >= s.min_likelihood_ratio)).orderBy(F.desc("t"), "f").limit(s.max_features).collect()
+    rows = sums.where((F.col("t") >= least) & (F.col("t") * n0 >= 6 * (F.col("c") + 0.5) * n1) & (ratio >= s.min_likelihood_ratio)).collect()  # as bounded as the sample is
     found = docs.sparkSession.sparkContext.broadcast({r.f for r in rows})
 
     def contexts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
