@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def stable_key(seed: int | str, *parts: Column) -> Column:
@@ -46,20 +53,49 @@ def difference_hash(pixels: Column) -> Column:
 def simhash(docs: DataFrame, id_col: str, text_col: str, keep: list[str] | None = None) -> DataFrame:
     """id, kept columns, simhash (16 hex characters) of the words of every text; a text without words has hash 0.
 
-    Words are counted per document before their bits are summed, so 64 sums run over distinct words only.
+    A value of the row alone: nothing is shuffled. Words are told apart by white space of ASCII after lower-casing.
     """
-    keep = keep or []
-    words = docs.select(id_col, *keep, F.explode(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"\s+")).alias("w")).where("w <> ''")
-    counts = words.groupBy(id_col, *keep, "w").agg(F.count("*").alias("n"))
-    digest = F.md5("w")
-    hi, lo = halves(digest)
-    counts = counts.select(id_col, *keep, "n", hi.alias("hi"), lo.alias("lo"))
-    sums = [F.sum(F.when(F.shiftright(F.col(half), b).bitwiseAND(F.lit(1)) == 1, F.col("n")).otherwise(-F.col("n"))).alias(f"{half}{b}") for half in ("hi", "lo") for b in range(32)]
-    summed = counts.groupBy(id_col, *keep).agg(*sums)
-
-    def half(name: str) -> Column:
-        value = sum((F.when(F.col(f"{name}{b}") > 0, F.lit(1 << b)).otherwise(F.lit(0)).cast("long") for b in range(32)), F.lit(0).cast("long"))
-        return F.lpad(F.lower(F.hex(value)), 8, "0")
-
-    hashed = summed.select(id_col, *keep, F.concat(half("hi"), half("lo")).alias("simhash"))
-    return docs.select(id_col, *keep).join(hashed.select(id_col, "simhash"), id_col, "left").withColumn("simhash", F.coalesce("simhash", F.lit("0" * 16)))
+    return docs.select(id_col, *(keep or []), _simhash(F.lower(F.coalesce(F.col(text_col), F.lit("")))).alias("simhash"))
+
+
+_BLANK = re.compile("[ \t\n\x0b\f\r]+")
+_WORDS_AT_ONCE = 1 << 17
+
+
+@F.pandas_udf(StringType())
+def _simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    known: dict[str, int] = {}
+
+    def hashes(texts: list[list[str]]) -> np.ndarray:
+        """Sums of signed bits of 64-bit word hashes, one row for each text."""
+        if len(known) > 500_000:
+            known.clear()
+        for w in {w for t in texts for w in t} - known.keys():
+            known[w] = int.from_bytes(hashlib.md5(w.encode()).digest()[:8], "big")
+        flat = np.array([known[w] for t in texts for w in t], ">u8")
+        sizes = np.array([len(t) for t in texts])
+        out = np.zeros((len(texts), 64), np.int64)
+        if len(flat):
+            signed = np.unpackbits(flat.view(np.uint8)).reshape(-1, 64).astype(np.int32) * 2 - 1
+            used = np.flatnonzero(sizes)
+            out[used] = np.add.reduceat(signed, np.concatenate([[0], np.cumsum(sizes[used])[:-1]]), axis=0)
+        return out
+
+    for texts in batches:
+        found, held, n = [], [], 0
+        for text in texts:
+            words = [w for w in _BLANK.split(text) if w]
+            if len(words) > _WORDS_AT_ONCE:  # a very long text alone, in parts
+                total = sum(hashes([words[i : i + _WORDS_AT_ONCE]]) for i in range(0, len(words), _WORDS_AT_ONCE))
+                found += [hashes(held), total] if held else [total]
+                held, n = [], 0
+                continue
+            held.append(words)
+            n += len(words)
+            if n >= _WORDS_AT_ONCE:
+                found.append(hashes(held))
+                held, n = [], 0
+        if held:
+            found.append(hashes(held))
+        sums = np.concatenate(found) if found else np.zeros((0, 64), np.int64)
+        yield pd.Series([row.tobytes().hex() for row in np.packbits(sums > 0, axis=1)], dtype=object)

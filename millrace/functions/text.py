@@ -1,12 +1,22 @@
-"""Scalar text functions as Column expressions (no Python UDFs)."""
+"""Scalar text functions as Column expressions; only the table of character references is Python's."""
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+@F.pandas_udf(StringType())
+def unescape(texts: pd.Series) -> pd.Series:
+    """All named and numbered character references, by the standard's table."""
+    return texts.map(lambda t: html.unescape(t) if t is not None and "&" in t else t)
+
 
-#: Character references decoded by clean_html, `&amp;` last so that nothing is decoded twice.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+#: White space as text splitting knows it, beyond ASCII too.
+_BLANKS = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 # Parts of license addresses in the order in which they are tried, and the codes they stand for.
 LICENSE_PATTERNS = (
@@ -25,11 +35,8 @@ def blank_to_empty(c: Column) -> Column:
 
 
 def clean_html(c: Column) -> Column:
-    """Tags become spaces, character references are decoded, white space collapses."""
-    out = F.regexp_replace(c, "<[^>]+>", " ")
-    for name, char in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(out, r"[ \t\n\r\f]+", " "))
+    """Tags become spaces, character references are decoded, white space collapses; null is empty."""
+    return F.trim(F.regexp_replace(unescape(F.regexp_replace(F.coalesce(c, F.lit("")), "<[^>]+>", " ")), _BLANKS, " "))
 
 
 def normalize_url(c: Column) -> Column:

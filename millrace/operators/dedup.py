@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -37,16 +38,22 @@ def exact_duplicates(rows: DataFrame, digest: str, id_col: str, label_col: str)
     return per.where("members > 1").select(F.concat(F.lit("exact-"), F.substring(digest, 1, 12)).alias("cluster"), digest, "members", "keeper", "labels", (F.size("labels") > 1).alias("cross_label"))
 
 
-def near_pairs(rows: DataFrame, id_col: str, hash_col: str, threshold: int = 4, within: str | None = None, agree: int = 2) -> DataFrame:
+def near_pairs(rows: DataFrame, id_col: str, hash_col: str, threshold: int = 4, within: str | None = None, agree: int | None = None) -> DataFrame:
     """Pairs (a, b, distance) of representatives of different hashes within `threshold` bits.
 
     Rows with equal hashes are one class, spoken for by its smallest id (see near_clusters for membership). The 64
     bits are cut into threshold + agree blocks; hashes within the threshold agree on at least `agree` of them, so an
-    equi-join on (choice of blocks, bits) loses nothing. With two blocks of six a key has 21 bits, so unrelated
-    hashes seldom meet; larger tables take a larger `agree`. A pair is kept at the first choice it agrees on.
+    equi-join on (choice of blocks, bits) loses nothing. A key of two blocks of six has 21 bits; unless `agree` is given
+    it follows the number of hashes, so that keys have two bits more than that number and unrelated hashes seldom meet.
+    A pair is kept at the first choice it agrees on.
     """
     scope = [within] if within else []
     reps = rows.groupBy(*scope, hash_col).agg(F.min(id_col).alias("id"))
+    if agree is None:
+        reps = cut(reps)
+        agree, wanted = 2, math.log2(max(1, reps.count())) + 2
+        while 64 * agree / (threshold + agree) < wanted and agree < 6:
+            agree += 1
     hi, lo = halves(F.col(hash_col))
     reps = reps.select(*scope, "id", F.col(hash_col).alias("h"), hi.alias("hi"), lo.alias("lo"))
     blocks = threshold + agree
@@ -75,6 +82,17 @@ def near_clusters(rows: DataFrame, id_col: str, hash_col: str, threshold: int =
     return held.join(sizes, "root").select("id", F.concat(F.lit(prefix), F.col("root").cast("string")).alias("cluster"), "members")
 
 
+def near_edges(rows: DataFrame, id_col: str, hash_col: str, threshold: int = 4, within: str | None = None) -> DataFrame:
+    """One row: hashes compared, pairs of different hashes within the threshold, clusters and rows in clusters."""
+    pairs = cut(near_pairs(rows, id_col, hash_col, threshold, within))
+    scope = [within] if within else []
+    reps = rows.groupBy(*scope, hash_col).agg(F.min(id_col).alias("rep"), F.count("*").alias("n"))
+    found = connected_components(pairs.select("a", "b")).withColumnRenamed("node", "rep")
+    sizes = reps.join(found, "rep", "left").groupBy(F.coalesce("root", "rep").alias("root")).agg(F.sum("n").alias("members"))
+    one = sizes.agg(F.count_if(F.col("members") > 1).alias("clusters"), F.coalesce(F.sum(F.when(F.col("members") > 1, F.col("members"))), F.lit(0)).alias("clustered"))
+    return reps.agg(F.count("*").alias("hashes")).join(pairs.agg(F.count("*").alias("edges")), F.lit(True)).join(one, F.lit(True))  # rows of one
+
+
 def cluster_name(members: Column) -> Column:
     """Name of a cluster by the digest of its sorted ids."""
     return F.concat(F.lit("near-"), F.substring(F.sha2(F.array_join(F.sort_array(members), "|"), 256), 1, 12))
@@ -125,6 +143,9 @@ def gap_fill(rows: DataFrame, frozen: DataFrame, *, min_side: int, limit: int, b
     taken = marked.where(fresh & ~small & ~bare).groupBy("sha").agg(F.min(order).alias("first"))
     marked = marked.join(taken, "sha", "left")
     reason = F.when(~fresh, "already_in_frozen_split").when(order > F.col("first"), "duplicate_in_new_pool").when(small, "too_small").when(bare, "missing_provenance_or_license")
-    done = marked.withColumn("reason", reason)
-    nth = F.row_number().over(Window.partitionBy(by, F.col("reason").isNull()).orderBy("source_kind", "image_id"))
-    return done.withColumn("nth", nth).withColumn("reason", F.when(F.col("reason").isNull() & (F.col("nth") > limit), "over_limit").otherwise(F.col("reason"))).drop("nth", "first", "frozen")
+    done = cut(marked.withColumn("reason", reason).drop("first", "frozen"))
+    # The last row that a label takes; ranks stop at the limit before the shuffle, so no label is sorted whole.
+    nth = F.row_number().over(Window.partitionBy(by).orderBy("source_kind", "image_id"))
+    last = cut(done.where("reason is null").select(by, "source_kind", "image_id", nth.alias("nth")).where(F.col("nth") <= limit).groupBy(by).agg(F.max(order).alias("last")))
+    over = F.col("reason").isNull() & (order > F.col("last"))
+    return done.join(last, by, "left").withColumn("reason", F.when(over, "over_limit").otherwise(F.col("reason"))).drop("last")

@@ -11,7 +11,8 @@ from millrace.sources.storage import cut
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     sym = both if large else both.where("b < a")
-    lowest = sym.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    # Checkpointed, so the join has a shuffle on both sides and a node with very many neighbours can be split.
+    lowest = cut(sym.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
     pairs = sym.join(lowest, "a")
     if large:
         out = pairs.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -50,9 +51,9 @@ def link_components(rows: DataFrame, id_col: str, token_cols: list[str], within:
     for i, c in enumerate(token_cols):
         part = rows.where(F.coalesce(F.col(c).cast("string"), F.lit("")) != "").select(F.col(id_col).alias("id"), F.concat_ws("\x1f", F.lit(str(i)), *[F.col(x).cast("string") for x in scope], F.col(c).cast("string")).alias("token"))
         tokens = part if tokens is None else tokens.unionAll(part)
-    first = tokens.groupBy("token").agg(F.min("id").alias("b"))
+    first = cut(tokens.groupBy("token").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n"))
     edges = tokens.join(first, "token").select(F.col("id").alias("a"), "b").where("a <> b")
-    found = connected_components(edges)
+    found = connected_components(edges)  # a component of one row has no edge
     return rows.join(found.withColumnRenamed("node", id_col), id_col, "left").withColumn("component", F.coalesce("root", id_col)).drop("root")
 
 

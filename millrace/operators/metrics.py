@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,48 +83,55 @@ def calibration_error(rows: DataFrame, t: float = 1.0, bins: int = 15) -> DataFr
     return per.agg((F.sum(F.col("n") * F.abs(F.col("c") - F.col("a"))) / F.sum("n")).alias("ece"))
 
 
-def temperature_grid(rows: DataFrame, low: float, high: float, steps: int) -> DataFrame:
-    """step, t, nll on an even grid. Every row is scaled at every step inside one fold, so rows are not multiplied.
+def temperature_losses(rows: DataFrame, grid: Sequence[float]) -> DataFrame:
+    """t, nll: mean loss of rows (truth int, p array<double>) at every temperature, in one scan.
 
-    log p is clipped once per row; the log-sum-exp of each step is an expression over the six entries.
+    Every task sums the losses of its rows at all temperatures, so a row is read once and one short row for each task
+    is shuffled. Rows without a vector, or with a truth outside of it, have no loss.
     """
-    logs = rows.select(F.transform("p", lambda v: F.log(F.greatest(v, F.lit(FLOOR)))).alias("z"), "truth")
-    grid = [low + i * (high - low) / (steps - 1) for i in range(steps)]
-
-    def loss(t: float) -> Column:
-        z = F.transform("z", lambda v: v / F.lit(t))
-        top = F.array_max(z)
-        norm = F.aggregate(z, F.lit(0.0), lambda a, v: a + F.exp(v - top))
-        return -F.log(F.greatest(F.exp(F.get(z, F.col("truth")) - top) / norm, F.lit(FLOOR)))
-
-    sums = logs.agg(*[F.avg(loss(t)).alias(f"s{i}") for i, t in enumerate(grid)])
-    return sums.select(F.explode(F.array(*[F.struct(F.lit(i).alias("step"), F.lit(t).alias("t"), F.col(f"s{i}").alias("nll")) for i, t in enumerate(grid)])).alias("g")).select("g.*")
+    ts = np.array(grid, np.float64)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(len(ts)), 0
+        for batch in batches:
+            p, truth = batch.column(1), batch.column(0)
+            sizes = pc.list_value_length(p).fill_null(0).to_numpy(zero_copy_only=False)
+            at = truth.fill_null(-1).to_numpy(zero_copy_only=False)
+            flat = pc.list_flatten(p).to_numpy(zero_copy_only=False)
+            begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            for size in np.unique(sizes[sizes > 0]):
+                here = np.flatnonzero((sizes == size) & (at >= 0) & (at < sizes))
+                for lo in range(0, len(here), 4096):
+                    k = here[lo : lo + 4096]
+                    z = np.log(np.maximum(flat[begin[k][:, None] + np.arange(size)], FLOOR))
+                    own = z[np.arange(len(k)), at[k]]
+                    top = z.max(axis=1)
+                    for i, t in enumerate(ts):
+                        x = top / t
+                        q = np.exp(own / t - x) / np.exp(z / t - x[:, None]).sum(axis=1)
+                        total[i] += -np.log(np.maximum(q, FLOOR)).sum()
+                n += len(here)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tolist()], pa.list_(pa.float64()))], names=["n", "sums"])
+
+    parts = rows.select(F.col("truth").cast("int"), "p").mapInArrow(run, "n long, sums array<double>")
+    each = parts.select("n", F.posexplode("sums").alias("at", "s")).groupBy("at").agg((F.sum("s") / F.sum("n")).alias("nll"))
+    return each.select(F.get(F.array(*[F.lit(float(t)) for t in grid]), F.col("at")).alias("t"), "nll")
+
+
+def even_grid(low: float, high: float, steps: int) -> list[float]:
+    return [low + i * (high - low) / (steps - 1) for i in range(steps)]
 
 
 def fit_temperature(rows: DataFrame, low: float = 0.5, high: float = 5.0, steps: int = 451) -> DataFrame:
-    """t and nll of the least loss, the smaller t of equals. The grid is evaluated in chunks of columns."""
-    out = None
-    for at in range(0, steps, 50):
-        n = min(50, steps - at)
-        width = (high - low) / (steps - 1)
-        part = temperature_grid_chunk(rows, [low + i * width for i in range(at, at + n)])
-        out = part if out is None else out.unionAll(part)
-    return out.agg(F.min_by(F.struct("t", "nll"), F.struct("nll", "t")).alias("b")).select("b.*")
-
+    """t and nll of the least loss on an even grid, the smaller t of equals."""
+    return temperature_losses(rows, even_grid(low, high, steps)).agg(F.min_by(F.struct("t", "nll"), F.struct("nll", "t")).alias("b")).select("b.*")
 
-def temperature_grid_chunk(rows: DataFrame, grid: Sequence[float]) -> DataFrame:
-    """t, nll: one fold per row over the chunk, partial sums by position, no row multiplication."""
-    ts = F.array(*[F.lit(float(t)) for t in grid])
-    logs = rows.select(F.transform("p", lambda v: F.log(F.greatest(v, F.lit(FLOOR)))).alias("z"), "truth")
 
-    def loss(t: Column) -> Column:
-        top = F.array_max("z") / t
-        norm = F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp(v / t - top))
-        return -F.log(F.greatest(F.exp(F.get("z", F.col("truth")) / t - top) / norm, F.lit(FLOOR)))
-
-    losses = logs.select(F.transform(ts, loss).alias("l"))
-    sums = losses.agg(*[F.avg(F.get("l", F.lit(i))).alias(f"s{i}") for i in range(len(grid))])
-    return sums.select(F.explode(F.array(*[F.struct(F.lit(float(t)).alias("t"), F.col(f"s{i}").alias("nll")) for i, t in enumerate(grid)])).alias("g")).select("g.*")
+def reproduction_differences(frozen: DataFrame, now: DataFrame, key: str, value: str) -> DataFrame:
+    """key, frozen and current value of the rows whose value is another now; missing rows show as null."""
+    both = frozen.select(key, F.col(value).alias("frozen")).join(now.select(key, F.col(value).alias("now")), key, "full_outer")
+    return both.where(~F.col("frozen").eqNullSafe(F.col("now")))
 
 
 # ---------------------------------------------------------------- counts and roll-ups
@@ -204,3 +215,28 @@ def snapshot_digest(rows: DataFrame, path_col: str, digest_col: str, by: list[st
     by = by or []
     line = F.struct(F.col(path_col).alias("k"), F.concat(F.col(path_col).cast("string"), F.decode(F.unhex(F.lit("00")), "UTF-8"), F.col(digest_col)).alias("line"))
     return rows.groupBy(*by).agg(F.count("*").alias("files"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda s: s["line"]), "\n"), 256).alias("digest"))
+
+
+def whole_digest(rows: DataFrame, path_col: str, digest_col: str) -> DataFrame:
+    """snapshot_digest of a whole table: files and digest, one row.
+
+    One hash over one ordered text has to be fed in order, so sorted partitions stream through the driver, a batch at a
+    time; nothing is held.
+    """
+    h, files = hashlib.sha256(), 0
+    for r in rows.select(F.col(path_col).cast("string").alias("p"), F.col(digest_col).alias("d"), F.col(path_col).alias("k")).orderBy("k").select("p", "d").toLocalIterator():
+        h.update(b"\n" if files else b"")
+        h.update(f"{r.p}\0{r.d}".encode())
+        files += 1
+    return rows.sparkSession.createDataFrame([(files, h.hexdigest())], "files long, digest string")
+
+
+def group_sizes(rows: DataFrame, label: str, group: str) -> DataFrame:
+    """label, groups, largest, rows: how a label's rows fall into groups."""
+    per = rows.groupBy(label, group).agg(F.count("*").alias("n"))
+    return per.groupBy(label).agg(F.count("*").alias("groups"), F.max("n").alias("largest"), F.sum("n").alias("rows"))
+
+
+def head_of(rows: DataFrame, order: str, n: int = 32) -> DataFrame:
+    """The first n rows in order: a report's examples."""
+    return rows.orderBy(order).limit(n)

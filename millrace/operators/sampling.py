@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.hashing import stable_key
+from millrace.sources.storage import cut
 
 # Fixed order of splits; earlier ones win ties.
 SPLITS = ("train", "val_select", "val_cal")
@@ -56,11 +58,10 @@ def even_positions(n: Column, k: int) -> Column:
 
 
 def evenly_spaced(rows: DataFrame, by: str, order: str, k: int) -> DataFrame:
-    """k rows of each group, evenly spaced in `order`; groups of fewer rows are left out (see short_groups)."""
-    nth = F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1
-    sizes = rows.groupBy(by).agg(F.count("*").alias("size"))
-    placed = rows.withColumn("at", nth.cast("long")).join(sizes, by).where(F.col("size") >= k)
-    return placed.where(F.array_contains(even_positions(F.col("size"), k), F.col("at")))
+    """k rows of each group, evenly spaced in `order`; all rows of groups that have fewer (see short_groups)."""
+    sizes = cut(rows.groupBy(by).agg(F.count("*").alias("size")))
+    placed = group_ordinals(rows, by, [F.col(order)], "at").withColumn("at", F.col("at") - 1).join(sizes, by)
+    return placed.where((F.col("size") < k) | F.array_contains(even_positions(F.col("size"), k), F.col("at")))
 
 
 def short_groups(rows: DataFrame, by: str, k: int) -> DataFrame:
@@ -69,9 +70,8 @@ def short_groups(rows: DataFrame, by: str, k: int) -> DataFrame:
 
 def oversample(rows: DataFrame, by: str, key: str, target: int, seed: int | str) -> DataFrame:
     """Each group's rows once, then repeated in stable order until it has `target` rows: adds repeat and ordinal."""
-    sizes = rows.groupBy(by).agg(F.count("*").alias("size"))
-    nth = F.row_number().over(Window.partitionBy(by).orderBy(stable_key(seed, F.col(key)), key)) - 1
-    placed = rows.withColumn("nth", nth).join(sizes, by)
+    sizes = cut(rows.groupBy(by).agg(F.count("*").alias("size")))
+    placed = group_ordinals(rows, by, [stable_key(seed, F.col(key)), F.col(key)], "nth").withColumn("nth", F.col("nth") - 1).join(sizes, by)
     times = F.greatest(F.lit(1), F.floor((F.lit(target) - F.col("nth") - 1) / F.col("size")) + 1)
     return placed.select("*", F.explode(F.sequence(F.lit(0), (times - 1).cast("int"))).alias("repeat")).withColumn("ordinal", (F.col("repeat") * F.col("size") + F.col("nth")).cast("long")).drop("nth")
 
@@ -85,51 +85,51 @@ def allocate_groups(groups: DataFrame, ratios: Sequence[float], seed: int | str,
     """Groups (by, group, size, member_key) to splits: largest first, then by stable key, each to the split that
     leaves the least sum of (projected - target)^2 / max(1, target); earlier splits win ties.
 
-    A fold over the groups of one label; an array holds one small struct per group, not per row.
+    Each choice depends on all before it, so a label's groups (not its rows) pass one task, in order and once.
     """
-    items = F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("o"), stable_key(seed, F.col(member_key)).alias("h"), F.col("group").alias("group"), F.col("size").alias("size"))))
-    per = groups.groupBy(by).agg(F.sum("size").alias("total"), items.alias("items")).withColumn("target", target_counts(F.col("total"), ratios))
-    k = len(ratios)
-    names = F.array(*[F.lit(s) for s in SPLITS[:k]])
-
-    def error(counts: Column, size: Column, s: int) -> Column:
-        terms = []
-        for j in range(k):
-            goal = F.get(F.col("target"), F.lit(j)).cast("double")
-            gap = F.get(counts, F.lit(j)) + (size if j == s else F.lit(0)) - goal
-            terms.append(gap * gap / F.greatest(F.lit(1.0), goal))
-        return sum(terms[1:], terms[0])
-
-    def step(acc: Column, item: Column) -> Column:
-        choice = F.array_min(F.array(*[F.struct(error(acc["counts"], item["size"], s).alias("e"), F.lit(s).alias("s")) for s in range(k)]))["s"]
-        return F.struct(
-            F.transform(acc["counts"], lambda c, i: c + F.when(i == choice, item["size"]).otherwise(F.lit(0))).cast("array<bigint>").alias("counts"),
-            F.concat(acc["chosen"], F.array(choice)).alias("chosen"),
-        )
-
-    start = F.struct(F.array(*[F.lit(0).cast("bigint")] * k).alias("counts"), F.array().cast("array<int>").alias("chosen"))
-    folded = per.select(by, "items", F.aggregate("items", start, step)["chosen"].alias("chosen"))
-    flat = folded.select(by, F.explode(F.arrays_zip("items", "chosen")).alias("x"))
-    return flat.select(by, F.col("x.items.group").alias("group"), F.col("x.items.size").alias("size"), F.get(names, F.col("x.chosen")).alias("split"))
+
+    def choose(sizes: list[int], total: int) -> list[int]:
+        goals = [float(g) for g in largest_remainder(total, ratios)]
+        weights = [max(1.0, g) for g in goals]
+        counts, out = [0] * len(goals), []
+        for size in sizes:
+            costs = []
+            for s in range(len(goals)):
+                terms = [(counts[j] + (size if j == s else 0) - goals[j]) for j in range(len(goals))]
+                costs.append(sum(t * t / w for t, w in zip(terms, weights, strict=True)))
+            out.append(costs.index(min(costs)))
+            counts[out[-1]] += size
+        return out
+
+    return _in_turn(groups, (-F.col("size")).alias("rank"), seed, by, member_key, choose)
 
 
 def ratio_fill(groups: DataFrame, ratios: Sequence[float], seed: int | str, by: str = "label", member_key: str = "member_key") -> DataFrame:
     """Groups in stable order, each to the split with the smallest count / max(target, 1); earlier splits win ties."""
-    items = F.array_sort(F.collect_list(F.struct(stable_key(seed, F.col(member_key)).alias("h"), F.col("group").alias("group"), F.col("size").alias("size"))))
-    per = groups.groupBy(by).agg(F.sum("size").alias("total"), items.alias("items"))
-    k = len(ratios)
-    goals = [F.greatest(F.lit(1.0), F.rint(F.col("total") * F.lit(r))) for r in ratios[:-1]]
-    last = F.greatest(F.lit(1.0), F.col("total") - sum((F.rint(F.col("total") * F.lit(r)) for r in ratios[:-1]), F.lit(0.0)))
-    per = per.withColumn("goal", F.array(*goals, last))
-    names = F.array(*[F.lit(s) for s in SPLITS[:k]])
 
-    def step(acc: Column, item: Column) -> Column:
-        choice = F.array_min(F.array(*[F.struct((F.get(acc["counts"], F.lit(s)) / F.get(F.col("goal"), F.lit(s))).alias("r"), F.lit(s).alias("s")) for s in range(k)]))["s"]
-        return F.struct(F.transform(acc["counts"], lambda c, i: c + F.when(i == choice, item["size"]).otherwise(F.lit(0))).cast("array<bigint>").alias("counts"), F.concat(acc["chosen"], F.array(choice)).alias("chosen"))
+    def choose(sizes: list[int], total: int) -> list[int]:
+        goals = [max(1.0, float(g)) for g in rounded_targets(total, ratios)]
+        counts, out = [0] * len(goals), []
+        for size in sizes:
+            shares = [c / g for c, g in zip(counts, goals, strict=True)]
+            out.append(shares.index(min(shares)))
+            counts[out[-1]] += size
+        return out
+
+    return _in_turn(groups, F.lit(0).cast("bigint").alias("rank"), seed, by, member_key, choose)
+
 
-    start = F.struct(F.array(*[F.lit(0).cast("bigint")] * k).alias("counts"), F.array().cast("array<int>").alias("chosen"))
-    flat = per.select(by, "items", F.aggregate("items", start, step)["chosen"].alias("chosen")).select(by, F.explode(F.arrays_zip("items", "chosen")).alias("x"))
-    return flat.select(by, F.col("x.items.group").alias("group"), F.col("x.items.size").alias("size"), F.get(names, F.col("x.chosen")).alias("split"))
+def _in_turn(groups: DataFrame, rank: Column, seed: int | str, by: str, member_key: str, choose) -> DataFrame:
+    """by, group, size, split: choose() gets a label's group sizes in the order of rank, stable key and group."""
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["rank", "h", "group"], kind="stable")
+        sizes = pdf["size"].tolist()
+        return pdf.assign(split=[SPLITS[s] for s in choose(sizes, sum(sizes))])[[by, "group", "size", "split"]]
+
+    rows = groups.select(by, "group", F.col("size").cast("bigint").alias("size"), rank, stable_key(seed, F.col(member_key)).alias("h"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return rows.groupBy(by).applyInPandas(fold, f"`{by}` {kinds[by]}, group {kinds['group']}, size bigint, split string")
 
 
 def select_views(parents: DataFrame) -> DataFrame:
@@ -143,13 +143,51 @@ def select_views(parents: DataFrame) -> DataFrame:
     return parents.withColumn("reason", reason).withColumn("selected", F.when(F.col("reason") == "crop_selected_instead", "crop").otherwise("original"))
 
 
+def group_ordinals(rows: DataFrame, by: str, order: list[Column], name: str) -> DataFrame:
+    """Adds `name`: 1, 2, ... within each group, in order.
+
+    Rows are dealt by ranges of (group, order), so a group with a third of all rows is sorted by many tasks: each task
+    numbers its own rows, and the counts of the ranges before are added. The order must be total.
+    """
+    keys = {f"__o{i}": c for i, c in enumerate(order)}
+    placed = rows.withColumns(keys).repartitionByRange(F.col(by), *keys).sortWithinPartitions(by, *keys).drop(*keys)
+    placed = cut(placed.withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    ranges = cut(placed.groupBy(by, part.alias("__part")).agg(F.min("__at").alias("__first"), F.count("*").alias("__n")))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = cut(ranges.select(F.col(by).alias("__by"), "__part", (before + 1 - F.col("__first")).alias("__shift")))
+    here = placed.withColumn("__p", part)
+    both = here.join(ranges, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__p") == F.col("__part")))
+    return both.withColumn(name, (F.col("__at") + F.col("__shift")).cast("bigint")).drop("__at", "__p", "__by", "__part", "__shift")
+
+
 def numbered(rows: DataFrame, by: str, order: str, prefix: Column, width: int = 6) -> DataFrame:
     """Adds `name`: prefix and a zero-padded ordinal in each group."""
-    nth = F.row_number().over(Window.partitionBy(by).orderBy(order))
-    return rows.withColumn("name", F.concat_ws("-", prefix, F.lpad(nth.cast("string"), width, "0")))
+    placed = group_ordinals(rows, by, [F.col(order)], "__nth")
+    return placed.withColumn("name", F.concat_ws("-", prefix, F.lpad(F.col("__nth").cast("string"), width, "0"))).drop("__nth")
 
 
 def batches(rows: DataFrame, by: str, order: str, size: int) -> DataFrame:
     """Adds `batch`: group and number of the batch of `size` rows, three digits."""
-    nth = F.row_number().over(Window.partitionBy(by).orderBy(order))
-    return rows.withColumn("batch", F.format_string("%s-%03d", F.col(by), (F.floor((nth - 1) / size) + 1).cast("int")))
+    placed = group_ordinals(rows, by, [F.col(order)], "__nth")
+    return placed.withColumn("batch", F.format_string("%s-%03d", F.col(by), (F.floor((F.col("__nth") - 1) / size) + 1).cast("int"))).drop("__nth")
+
+
+def hash_slices(rows: DataFrame, key: str, parts: int, seed: int | str, by: str | None = None) -> DataFrame:
+    """Adds `slice`: rows in stable order dealt to `parts` slices whose sizes differ by one at most.
+
+    Takes the place of an even split of a shuffled list.
+    """
+    scope = by or "__all"
+    rows = rows if by else rows.withColumn(scope, F.lit(0))
+    placed = group_ordinals(rows, scope, [stable_key(seed, F.col(key)), F.col(key)], "__nth")
+    out = placed.withColumn("slice", ((F.col("__nth") - 1) % parts).cast("int")).drop("__nth")
+    return out if by else out.drop(scope)
+
+
+def augmentation_plan(rows: DataFrame, by: str, key: str, target: int, seed: int | str) -> DataFrame:
+    """by, key, times: augmented rows of each parent, in turn until the group has `target` rows; one each at least."""
+    sizes = cut(rows.groupBy(by).agg(F.count("*").alias("__size")))
+    placed = group_ordinals(rows, by, [stable_key(seed, F.col(key)), F.col(key)], "__nth").join(sizes, by)
+    need = F.greatest(F.col("__size"), F.lit(target) - F.col("__size"))
+    return placed.select(by, key, (F.floor((need - F.col("__nth")) / F.col("__size")) + 1).cast("long").alias("times"))

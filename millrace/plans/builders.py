@@ -11,7 +11,7 @@ from millrace.functions.text import license_code
 from millrace.operators import audit, dedup, graph, sampling
 from millrace.operators.audit import MANIFEST_COLUMNS, require_empty
 from millrace.sources.storage import cut
-from millrace.sources.tables import project
+from millrace.sources.tables import ordinals, project
 
 # States of an intake row.
 CANDIDATE, BELOW_MINIMUM, DECODE_ERROR, CROSS_LABEL, REDUNDANT = "candidate", "rejected_below_minimum", "rejected_decode_error", "rejected_cross_label_exact", "rejected_redundant_exact"
@@ -72,11 +72,16 @@ def exact_survivors(rows: DataFrame, sha: str, label: str, id_col: str) -> DataF
     return rows.join(rows.groupBy(sha).agg(F.min(id_col).alias(id_col)), [sha, id_col], "left_semi")
 
 
+def component_groups(linked: DataFrame, label: str = "label") -> DataFrame:
+    """label, group, size and member_key (the smallest member, which names a component) of linked rows."""
+    return linked.groupBy(F.col(label).alias("label"), F.col("component").alias("group")).agg(F.count("*").alias("size")).withColumn("member_key", F.col("group").cast("string"))
+
+
 def split_components(rows: DataFrame, id_col: str, tokens: list[str], ratios: Sequence[float], seed: int, label: str = "label") -> DataFrame:
     """rows plus component and split; refuses components that span labels. No component is ever cut."""
     linked = cut(graph.link_components(rows, id_col, tokens))
     require_empty(graph.mixed_components(linked, label), "components that span labels")
-    groups = linked.groupBy(F.col(label).alias("label"), F.col("component").alias("group")).agg(F.count("*").alias("size"), F.array_join(F.sort_array(F.collect_list(F.col(id_col).cast("string"))), ",").alias("member_key"))
+    groups = component_groups(linked, label)
     chosen = sampling.allocate_groups(groups, ratios, seed).select(F.col("group").alias("component"), "split")
     return linked.drop("split").join(chosen, "component")
 
@@ -106,6 +111,86 @@ def detector_rows(first: DataFrame, second: DataFrame) -> DataFrame:
     return both
 
 
+def view_rows(views: DataFrame) -> DataFrame:
+    """Rows of the derived-view table: numbers as text with eight decimals, lists joined, nothing for a null.
+
+    views: view_id, parent_id, kind, box (struct x1, y1, x2, y2, confidence or null), flags (array<string>).
+    """
+    number = lambda c: F.coalesce(F.format_string("%.8f", c), F.lit(""))
+    corners = [F.when(F.col("box").isNotNull(), number(F.col(f"box.{c}"))).otherwise("").alias(c) for c in ("x1", "y1", "x2", "y2", "confidence")]
+    return views.select("view_id", "parent_id", "kind", *corners, F.array_join(F.coalesce("flags", F.array().cast("array<string>")), "|").alias("flags"))
+
+
+def with_parent_source(rows: DataFrame, parents: DataFrame, key: str = "parent_id", column: str = "source_dataset") -> DataFrame:
+    """rows with the parent's value of a column, empty text where there is no such parent."""
+    found = parents.select(F.col(key).alias("__parent"), F.col(column).alias("__value"))
+    return rows.drop(column).join(found, F.col(key) == F.col("__parent"), "left").withColumn(column, F.coalesce("__value", F.lit(""))).drop("__parent", "__value")
+
+
+def source_root(kind: Column, roots: dict[str, str], default: str) -> Column:
+    """The folder in which files of a kind of source lie."""
+    out = F.lit(default)
+    for k, root in roots.items():
+        out = F.when(kind == k, F.lit(root)).otherwise(out)
+    return out
+
+
+def relabelled(rows: DataFrame, changes: DataFrame, key: str, label: str = "label") -> DataFrame:
+    """rows with the label that changes (key, label, note) give, the former one in `was`, and the note."""
+    new = changes.select(F.col(key).alias("__key"), F.col(label).alias("__label"), F.col("note").alias("__note"))
+    both = rows.join(new, F.col(key) == F.col("__key"), "left")
+    return both.withColumns({"was": F.when(F.col("__label").isNotNull(), F.col(label)).otherwise(F.lit("")), label: F.coalesce("__label", label), "note": F.coalesce("__note", F.lit(""))}).drop("__key", "__label", "__note")
+
+
+def with_defaults(rows: DataFrame, defaults: dict[str, str]) -> DataFrame:
+    """rows with the default wherever a column is missing, null or empty."""
+    return rows.withColumns({c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(c)).otherwise(F.lit(v)) if c in rows.columns else F.lit(v) for c, v in defaults.items()})
+
+
+def split_guard(rows: DataFrame, splits: Sequence[str], provenance: Sequence[str]) -> DataFrame:
+    """Violations of a finished split, one row each: unknown splits, splits without rows, empty provenance, mixed values.
+
+    `provenance` columns must hold one value each over the whole table.
+    """
+    counts = rows.groupBy("split").agg(F.count("*").alias("n"))
+    wanted = rows.sparkSession.createDataFrame([(s,) for s in splits], "split string")
+    unknown = counts.join(wanted, "split", "left_anti").select(F.lit("unknown_split").alias("code"), F.col("split").alias("detail"))
+    without = wanted.join(counts, "split", "left_anti").select(F.lit("empty_split").alias("code"), F.col("split").alias("detail"))
+    out = unknown.unionAll(without)
+    if provenance:
+        one = rows.agg(*[F.struct(F.countDistinct(c).alias("n"), F.count_if(F.coalesce(c, F.lit("")) == "").alias("bare")).alias(c) for c in provenance])
+        marks = F.explode(F.flatten(F.array(*[F.array(F.when(F.col(f"{c}.n") > 1, F.struct(F.lit("mixed_provenance").alias("code"), F.lit(c).alias("detail"))), F.when(F.col(f"{c}.bare") > 0, F.struct(F.lit("missing_provenance").alias("code"), F.lit(c).alias("detail")))) for c in provenance])))
+        out = out.unionAll(one.select(marks.alias("m")).where("m is not null").select("m.code", "m.detail"))
+    return out
+
+
+def set_differences(found: DataFrame, expected: DataFrame, column: str) -> DataFrame:
+    """Values that stand on one side only, with the side; no rows if the sets are equal."""
+    a, b = found.select(column).distinct(), expected.select(column).distinct()
+    return a.join(b, column, "left_anti").withColumn("side", F.lit("found")).unionAll(b.join(a, column, "left_anti").withColumn("side", F.lit("expected")))
+
+
+def handoff_rows(files: DataFrame, manifest: DataFrame, key: str = "name", size: int = 40) -> DataFrame:
+    """Manifest rows reconciled with files on disk and dealt to review batches: status ok, missing_file, hash_mismatch or
+    unlisted_file, and the batch of each row that is ok, in the order of label and key.
+    """
+    both = manifest.select(key, "label", F.col("sha256").alias("expected")).join(files.select(key, "sha256"), key, "full_outer")
+    status = F.when(F.col("expected").isNull(), "unlisted_file").when(F.col("sha256").isNull(), "missing_file").when(F.col("sha256") != F.col("expected"), "hash_mismatch").otherwise("ok")
+    marked = cut(both.select(key, "label", status.alias("status")))
+    good = sampling.batches(marked.where("status = 'ok'"), "label", key, size)
+    return good.unionByName(marked.where("status <> 'ok'"), allowMissingColumns=True)
+
+
+def storage_inventory(files: DataFrame, root: str, limit: int) -> DataFrame:
+    """storage_rollup with a warning for directories over `limit` bytes and for empty files in them."""
+    from millrace.sources.files import storage_rollup
+
+    rolled = storage_rollup(files, root)
+    bare = storage_rollup(files.where("length = 0"), root).select("directory", F.col("files").alias("empty_files"))
+    both = rolled.join(bare, "directory", "left").withColumn("empty_files", F.coalesce("empty_files", F.lit(0)))
+    return both.withColumn("warnings", F.array_join(audit.reasons(("large", F.col("bytes") > limit), ("empty_files", F.col("empty_files") > 0)), "|"))
+
+
 def box_counts(rows: DataFrame, by: Sequence[str], boxes: str = "box_count") -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("images"), F.sum(boxes).alias("boxes"), F.count_if(F.col(boxes) > 1).alias("multi_box"), F.count_if(F.col(boxes) == 0).alias("without"))
 
@@ -152,7 +237,7 @@ def panel_plan(originals: DataFrame, backgrounds: DataFrame, blanks: int, seed:
     The producer's pseudo-random draws are not reproducible here; a stable hash takes their place.
     """
     n = backgrounds.count()
-    placed = backgrounds.select(F.col("path").alias("background"), (F.row_number().over(Window.orderBy("path")) - 1).alias("slot"))
+    placed = ordinals(cut(backgrounds.select(F.col("path").alias("background")).orderBy("background")), "slot").withColumn("slot", F.col("slot").cast("int"))
     plan = originals.select(F.col("id").cast("string").alias("item"), F.lit("positive").alias("kind")).unionAll(originals.sparkSession.range(blanks).select(F.concat(F.lit("blank-"), F.col("id").cast("string")), F.lit("blank")))
     slot = F.pmod(F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), "kind", "item"), 256), 1, 15), 16, 10).cast("long"), F.lit(n))
     return plan.withColumn("slot", slot.cast("int")).join(placed, "slot").drop("slot")

@@ -115,7 +115,7 @@ r AS (SELECT t, avg(loss) AS nll FROM m GROUP BY t)"""
 
 @query(f"WITH {P}, {GRID.format(n=45)} SELECT round(t, 6) AS t, round(nll, 6) AS nll FROM r")
 def temperature_grid(spark, sf_dir):
-    return metrics.temperature_grid_chunk(predictions(spark, sf_dir), [0.5 + i * 4.5 / 45 for i in range(46)]).select(_r("t").alias("t"), _r("nll").alias("nll"))
+    return metrics.temperature_losses(predictions(spark, sf_dir), metrics.even_grid(0.5, 5.0, 46)).select(_r("t").alias("t"), _r("nll").alias("nll"))
 
 
 @query(f"WITH {P}, {GRID.format(n=450)} SELECT round(t, 6) AS t, round(nll, 6) AS nll FROM r ORDER BY r.nll, r.t LIMIT 1")
@@ -350,9 +350,11 @@ def url_normalize(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", X.normalize_url(F.col("url")).alias("url"))
 
 
-@query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \t\n\r\f]+', ' ', 'g')) AS text FROM pages""")
+@query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') || ' ' || page_id || ' é … € ß A < x', '[ \t\n\r\f\x{a0}]+', ' ', 'g')) AS text FROM pages""")
 def html_clean(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", X.clean_html(F.col("html")).alias("text"))
+    """Every page, and behind it references by name, by number and without a semicolon."""
+    more = F.concat(F.lit("<br>"), F.col("page_id").cast("string"), F.lit("&nbsp;&eacute;&#160;&hellip;&#xA0; &euro; &szlig; &#65; &lt x"))
+    return table(spark, sf_dir, "pages").select("page_id", X.clean_html(F.concat("html", more)).alias("text"))
 
 
 @query("""WITH u AS (SELECT page_id, 'https://creativecommons.org/' || (CASE page_id % 6 WHEN 0 THEN 'publicdomain/zero/1.0/' WHEN 1 THEN 'licenses/by-nc-sa/4.0/' WHEN 2 THEN 'licenses/BY-NC/4.0/' WHEN 3 THEN 'licenses/by-sa/4.0/' WHEN 4 THEN 'licenses/by/4.0/' ELSE 'other/' END) AS u FROM pages)
@@ -451,11 +453,25 @@ def link_components(spark, sf_dir):
 
 def _allocated(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     rows = cut(graph.link_components(_links(spark, sf_dir), "doc_id", ["group_token", "content_token"], within="label"))
-    groups = rows.groupBy("label", F.col("component").alias("group")).agg(F.count("*").alias("size"), F.array_join(F.transform(F.sort_array(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("member_key"))
-    return rows, sampling.allocate_groups(groups, RATIOS, 20260715)
+    return rows, sampling.allocate_groups(builders.component_groups(rows), RATIOS, 20260715)
 
 
-@query()
+ALLOCATE = f"""{LINK}, gr AS (SELECT lang AS label, component AS grp, count(*) AS size FROM k JOIN documents USING (doc_id) GROUP BY ALL),
+og AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY size DESC, sha256('20260715:' || grp), grp) AS nth FROM gr),
+tc AS (SELECT label, sum(size)::BIGINT AS n FROM gr GROUP BY 1), te AS (SELECT label, n, [n * 0.85::DOUBLE, n * 0.10::DOUBLE, n * 0.05::DOUBLE] AS e FROM tc), tu AS (SELECT label, n, e, unnest([1, 2, 3]) AS i FROM te),
+tr AS (SELECT *, floor(e[i])::BIGINT AS b, row_number() OVER (PARTITION BY label ORDER BY e[i] - floor(e[i]) DESC, i) AS r FROM tu),
+tg AS (SELECT label, list(goal ORDER BY i) AS g FROM (SELECT label, i, (b + CASE WHEN r <= n - sum(b) OVER (PARTITION BY label) THEN 1 ELSE 0 END)::DOUBLE AS goal FROM tr) GROUP BY 1),
+fold AS (SELECT label, 0::BIGINT AS nth, 0::BIGINT AS grp, 0::BIGINT AS size, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS c, 0 AS s FROM tg UNION ALL
+SELECT label, nth, grp, size, a + CASE s WHEN 0 THEN size ELSE 0 END, b + CASE s WHEN 1 THEN size ELSE 0 END, c + CASE s WHEN 2 THEN size ELSE 0 END, s FROM (
+SELECT *, CASE WHEN x <= y AND x <= z THEN 0 WHEN y <= z THEN 1 ELSE 2 END AS s FROM (
+SELECT f.label, o.nth, o.grp, o.size, f.a, f.b, f.c,
+(f.a + o.size - g[1]) * (f.a + o.size - g[1]) / greatest(1.0, g[1]) + (f.b - g[2]) * (f.b - g[2]) / greatest(1.0, g[2]) + (f.c - g[3]) * (f.c - g[3]) / greatest(1.0, g[3]) AS x,
+(f.a - g[1]) * (f.a - g[1]) / greatest(1.0, g[1]) + (f.b + o.size - g[2]) * (f.b + o.size - g[2]) / greatest(1.0, g[2]) + (f.c - g[3]) * (f.c - g[3]) / greatest(1.0, g[3]) AS y,
+(f.a - g[1]) * (f.a - g[1]) / greatest(1.0, g[1]) + (f.b - g[2]) * (f.b - g[2]) / greatest(1.0, g[2]) + (f.c + o.size - g[3]) * (f.c + o.size - g[3]) / greatest(1.0, g[3]) AS z
+FROM fold f JOIN og o ON o.label = f.label AND o.nth = f.nth + 1 JOIN tg ON tg.label = f.label)))"""
+
+
+@query(f"WITH RECURSIVE {ALLOCATE} SELECT label, grp AS \"group\", size::BIGINT AS size, ['train', 'val_select', 'val_cal'][s + 1] AS split FROM fold WHERE nth > 0")
 def split_allocate(spark, sf_dir):
     return _allocated(spark, sf_dir)[1]
 
@@ -468,7 +484,13 @@ def split_leakage_check(spark, sf_dir):
     return leaks[0].join(leaks[1], F.lit(True)).join(split.agg(F.count("*").alias("rows")), F.lit(True))
 
 
-@query()
+@query("""WITH RECURSIVE gr AS (SELECT lang AS label, doc_id % 331 AS grp, count(*) AS size FROM documents GROUP BY ALL), og AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sha256('20260715:' || grp), grp) AS nth FROM gr),
+tg AS (SELECT label, [greatest(1.0, round_even(n * 0.85::DOUBLE, 0)), greatest(1.0, round_even(n * 0.10::DOUBLE, 0)), greatest(1.0, n - round_even(n * 0.85::DOUBLE, 0) - round_even(n * 0.10::DOUBLE, 0))]::DOUBLE[] AS g FROM (SELECT label, sum(size)::DOUBLE AS n FROM gr GROUP BY 1)),
+fold AS (SELECT label, 0::BIGINT AS nth, 0::BIGINT AS grp, 0::BIGINT AS size, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS c, 0 AS s FROM tg UNION ALL
+SELECT label, nth, grp, size, a + CASE s WHEN 0 THEN size ELSE 0 END, b + CASE s WHEN 1 THEN size ELSE 0 END, c + CASE s WHEN 2 THEN size ELSE 0 END, s FROM (
+SELECT f.label, o.nth, o.grp, o.size, f.a, f.b, f.c, CASE WHEN f.a / g[1] <= f.b / g[2] AND f.a / g[1] <= f.c / g[3] THEN 0 WHEN f.b / g[2] <= f.c / g[3] THEN 1 ELSE 2 END AS s
+FROM fold f JOIN og o ON o.label = f.label AND o.nth = f.nth + 1 JOIN tg ON tg.label = f.label))
+SELECT label, grp AS "group", size::BIGINT AS size, ['train', 'val_select', 'val_cal'][s + 1] AS split FROM fold WHERE nth > 0""")
 def split_ratio_fill(spark, sf_dir):
     """Groups of one source id each, filled by count over target."""
     rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("label"), (F.col("doc_id") % 331).alias("group")).groupBy("label", "group").agg(F.count("*").alias("size")).withColumn("member_key", F.col("group").cast("string"))
@@ -499,7 +521,7 @@ def oversample_repeats(spark, sf_dir):
 
 
 @query("""WITH o AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM events)
-SELECT user_id, event_id, pos AS "at" FROM o WHERE n >= 9 AND list_contains(list_transform(range(9), lambda i: floor(i * (n - 1) / 8.0)::BIGINT), pos)""")
+SELECT user_id, event_id, pos AS "at" FROM o WHERE n < 9 OR list_contains(list_transform(range(9), lambda i: floor(i * (n - 1) / 8.0)::BIGINT), pos)""")
 def even_spacing(spark, sf_dir):
     return sampling.evenly_spaced(table(spark, sf_dir, "events").select("user_id", "event_id"), "user_id", "event_id", 9).select("user_id", "event_id", "at")
 
@@ -574,7 +596,12 @@ def box_iou_best(spark, sf_dir):
     return _boxes(spark, sf_dir).select("p_partkey", _r(F.get(B.best_overlaps(F.array("truth"), F.col("boxes")), F.lit(0))).alias("best"))
 
 
-@query()
+@query("""WITH b AS (SELECT p_partkey, unnest([1, 2, 3]) AS i, p_partkey::DOUBLE AS k, p_size::DOUBLE AS s FROM part),
+x AS (SELECT p_partkey, i, CASE i WHEN 1 THEN k % 40 WHEN 2 THEN k % 40 + 1 ELSE k % 17 + 60 END AS x1, CASE i WHEN 1 THEN k % 30 WHEN 2 THEN k % 30 + 1 ELSE k % 23 END AS y1, CASE WHEN i < 3 THEN 20 + s ELSE 10 + s END AS w, CASE WHEN i < 3 THEN 30 + s ELSE 10 + s END AS h, (k % (110 - 10 * i)) / 100 AS conf FROM b),
+o AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY conf DESC, w * h DESC, i) AS r FROM x),
+p AS (SELECT a.p_partkey, a.r AS ra, b.r AS rb, greatest(least(a.x1 + a.w, b.x1 + b.w) - greatest(a.x1, b.x1), 0) * greatest(least(a.y1 + a.h, b.y1 + b.h) - greatest(a.y1, b.y1), 0) AS inter, a.w * a.h + b.w * b.h AS total FROM o a JOIN o b ON a.p_partkey = b.p_partkey AND a.r < b.r),
+q AS (SELECT p_partkey, max(inter / (total - inter)) FILTER (ra = 1 AND rb = 2) AS i12, max(inter / (total - inter)) FILTER (ra = 1 AND rb = 3) AS i13, max(inter / (total - inter)) FILTER (ra = 2 AND rb = 3) AS i23 FROM p GROUP BY 1)
+SELECT p_partkey, (1 + (i12 < 0.85)::INT + (i13 < 0.85 AND (i12 >= 0.85 OR i23 < 0.85))::INT)::INT AS kept, round((SELECT max(conf) FROM o WHERE o.p_partkey = q.p_partkey), 6) AS top FROM q""")
 def box_nms(spark, sf_dir):
     kept = B.non_maximum_suppression(F.col("boxes"), 0.85)
     return _boxes(spark, sf_dir).select("p_partkey", F.size(kept).alias("kept"), _r(F.get(kept, F.lit(0))["confidence"]).alias("top"))
@@ -637,7 +664,13 @@ def exactly_once_events(spark, sf_dir):
     return W.first_events(rows, "id", "event_id").select("id", "user_id", "event_type")
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN CASE WHEN turn % 4 = 0 THEN 'confirm' ELSE 'preview' END ELSE 'pop' END AS kind FROM conversations), o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, kind) AS nth, count(*) OVER (PARTITION BY conv_id) AS n FROM c),
+f AS (SELECT DISTINCT conv_id, 0::BIGINT AS nth, []::BIGINT[] AS waiting, NULL::BIGINT AS preview, []::BIGINT[] AS popped, 0::BIGINT AS empty_pops, 0::BIGINT AS rejected, 0::BIGINT AS replaced FROM c UNION ALL
+SELECT f.conv_id, o.nth, CASE WHEN kind = 'confirm' AND len(waiting) < 2 THEN list_append(waiting, turn::BIGINT) WHEN kind = 'pop' AND len(waiting) > 0 THEN waiting[2:] ELSE waiting END,
+CASE WHEN kind = 'preview' THEN turn::BIGINT WHEN kind = 'pop' AND len(waiting) = 0 THEN NULL ELSE preview END,
+CASE WHEN kind = 'pop' AND len(waiting) > 0 THEN list_append(popped, waiting[1]) WHEN kind = 'pop' AND preview IS NOT NULL THEN list_append(popped, preview) ELSE popped END,
+empty_pops + (kind = 'pop' AND len(waiting) = 0 AND preview IS NULL)::INT, rejected + (kind = 'confirm' AND len(waiting) >= 2)::INT, replaced + (kind = 'preview' AND preview IS NOT NULL)::INT FROM f JOIN o ON o.conv_id = f.conv_id AND o.nth = f.nth + 1)
+SELECT f.conv_id, len(popped)::BIGINT AS pops, empty_pops, rejected, replaced, array_to_string(popped, '|') AS popped FROM f JOIN (SELECT conv_id, max(nth) AS n FROM o GROUP BY 1) m ON m.conv_id = f.conv_id AND m.n = f.nth""")
 def queue_replay(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", F.when(F.col("turn") % 4 == 0, "confirm").otherwise("preview")).otherwise("pop").alias("kind"))
     return W.replay_queue(c, "conv_id", "turn")

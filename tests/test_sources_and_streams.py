@@ -158,12 +158,12 @@ def test_ring_stream_equals_batch(spark, tmp_path):
     assert last == {r.key: (r.pushed, r.held, r.dropped) for r in batch.collect()}
 
 
-def test_queue():
-    q = windows.JobQueue(1)
-    q.put_preview("p1")
-    q.put_preview("p2")
-    assert q.put_confirmation("c1") and not q.put_confirmation("c2") and (q.replaced, q.rejected) == (1, 1)
-    assert [q.pop(), q.pop(), q.pop()] == ["c1", "p2", None]
+def test_queue(spark):
+    kinds = ["preview", "preview", "confirm", "confirm", "pop", "pop", "pop"]
+    rows = spark.createDataFrame([("s", i, k) for i, k in enumerate(kinds)] + [("t", 1, "pop")], "k string, at int, kind string")
+    got = {r.k: tuple(r)[1:] for r in windows.replay_queue(rows, "k", "at", 1).collect()}
+    assert got == {"s": (2, 1, 1, 1, "2|1"), "t": (0, 1, 0, 0, "")}
+    assert windows.replay_queue(rows.limit(0), "k", "at").count() == 0
 
 
 class Runner:
