@@ -43,6 +43,12 @@ def rounded_targets(total: int, ratios: Sequence[float]) -> list[int]:
     return [*shares, total - sum(shares)]
 
 
+def rounded_shares(total: Column, ratios: Sequence[float]) -> Column:
+    """rounded_targets() of a column: array<long>."""
+    shares = [F.rint(total * F.lit(r)) for r in ratios[:-1]]
+    return F.array(*[s.cast("long") for s in shares], (total - sum(shares, F.lit(0.0))).cast("long"))
+
+
 def hash_top_n(rows: DataFrame, by: str, key: str, n: int, seed: int | str) -> DataFrame:
     """The n rows of each stratum with the smallest stable keys.
 
@@ -95,8 +101,11 @@ def allocate_groups(groups: DataFrame, ratios: Sequence[float], seed: int | str,
         for size in sizes:
             costs = []
             for s in range(len(goals)):
-                terms = [(counts[j] + (size if j == s else 0) - goals[j]) for j in range(len(goals))]
-                costs.append(sum(t * t / w for t, w in zip(terms, weights, strict=True)))
+                cost = 0.0  # added up term by term: sum() would compensate rounding, and ties would fall otherwise
+                for j, (goal, weight) in enumerate(zip(goals, weights, strict=True)):
+                    gap = counts[j] + (size if j == s else 0) - goal
+                    cost += gap * gap / weight
+                costs.append(cost)
             out.append(costs.index(min(costs)))
             counts[out[-1]] += size
         return out

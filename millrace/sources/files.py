@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import contextlib
+import hashlib
 import io
 import os
 import re
 import shutil
 import struct
 import tarfile
+import uuid
+import zipfile
 from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import file_stem, safe_member_path
+from millrace.sources.storage import arrow_path, cut
 
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "webp", "bmp")
 
@@ -90,23 +95,24 @@ def png_size(content: Column) -> Column:
 
 
 def jpeg_size(raw: bytes) -> tuple[int, int] | None:
-    """(width, height) from the frame header of JPEG bytes."""
+    """(width, height) from the frame header of JPEG bytes; bytes between segments that are no marker are skipped."""
     if raw[:2] != b"\xff\xd8":
         return None
     at = 2
-    while at + 9 <= len(raw):
-        if raw[at] != 0xFF:
-            return None
+    while (at := raw.find(b"\xff", at)) >= 0 and at + 9 <= len(raw):
         kind = raw[at + 1]
-        if kind == 0xFF:
+        if kind == 0xFF:  # fill byte
             at += 1
-        elif kind == 0x01 or 0xD0 <= kind <= 0xD8:
+        elif kind == 0 or kind == 0x01 or 0xD0 <= kind <= 0xD9:  # stuffed byte, or a marker without a segment
             at += 2
-        elif 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
-            height, width = struct.unpack(">HH", raw[at + 5 : at + 9])
-            return width, height
         else:
-            at += 2 + struct.unpack(">H", raw[at + 2 : at + 4])[0]
+            size = struct.unpack(">H", raw[at + 2 : at + 4])[0]
+            if size < 2 or at + 2 + size > len(raw):
+                return None
+            if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
+                height, width = struct.unpack(">HH", raw[at + 5 : at + 9])
+                return width, height
+            at += 2 + size
     return None
 
 
@@ -128,51 +134,145 @@ def image_sizes(files: DataFrame) -> DataFrame:
 
 
 def tar_members(spark: SparkSession, path: str, pattern: str, per_label: int) -> DataFrame:
-    """archive, name, label, number, size of safe members whose name matches (label, number), first `per_label` each."""
+    """archive, name, label, number, size of safe members whose name matches (label, number), first `per_label` each.
+
+    An archive is walked as a stream, so only its members' headers are held.
+    """
 
     def walk(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for archive, raw in zip(pdf["path"], pdf["content"], strict=True):
-                with tarfile.open(fileobj=io.BytesIO(bytes(raw))) as tar:
-                    rows = [(archive, m.name, m.size) for m in tar if m.isfile()]
+            for archive in pdf["path"]:
+                fs, at = arrow_path(archive)
+                rows = []
+                with fs.open_input_stream(at, compression=None) as raw, tarfile.open(fileobj=raw, mode="r|*") as tar:
+                    for m in tar:
+                        if m.isfile():
+                            rows.append((archive, m.name, m.size))
+                        if len(rows) == 10_000:
+                            yield pd.DataFrame(rows, columns=["archive", "name", "size"])
+                            rows = []
                 yield pd.DataFrame(rows, columns=["archive", "name", "size"])
 
-    members = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(walk, "archive string, name string, size long")
+    members = spark.read.format("binaryFile").load(path).select("path").mapInPandas(walk, "archive string, name string, size long")
     parsed = members.where(safe_member_path(F.col("name"))).select("*", F.regexp_extract("name", pattern, 1).alias("label"), F.regexp_extract("name", pattern, 2).try_cast("int").alias("number")).where("number is not null")
-    ranked = parsed.groupBy("label").agg(F.slice(F.sort_array(F.collect_list(F.struct("number", "name", "archive", "size"))), 1, per_label).alias("m"))
-    return ranked.select("label", F.explode("m").alias("m")).select("m.archive", "m.name", "label", "m.number", "m.size")
+    nth = F.row_number().over(Window.partitionBy("label").orderBy("number", "name", "archive"))
+    return parsed.withColumn("nth", nth).where(F.col("nth") <= per_label).select("archive", "name", "label", "number", "size")
+
+
+def _place(fs, path: str, write) -> None:
+    """write(open file) to a name of its own, then renamed, so a reader never sees half a file and a task may run twice."""
+    fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    part = f"{path}.{uuid.uuid4().hex}.part"
+    with fs.open_output_stream(part, compression=None) as out:
+        write(out)
+    try:
+        fs.move(part, path)
+    except OSError:  # a file system that does not replace: the other attempt's file has the same content
+        fs.delete_file(part)
+
+
+def write_contents(rows: DataFrame, root: str) -> DataFrame:
+    """rows (name, content binary) written as files under root; gives name, length, sha256 of what stands there."""
+
+    def put(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = arrow_path(root)
+        for pdf in batches:
+            out = []
+            for name, content in zip(pdf["name"], pdf["content"], strict=True):
+                data = bytes(content)
+                _place(fs, f"{base}/{name}", lambda f, d=data: f.write(d))
+                out.append((name, len(data), hashlib.sha256(data).hexdigest()))
+            yield pd.DataFrame(out, columns=["name", "length", "sha256"])
+
+    return cut(rows.select("name", "content").mapInPandas(put, "name string, length long, sha256 string"))
 
 
 def materialize(rows: DataFrame, source_root: str, target_root: str) -> DataFrame:
-    """rows (source, target, sha256) copied to a folder all executors share: link or copy, verified, idempotent.
+    """rows (source, target, sha256) brought to a folder all executors share: link or copy, verified, idempotent.
 
-    Returns target, method, ok. A target that stands with the right content is left as it is.
+    Returns target, method (kept, link, copy or missing) and ok. A target that stands is left as it is and verified.
+    Any file system that pyarrow knows will do; links are made between local folders only.
     """
 
     def copy(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import hashlib
+        from pyarrow import fs as pafs
 
+        (fs, base), (there, top) = arrow_path(source_root), arrow_path(target_root)
+        local = isinstance(fs, pafs.LocalFileSystem) and isinstance(there, pafs.LocalFileSystem)
         for pdf in batches:
             out = []
             for source, target, digest in zip(pdf["source"], pdf["target"], pdf["sha256"], strict=True):
-                src, dst = os.path.join(source_root, source), os.path.join(target_root, target)
+                src, dst = f"{base}/{source}", f"{top}/{target}"
                 method = "kept"
-                if not os.path.exists(dst):
-                    os.makedirs(os.path.dirname(dst), exist_ok=True)
-                    part = f"{dst}.{os.getpid()}.part"
-                    try:
-                        os.link(src, part)
-                        method = "link"
-                    except OSError:
-                        shutil.copyfile(src, part)
-                        method = "copy"
-                    os.replace(part, dst)
-                with open(dst, "rb") as f:
-                    out.append((target, method, hashlib.file_digest(f, "sha256").hexdigest() == digest))
+                if there.get_file_info(dst).type != pafs.FileType.File:
+                    if fs.get_file_info(src).type != pafs.FileType.File:
+                        out.append((target, "missing", False))
+                        continue
+                    method = "copy"
+                    if local:
+                        there.create_dir(dst.rsplit("/", 1)[0], recursive=True)
+                        with contextlib.suppress(OSError):
+                            os.link(src, part := f"{dst}.{uuid.uuid4().hex}.part")
+                            os.replace(part, dst)
+                            method = "link"
+                    if method == "copy":
+                        with fs.open_input_stream(src, compression=None) as f:
+                            _place(there, dst, lambda o, f=f: shutil.copyfileobj(f, o, 1 << 20))
+                h = hashlib.sha256()
+                with there.open_input_stream(dst, compression=None) as f:
+                    while chunk := f.read(1 << 20):
+                        h.update(chunk)
+                out.append((target, method, h.hexdigest() == digest))
             yield pd.DataFrame(out, columns=["target", "method", "ok"])
 
     return rows.select("source", "target", "sha256").mapInPandas(copy, "target string, method string, ok boolean")
 
 
+def hash_mismatches(files: DataFrame, expected: DataFrame, key: str = "name") -> DataFrame:
+    """Files whose content is not the expected one: key, sha256, expected."""
+    return files.select(key, "sha256").join(expected.select(key, F.col("sha256").alias("expected")), key).where("sha256 <> expected")
+
+
+def write_zips(rows: DataFrame, root: str) -> DataFrame:
+    """rows (archive, name, content) as reproducible ZIP files under root: members by name, fixed times and attributes.
+
+    Gives archive, members, bytes, sha256: the same digest for the same members, whenever it is written. One archive is
+    written by one task, which holds its members' contents.
+    """
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=6) as z:
+            for name, content in sorted(zip(pdf["name"], pdf["content"], strict=True)):
+                info = zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0))
+                info.compress_type, info.external_attr, info.create_system = zipfile.ZIP_DEFLATED, 0o644 << 16, 3
+                z.writestr(info, bytes(content), compresslevel=6)
+        fs, base = arrow_path(root)
+        _place(fs, f"{base}/{pdf['archive'].iloc[0]}", lambda f: f.write(out.getvalue()))
+        return pd.DataFrame([(pdf["archive"].iloc[0], len(pdf), len(out.getvalue()), hashlib.sha256(out.getvalue()).hexdigest())], columns=["archive", "members", "bytes", "sha256"])
+
+    return cut(rows.select("archive", "name", "content").groupBy("archive").applyInPandas(pack, "archive string, members long, bytes long, sha256 string"))
+
+
+def zip_inventory(spark: SparkSession, root: str) -> DataFrame:
+    """archive, name, bytes, sha256 of every member of the ZIP files under root."""
+
+    def walk(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path in pdf["path"]:
+                fs, at = arrow_path(path)
+                rows = []
+                with fs.open_input_file(at) as raw, zipfile.ZipFile(raw) as z:
+                    for m in z.infolist():
+                        h = hashlib.sha256()
+                        with z.open(m) as f:
+                            while chunk := f.read(1 << 20):
+                                h.update(chunk)
+                        rows.append((path.rsplit("/", 1)[-1], m.filename, m.file_size, h.hexdigest()))
+                yield pd.DataFrame(rows, columns=["archive", "name", "bytes", "sha256"])
+
+    return spark.read.format("binaryFile").load(root).select("path").mapInPandas(walk, "archive string, name string, bytes long, sha256 string")
+
+
 def unexpected_files(found: DataFrame, expected: DataFrame, key: str = "name") -> DataFrame:
     return found.join(expected.select(key), key, "left_anti")

@@ -6,16 +6,23 @@ request goes through `fetch_json` with bounded retries that respect Retry-After.
 
 from __future__ import annotations
 
+import hashlib
 import importlib
 import json
+import struct
 import time
 import urllib.error
 import urllib.parse
 import urllib.request
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
+from millrace.sources.storage import arrow_path, cut
+
 PAGE_SCHEMA = "item_id string, payload string, page int"
 
 
@@ -145,18 +152,29 @@ class JsonPages(DataSource):
 
 
 class FrameReader(SimpleDataSourceStreamReader):
-    """Polls a capture; ids go on after a reconnect, and a failed read gives no frame and releases the capture."""
+    """Polls a capture; ids go on after a reconnect, and a failed read gives no frame and releases the capture.
+
+    A camera gives a frame once. With the option `log`, a folder all can reach, every read is written there before it is
+    handed on, so a batch that is asked for again after a restart is read back; without it frames are given at most once.
+    """
 
     def __init__(self, options: dict):
         self.factory = _load(options.get("capture"), None)
         self.limit = int(options.get("perbatch", 1))
+        self.log = options.get("log")
         self.capture = None
 
+    def _file(self, start: int):
+        fs, base = arrow_path(self.log)
+        return fs, base, f"{base}/{start:020d}.frames"
+
     def initialOffset(self) -> dict:
         return {"frame": 0}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         rows, at = [], start["frame"]
+        if self.log and (kept := self._read(at)):
+            return iter(kept), {"frame": at + len(kept)}
         for _ in range(self.limit):
             if self.capture is None:
                 self.capture = self.factory()
@@ -168,11 +186,37 @@ class FrameReader(SimpleDataSourceStreamReader):
             rows.append((at, time.time_ns(), bytes(frame)))
             at += 1
         self.held = {start["frame"]: rows}
+        if self.log and rows:
+            fs, base, path = self._file(start["frame"])
+            fs.create_dir(base, recursive=True)
+            with fs.open_output_stream(f"{path}.part", compression=None) as f:
+                for frame, at_ns, image in rows:
+                    f.write(struct.pack("<qqq", frame, at_ns, len(image)) + image)
+            fs.move(f"{path}.part", path)
         return iter(rows), {"frame": at}
 
+    def _read(self, start: int) -> list[tuple]:
+        fs, _, path = self._file(start)
+        if not fs.get_file_info(path).is_file:
+            return []
+        with fs.open_input_stream(path, compression=None) as f:
+            raw = f.read()
+        rows, at = [], 0
+        while at < len(raw):
+            frame, at_ns, size = struct.unpack_from("<qqq", raw, at)
+            rows.append((frame, at_ns, bytes(raw[at + 24 : at + 24 + size])))
+            at += 24 + size
+        return rows
+
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        """Frames of a camera cannot be read again; what is still held is replayed."""
-        return iter(getattr(self, "held", {}).get(start["frame"], []))
+        """Frames from start up to end: what is still held, or what the log has."""
+        at, held = start["frame"], getattr(self, "held", {})
+        while at < end["frame"]:
+            rows = held.get(at) or (self._read(at) if self.log else [])
+            if not rows:
+                return
+            yield from (r for r in rows if r[0] < end["frame"])
+            at = rows[-1][0] + 1
 
 
 class Frames(DataSource):
@@ -189,9 +233,59 @@ class Frames(DataSource):
         return FrameReader(dict(self.options))
 
 
-def batched_lookup(keys: list[str], size: int, lookup: Callable[[list[str]], dict]) -> dict:
-    """Metadata of many keys in requests of `size`."""
-    out: dict = {}
-    for at in range(0, len(keys), size):
-        out |= lookup(keys[at : at + size])
-    return out
+def batched_lookup(keys: DataFrame, key: str, size: int, lookup: Callable[[list[str]], dict[str, dict]]) -> DataFrame:
+    """key, payload (JSON, null for what the service does not know): metadata in requests of at most `size` keys.
+
+    Every task asks for the keys it holds, so requests run side by side; equal keys are asked for once.
+    """
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: list[str] = []
+
+        def ask(part: list[str]) -> pd.DataFrame:
+            found = lookup(part)
+            return pd.DataFrame([(k, json.dumps(found[k], sort_keys=True) if k in found else None) for k in part], columns=["key", "payload"])
+
+        for pdf in batches:
+            waiting += pdf.iloc[:, 0].tolist()
+            while len(waiting) >= size:
+                part, waiting = waiting[:size], waiting[size:]
+                yield ask(part)
+        if waiting:
+            yield ask(waiting)
+
+    asked = keys.select(F.col(key).cast("string").alias("key")).where("key is not null").distinct()
+    return asked.mapInPandas(run, "key string, payload string").withColumnRenamed("key", key)
+
+
+def open_file(url: str, timeout: float = 30.0) -> bytes:
+    """Reads a URL of a folder that stands in for a service: the query, with = for file names, names a JSON file in it."""
+    base, _, query = url.partition("?")
+    fs, path = arrow_path(f"{base}/{query or 'first'}.json")
+    with fs.open_input_stream(path, compression=None) as f:
+        return f.read()
+
+
+def cached_download(rows: DataFrame, root: str, opener: Callable[[str], bytes] = open_url) -> DataFrame:
+    """rows (url, target) fetched to files under root, each once: target, method (fetched or kept), length, sha256.
+
+    A file that stands is not fetched again; a new one appears whole, by a rename.
+    """
+    from millrace.sources.files import _place
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = arrow_path(root)
+        for pdf in batches:
+            out = []
+            for url, target in zip(pdf["url"], pdf["target"], strict=True):
+                path, method = f"{base}/{target}", "kept"
+                if not fs.get_file_info(path).is_file:
+                    data = opener(url)
+                    _place(fs, path, lambda f, d=data: f.write(d))
+                    method = "fetched"
+                with fs.open_input_stream(path, compression=None) as f:
+                    data = f.read()
+                out.append((target, method, len(data), hashlib.sha256(data).hexdigest()))
+            yield pd.DataFrame(out, columns=["target", "method", "length", "sha256"])
+
+    return cut(rows.select("url", "target").mapInPandas(run, "target string, method string, length long, sha256 string"))

@@ -6,13 +6,13 @@ import json
 import re
 import tomllib
 from collections.abc import Sequence
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.text import blank_to_empty, try_unit_float
+from millrace.sources.storage import read_text, write_text
 
 # Fixed values of the prediction table: its columns in order, and its splits.
 PREDICTION_COLUMNS = ("image_id", "split", "true_label", "p_ragdoll", "p_singapura", "p_persian", "p_sphynx", "p_pallas", "p_not_target", "model_id", "dataset_sha256", "checkpoint_sha256", "source_group_id")
@@ -124,11 +124,20 @@ def read_json_document(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path)
 
 
-def load_toml(path: str, version: int = 1) -> dict:
-    """A configuration; any other schema_version is refused."""
-    config = tomllib.loads(Path(path).read_text(encoding="utf-8"))
+def load_toml(spark: SparkSession, path: str, version: int = 1, rules: dict[str, tuple[type, float, float]] | None = None) -> dict:
+    """A configuration from any file system; another schema_version, or a value outside of its rule, is refused.
+
+    rules: dotted name -> (type, least, most).
+    """
+    config = tomllib.loads(read_text(spark, path))
     if config.get("schema_version", version) != version:
         raise ValueError("unknown schema_version")
+    for name, (kind, least, most) in (rules or {}).items():
+        value = config
+        for part in name.split("."):
+            value = value.get(part) if isinstance(value, dict) else None
+        if not isinstance(value, kind) or isinstance(value, bool) or not least <= value <= most:
+            raise ValueError(f"{name} must be a {kind.__name__} from {least} to {most}: {value!r}")
     return config
 
 
@@ -149,11 +158,12 @@ def project(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def write_csv(df: DataFrame, path: str, columns: Sequence[str], *, single_file: bool = False, overwrite: bool = False) -> None:
     """Header, LF line ends. Refuses an existing path unless told to overwrite; one file only for small tables."""
     out = project(df, columns)
-    (out.coalesce(1) if single_file else out).write.mode("overwrite" if overwrite else "errorifexists").option("header", True).option("lineSep", "\n").option("emptyValue", "").csv(path)
+    (out.coalesce(1) if single_file else out).write.mode("overwrite" if overwrite else "errorifexists").option("header", True).option("lineSep", "\n").option("emptyValue", "").option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
-def write_report(report: dict, path: str) -> None:
-    Path(path).write_text(json.dumps(report, indent=2, sort_keys=True, ensure_ascii=False) + "\n", encoding="utf-8")
+def write_report(spark: SparkSession, report: dict, path: str, overwrite: bool = False) -> None:
+    """A small report as JSON with sorted keys, in any file system."""
+    write_text(spark, path, json.dumps(report, indent=2, sort_keys=True, ensure_ascii=False) + "\n", overwrite)
 
 
 def report_column(*columns: Column | str) -> Column:

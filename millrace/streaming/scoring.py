@@ -7,6 +7,7 @@ from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 class ModelRunner(Protocol):
@@ -20,6 +21,11 @@ class ModelRunner(Protocol):
 OBSERVATION = "item_id long, p array<double>, valid boolean, reason string"
 
 
+def health(observations: DataFrame) -> DataFrame:
+    """status (ok or the reason), n: how many observations a model gave and why others are invalid."""
+    return observations.groupBy(F.when(F.col("valid"), "ok").otherwise(F.col("reason")).alias("status")).agg(F.count("*").alias("n"))
+
+
 def score(rows: DataFrame, factory: Callable[[], ModelRunner], item_col: str, id_col: str = "item_id", batch: int = 64) -> DataFrame:
     """OBSERVATION rows. An exception of the runner gives valid = false and its name as reason; no task fails."""
 

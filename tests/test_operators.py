@@ -1,4 +1,6 @@
+import functools
 import hashlib
+import operator
 import random
 
 import pytest
@@ -113,7 +115,7 @@ def test_split_and_sampling(spark):
     goal = sampling.largest_remainder(20, (0.85, 0.10, 0.05))
     counts, want = [0, 0, 0], {}
     for _, g, s, k in sorted(groups, key=lambda x: (-x[2], hashlib.sha256(f"7:{x[3]}".encode()).hexdigest())):
-        cost = [sum((counts[j] + (s if j == c else 0) - goal[j]) ** 2 / max(1.0, goal[j]) for j in range(3)) for c in range(3)]
+        cost = [functools.reduce(operator.add, [(counts[j] + (s if j == c else 0) - goal[j]) ** 2 / max(1.0, goal[j]) for j in range(3)]) for c in range(3)]
         best = cost.index(min(cost))
         counts[best] += s
         want[g] = sampling.SPLITS[best]

@@ -5,7 +5,7 @@ import tarfile
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.sources import files, remote, tables
+from millrace.sources import files, remote, storage, tables
 from millrace.streaming import scoring, windows
 
 
@@ -94,7 +94,9 @@ def test_remote(spark):
     assert len(list(remote.offset_pages("u", "results", 2, off))) == 4
     tok = lambda url: json.dumps({"q": {"a": {"id": 1}}, **({} if "c=" in url else {"continue": {"c": "1"}})}).encode()
     assert len(list(remote.token_pages("u", "q", tok))) == 2
-    assert remote.batched_lookup(list("abcde"), 2, lambda k: dict.fromkeys(k, len(k))) == {"a": 2, "b": 2, "c": 2, "d": 2, "e": 1}
+    keys = spark.createDataFrame([(x,) for x in "abcdea"], "k string").coalesce(1)
+    got = {r.k: r.payload for r in remote.batched_lookup(keys, "k", 2, lambda k: {x: {"n": len(k)} for x in k if x != "b"}).collect()}
+    assert set(got) == set("abcde") and got["b"] is None and set(got.values()) <= {None, '{"n": 1}', '{"n": 2}'}
 
 
 class Camera:
@@ -120,6 +122,73 @@ def test_frame_reader_reconnects():
     assert [(x[0], x[2]) for x in rows] == [(2, b"c")] and at == {"frame": 3}
 
 
+def test_frames_are_read_back_after_a_restart(tmp_path):
+    Camera.frames = [b"p", b"q", b"r"]
+    options = {"capture": "tests.test_sources_and_streams:Camera", "perbatch": "2", "log": str(tmp_path / "log")}
+    r = remote.FrameReader(options)
+    rows, at = r.read({"frame": 0})
+    first = list(rows)
+    more, end = r.read(at)
+    again = remote.FrameReader(options)  # a new driver, which holds nothing
+    assert list(again.readBetweenOffsets({"frame": 0}, end)) == first + list(more) and [x[2] for x in first] == [b"p", b"q"]
+    rows, after = again.read({"frame": 0})  # read but not committed before the restart
+    assert list(rows) == first and after == at
+    assert list(remote.FrameReader(options | {"log": None}).readBetweenOffsets({"frame": 0}, end)) == []
+
+
+def test_files_are_fetched_and_packed_once(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def opener(url, calls=str(calls)):
+        import uuid
+
+        open(f"{calls}/{uuid.uuid4().hex}", "w").close()
+        return url.encode()
+
+    rows = spark.createDataFrame([(f"http://h/{i}", f"d/{i}.txt") for i in range(4)], "url string, target string")
+    for method in ("fetched", "kept"):
+        out = remote.cached_download(rows, str(tmp_path / "cache"), opener).collect()
+        assert {r.method for r in out} == {method} and len(out) == 4 and len(list(calls.iterdir())) == 4
+    members = spark.createDataFrame([("a.zip", f"m{i}", bytearray(b"x" * i)) for i in range(3)], "archive string, name string, content binary")
+    a, b = (files.write_zips(members.repartition(n), str(tmp_path / f"z{n}")).collect() for n in (1, 3))
+    assert [r.sha256 for r in a] == [r.sha256 for r in b]
+    assert sorted((r.name, r.bytes) for r in files.zip_inventory(spark, str(tmp_path / "z1")).collect()) == [("m0", 0), ("m1", 1), ("m2", 2)]
+    plan = spark.createDataFrame([("nowhere", "x", "0" * 64)], "source string, target string, sha256 string")
+    assert [tuple(r) for r in files.materialize(plan, str(tmp_path), str(tmp_path / "view")).collect()] == [("x", "missing", False)]
+
+
+def test_text_files_and_configuration(spark, tmp_path):
+    path = str(tmp_path / "c.toml")
+    storage.write_text(spark, path, "schema_version = 1\n[window]\nsize = 7\n")
+    assert tables.load_toml(spark, path, rules={"window.size": (int, 1, 9)})["window"]["size"] == 7 and storage.exists(spark, path)
+    for bad in ({"window.size": (int, 8, 9)}, {"window.none": (int, 0, 9)}, {"window.size": (float, 0, 9)}):
+        with pytest.raises(ValueError):
+            tables.load_toml(spark, path, rules=bad)
+    with pytest.raises(ValueError):
+        tables.load_toml(spark, path, version=2)
+    with pytest.raises(Exception):
+        storage.write_text(spark, path, "x")
+
+
+def test_a_shared_folder_is_asked_for(spark):
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError):
+        storage.shared_dir(Session())
+
+
 def test_exactly_once_stream(spark, tmp_path):
     rows = [(i // 2, f"2026-01-01 00:00:{i:02d}") for i in range(20)]
     for b in range(2):
