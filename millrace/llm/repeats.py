@@ -32,7 +32,7 @@ from .textops import U64, buffers, mix, powers, rolling, slices
 LENGTH = 400
 GRAM = 64
 MAX_CONTEXTS = 256
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 17
 _LOW = U64((1 << 23) - 1)
 
 
