@@ -24,9 +24,9 @@ def _types(s: np.ndarray) -> np.ndarray:
     smaller = np.zeros(n, bool)
     smaller[-1] = True
     if len(differs):
-        at = np.searchsorted(differs, np.arange(n - 1))
-        nxt = differs[np.minimum(at, len(differs) - 1)]
-        smaller[:-1] = s[nxt + 1] > s[nxt]
+        grows = s[differs + 1] > s[differs]
+        runs = np.diff(np.concatenate([[-1], differs]))
+        smaller[: differs[-1] + 1] = np.repeat(grows, runs)
     return smaller
 
 
@@ -102,36 +102,33 @@ class _Steps:
         # Of each suffix, what its induction asks for: the suffix before it, if that is larger, or if it is smaller.
         before = np.arange(len(s)) - 1
         before_smaller = np.concatenate([[False], smaller[:-1]])
-        self.larger = np.where((before >= 0) & ~before_smaller, before, -1).tolist()
-        self.smaller = np.where((before >= 0) & before_smaller, before, -1).tolist()
+        self.larger = [*np.where((before >= 0) & ~before_smaller, before, -1).tolist(), -1]  # the last for empty slots
+        self.smaller = [*np.where((before >= 0) & before_smaller, before, -1).tolist(), -1]
         self.s, self.n = s.tolist(), len(s)
 
     def induce(self, lms: np.ndarray) -> np.ndarray:
         s, larger, smaller, n = self.s, self.larger, self.smaller, self.n
-        sa = [-1] * n
+        sa = [n] * n
         tails = self.head[1:].tolist()
         for p in reversed(lms.tolist()):
             c = s[p]
-            tails[c] -= 1
-            sa[tails[c]] = p
+            tails[c] = t = tails[c] - 1
+            sa[t] = p
         heads = self.head[:-1].tolist()
-        for i in range(n):
-            p = sa[i]
-            if p >= 0:
-                q = larger[p]
-                if q >= 0:
-                    c = s[q]
-                    sa[heads[c]] = q
-                    heads[c] += 1
+        for p in sa:  # what is placed lies ahead, so it is met in turn
+            q = larger[p]
+            if q >= 0:
+                c = s[q]
+                h = heads[c]
+                sa[h] = q
+                heads[c] = h + 1
         tails = self.head[1:].tolist()
-        for i in range(n - 1, -1, -1):
-            p = sa[i]
-            if p >= 0:
-                q = smaller[p]
-                if q >= 0:
-                    c = s[q]
-                    tails[c] -= 1
-                    sa[tails[c]] = q
+        for p in reversed(sa):
+            q = smaller[p]
+            if q >= 0:
+                c = s[q]
+                tails[c] = t = tails[c] - 1
+                sa[t] = q
         return np.array(sa, np.int64)
 
 
