@@ -115,10 +115,14 @@ def leaf_votes(texts: DataFrame, depth: int, min_tokens: int, min_documents: int
     return dealt(posted).mapInArrow(meet, "leaf long, key long")
 
 
+LINE = "key long, doc_id long, line int, mask long, leaf long, tokens array<string>"
+
+
 def lines_of(texts: DataFrame, leaves: DataFrame, depth: int, min_tokens: int) -> DataFrame:
-    """texts (key, doc_id, text) -> key, doc_id, line, leaf, masked tokens of the lines whose leaf is among leaves (leaf).
+    """texts (key, doc_id, text) -> LINE of the lines whose leaf may be among leaves (leaf).
 
-    A bit filter of fixed size, folded natively, keeps most other lines from being sent; the join decides.
+    mask is the masked line's hash; its tokens are given where a slice of texts meets it first, else null. A bit filter
+    of fixed size, folded natively, keeps most other lines from being sent; the join decides.
     """
     bit = F.col("leaf").bitwiseAND(F.lit(FILTER_BITS - 1))
     words = leaves.select(bit.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("bits")).collect()
@@ -132,21 +136,25 @@ def lines_of(texts: DataFrame, leaves: DataFrame, depth: int, min_tokens: int) -
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                rows = []
+                rows, met = [], set()
                 for key, doc_id, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                     for i, leaf, tokens in _leaves(text or "", depth, min_tokens):
                         if bits[leaf & (FILTER_BITS - 1)]:
-                            rows.append((key, doc_id, i, leaf, tokens if len(tokens) < min_tokens else [FIELD if _DIGIT.search(t) else t for t in tokens]))
+                            if len(tokens) >= min_tokens:
+                                tokens = [FIELD if _DIGIT.search(t) else t for t in tokens]
+                            mask = xxhash.xxh64_intdigest(f"{leaf}\x1f" + "\x1f".join(tokens)) - (1 << 63)
+                            rows.append((key, doc_id, i, mask, leaf, None if mask in met else tokens))
+                            met.add(mask)
                 if rows:
                     cols = list(zip(*rows, strict=True))
-                    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string())]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["key", "doc_id", "line", "leaf", "tokens"])
+                    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string())]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["key", "doc_id", "line", "mask", "leaf", "tokens"])
 
-    return texts.select("key", "doc_id", "text").mapInArrow(run, "key long, doc_id long, line int, leaf long, tokens array<string>")
+    return texts.select("key", "doc_id", "text").mapInArrow(run, LINE)
 
 
 def groups_of(leaf: str, tokens: str, min_documents: int, fewest: int):
-    """Groups of a line and the votes each needs: its leaf, the leaf with each quarter of the line, the whole masked line."""
+    """Groups of a masked line and the votes each needs: its leaf, the leaf with each quarter of the line, the whole line."""
     edge = [F.floor(F.size(tokens) * F.lit(j) / QUARTERS).cast("int") for j in range(QUARTERS + 1)]
     quarters = [F.slice(tokens, edge[j] + 1, edge[j + 1] - edge[j]) for j in range(QUARTERS)]
     ids = [F.col(leaf), *[F.xxhash64(leaf, F.lit(j), part) for j, part in enumerate([*quarters, F.col(tokens)])]]
@@ -155,30 +163,40 @@ def groups_of(leaf: str, tokens: str, min_documents: int, fewest: int):
 
 
 def dropped_lines(texts: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_documents: int = MIN_DOCUMENTS, agree: float = 0.8) -> DataFrame:
-    """texts (key, doc_id, text) -> key, line numbers to drop."""
+    """texts (key, doc_id, text) -> key, line numbers to drop.
+
+    Groups, templates and what fits them depend on the masked line alone, so they are found once for each masked line,
+    weighted by its voices; lines themselves travel as numbers.
+    """
     fewest = min(LONG_DOCUMENTS, min_documents)
     copies = cut(near_copies(texts).where("node <> root").select(F.col("node").alias("key"), F.col("root").alias("voice")))
     release(texts.sparkSession)
-    heard = with_voice(leaf_votes(texts, depth, min_tokens, min_documents), copies).select("leaf", "voice").distinct()
-    leaves = cut(heard.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= F.when(F.col("leaf").bitwiseAND(F.lit(1)) == 1, fewest).otherwise(min_documents)).select("leaf"))
-    held = cut(with_voice(lines_of(texts, leaves, depth, min_tokens).join(leaves, "leaf"), copies))
-    parts = held.withColumn("part", F.explode(groups_of("leaf", "tokens", min_documents, fewest))).select("*", "part.*").drop("part")
-    common = cut(parts.select("group", "need", "voice").distinct().groupBy("group", "need").count().where("count >= need").select("group"))
-    parts = cut(parts.join(common, "group"))
-    voters = parts.select("group", "voice", "tokens").distinct()
-    spots = voters.select("group", F.posexplode("tokens").alias("at", "token")).groupBy("group", "at", "token").agg(F.count("*").alias("n"))
+    told = with_voice(leaf_votes(texts, depth, min_tokens, min_documents), copies).select("leaf", "voice").distinct()
+    leaves = cut(told.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= F.when(F.col("leaf").bitwiseAND(F.lit(1)) == 1, fewest).otherwise(min_documents)).select("leaf"))
+    found = cut(lines_of(texts, leaves, depth, min_tokens))
+    masks = cut(found.where("tokens is not null").groupBy("mask").agg(F.first("leaf").alias("leaf"), F.first("tokens").alias("tokens")).join(leaves, "leaf"))
+    held = cut(with_voice(found.select("key", "doc_id", "line", "mask").join(masks.select("mask"), "mask"), copies))
+    del found
+    release(texts.sparkSession)
+    heard = cut(held.select("mask", "voice").distinct())
+    weight = cut(heard.groupBy("mask").agg(F.count("*").alias("n")))
+    parts = cut(masks.select("mask", F.explode(groups_of("leaf", "tokens", min_documents, fewest)).alias("part")).select("mask", "part.*"))
+    common = heard.join(parts, "mask").select("group", "need", "voice").distinct().groupBy("group", "need").count().where("count >= need").select("group")
+    parts = cut(parts.join(cut(common), "group"))
+    lines = parts.join(masks.select("mask", "tokens"), "mask")
+    spots = lines.join(weight, "mask").select("group", "n", F.posexplode("tokens").alias("at", "token")).groupBy("group", "at", "token").agg(F.sum("n").alias("n"))
     mode = spots.groupBy("group", "at").agg(F.sum("n").alias("all"), F.max(F.struct("n", "token")).alias("top"))
     constant = (2 * F.col("top.n") >= F.col("all")) & (F.col("top.token") != FIELD)
     template = mode.groupBy("group").agg(F.map_from_entries(F.collect_list(F.when(constant, F.struct(F.col("at"), F.col("top.token").alias("token"))))).alias("template"))
-    template = cut(template.where((F.size("template") > 0)))
+    template = cut(template.where(F.size("template") > 0))
     same = F.size(F.filter(F.map_entries("template"), lambda e: F.get("tokens", e["key"]) == e["value"]))
-    fits = parts.join(template, "group").where((2 * F.size("template") >= F.size("tokens")) & (same >= agree * F.size("template"))).select("group", "need", "key", "voice", "doc_id", "line")
-    fits = cut(fits)
-    voices = cut(fits.select("group", "need", "voice").distinct().groupBy("group", "need").agg(F.count("*").alias("n")).where("n >= need").drop("need"))
+    fits = cut(lines.join(template, "group").where((2 * F.size("template") >= F.size("tokens")) & (same >= agree * F.size("template"))).select("group", "need", "mask"))
+    voices = heard.join(fits, "mask").select("group", "need", "voice").distinct().groupBy("group", "need").agg(F.count("*").alias("n")).where("n >= need").drop("need")
     # A line belongs to one template, the one with the most voices, so every template that drops lines has a keeper.
-    chosen = cut(fits.join(voices, "group").groupBy("key", "doc_id", "line").agg(F.max(F.struct("n", "group")).alias("top")).select("key", "doc_id", "line", F.col("top.group").alias("group")))
-    first = cut(chosen.groupBy("group").agg(F.min(F.struct("doc_id", "key")).alias("owner")).select("group", F.col("owner.key").alias("owner")))
-    return chosen.join(first, "group").where("key <> owner").groupBy("key").agg(F.collect_set("line").alias("drop"))
+    chosen = cut(fits.join(cut(voices), "group").groupBy("mask").agg(F.max(F.struct("n", "group")).alias("top")).select("mask", F.col("top.group").alias("group")))
+    placed = cut(held.join(chosen, "mask").select("key", "doc_id", "line", "group"))
+    first = cut(placed.groupBy("group").agg(F.min(F.struct("doc_id", "key")).alias("owner")).select("group", F.col("owner.key").alias("owner")))
+    return placed.join(first, "group").where("key <> owner").groupBy("key").agg(F.collect_set("line").alias("drop"))
 
 
 def dedup_lines(docs: DataFrame, counts: bool = True, **settings) -> DataFrame:
