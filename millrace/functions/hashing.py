@@ -76,9 +76,9 @@ def _simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         sizes = np.array([len(t) for t in texts])
         out = np.zeros((len(texts), 64), np.int64)
         if len(flat):
-            signed = np.unpackbits(flat.view(np.uint8)).reshape(-1, 64).astype(np.int32) * 2 - 1
             used = np.flatnonzero(sizes)
-            out[used] = np.add.reduceat(signed, np.concatenate([[0], np.cumsum(sizes[used])[:-1]]), axis=0)
+            ones = np.add.reduceat(np.unpackbits(flat.view(np.uint8)).reshape(-1, 64), np.concatenate([[0], np.cumsum(sizes[used])[:-1]]), axis=0, dtype=np.int32)
+            out[used] = 2 * ones - sizes[used, None]
         return out
 
     for texts in batches:

@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.hashing import halves, hamming
+from millrace.functions.hashing import halves
 from millrace.functions.text import normalize_url
 from millrace.operators.graph import connected_components
 from millrace.sources.storage import cut
@@ -55,21 +55,34 @@ def near_pairs(rows: DataFrame, id_col: str, hash_col: str, threshold: int = 4,
         while 64 * agree / (threshold + agree) < wanted and agree < 6:
             agree += 1
     hi, lo = halves(F.col(hash_col))
-    reps = reps.select(*scope, "id", F.col(hash_col).alias("h"), hi.alias("hi"), lo.alias("lo"))
+    reps = cut(reps.select(*scope, "id", F.shiftleft(hi, 32).bitwiseOR(lo).alias("h")))  # as one 64-bit number
     blocks = threshold + agree
     edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
     choices = list(combinations(range(blocks), agree))
-    bits = F.concat(F.lpad(F.conv("hi", 10, 2), 32, "0"), F.lpad(F.conv("lo", 10, 2), 32, "0"))
-    cuts = F.array(*[F.concat(*[F.substring(bits, edges[i] + 1, edges[i + 1] - edges[i]) for i in c]) for c in choices])
-    keyed = reps.select(*scope, "id", "h", cuts.alias("cuts"))
-    posted = keyed.select(*scope, "id", "h", "cuts", F.posexplode("cuts").alias("band", "bits"))
+
+    def bits(h: Column, i: int) -> Column:
+        width = edges[i + 1] - edges[i]
+        return F.shiftrightunsigned(h, 64 - edges[i + 1]).bitwiseAND(F.lit((1 << width) - 1))
+
+    def key(h: Column, choice: tuple[int, ...]) -> Column:
+        out = bits(h, choice[0])
+        for i in choice[1:]:
+            out = F.shiftleft(out, edges[i + 1] - edges[i]).bitwiseOR(bits(h, i))
+        return out
+
+    posted = reps.select(*scope, "id", "h", F.posexplode(F.array(*[key(F.col("h"), c) for c in choices])).alias("band", "bits"))
     left, right = posted.alias("l"), posted.alias("r")
-    same = (F.col("l.band") == F.col("r.band")) & (F.col("l.bits") == F.col("r.bits")) & (F.col("l.id") < F.col("r.id"))
+    differ = F.col("l.h").bitwiseXOR(F.col("r.h"))
+    same = (F.col("l.band") == F.col("r.band")) & (F.col("l.bits") == F.col("r.bits")) & (F.col("l.id") < F.col("r.id")) & (F.bit_count(differ) <= threshold)
     for s in scope:
         same &= F.col(f"l.{s}") == F.col(f"r.{s}")
-    first = F.forall(F.sequence(F.lit(0), F.lit(len(choices) - 1)), lambda i: (i >= F.col("l.band")) | (F.get(F.col("l.cuts"), i) != F.get(F.col("r.cuts"), i)))
-    pairs = left.join(right, same).where(first)
-    return pairs.select(*[F.col(f"l.{s}").alias(s) for s in scope], F.col("l.id").alias("a"), F.col("r.id").alias("b"), hamming(F.col("l.h"), F.col("r.h")).alias("distance")).where(F.col("distance") <= threshold)
+    # The first choice that a pair agrees on: the first whose bits do not differ.
+    first = F.lit(None).cast("int")
+    for band in reversed(range(len(choices))):
+        mask = sum((1 << (64 - edges[i])) - (1 << (64 - edges[i + 1])) for i in choices[band])
+        first = F.when(differ.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)) == 0, band).otherwise(first)
+    pairs = left.join(right, same & (F.col("l.band") == first))
+    return pairs.select(*[F.col(f"l.{s}").alias(s) for s in scope], F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.bit_count(differ).alias("distance"))
 
 
 def near_clusters(rows: DataFrame, id_col: str, hash_col: str, threshold: int = 4, within: str | None = None, prefix: str = "near-") -> DataFrame:

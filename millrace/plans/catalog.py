@@ -16,7 +16,7 @@ from millrace.functions import text as X
 from millrace.functions import vectors as V
 from millrace.operators import audit, dedup, graph, metrics, sampling
 from millrace.plans import builders
-from millrace.sources.storage import cut, table
+from millrace.sources.storage import cut, spread, table
 from millrace.sources.tables import LABELS, merge_reports
 from millrace.streaming import windows as W
 
@@ -419,7 +419,7 @@ np AS (SELECT x.lang, x.id AS a, y.id AS b, bit_count(xor(x.h, y.h)) AS distance
 
 
 def _hashed(spark, sf_dir) -> DataFrame:
-    return H.simhash(table(spark, sf_dir, "documents"), "doc_id", "text", ["lang"])
+    return H.simhash(spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")), "doc_id", "text", ["lang"])
 
 
 @query(f"WITH {SIM} SELECT lang, a, b, distance::INT AS distance FROM np")

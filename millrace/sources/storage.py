@@ -73,5 +73,11 @@ def arrow_path(root: str):
     return fs.FileSystem.from_uri(root if ":/" in root else f"file://{root}")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df on all cores where its files have fewer parts than there are cores; a large table is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
