@@ -162,6 +162,37 @@ def groups_of(leaf: str, tokens: str, min_documents: int, fewest: int):
     return F.array(*[F.struct(g.alias("group"), n.alias("need")) for g, n in zip(ids, need, strict=True)])
 
 
+def spots_of(lines: DataFrame, most: int = 200_000) -> DataFrame:
+    """lines (group, n, tokens) -> group, at, token, n: how often a token stands at a position, added up in each task.
+
+    Lines of a group are alike, so a task sends little more than one line's tokens for each group. A task holds `most`
+    counts at a time.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally: dict[tuple[int, int, str], int] = {}
+
+        def full() -> pa.RecordBatch:
+            group, at, token = zip(*tally, strict=True)
+            out = pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array(at, pa.int32()), pa.array(token, pa.string()), pa.array(list(tally.values()), pa.int64())], names=["group", "at", "token", "n"])
+            tally.clear()
+            return out
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                for group, n, tokens in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                    for at, token in enumerate(tokens):
+                        spot = (group, at, token)
+                        tally[spot] = tally.get(spot, 0) + n
+                if len(tally) >= most:
+                    yield full()
+        if tally:
+            yield full()
+
+    return lines.select("group", "n", "tokens").mapInArrow(run, "group long, at int, token string, n long")
+
+
 def dropped_lines(texts: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_documents: int = MIN_DOCUMENTS, agree: float = 0.8) -> DataFrame:
     """texts (key, doc_id, text) -> key, line numbers to drop.
 
@@ -184,7 +215,7 @@ def dropped_lines(texts: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TO
     common = heard.join(parts, "mask").select("group", "need", "voice").distinct().groupBy("group", "need").count().where("count >= need").select("group")
     parts = cut(parts.join(cut(common), "group"))
     lines = parts.join(masks.select("mask", "tokens"), "mask")
-    spots = lines.join(weight, "mask").select("group", "n", F.posexplode("tokens").alias("at", "token")).groupBy("group", "at", "token").agg(F.sum("n").alias("n"))
+    spots = spots_of(lines.join(weight, "mask")).groupBy("group", "at", "token").agg(F.sum("n").alias("n"))
     mode = spots.groupBy("group", "at").agg(F.sum("n").alias("all"), F.max(F.struct("n", "token")).alias("top"))
     constant = (2 * F.col("top.n") >= F.col("all")) & (F.col("top.token") != FIELD)
     template = mode.groupBy("group").agg(F.map_from_entries(F.collect_list(F.when(constant, F.struct(F.col("at"), F.col("top.token").alias("token"))))).alias("template"))
