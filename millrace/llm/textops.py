@@ -13,6 +13,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 _SPLIT_BYTES = 1 << 21
+_HASH_BYTES = 1 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -108,7 +109,13 @@ class Words:
         self.end = np.flatnonzero(stop) + 1
         self.first = np.searchsorted(self.start, offsets)
         self.doc = np.repeat(np.arange(self.n_docs), np.diff(self.first))
-        self.hash = span_hash(rolling(self.data), self.start, self.end)
+        self.hash = np.empty(len(self.start), U64)
+        lo = 0
+        while lo < len(self.start):  # words of about 1 MB at a time: hashing takes many bytes for each byte of text
+            hi = max(lo + 1, int(np.searchsorted(self.end, self.start[lo] + _HASH_BYTES, side="right")))
+            a = self.start[lo]
+            self.hash[lo:hi] = span_hash(rolling(self.data[a : self.end[hi - 1]]), self.start[lo:hi] - a, self.end[lo:hi] - a)
+            lo = hi
 
     def shingles(self, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
         """(hash, doc) of all k-word shingles, repeats kept; a text of 1..k-1 words is one shingle."""
