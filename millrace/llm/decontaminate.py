@@ -1,12 +1,13 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
 A document leaks an item when one of its windows of as many words as the item has a weighted Jaccard
-similarity (shingle counts) of at least `threshold` to it, over 5-word shingles. Windows that hold at
+similarity (shingle counts) of at least `threshold` to it, over 5-word shingles. A window is fingerprinted as the set of its
+(shingle, occurrence number) pairs, whose similarity is the weighted similarity of the shingles, however often words repeat. Windows that hold at
 least one of an item's shingles, as any that leaks it must, are fingerprinted with SimHash of 2,048 bits, as running sums of
-signed bits. A multi-index of 146 blocks of 14 bits gives every item fingerprint that has a block in common: all within 145 bits, as
-fewer differing bits than blocks leave one of them equal, and those at the distance of a similarity of 0.75 (17 % of the bits)
-but for 2 in 100,000. Of unrelated fingerprints under 1 % have a block in common. Candidates
-within the radius (five standard deviations over that distance) are verified by exact weighted similarity. A document that is shorter than an item
+signed bits. A multi-index of 512 blocks of 4 bits gives every item fingerprint within the radius r, as at least 512 - r blocks of such a pair are equal;
+of unrelated fingerprints one in 100,000 has as many equal blocks. The radius is the distance expected at the threshold (17 % of the bits) and six
+standard deviations, beyond which one in 10**9 of the pairs at the threshold lies. Candidates
+are verified by exact weighted similarity. A document that is shorter than an item
 whose shingle it holds is one window and is verified at once. Items of under five words are one shingle and are compared with
 all windows of as many words.
 
@@ -32,15 +33,15 @@ from .textops import U64, Words, buffers, mix, slices
 WORDS = 5
 THRESHOLD = 0.75
 BITS = 2048
-BLOCK = 14
+BLOCK = 4
 STEP = 512
 _SALT = mix(np.arange(501, 501 + BITS // 64, dtype=U64))
 
 
 def radius_of(threshold: float, bits: int = BITS) -> int:
-    """Distance that a pair of that similarity keeps within, with five standard deviations to spare."""
+    """Distance that a pair of that similarity keeps within, with six standard deviations to spare."""
     p = math.acos(min(1.0, 2 * threshold / (1 + threshold))) / math.pi
-    return math.ceil(bits * p + 5 * math.sqrt(bits * p * (1 - p)))
+    return math.ceil(bits * p + 6 * math.sqrt(bits * p * (1 - p)))
 
 
 def signs(hashes: np.ndarray) -> np.ndarray:
@@ -49,19 +50,49 @@ def signs(hashes: np.ndarray) -> np.ndarray:
     return np.unpackbits(words.view(np.uint8), axis=1).astype(np.int32) * 2 - 1
 
 
+def numbered(hashes: np.ndarray, occurrence: np.ndarray) -> np.ndarray:
+    """Hashes of (shingle, occurrence number from 1) pairs."""
+    return np.where(occurrence > 1, mix(hashes + occurrence.astype(U64) * U64(0x9E3779B97F4A7C15)), hashes)
+
+
+def fingerprints(grams: np.ndarray, size: int) -> np.ndarray:
+    """Bits of the windows of `size` shingles that begin at each shingle of grams, as rows; a sum of 0 counts as a 0.
+
+    From one window to the next the last occurrence of the shingle that leaves goes and that of the one that enters comes, so the sums
+    of the pairs run on as those of plain shingles do.
+    """
+    kinds, kind = np.unique(grams, return_inverse=True)
+    n = len(grams)
+    if len(kinds) == n:
+        sums = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(signs(grams), axis=0, dtype=np.int32)])
+        return sums[size:] > sums[: n - size + 1]
+    place = kind.astype(np.int64) * n + np.arange(n)
+    order = np.sort(place)
+    rank = np.searchsorted(order, place)
+    at = np.arange(n)
+    enters = rank + 1 - np.searchsorted(order, place - at + np.maximum(at - size + 1, 0))
+    leaves = np.searchsorted(order, place - at + np.minimum(at + size - 1, n - 1), side="right") - rank
+    moves = signs(numbered(grams, enters))
+    moves[size - 1] = moves[:size].sum(axis=0)
+    moves[size:] -= signs(numbered(grams[: n - size], leaves[: n - size]))
+    return np.cumsum(moves[size - 1 :], axis=0, dtype=np.int32) > 0
+
+
 class HammingIndex:
-    """Fingerprints (rows of bits, true where the signed sum is positive) by blocks of `block` bits.
+    """Fingerprints (rows of bits) by blocks of `block` bits.
 
-    All within (number of blocks - 1) bits of a query have a block in common with it and are found; those farther off
-    are found where a block happens to be equal. What is found is given if it lies within `radius`.
+    A pair within `radius` bits differs in at most as many blocks, so at least (blocks - radius) are equal: all that reach this are candidates,
+    and none within the radius is missed. Where the radius takes up all blocks, every pair is a candidate.
     """
 
     def __init__(self, prints: np.ndarray, radius: int, block: int = BLOCK):
         self.radius, self.block = radius, block
         self.packed = self._pack(prints)
         keys = self._keys(prints)
+        self.need = keys.shape[1] - radius
         order = np.argsort(keys, axis=None, kind="stable")
-        self.keys, self.owner = keys.ravel()[order], order // max(1, keys.shape[1])
+        self.owner = order // max(1, keys.shape[1])
+        self.begin = np.searchsorted(keys.ravel()[order], np.arange((keys.shape[1] << block) + 1))
 
     @staticmethod
     def _pack(prints: np.ndarray) -> np.ndarray:
@@ -75,15 +106,23 @@ class HammingIndex:
         return values + (np.arange(n, dtype=np.int32) << self.block)
 
     def candidates(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, fingerprint) index pairs that have a block in common."""
+        """(query, fingerprint) index pairs with enough equal blocks."""
+        width = len(self.packed)
+        if self.need <= 0:
+            return np.repeat(np.arange(len(queries)), width), np.tile(np.arange(width), len(queries))
         keys = self._keys(queries)
-        lo, hi = np.searchsorted(self.keys, keys.ravel()), np.searchsorted(self.keys, keys.ravel(), side="right")
-        hit = np.flatnonzero(hi > lo)
-        n = (hi - lo)[hit]
-        at = np.repeat(lo[hit] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        width = max(1, len(self.packed))
-        found = np.unique(np.repeat(hit // keys.shape[1], n) * width + self.owner[at]) if len(hit) else np.zeros(0, np.int64)
-        return found // width, found % width
+        found_q, found_p = [], []
+        step = max(1, (1 << 22) // max(1, len(self.owner) >> self.block))
+        for at in range(0, len(queries), step):
+            part = keys[at : at + step]
+            lo, n = self.begin[part].ravel(), (self.begin[part + 1] - self.begin[part]).ravel()
+            index = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            query = np.repeat(np.repeat(np.arange(len(part)), keys.shape[1]), n)
+            equal = np.bincount(query * width + self.owner[index], minlength=len(part) * width)
+            hit = np.flatnonzero(equal >= self.need)
+            found_q.append(at + hit // max(1, width))
+            found_p.append(hit % max(1, width))
+        return (np.concatenate(found_q), np.concatenate(found_p)) if found_q else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def search(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         q, p = self.candidates(queries)
@@ -119,7 +158,7 @@ class Benchmark:
         self.token, self.owner = token[order], owner[order]
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.token >> U64(44)).astype(np.int64)] = True
-        prints = np.array([signs(h).sum(axis=0) > 0 for h in self.shingles]).reshape(-1, BITS)
+        prints = np.array([fingerprints(h, len(h))[0] for h in self.shingles]).reshape(-1, BITS)
         self.index = {int(m): (np.flatnonzero(self.size == m), HammingIndex(prints[self.size == m], radius_of(threshold))) for m in np.unique(self.size)}
 
     def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,8 +241,7 @@ def leaks_in(words: Words, bench: Benchmark, threshold: float, whole: bool = Fal
         members, index = bench.index[int(w)]
         for c in range(a, b + 1, STEP):  # windows of a long region in steps, so memory stays bounded
             e = min(b, c + STEP - 1)
-            sums = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(signs(grams[c : e + w - k + 1]), axis=0, dtype=np.int32)])
-            prints = sums[w - k + 1 :] > sums[: e - c + 1]  # a sum of 0 counts as a 0
+            prints = fingerprints(grams[c : e + w - k + 1], int(w) - k + 1)
             for q, p in zip(*index.search(prints), strict=True):
                 t, start = int(members[p]), int(c + q)
                 s = bench.similarity(grams[start : start + w - k + 1], t)

@@ -358,21 +358,57 @@ def test_hamming_index_finds_all():
 
 
 def test_hamming_blocks_select():
-    """Unrelated fingerprints seldom share a block; windows at the threshold nearly always do, and lie within the radius."""
+    """Unrelated fingerprints seldom have enough equal blocks; windows at the threshold do, and lie within the radius."""
     rng = np.random.default_rng(5)
     prints = rng.random((300, decontaminate.BITS)) < 0.5
     index = decontaminate.HammingIndex(prints, decontaminate.radius_of(0.75))
     q, _ = index.candidates(rng.random((300, decontaminate.BITS)) < 0.5)
-    assert len(q) < 0.01 * 300 * 300
-    found = 0
+    assert len(q) < 0.001 * 300 * 300
     for seed in range(300):
         r = np.random.default_rng(seed)
-        item = r.integers(0, 2**63, 55).astype(np.uint64)
+        n = int(r.integers(7, 80))
+        item = r.integers(0, 2**63, n).astype(np.uint64)
+        changed = next(m for m in range(n, -1, -1) if (n - m) >= 0.75 * (n + m))  # as many as the threshold allows
         window = item.copy()
-        window[r.choice(55, 7, replace=False)] = r.integers(0, 2**63, 7).astype(np.uint64)  # 48 of 62 in common: 0.774
-        a, b = (decontaminate.signs(x).sum(axis=0) > 0 for x in (item, window))
-        found += len(decontaminate.HammingIndex(a[None], decontaminate.radius_of(0.75)).search(b[None])[0])
-    assert found >= 299
+        window[r.choice(n, changed, replace=False)] = r.integers(0, 2**63, changed).astype(np.uint64)
+        a, b = (decontaminate.fingerprints(x, n)[0] for x in (item, window))
+        assert len(decontaminate.HammingIndex(a[None], decontaminate.radius_of(0.75)).search(b[None])[0]) == 1
+
+
+@pytest.mark.parametrize("kinds", [2, 5, 40, 10**6])
+def test_running_fingerprints_are_those_of_each_window(kinds):
+    rng = np.random.default_rng(kinds)
+    grams = rng.integers(1, kinds + 1, 200).astype(np.uint64)
+    for size in (1, 7, 60, 200):
+        got = decontaminate.fingerprints(grams, size)
+        for s in range(0, 200 - size + 1, 13):
+            c = collections.Counter(grams[s : s + size].tolist())
+            pairs = [(x, i + 1) for x, n in c.items() for i in range(n)]
+            h = decontaminate.numbered(np.array([x for x, _ in pairs], np.uint64), np.array([i for _, i in pairs]))
+            assert (got[s] == (decontaminate.signs(h).sum(axis=0) > 0)).all()
+
+
+def test_leaks_with_repeated_words(spark):
+    """Tails of one word repeated, items of few words said often, windows at the threshold: as brute force has them."""
+    rng, items, docs = random.Random(4), [], []
+    for i in range(60):
+        base = [f"w{i}x{j}" for j in range(68)]
+        items.append((i, " ".join(base + [f"v{i}y{j}" for j in range(6)])))
+        docs.append((i, " ".join(base[:68] + ["again"] * 6)))
+        docs.append((100 + i, " ".join(base[:64] + ["again"] * 10)))
+    for i in range(20):
+        few = [rng.choice(["ha", "ho", f"he{i}"]) for _ in range(rng.randrange(12, 60))]
+        items.append((200 + i, " ".join(few)))
+        for j in range(3):
+            part = list(few)
+            for _ in range(rng.randrange(4)):
+                part[rng.randrange(len(part))] = rng.choice(["ha", "ho", "hm"])
+            docs.append((1000 + 10 * i + j, prose(i, 9) + " " + " ".join(part) + " " + prose(j, 9)))
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    want = brute_leaks(docs, items)
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.leaks(d, spark.createDataFrame(items, "item_id long, text string"), whole=True).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+    assert sum(k[0] < 60 for k in got) == 60 and len(got) > 130
 
 
 # ---------------------------------------------------------------- 6
