@@ -595,6 +595,55 @@ def test_html(spark, a, b):
     assert html_main.extract(df.limit(0)).count() == 0
 
 
+MAIN = "<h1>T</h1><p>one</p><p class='social-history'>two</p>"
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        "<form id='aspnetForm'><article>{}</article></form>",
+        "<div class='layout has-sidebar'><article>{}</article></div>",
+        "<div class='with-banner'><article>{}</article></div>",
+        "<div class='layout sidebar'><main>{}</main><aside><article>teaser</article></aside></div>",
+        "<nav><ul><li>Home</li></ul><article>{}</article><footer>f</footer>",
+        "<header><div class='menu'>m</div><article>{}</article><footer>f</footer>",
+        "<main><article>{}</article><section><h3>Comments</h3><p>Nice</p><div><p>Me too</p></div></section></main>",
+        "<main><article>{}</article><h3>3 comments</h3><p>Nice</p></main>",
+        "<article>{}</article><section id='comments'><article class='comment'>Nice</article></section>",
+        "<article>{}<div class='ad-slot'>Buy</div><div class='share-buttons'>Share</div></article>",
+        "<div class='has-sidebar'><div class='content'>{}</div></div><div class='site-footer'>f</div>",
+        "<div class='no-ads'>{}</div><div class='cookie-notice'>c</div>",
+        "<article><section>{}</section></article><form><label>Search</label></form>",
+        "<aside><p>a</p><article>teaser</article></aside><article>{}</article>",
+    ],
+)
+def test_articles_are_whole(body):
+    assert html_main.main_text(html_main.page_lines(body.format(MAIN)), []) == "T\none\ntwo"
+
+
+def test_an_article_may_discuss_comments():
+    page = "<article><h2>Comments</h2><p>in code</p><h2>Discussion</h2><p>of results</p></article>"
+    assert html_main.main_text(html_main.page_lines(page), []) == "Comments\nin code\nDiscussion\nof results"
+
+
+def test_hostile_pages_take_no_long_time():
+    import time
+
+    began = time.time()
+    rng = random.Random(1)
+    a = [f"line {i}" for i in range(6000)]
+    b = rng.sample(a, 6000)
+    x, y = html_main.common_lines(a, b)
+    assert [a[i] for i in sorted(x)] == [b[j] for j in sorted(y)] and len(x) > 50
+    html_main.page_lines("<article><p>x</b></i></q>" + "</span>" * 60_000 + "<b>" * 3000 + "<p>y" * 3000)
+    assert time.time() - began < 8
+
+
+def test_page_ids_may_be_texts(spark):
+    df = spark.createDataFrame([("a", "https://h.test/1", "<p>x</p>"), (None, None, None)], "page_id string, url string, html string")
+    assert {(r.page_id, r.text) for r in html_main.extract(df).collect()} == {("a", "x"), (None, "")}
+
+
 def test_common_lines_is_longest():
     rng = random.Random(2)
 
