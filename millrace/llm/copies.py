@@ -2,12 +2,15 @@
 
 A text's signature holds the smallest of PLACES hashes of its five-word shingles, so two texts agree in a place with a
 probability of their Jaccard similarity. Texts that agree on a whole band of places meet; those whose signatures agree
-in at least AGREE places are linked, with the smallest key of the band and with their neighbour in it, and classes are
-the components of these links. A text of similarity 0.75 meets a copy in one of ten bands with a probability of 99.6 % and
-agrees in 18 of 30 places with one of 97.8 %, for every copy anew; one of similarity 0.3 passes with under 0.1 %.
+in at least AGREE places are candidates, with the smallest key of the band and with their neighbour in it. A candidate is a link
+if the texts' sketches say so: BINS bins of the shingles by hash, each with a byte of its smallest, agree in at least SIMILAR of the
+bins that either text fills. Classes are the components of the links.
 
-This is an estimate, for votes only; the near-duplicate operator is exact. Scale: one pass over the texts, and ten rows of
-46 bytes for a text. A task links the copies that it meets in a slice itself and sends one row for them, so a large
+A text of similarity 0.75 meets a copy in one of ten bands with a probability of 99.6 %, agrees in 18 of 30 places with one of 97.8 % and passes the sketch with
+96 %, for every copy anew; one of similarity 0.6 passes the sketch with under 0.1 %, so classes do not chain.
+
+This is an estimate, for votes only; the near-duplicate operator is exact. Scale: one pass over the texts, which leaves ten rows of
+46 bytes and a sketch of BINS bytes for a text in the shared folder. A task links the copies that it meets in a slice itself and sends one row for them, so a large
 group of copies does not meet in one bucket.
 """
 
@@ -18,14 +21,16 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from millrace.operators.graph import connected_components
 
-from .common import dealt, partitions
+from .common import cut, dealt, fresh_path, partitions
 from .jaccard import forest
 from .textops import U64, Words, buffers, mix, slices
 
 PLACES, BAND, AGREE = 30, 3, 18
+BINS, SIMILAR = 256, 0.7
 _ODD = mix(np.arange(101, 101 + PLACES, dtype=U64)) | U64(1)
 
 
@@ -39,8 +44,28 @@ def signatures(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return doc[begin], out
 
 
-def linked(band: np.ndarray, key: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, rows that still speak): links of each row with the first and the previous row of its band.
+def sketches(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Bytes of the smallest hash of each bin (0: none) of the texts that have shingles, in the order of signatures()."""
+    text = np.cumsum(np.concatenate([[False], doc[1:] != doc[:-1]])) if len(doc) else doc
+    out = np.zeros((int(text[-1]) + 1 if len(doc) else 0, BINS), np.uint8)
+    for lo in range(0, len(out), 1 << 15):  # place and hash in one number, so one sort finds the smallest
+        a, b = np.searchsorted(text, [lo, lo + (1 << 15)])
+        value = (text[a:b] - lo).astype(U64) << U64(48) | h[a:b] >> U64(16)
+        value.sort()
+        place = value >> U64(40)
+        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(value) else np.zeros(0, int)
+        out.reshape(-1)[lo * BINS + place[first].astype(np.int64)] = (mix(value[first] & U64((1 << 40) - 1)) % U64(255) + U64(1)).astype(np.uint8)
+    return out
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which rows of sketches agree in enough of the bins that either fills."""
+    either = ((a | b) > 0).sum(axis=1)
+    return ((a == b) & (a > 0)).sum(axis=1) >= SIMILAR * np.maximum(either, 1)
+
+
+def linked(band: np.ndarray, key: np.ndarray, sig: np.ndarray, sketch: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, rows that still speak): candidates of each row with the first and the previous row of its band, links where sketches are given.
 
     A row that is linked with the first of its band is spoken for by it.
     """
@@ -50,8 +75,15 @@ def linked(band: np.ndarray, key: np.ndarray, sig: np.ndarray) -> tuple[np.ndarr
     fresh[1:] = value[1:] != value[:-1]
     first = np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
     rest = np.flatnonzero(~fresh)
-    to_first = (s[rest] == s[first[rest]]).sum(axis=1) >= AGREE
-    to_previous = (s[rest] == s[rest - 1]).sum(axis=1) >= AGREE
+
+    def agree(to: np.ndarray) -> np.ndarray:
+        good = (s[rest] == s[to]).sum(axis=1) >= AGREE
+        if sketch is not None:
+            at = np.flatnonzero(good)
+            good[at] = alike(sketch[order[rest[at]]], sketch[order[to[at]]])
+        return good
+
+    to_first, to_previous = agree(first[rest]), agree(rest - 1)
     a = np.concatenate([k[rest[to_first]], k[rest[to_previous]]])
     b = np.concatenate([k[first[rest[to_first]]], k[rest[to_previous] - 1]])
     speaks = np.ones(len(order), bool)
@@ -76,13 +108,14 @@ def near_copies(texts: DataFrame, k: int = 5) -> DataFrame:
                 rows, sig = signatures(h, d)
                 if not len(rows):
                     continue
-                key, short = keys[lo + rows], (sig & np.uint32(255)).astype(np.uint8)
+                key, short, sketch = keys[lo + rows], (sig & np.uint32(255)).astype(np.uint8), sketches(h, d)
+                own = (-1, b"", key.tobytes(), sketch.tobytes())
                 links_a, links_b, parts = [], [], []
                 for j in range(0, PLACES, BAND):
                     band = np.full(len(rows), j + 1, U64)
                     for i in range(j, j + BAND):
                         band = mix(band + sig[:, i].astype(U64))
-                    a, b, speaks = linked(band, key, short)
+                    a, b, speaks = linked(band, key, short, sketch)
                     links_a.append(a)
                     links_b.append(b)
                     parts.append((band[speaks], key[speaks], short[speaks]))
@@ -92,29 +125,57 @@ def near_copies(texts: DataFrame, k: int = 5) -> DataFrame:
                 cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1, dtype=U64))
                 out = [(int(x), band[o].tobytes(), key[o].tobytes(), short[o].tobytes()) for x in np.flatnonzero(np.diff(cuts)) for o in [order[cuts[x] : cuts[x + 1]]]]
                 a, b = forest(np.concatenate(links_a), np.concatenate(links_b))
-                if len(a):  # links that are known already only pass through
-                    out.append((int(mix(a[:1].view(U64))[0] % U64(n_buckets)), b"", a.tobytes(), b.tobytes()))
-                cols = list(zip(*out, strict=True))
+                if len(a):  # links need no more than to be passed on
+                    out.append((-2, b"", a.tobytes(), b.tobytes()))
+                cols = list(zip(*out, own, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "band", "key", "signature"])
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        links: list[tuple[np.ndarray, np.ndarray]] = []
         parts: list[list[np.ndarray]] = [[], [], []]
         for batch in batches:
             for band, key, short in zip(*(batch.column(i).to_pylist() for i in range(1, 4)), strict=True):
-                if band:
-                    parts[0].append(np.frombuffer(band, U64))
-                    parts[1].append(np.frombuffer(key, np.int64))
-                    parts[2].append(np.frombuffer(short, np.uint8).reshape(-1, PLACES))
-                else:
-                    links.append((np.frombuffer(key, np.int64), np.frombuffer(short, np.int64)))
-        if parts[0]:
-            links.append(linked(*(np.concatenate(p) for p in parts))[:2])
-        if not links:
+                parts[0].append(np.frombuffer(band, U64))
+                parts[1].append(np.frombuffer(key, np.int64))
+                parts[2].append(np.frombuffer(short, np.uint8).reshape(-1, PLACES))
+        if not parts[0]:
             return
-        a, b = forest(*(np.concatenate(x) for x in zip(*links, strict=True)))
-        for lo in range(0, len(a), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(a[lo : lo + 100_000]), pa.array(b[lo : lo + 100_000])], names=["a", "b"])
+        a, b, _ = linked(*(np.concatenate(p) for p in parts))
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        yield from _pairs(pairs[:, 0], pairs[:, 1])
+
+    def unpack(width: int):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for key, value in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+                    k = np.frombuffer(key, np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(k), [None, pa.py_buffer(value)]).cast(pa.binary())], names=["key", "value"])
+
+        return run
 
-    posted = texts.select("key", "text").mapInArrow(post, "bucket int, band binary, key binary, signature binary")
-    return connected_components(dealt(posted).mapInArrow(meet, "a long, b long"))
+    def known(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+                yield from _pairs(np.frombuffer(a, np.int64), np.frombuffer(b, np.int64))
+
+    def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, other = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (2, 3))
+            yield batch.select(["a", "b"]).filter(pa.array(alike(one, other)))
+
+    path = fresh_path(texts.sparkSession, "copies")
+    schema = "bucket int, band binary, key binary, signature binary"
+    texts.select("key", "text").mapInArrow(post, schema).write.parquet(path)
+    posted = texts.sparkSession.read.schema(schema).parquet(path)
+    maybe = cut(dealt(posted.where("bucket >= 0")).mapInArrow(meet, "a long, b long").distinct())
+    sketch = posted.where("bucket = -1").select("key", "signature").mapInArrow(unpack(BINS), "key long, value binary").dropDuplicates(["key"])
+    needed = maybe.select(F.col("a").alias("key")).union(maybe.select(F.col("b").alias("key"))).distinct()
+    sketch = cut(sketch.join(needed.hint("merge"), "key", "left_semi"))
+    one, other = sketch.select(F.col("key").alias("a"), F.col("value").alias("one")), sketch.select(F.col("key").alias("b"), F.col("value").alias("other"))
+    links = maybe.join(one.hint("merge"), "a").join(other.hint("merge"), "b").select("a", "b", "one", "other").mapInArrow(verify, "a long, b long")
+    sure = posted.where("bucket = -2").select("key", "signature").mapInArrow(known, "a long, b long")
+    return connected_components(links.union(sure))
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, len(a), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(a[lo : lo + 100_000]), pa.array(b[lo : lo + 100_000])], names=["a", "b"])
