@@ -73,8 +73,9 @@ class CachedTokenizer:
 
     def _encode_atoms(self, atoms: list[str]) -> list[bytes]:
         """Words of letters go to the library as one text and are told apart by the vocabulary's word marks."""
-        words = [a for a in atoms if a.strip(" ").isalpha() and (self.kind == "word" or a[0] == " ")]
-        rest = [a for a in atoms if not a.strip(" ").isalpha() or (self.kind != "word" and a[0] != " ")]
+        words, rest = [], []
+        for a in atoms:
+            (words if a.strip(" ").isalpha() and (self.kind == "word" or a[0] == " ") else rest).append(a)
         out = dict(zip(rest, self._encode(rest), strict=True)) if rest else {}
         if words:
             joined = " ".join(words) if self.kind == "word" else "".join(words)
@@ -164,8 +165,8 @@ class CachedTokenizer:
             first[inverse[::-1]] = np.arange(len(inverse))[::-1]
             text = data.tobytes()
             atoms = [text[a:b].decode() for a, b in zip(start[first[missing]].tolist(), end[first[missing]].tolist(), strict=True)]
-            for i, ids in zip(missing, self._encode_atoms(atoms), strict=True):
-                slots[i] = self._store(int(known[i]), ids)
+            for i, slot in zip(missing, self._store(known[missing].tolist(), self._encode_atoms(atoms)), strict=True):
+                slots[i] = slot
         slot = np.array(slots, np.int64)[inverse]
         sizes = self.slot_size[slot]
         at = np.concatenate([[0], np.cumsum(sizes)])
@@ -180,17 +181,21 @@ class CachedTokenizer:
         self.slot_start, self.slot_size = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64)
         self.used = 0
 
-    def _store(self, key: int, ids: bytes) -> int:
-        n, slot = len(ids) // self.dtype.itemsize, len(self.slots)
-        if self.used + n > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) + n, self.dtype)])
-        if slot == len(self.slot_start):
-            self.slot_start, self.slot_size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.slot_start, self.slot_size))
-        self.flat[self.used : self.used + n] = np.frombuffer(ids, self.dtype)
-        self.slot_start[slot], self.slot_size[slot] = self.used, n
-        self.used += n
-        self.slots[key] = slot
-        return slot
+    def _store(self, keys: list[int], ids: list[bytes]) -> range:
+        """Slots of new pieces."""
+        new = np.frombuffer(b"".join(ids), self.dtype)
+        size = np.array([len(x) for x in ids], np.int64) // self.dtype.itemsize
+        slots = range(len(self.slots), len(self.slots) + len(keys))
+        if self.used + len(new) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) + len(new), self.dtype)])
+        if slots.stop > len(self.slot_start):
+            self.slot_start, self.slot_size = (np.concatenate([x, np.zeros(len(x) + len(keys), np.int64)]) for x in (self.slot_start, self.slot_size))
+        self.flat[self.used : self.used + len(new)] = new
+        self.slot_start[slots.start : slots.stop] = self.used + np.cumsum(size) - size
+        self.slot_size[slots.start : slots.stop] = size
+        self.used += len(new)
+        self.slots.update(zip(keys, slots, strict=True))
+        return slots
 
     def _learn(self, missing: set[str]) -> None:
         """Put the ids of pieces that are not in the cache into it."""
