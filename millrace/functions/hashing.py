@@ -23,31 +23,41 @@ def seed_number(c: Column) -> Column:
     return F.conv(F.substring(F.sha2(c, 256), 1, 16), 16, 10)
 
 
-def halves(hex16: Column) -> tuple[Column, Column]:
-    """Two 32-bit halves of 16 hex characters as longs."""
-    return F.conv(F.substring(hex16, 1, 8), 16, 10).cast("long"), F.conv(F.substring(hex16, 9, 8), 16, 10).cast("long")
+def normal_hash(c: Column, chars: int = 64) -> Column:
+    """Hex text of a hash as a number of `chars` digits: lower case, zeros in front. One that has more digits is refused."""
+    return F.when(F.length(c) > chars, F.raise_error(F.concat(F.lit(f"a hash of more than {chars} hex characters: "), c))).otherwise(F.lpad(F.lower(c), chars, "0"))
 
 
-def hamming(a: Column, b: Column) -> Column:
-    """Number of differing bits of two 64-bit hashes of 16 hex characters."""
-    (ah, al), (bh, bl) = halves(a), halves(b)
-    return F.bit_count(ah.bitwiseXOR(bh)) + F.bit_count(al.bitwiseXOR(bl))
+def hash_words(c: Column, chars: int = 64) -> list[Column]:
+    """The number of a hash as longs of 64 bits, the highest first."""
+    whole = normal_hash(c, chars)
 
+    def half(at: int) -> Column:
+        return F.conv(F.substring(whole, at, 8), 16, 10).cast("long")
 
-def bits_to_hex(bits: Column) -> Column:
-    """16 hex characters of an array of 64 booleans, the first the highest bit."""
+    return [F.shiftleft(half(at), 32).bitwiseOR(half(at + 8)) for at in range(1, chars + 1, 16)]
+
+
+def hamming(a: Column, b: Column, chars: int = 64) -> Column:
+    """Number of differing bits of two hashes of up to `chars` hex characters, as numbers: a shorter one has zeros in front."""
+    parts = [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(hash_words(a, chars), hash_words(b, chars), strict=True)]
+    return sum(parts[1:], parts[0])
+
+
+def bits_to_hex(bits: Column, n: int = 64) -> Column:
+    """Hex characters of an array of n booleans (a multiple of 32), the first the highest bit."""
     def half(lo: int) -> Column:
         value = F.aggregate(F.slice(bits, lo, 32), F.lit(0).cast("long"), lambda acc, b: acc * 2 + b.cast("long"))
         return F.lpad(F.lower(F.hex(value)), 8, "0")
 
-    return F.concat(half(1), half(33))
+    return F.concat(*[half(lo) for lo in range(1, n + 1, 32)])
 
 
-def difference_hash(pixels: Column) -> Column:
-    """dHash of 72 gray values (8 rows of 9): each is brighter than its right neighbour or not."""
-    at = F.sequence(F.lit(0), F.lit(63))
-    bits = F.transform(at, lambda i: F.get(pixels, (F.floor(i / 8) * 9 + i % 8).cast("int")) > F.get(pixels, (F.floor(i / 8) * 9 + i % 8 + 1).cast("int")))
-    return bits_to_hex(bits)
+def difference_hash(pixels: Column, size: int = 8) -> Column:
+    """dHash of size rows of size + 1 gray values: each is brighter than its right neighbour or not."""
+    at = F.sequence(F.lit(0), F.lit(size * size - 1))
+    left = lambda i: (F.floor(i / size) * (size + 1) + i % size).cast("int")
+    return bits_to_hex(F.transform(at, lambda i: F.get(pixels, left(i)) > F.get(pixels, left(i) + 1)), size * size)
 
 
 def simhash(docs: DataFrame, id_col: str, text_col: str, keep: list[str] | None = None) -> DataFrame:

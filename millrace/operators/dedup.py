@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.hashing import halves
+from millrace.functions.hashing import hash_words, normal_hash
 from millrace.functions.text import normalize_url
 from millrace.operators.graph import connected_components
 from millrace.sources.storage import cut
@@ -38,68 +38,105 @@ def exact_duplicates(rows: DataFrame, digest: str, id_col: str, label_col: str)
     return per.where("members > 1").select(F.concat(F.lit("exact-"), F.substring(digest, 1, 12)).alias("cluster"), digest, "members", "keeper", "labels", (F.size("labels") > 1).alias("cross_label"))
 
 
-def near_pairs(rows: DataFrame, id_col: str, hash_col: str, threshold: int = 4, within: str | None = None, agree: int | None = None) -> DataFrame:
+def _hash_chars(rows: DataFrame, hash_col: str) -> int:
+    """Hex characters of the longest hash, in whole words of 16."""
+    longest = rows.agg(F.max(F.length(hash_col)).alias("n")).first().n or 16
+    return -(-longest // 16) * 16
+
+
+def near_pairs(rows: DataFrame, id_col: str, hash_col: str, threshold: int = 4, within: str | None = None, agree: int | None = None, chars: int | None = None) -> DataFrame:
     """Pairs (a, b, distance) of representatives of different hashes within `threshold` bits.
 
-    Rows with equal hashes are one class, spoken for by its smallest id (see near_clusters for membership). The 64
+    Hashes are numbers of any length in hex; `chars` is the most digits, by default those of the longest in whole words of 64 bits. Rows with equal hashes are one class,
+    spoken for by its smallest id (see near_clusters for membership); rows whose hash or `within` is null belong to none. The
     bits are cut into threshold + agree blocks; hashes within the threshold agree on at least `agree` of them, so an
-    equi-join on (choice of blocks, bits) loses nothing. A key of two blocks of six has 21 bits; unless `agree` is given
+    equi-join on (choice of blocks, bits) loses nothing. A key of two blocks of six has 21 of 64 bits; unless `agree` is given
     it follows the number of hashes, so that keys have two bits more than that number and unrelated hashes seldom meet.
     A pair is kept at the first choice it agrees on.
     """
     scope = [within] if within else []
-    reps = rows.groupBy(*scope, hash_col).agg(F.min(id_col).alias("id"))
+    chars = chars or _hash_chars(rows, hash_col)
+    width = 4 * chars
+    reps = _classes_of_hash(rows, id_col, hash_col, scope, chars).withColumnRenamed("rep", "id")
     if agree is None:
         reps = cut(reps)
         agree, wanted = 2, math.log2(max(1, reps.count())) + 2
-        while 64 * agree / (threshold + agree) < wanted and agree < 6:
+        while width * agree / (threshold + agree) < wanted and agree < 6:
             agree += 1
-    hi, lo = halves(F.col(hash_col))
-    reps = cut(reps.select(*scope, "id", F.shiftleft(hi, 32).bitwiseOR(lo).alias("h")))  # as one 64-bit number
+    words = hash_words(F.col("hash"), chars)
+    reps = cut(reps.select(*scope, "id", *[w.alias(f"h{i}") for i, w in enumerate(words)]))
     blocks = threshold + agree
-    edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
+    edges = [round(i * width / blocks) for i in range(blocks + 1)]
     choices = list(combinations(range(blocks), agree))
 
-    def bits(h: Column, i: int) -> Column:
-        width = edges[i + 1] - edges[i]
-        return F.shiftrightunsigned(h, 64 - edges[i + 1]).bitwiseAND(F.lit((1 << width) - 1))
+    def pieces(i: int) -> list[tuple[int, int, int]]:
+        """(word, first bit from the top, end) of a block."""
+        return [(w, max(edges[i] - 64 * w, 0), min(edges[i + 1] - 64 * w, 64)) for w in range(edges[i] // 64, -(-edges[i + 1] // 64))]
 
-    def key(h: Column, choice: tuple[int, ...]) -> Column:
-        out = bits(h, choice[0])
+    def bits(i: int) -> list[Column]:
+        return [F.shiftrightunsigned(F.col(f"h{w}"), 64 - hi).bitwiseAND(F.lit(-1 if hi - lo == 64 else (1 << (hi - lo)) - 1)) for w, lo, hi in pieces(i)]
+
+    def key(choice: tuple[int, ...]) -> Column:
+        if width > 64:  # more bits than a key holds; other hashes that fall together are told apart by their distance
+            return F.xxhash64(*[b for i in choice for b in bits(i)])
+        out = bits(choice[0])[0]
         for i in choice[1:]:
-            out = F.shiftleft(out, edges[i + 1] - edges[i]).bitwiseOR(bits(h, i))
+            out = F.shiftleft(out, edges[i + 1] - edges[i]).bitwiseOR(bits(i)[0])
         return out
 
-    posted = reps.select(*scope, "id", "h", F.posexplode(F.array(*[key(F.col("h"), c) for c in choices])).alias("band", "bits"))
+    posted = reps.select(*scope, "id", *[f"h{i}" for i in range(len(words))], F.posexplode(F.array(*[key(c) for c in choices])).alias("band", "bits"))
     left, right = posted.alias("l"), posted.alias("r")
-    differ = F.col("l.h").bitwiseXOR(F.col("r.h"))
-    same = (F.col("l.band") == F.col("r.band")) & (F.col("l.bits") == F.col("r.bits")) & (F.col("l.id") < F.col("r.id")) & (F.bit_count(differ) <= threshold)
+    differ = [F.col(f"l.h{i}").bitwiseXOR(F.col(f"r.h{i}")) for i in range(len(words))]
+    distance = sum((F.bit_count(d) for d in differ[1:]), F.bit_count(differ[0]))
+    same = (F.col("l.band") == F.col("r.band")) & (F.col("l.bits") == F.col("r.bits")) & (F.col("l.id") < F.col("r.id")) & (distance <= threshold)
     for s in scope:
         same &= F.col(f"l.{s}") == F.col(f"r.{s}")
     # The first choice that a pair agrees on: the first whose bits do not differ.
     first = F.lit(None).cast("int")
     for band in reversed(range(len(choices))):
-        mask = sum((1 << (64 - edges[i])) - (1 << (64 - edges[i + 1])) for i in choices[band])
-        first = F.when(differ.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)) == 0, band).otherwise(first)
+        masks: dict[int, int] = {}
+        for i in choices[band]:
+            for w, lo, hi in pieces(i):
+                masks[w] = masks.get(w, 0) + (1 << (64 - lo)) - (1 << (64 - hi))
+        equal = [differ[w].bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)) == 0 for w, mask in masks.items()]
+        both = equal[0]
+        for e in equal[1:]:
+            both &= e
+        first = F.when(both, band).otherwise(first)
     pairs = left.join(right, same & (F.col("l.band") == first))
-    return pairs.select(*[F.col(f"l.{s}").alias(s) for s in scope], F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.bit_count(differ).alias("distance"))
+    return pairs.select(*[F.col(f"l.{s}").alias(s) for s in scope], F.col("l.id").alias("a"), F.col("r.id").alias("b"), distance.alias("distance"))
+
 
+def _classes_of_hash(rows: DataFrame, id_col: str, hash_col: str, scope: list[str], chars: int) -> DataFrame:
+    """scope, hash (normal), rep (smallest id), n of the classes of equal hashes."""
+    known = rows.where(F.col(hash_col).isNotNull()).select(*scope, normal_hash(F.col(hash_col), chars).alias("hash"), F.col(id_col).alias("rep"))
+    return known.groupBy(*scope, "hash").agg(F.min("rep").alias("rep"), F.count("*").alias("n"))
 
-def near_clusters(rows: DataFrame, id_col: str, hash_col: str, threshold: int = 4, within: str | None = None, prefix: str = "near-") -> DataFrame:
-    """id, cluster, members for rows that are near another row: single linkage, named by the smallest id."""
+
+def near_clusters(rows: DataFrame, id_col: str, hash_col: str, threshold: int = 4, within: str | None = None, prefix: str = "near-", chars: int | None = None) -> DataFrame:
+    """id, cluster, members for rows that are near another row: single linkage, named by the smallest id.
+
+    Rows whose hash is null are near nothing; rows whose `within` is null are near those of equal hash alone.
+    """
     scope = [within] if within else []
-    reps = rows.groupBy(*scope, hash_col).agg(F.min(id_col).alias("rep"))
-    found = connected_components(near_pairs(rows, id_col, hash_col, threshold, within).select("a", "b"))
-    held = rows.join(reps, [*scope, hash_col]).join(found.withColumnRenamed("node", "rep"), "rep", "left").select(F.col(id_col).alias("id"), F.coalesce("root", "rep").alias("root"))
+    chars = chars or _hash_chars(rows, hash_col)
+    reps = _classes_of_hash(rows, id_col, hash_col, scope, chars).drop("n")
+    found = connected_components(near_pairs(rows, id_col, hash_col, threshold, within, chars=chars).select("a", "b"))
+    mine = rows.where(F.col(hash_col).isNotNull()).select(*scope, F.col(id_col).alias("id"), normal_hash(F.col(hash_col), chars).alias("h"))
+    other = reps.select(*[F.col(c).alias(f"{c}_") for c in scope], F.col("hash").alias("hash_"), "rep")
+    same = F.col("h") == F.col("hash_")
+    for c in scope:
+        same &= F.col(c).eqNullSafe(F.col(f"{c}_"))
+    held = mine.join(other, same).join(found.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("root", "rep").alias("root"))
     sizes = held.groupBy("root").agg(F.count("*").alias("members")).where("members > 1")
     return held.join(sizes, "root").select("id", F.concat(F.lit(prefix), F.col("root").cast("string")).alias("cluster"), "members")
 
 
 def near_edges(rows: DataFrame, id_col: str, hash_col: str, threshold: int = 4, within: str | None = None) -> DataFrame:
     """One row: hashes compared, pairs of different hashes within the threshold, clusters and rows in clusters."""
-    pairs = cut(near_pairs(rows, id_col, hash_col, threshold, within))
-    scope = [within] if within else []
-    reps = rows.groupBy(*scope, hash_col).agg(F.min(id_col).alias("rep"), F.count("*").alias("n"))
+    scope, chars = [within] if within else [], _hash_chars(rows, hash_col)
+    pairs = cut(near_pairs(rows, id_col, hash_col, threshold, within, chars=chars))
+    reps = _classes_of_hash(rows, id_col, hash_col, scope, chars)
     found = connected_components(pairs.select("a", "b")).withColumnRenamed("node", "rep")
     sizes = reps.join(found, "rep", "left").groupBy(F.coalesce("root", "rep").alias("root")).agg(F.sum("n").alias("members"))
     one = sizes.agg(F.count_if(F.col("members") > 1).alias("clusters"), F.coalesce(F.sum(F.when(F.col("members") > 1, F.col("members"))), F.lit(0)).alias("clustered"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -12,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.vectors import FLOOR, argmax, temperature_scale
+from millrace.operators.sampling import group_ordinals
+from millrace.sources.storage import cut
 
 LABEL_ROWS = "label string, idx int"
 
@@ -217,18 +218,23 @@ def snapshot_digest(rows: DataFrame, path_col: str, digest_col: str, by: list[st
     return rows.groupBy(*by).agg(F.count("*").alias("files"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(line)), lambda s: s["line"]), "\n"), 256).alias("digest"))
 
 
-def whole_digest(rows: DataFrame, path_col: str, digest_col: str) -> DataFrame:
-    """snapshot_digest of a whole table: files and digest, one row.
+def tree_digest(rows: DataFrame, path_col: str, digest_col: str, fan: int = 1000, levels: int = 3) -> DataFrame:
+    """files, digest of a whole table, one row: a tree of SHA-256 digests over the lines `path\\0digest` in path order.
 
-    One hash over one ordered text has to be fed in order, so sorted partitions stream through the driver, a batch at a
-    time; nothing is held.
+    A leaf is the digest of `fan` lines joined by line breaks, a node that of the digests of `fan` nodes below it; there are `levels` levels above the
+    lines, more where the top would not be one. So no task sees more than `fan` lines, and two tables differ where their leaves do.
     """
-    h, files = hashlib.sha256(), 0
-    for r in rows.select(F.col(path_col).cast("string").alias("p"), F.col(digest_col).alias("d"), F.col(path_col).alias("k")).orderBy("k").select("p", "d").toLocalIterator():
-        h.update(b"\n" if files else b"")
-        h.update(f"{r.p}\0{r.d}".encode())
-        files += 1
-    return rows.sparkSession.createDataFrame([(files, h.hexdigest())], "files long, digest string")
+    nul = F.decode(F.unhex(F.lit("00")), "UTF-8")
+    lines = rows.select(F.lit(0).alias("all"), F.col(path_col).alias("k"), F.concat(F.col(path_col).cast("string"), nul, F.col(digest_col)).alias("line"))
+    nodes = group_ordinals(lines, "all", [F.col("k"), F.col("line")], "nth").select((F.col("nth") - 1).alias("nth"), "line", F.lit(1).cast("bigint").alias("files"))
+    level = 0
+    while True:
+        part = F.struct("nth", "line")
+        up = nodes.groupBy(F.floor(F.col("nth") / fan).alias("nth")).agg(F.sum("files").alias("files"), F.sort_array(F.collect_list(part)).alias("lines"))
+        nodes = cut(up.select("nth", F.sha2(F.array_join(F.transform("lines", lambda s: s["line"]), "\n"), 256).alias("line"), "files"))
+        level += 1
+        if level >= levels and nodes.where("nth > 0").isEmpty():
+            return nodes.select("files", F.col("line").alias("digest"))
 
 
 def group_sizes(rows: DataFrame, label: str, group: str) -> DataFrame:

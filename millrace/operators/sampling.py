@@ -89,56 +89,108 @@ def round_robin(n: Column, need: Column) -> Column:
 
 def allocate_groups(groups: DataFrame, ratios: Sequence[float], seed: int | str, by: str = "label", member_key: str = "member_key") -> DataFrame:
     """Groups (by, group, size, member_key) to splits: largest first, then by stable key, each to the split that
-    leaves the least sum of (projected - target)^2 / max(1, target); earlier splits win ties.
+    leaves the least sum of (projected - target)^2 / max(1, target); earlier splits win ties. Sums are compared exactly, as fractions.
 
-    Each choice depends on all before it, so a label's groups (not its rows) pass one task, in order and once.
+    Groups of one size are told apart by their order alone. A split's next groups of that size cost more and more, in even steps, so the choices for
+    all of them are the splits' costs merged in order: the n-th least cost takes the n-th group. What a size takes from where is found for each label from the
+    histogram of its sizes (at most the root of twice its rows), the places of each choice are counted by formula, and
+    groups meet them by ordinal. No label's groups pass one task.
     """
-
-    def choose(sizes: list[int], total: int) -> list[int]:
-        goals = [float(g) for g in largest_remainder(total, ratios)]
-        weights = [max(1.0, g) for g in goals]
-        counts, out = [0] * len(goals), []
-        for size in sizes:
-            costs = []
-            for s in range(len(goals)):
-                cost = 0.0  # added up term by term: sum() would compensate rounding, and ties would fall otherwise
-                for j, (goal, weight) in enumerate(zip(goals, weights, strict=True)):
-                    gap = counts[j] + (size if j == s else 0) - goal
-                    cost += gap * gap / weight
-                costs.append(cost)
-            out.append(costs.index(min(costs)))
-            counts[out[-1]] += size
-        return out
-
-    return _in_turn(groups, (-F.col("size")).alias("rank"), seed, by, member_key, choose)
-
-
-def ratio_fill(groups: DataFrame, ratios: Sequence[float], seed: int | str, by: str = "label", member_key: str = "member_key") -> DataFrame:
-    """Groups in stable order, each to the split with the smallest count / max(target, 1); earlier splits win ties."""
-
-    def choose(sizes: list[int], total: int) -> list[int]:
-        goals = [max(1.0, float(g)) for g in rounded_targets(total, ratios)]
-        counts, out = [0] * len(goals), []
-        for size in sizes:
+    n, kind = len(ratios), groups.schema[by].dataType.simpleString()
+    rows = groups.select(F.col(by).alias("by"), "group", F.col("size").cast("bigint").alias("size"), stable_key(seed, F.col(member_key)).alias("h"))
+    rows = cut(rows.where("size > 0"))
+    sizes = rows.groupBy("by", "size").agg(F.count("*").alias("n"))
+
+    def plan(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("size", ascending=False)
+        histogram = [(int(s), int(m)) for s, m in zip(pdf["size"], pdf["n"], strict=True)]
+        goals = largest_remainder(sum(s * m for s, m in histogram), ratios)
+        weights, counts, out = [max(1, g) for g in goals], [0] * n, []
+        for size, m in histogram:
+            base = [2 * (c - g) + size for c, g in zip(counts, goals, strict=True)]  # a split's k-th group costs (base + 2 * k * size) / weight
+            taken = [_taken(base, weights, 2 * size, m, s) for s in range(n)]
+            out += [(pdf["by"].iloc[0], size, s, taken[s], base, weights) for s in range(n) if taken[s]]
+            counts = [c + size * t for c, t in zip(counts, taken, strict=True)]
+        return pd.DataFrame(out, columns=["by", "size", "split", "taken", "base", "weights"])
+
+    plans = sizes.groupBy("by").applyInPandas(plan, f"by {kind}, size bigint, split int, taken bigint, base array<bigint>, weights array<bigint>")
+    # Ordinals of a split's choices, written out by runs of a bounded length so that a size held by very many groups is spread.
+    run = 1 << 16
+    runs = plans.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("taken") - 1) / run))).alias("run")).repartition("by", "size", "split", "run")
+    each = runs.select("*", F.explode(F.sequence(F.col("run") * run, F.least(F.col("taken"), (F.col("run") + 1) * run) - 1)).alias("k"))
+    wide = lambda c: c.cast("decimal(38,0)")
+    step, mine = wide(2 * F.col("size")), wide(F.get("weights", F.col("split")))
+    cost = wide(F.get("base", F.col("split"))) + step * wide(F.col("k"))
+    place = F.col("k")
+    for s in range(n):
+        room, unit = cost * wide(F.get("weights", F.lit(s))) - mine * wide(F.get("base", F.lit(s))), mine * step
+        room = wide(room + F.when(F.lit(s) < F.col("split"), unit).otherwise(unit - 1))  # on a tie the earlier split is first
+        ahead = wide(room - F.pmod(room, wide(unit))) / wide(unit)
+        place = place + F.when(F.col("split") == s, 0).otherwise(F.greatest(F.lit(0), F.round(ahead).cast("bigint")))
+    choices = each.select("by", "size", "split", (place + 1).alias("nth"))
+    keyed = rows.withColumn("kind", F.struct("by", "size"))
+    placed = group_ordinals(keyed, "kind", [F.col("h"), F.col("group")], "nth")
+    c = choices.select(F.col("by").alias("by_"), F.col("size").alias("size_"), F.col("nth").alias("nth_"), "split")
+    both = placed.join(c, F.col("by").eqNullSafe(F.col("by_")) & (F.col("size") == F.col("size_")) & (F.col("nth") == F.col("nth_")))
+    return both.select(F.col("by").alias(by), "group", "size", F.get(F.array(*[F.lit(x) for x in SPLITS]), F.col("split")).alias("split"))
+
+
+def _taken(base: list[int], weights: list[int], step: int, m: int, s: int) -> int:
+    """How many of the m cheapest choices are split s's: the first k whose cost has m others or more before it."""
+
+    def before(k: int) -> int:
+        cost, n = base[s] + step * k, k
+        for t, (b, w) in enumerate(zip(base, weights, strict=True)):
+            if t != s:
+                room, unit = cost * w - weights[s] * b, weights[s] * step
+                n += max(0, (room + (unit if t < s else unit - 1)) // unit)
+        return n
+
+    lo, hi = 0, m
+    while lo < hi:
+        mid = (lo + hi) // 2
+        lo, hi = (lo, mid) if before(mid) >= m else (mid + 1, hi)
+    return lo
+
+
+def ratio_fill(groups: DataFrame, ratios: Sequence[float], seed: int | str, by: str = "label", member_key: str = "member_key", block: int = 100_000) -> DataFrame:
+    """Groups in stable order, each to the split with the smallest count / max(target, 1); earlier splits win ties.
+
+    Each choice depends on all before it, so they are made block by block: a task folds at most `block` groups of a label, and the splits' counts so far
+    (one row for each label) go on to the next block.
+    """
+    kind, id_kind = groups.schema[by].dataType.simpleString(), groups.schema["group"].dataType.simpleString()
+    rows = groups.select(F.col(by).alias("by"), "group", F.col("size").cast("bigint").alias("size"), stable_key(seed, F.col(member_key)).alias("h"))
+    rows = cut(group_ordinals(rows, "by", [F.col("h"), F.col("group")], "nth").withColumn("block", F.floor((F.col("nth") - 1) / block)))
+    totals = rows.groupBy("by").agg(F.sum("size").alias("total"))
+    zero = F.array(*[F.lit(0).cast("bigint")] * len(ratios))
+    carry = cut(totals.select(F.col("by").alias("of"), "total", zero.alias("counts")))
+    last = rows.agg(F.max("block").alias("n")).first().n
+
+    def fold(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = left.sort_values("nth")
+        if left.empty:
+            return left.assign(split=0)[["by", "group", "size", "split"]]
+        goals = [max(1.0, float(g)) for g in rounded_targets(int(right["total"].iloc[0]), ratios)]
+        counts, split = list(map(int, right["counts"].iloc[0])), []
+        for size in left["size"].tolist():
             shares = [c / g for c, g in zip(counts, goals, strict=True)]
-            out.append(shares.index(min(shares)))
-            counts[out[-1]] += size
-        return out
-
-    return _in_turn(groups, F.lit(0).cast("bigint").alias("rank"), seed, by, member_key, choose)
-
-
-def _in_turn(groups: DataFrame, rank: Column, seed: int | str, by: str, member_key: str, choose) -> DataFrame:
-    """by, group, size, split: choose() gets a label's group sizes in the order of rank, stable key and group."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["rank", "h", "group"], kind="stable")
-        sizes = pdf["size"].tolist()
-        return pdf.assign(split=[SPLITS[s] for s in choose(sizes, sum(sizes))])[[by, "group", "size", "split"]]
-
-    rows = groups.select(by, "group", F.col("size").cast("bigint").alias("size"), rank, stable_key(seed, F.col(member_key)).alias("h"))
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return rows.groupBy(by).applyInPandas(fold, f"`{by}` {kinds[by]}, group {kinds['group']}, size bigint, split string")
+            split.append(shares.index(min(shares)))
+            counts[split[-1]] += size
+        return left.assign(split=split)[["by", "group", "size", "split"]]
+
+    out = None
+    for b in range(0 if last is None else last + 1):
+        here = rows.where(F.col("block") == b)
+        done = cut(here.groupBy("by").cogroup(carry.groupBy("of")).applyInPandas(fold, f"by {kind}, group {id_kind}, size bigint, split int"))
+        out = done if out is None else out.unionAll(done)
+        if b < last:
+            more = done.groupBy(F.col("by").alias("by_")).agg(*[F.sum(F.when(F.col("split") == s, F.col("size")).otherwise(0)).alias(f"s{s}") for s in range(len(ratios))])
+            moved = carry.join(more, F.col("of").eqNullSafe(F.col("by_")), "left")
+            carry = cut(moved.select("of", "total", F.array(*[F.get("counts", F.lit(s)) + F.coalesce(f"s{s}", F.lit(0)) for s in range(len(ratios))]).alias("counts")))
+    if out is None:
+        out = rows.select("by", "group", "size", F.lit(0).alias("split"))
+    return out.select(F.col("by").alias(by), "group", "size", F.get(F.array(*[F.lit(x) for x in SPLITS]), F.col("split")).alias("split"))
 
 
 def select_views(parents: DataFrame) -> DataFrame:

@@ -435,6 +435,28 @@ def near_dup_clusters(spark, sf_dir):
     return dedup.near_clusters(cut(_hashed(spark, sf_dir)), "doc_id", "simhash", 4, within="lang")
 
 
+WIDE = """v AS (SELECT vec_id, embedding AS e FROM embeddings UNION ALL SELECT vec_id + 1000000000, list_transform(range(1, 65), lambda i: CASE WHEN i = vec_id % 64 + 1 THEN 0.0 ELSE embedding[i] END) FROM embeddings WHERE vec_id % 3 = 0),
+h AS (SELECT vec_id, list_transform(range(0, 256), lambda i: (e[i % 64 + 1] > e[(i % 64 + [1, 2, 3, 5][i // 64 + 1]) % 64 + 1])::INT) AS b FROM v),
+c AS (SELECT b, min(vec_id) AS id FROM h GROUP BY 1)"""
+
+
+def _wide_hashes(spark, sf_dir) -> DataFrame:
+    """vec_id, hash: 256 comparisons of an embedding's entries as 64 hex characters; a third of the vectors once more, with one entry at zero."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    zeroed = F.transform("embedding", lambda v, i: F.when(i == F.col("vec_id") % 64, F.lit(0.0).cast("float")).otherwise(v))
+    both = e.unionAll(e.where("vec_id % 3 = 0").select((F.col("vec_id") + 1_000_000_000).alias("vec_id"), zeroed.alias("embedding")))
+    at = lambda i: F.get("embedding", i.cast("int"))
+    shift = F.array(*[F.lit(x) for x in (1, 2, 3, 5)])
+    bits = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: at(i % 64) > at((i % 64 + F.get(shift, F.floor(i / 64).cast("int"))) % 64))
+    return both.select("vec_id", H.bits_to_hex(bits, 256).alias("hash"))
+
+
+@query(f"WITH {WIDE} SELECT x.id AS a, y.id AS b, list_sum(list_transform(list_zip(x.b, y.b), lambda p: (p[1] <> p[2])::INT))::INT AS distance FROM c x JOIN c y ON x.id < y.id AND list_sum(list_transform(list_zip(x.b, y.b), lambda p: (p[1] <> p[2])::INT)) <= 8")
+def wide_hash_pairs(spark, sf_dir):
+    """Pairs of hashes of 64 characters: blocks of four words, a pair for each that differs in at most eight bits."""
+    return dedup.near_pairs(cut(_wide_hashes(spark, sf_dir)), "vec_id", "hash", 8)
+
+
 def _links(spark, sf_dir) -> DataFrame:
     """documents with two link tokens: a source group of a few ids, and the content."""
     d = table(spark, sf_dir, "documents")
@@ -460,14 +482,12 @@ ALLOCATE = f"""{LINK}, gr AS (SELECT lang AS label, component AS grp, count(*) A
 og AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY size DESC, sha256('20260715:' || grp), grp) AS nth FROM gr),
 tc AS (SELECT label, sum(size)::BIGINT AS n FROM gr GROUP BY 1), te AS (SELECT label, n, [n * 0.85::DOUBLE, n * 0.10::DOUBLE, n * 0.05::DOUBLE] AS e FROM tc), tu AS (SELECT label, n, e, unnest([1, 2, 3]) AS i FROM te),
 tr AS (SELECT *, floor(e[i])::BIGINT AS b, row_number() OVER (PARTITION BY label ORDER BY e[i] - floor(e[i]) DESC, i) AS r FROM tu),
-tg AS (SELECT label, list(goal ORDER BY i) AS g FROM (SELECT label, i, (b + CASE WHEN r <= n - sum(b) OVER (PARTITION BY label) THEN 1 ELSE 0 END)::DOUBLE AS goal FROM tr) GROUP BY 1),
+tg AS (SELECT label, list(goal ORDER BY i) AS g FROM (SELECT label, i, (b + CASE WHEN r <= n - sum(b) OVER (PARTITION BY label) THEN 1 ELSE 0 END)::BIGINT AS goal FROM tr) GROUP BY 1),
 fold AS (SELECT label, 0::BIGINT AS nth, 0::BIGINT AS grp, 0::BIGINT AS size, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS c, 0 AS s FROM tg UNION ALL
 SELECT label, nth, grp, size, a + CASE s WHEN 0 THEN size ELSE 0 END, b + CASE s WHEN 1 THEN size ELSE 0 END, c + CASE s WHEN 2 THEN size ELSE 0 END, s FROM (
-SELECT *, CASE WHEN x <= y AND x <= z THEN 0 WHEN y <= z THEN 1 ELSE 2 END AS s FROM (
-SELECT f.label, o.nth, o.grp, o.size, f.a, f.b, f.c,
-(f.a + o.size - g[1]) * (f.a + o.size - g[1]) / greatest(1.0, g[1]) + (f.b - g[2]) * (f.b - g[2]) / greatest(1.0, g[2]) + (f.c - g[3]) * (f.c - g[3]) / greatest(1.0, g[3]) AS x,
-(f.a - g[1]) * (f.a - g[1]) / greatest(1.0, g[1]) + (f.b + o.size - g[2]) * (f.b + o.size - g[2]) / greatest(1.0, g[2]) + (f.c - g[3]) * (f.c - g[3]) / greatest(1.0, g[3]) AS y,
-(f.a - g[1]) * (f.a - g[1]) / greatest(1.0, g[1]) + (f.b - g[2]) * (f.b - g[2]) / greatest(1.0, g[2]) + (f.c + o.size - g[3]) * (f.c + o.size - g[3]) / greatest(1.0, g[3]) AS z
+SELECT *, CASE WHEN x * wb <= y * wa AND x * wc <= z * wa THEN 0 WHEN y * wc <= z * wb THEN 1 ELSE 2 END AS s FROM (
+SELECT f.label, o.nth, o.grp, o.size, f.a, f.b, f.c, greatest(1, g[1])::HUGEINT AS wa, greatest(1, g[2])::HUGEINT AS wb, greatest(1, g[3])::HUGEINT AS wc,
+(2 * (f.a - g[1]) + o.size)::HUGEINT AS x, (2 * (f.b - g[2]) + o.size)::HUGEINT AS y, (2 * (f.c - g[3]) + o.size)::HUGEINT AS z
 FROM fold f JOIN og o ON o.label = f.label AND o.nth = f.nth + 1 JOIN tg ON tg.label = f.label)))"""
 
 

@@ -551,9 +551,12 @@ def content_survivors(spark, sf_dir):
     return builders.exact_survivors(rows, "sha", "label", "doc_id").select("doc_id", "sha", "label")
 
 
-@query("SELECT count(*)::BIGINT AS files, sha256(string_agg(doc_id::VARCHAR || chr(0) || sha256(text), chr(10) ORDER BY doc_id)) AS digest FROM documents")
+@query("""WITH l AS (SELECT (row_number() OVER (ORDER BY doc_id) - 1) AS nth, doc_id::VARCHAR || chr(0) || sha256(text) AS line FROM documents),
+a AS (SELECT nth // 1000 AS nth, count(*) AS files, sha256(string_agg(line, chr(10) ORDER BY nth)) AS line FROM l GROUP BY nth // 1000), b AS (SELECT nth // 1000 AS nth, sum(files) AS files, sha256(string_agg(line, chr(10) ORDER BY nth)) AS line FROM a GROUP BY nth // 1000)
+SELECT sum(files)::BIGINT AS files, sha256(string_agg(line, chr(10) ORDER BY nth)) AS digest FROM b""")
 def whole_snapshot_digest(spark, sf_dir):
-    return metrics.whole_digest(table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha")), "doc_id", "sha")
+    """A digest of the whole table as a tree of digests, a thousand lines or nodes in each."""
+    return metrics.tree_digest(table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha")), "doc_id", "sha")
 
 
 @query("SELECT doc_id AS parent_id FROM documents WHERE doc_id % 10 IN (0, 7)")
@@ -715,11 +718,12 @@ def model_observations(spark, sf_dir):
 
 @query("""SELECT 'served' AS model, 'ok' AS status, count(*) FILTER (event_id % 17 <> 0)::BIGINT AS n FROM events UNION ALL SELECT 'served', 'infer: ArithmeticError', count(*) FILTER (event_id % 17 = 0)::BIGINT FROM events UNION ALL SELECT 'missing', 'load: FileNotFoundError', count(*)::BIGINT FROM events""")
 def model_health(spark, sf_dir):
-    """Counters of what models gave and why they failed, for one that serves and one that cannot be loaded."""
+    """Counters of what models gave and why they failed, taken while the observations are written: nothing is read or scored again."""
     rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("item_id"), F.col("event_id").alias("x"))
     factories = {"served": functools.partial(ParityRunner, 0.6), "missing": _broken_runner}
-    out = None
+    reasons, found = ("infer: ArithmeticError", "load: FileNotFoundError"), []
     for name, factory in factories.items():
-        part = scoring.health(scoring.score(rows, factory, "x", batch=1)).select(F.lit(name).alias("model"), "status", "n")
-        out = part if out is None else out.unionAll(part)
-    return out
+        out, seen = scoring.observed(scoring.score(rows, factory, "x", batch=1), reasons, name)
+        out.write.parquet(fresh_path(spark, f"observations-{name}"))
+        found += [(name, status, n) for status, n in scoring.health_of(seen.get, reasons)]
+    return spark.createDataFrame(found, "model string, status string, n long")

@@ -14,12 +14,13 @@ import time
 import urllib.error
 import urllib.parse
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition, SimpleDataSourceStreamReader
 
 from millrace.sources.storage import arrow_path, cut
 
@@ -233,6 +234,177 @@ class Frames(DataSource):
         return FrameReader(dict(self.options))
 
 
+class _Shift(InputPartition):
+    def __init__(self, camera: str, endpoint: str, begin: int, end: int):
+        self.camera, self.endpoint, self.begin, self.end = camera, endpoint, begin, end
+
+
+class CameraReader(DataSourceStreamReader):
+    """Many cameras as one stream: an offset for each, which counts the batches read from it, and a partition for each, polled in an executor.
+
+    A batch of a camera is at most `perbatch` frames. Before it is handed on it stands in the `log`, with the next frame id and the number of reads so far; a
+    batch that is asked for again, after a lost task or a restart, is read back from there, so ids have no gaps and no frame comes twice. A read that fails gives no
+    frame: the capture is released and opened again; after `failures` of them in a row the batch ends. The log keeps what was read until `commit` has passed it by `keep` batches.
+    """
+
+    def __init__(self, options: dict):
+        self.cameras = dict(line.split("=", 1) for line in options["cameras"].split("\n") if line)
+        self.capture, self.log = options["capture"], options["log"]
+        self.limit, self.failures, self.keep = int(options.get("perbatch", 1)), int(options.get("failures", 3)), int(options.get("keep", 100))
+
+    def _folder(self, camera: str):
+        fs, base = arrow_path(self.log)
+        return fs, f"{base}/{camera}"
+
+    def _logged(self, camera: str) -> list[int]:
+        from pyarrow import fs as pafs
+
+        fs, folder = self._folder(camera)
+        found = fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True))
+        return sorted(int(f.base_name[:-7]) for f in found if f.base_name.endswith(".frames"))
+
+    def initialOffset(self) -> dict:
+        return dict.fromkeys(self.cameras, 0)
+
+    def latestOffset(self) -> dict:
+        """One batch more of each camera than the log has: a live camera always has news."""
+        return {c: max(self._logged(c), default=-1) + 2 for c in self.cameras}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [_Shift(c, e, start.get(c, 0), end[c]) for c, e in self.cameras.items() if end.get(c, 0) > start.get(c, 0)]
+
+    def read(self, partition: _Shift) -> Iterator[tuple]:
+        for batch in range(partition.begin, partition.end):
+            for frame, at_ns, image in self._batch(partition.camera, partition.endpoint, batch):
+                yield partition.camera, frame, at_ns, image
+
+    def commit(self, end: dict) -> None:
+        for camera, batch in end.items():
+            fs, folder = self._folder(camera)
+            for old in self._logged(camera):
+                if old < batch - self.keep:
+                    fs.delete_file(f"{folder}/{old:010d}.frames")
+
+    def _stand(self, camera: str, batch: int) -> tuple[int, int, list[tuple]] | None:
+        """(next frame id, reads so far, frames) of a logged batch."""
+        fs, folder = self._folder(camera)
+        path = f"{folder}/{batch:010d}.frames"
+        if not fs.get_file_info(path).is_file:
+            return None
+        with fs.open_input_stream(path, compression=None) as f:
+            raw = f.read()
+        frame, reads, at, rows = *struct.unpack_from("<qq", raw), 16, []
+        while at < len(raw):
+            number, at_ns, size = struct.unpack_from("<qqq", raw, at)
+            rows.append((number, at_ns, bytes(raw[at + 24 : at + 24 + size])))
+            at += 24 + size
+        return frame, reads, rows
+
+    def _batch(self, camera: str, endpoint: str, batch: int) -> list[tuple]:
+        if kept := self._stand(camera, batch):
+            return kept[2]
+        before = self._stand(camera, batch - 1) if batch else (0, 0, [])
+        if before is None:
+            raise RuntimeError(f"the log of {camera} lacks batch {batch - 1}")
+        frame, reads, rows, failed = before[0], before[1], [], 0
+        open_, capture = _load(self.capture, None), None
+        try:
+            while len(rows) < self.limit and failed < self.failures:
+                if capture is None:
+                    capture = open_(endpoint, reads)
+                try:
+                    image = capture.read()
+                except EOFError:
+                    break
+                reads += 1
+                if image is None:
+                    failed += 1
+                    capture.release()
+                    capture = None
+                    continue
+                failed = 0
+                rows.append((frame, time.time_ns(), bytes(image)))
+                frame += 1
+        finally:
+            if capture is not None:
+                capture.release()
+        fs, folder = self._folder(camera)
+        fs.create_dir(folder, recursive=True)
+        part = f"{folder}/{uuid.uuid4().hex}.part"
+        with fs.open_output_stream(part, compression=None) as f:
+            f.write(struct.pack("<qq", frame, reads) + b"".join(struct.pack("<qqq", n, at_ns, len(image)) + image for n, at_ns, image in rows))
+        if kept := self._stand(camera, batch):  # another attempt of this task was first
+            fs.delete_file(part)
+            return kept[2]
+        fs.move(part, f"{folder}/{batch:010d}.frames")
+        return rows
+
+
+class Cameras(DataSource):
+    """readStream.format("cameras"): options cameras (lines name=endpoint), capture ('module:factory', called with endpoint and the number of reads so far), log, perbatch, failures."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "cameras"
+
+    def schema(self) -> str:
+        return "camera string, frame_id long, captured_at_ns long, image binary"
+
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return CameraReader(dict(self.options))
+
+
+class Recording:
+    """A capture that plays what write_recording() wrote for a camera, from the given read on."""
+
+    def __init__(self, endpoint: str, position: int = 0):
+        from pyarrow import fs as pafs
+
+        self.fs, folder = arrow_path(endpoint)
+        self.files = sorted(f.path for f in self.fs.get_file_info(pafs.FileSelector(folder)) if f.base_name.endswith(".rec"))
+        self.raw, self.at = b"", 0
+        while position:
+            self._more()
+            size = struct.unpack_from("<q", self.raw, self.at)[0]
+            self.at += 8 + max(0, size)
+            position -= 1
+
+    def _more(self) -> None:
+        while self.at >= len(self.raw):
+            if not self.files:
+                raise EOFError
+            with self.fs.open_input_stream(self.files.pop(0), compression=None) as f:
+                self.raw, self.at = f.read(), 0
+
+    def read(self) -> bytes | None:
+        self._more()
+        size = struct.unpack_from("<q", self.raw, self.at)[0]
+        self.at += 8
+        if size < 0:
+            return None
+        self.at += size
+        return self.raw[self.at - size : self.at]
+
+    def release(self) -> None:
+        self.raw = b""
+
+
+def write_recording(frames: DataFrame, root: str, chunk: int = 1000) -> None:
+    """frames (camera, nth from 1, image; null: a read that fails) as files of `chunk` reads under root/camera."""
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("nth")
+        fs, base = arrow_path(root)
+        folder = f"{base}/{pdf['camera'].iloc[0]}"
+        fs.create_dir(folder, recursive=True)
+        with fs.open_output_stream(f"{folder}/{int(pdf['chunk'].iloc[0]):010d}.rec", compression=None) as f:
+            f.write(b"".join(struct.pack("<q", -1) if x is None else struct.pack("<q", len(x)) + bytes(x) for x in pdf["image"]))
+        return pd.DataFrame({"n": [len(pdf)]})
+
+    parts = frames.select("camera", "nth", "image", F.floor((F.col("nth") - 1) / chunk).alias("chunk"))
+    cut(parts.groupBy("camera", "chunk").applyInPandas(write, "n long"))
+
+
 def batched_lookup(keys: DataFrame, key: str, size: int, lookup: Callable[[list[str]], dict[str, dict]]) -> DataFrame:
     """key, payload (JSON, null for what the service does not know): metadata in requests of at most `size` keys.
 

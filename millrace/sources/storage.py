@@ -61,6 +61,18 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def make_dir(spark: SparkSession, path: str) -> str:
+    p, fs = _hadoop(spark, path)
+    fs.mkdirs(p)
+    return path
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, those of hidden files left out."""
+    p, fs = _hadoop(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(p) if not x.getPath().getName().startswith((".", "_")))
+
+
 def _hadoop(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

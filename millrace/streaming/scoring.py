@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -26,6 +26,24 @@ def health(observations: DataFrame) -> DataFrame:
     return observations.groupBy(F.when(F.col("valid"), "ok").otherwise(F.col("reason")).alias("status")).agg(F.count("*").alias("n"))
 
 
+def observed(observations: DataFrame, reasons: Sequence[str], name: str = "health") -> tuple[DataFrame, Observation]:
+    """observations with counters that are taken while they pass, in a batch or a stream: health_of() has them after an action, a stream's progress after each batch.
+
+    reasons: those with a counter of their own; all others are counted together.
+    """
+    seen = Observation(name)
+    reason = F.coalesce(F.col("reason"), F.lit(""))
+    each = [F.count_if(~F.col("valid") & (reason == r)).alias(f"reason_{i}") for i, r in enumerate(reasons)]
+    other = F.count_if(~F.col("valid") & ~reason.isin(*reasons)).alias("other")
+    return observations.observe(seen, F.count_if(F.col("valid")).alias("ok"), *each, other), seen
+
+
+def health_of(counters: dict, reasons: Sequence[str]) -> list[tuple[str, int]]:
+    """(status, n) of observed() counters that are not zero."""
+    found = [("ok", counters["ok"]), *((r, counters[f"reason_{i}"]) for i, r in enumerate(reasons)), ("other", counters["other"])]
+    return [(status, int(n)) for status, n in found if n]
+
+
 def score(rows: DataFrame, factory: Callable[[], ModelRunner], item_col: str, id_col: str = "item_id", batch: int = 64) -> DataFrame:
     """OBSERVATION rows. An exception of the runner gives valid = false and its name as reason; no task fails."""
 

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from millrace.plans import catalog, exchange  # noqa: F401  (exchange adds its queries to the catalog)
+from millrace.plans import catalog, exchange, streams  # noqa: F401  (exchange and streams add their queries to the catalog)
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")

@@ -35,6 +35,13 @@ def test_hashing(spark):
     r = one(spark, hexa=H.bits_to_hex(bits), d=H.hamming(F.lit("ffffffffffffffff"), F.lit("fffffffffffffff0")), dh=H.difference_hash(px))
     dh = "".join("1" if (9 * (i // 8) + i % 8) * 7 % 11 > (9 * (i // 8) + i % 8 + 1) * 7 % 11 else "0" for i in range(64))
     assert r.hexa == want and r.d == 4 and r.dh == f"{int(dh, 2):016x}"
+    long_a, long_b = "f" * 64, "0" + "F" * 62 + "e"
+    r = one(spark, whole=H.hamming(F.lit(long_a), F.lit(long_b)), short=H.hamming(F.lit("ff"), F.lit("0" * 40 + "fe")), none=H.hamming(F.lit(None).cast("string"), F.lit("ff")))
+    assert r.whole == 5 and r.short == 1 and r.none is None
+    with pytest.raises(Exception, match="more than 64"):
+        one(spark, x=H.hamming(F.lit("f" * 65), F.lit("f")))
+    wide = F.array(*[F.lit(float((i * 7) % 11)) for i in range(272)])
+    assert one(spark, x=H.difference_hash(wide, 16)).x == f"{int(''.join('1' if (17 * (i // 16) + i % 16) * 7 % 11 > (17 * (i // 16) + i % 16 + 1) * 7 % 11 else '0' for i in range(256)), 2):064x}"
     docs = spark.createDataFrame([(1, "a b a"), (2, "b a a"), (3, None), (4, "")], "id long, text string")
     got = {r.id: r.simhash for r in H.simhash(docs, "id", "text").collect()}
     assert got[1] == got[2] != got[3] == got[4] == "0" * 16

@@ -1,7 +1,6 @@
-import functools
 import hashlib
-import operator
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -108,20 +107,78 @@ def test_prepare_candidates(spark):
     assert got["g"] == (None, "near-g") and got["h"] == (None, "near-g")
 
 
-def test_split_and_sampling(spark):
-    assert sampling.largest_remainder(10, (0.85, 0.10, 0.05)) == [9, 1, 0] and sampling.rounded_targets(7, (0.5, 0.5)) == [4, 3]
-    groups = [("a", i, s, f"k{i}") for i, s in enumerate([5, 3, 3, 2, 1, 1, 1, 1, 1, 2])]
-    got = {r.group: r.split for r in sampling.allocate_groups(spark.createDataFrame(groups, "label string, group long, size long, member_key string"), (0.85, 0.10, 0.05), 7).collect()}
-    goal = sampling.largest_remainder(20, (0.85, 0.10, 0.05))
+def fold_exactly(groups, ratios, seed):
+    """The allocation one group at a time, in fractions."""
+    goal = sampling.largest_remainder(sum(g[2] for g in groups), ratios)
     counts, want = [0, 0, 0], {}
-    for _, g, s, k in sorted(groups, key=lambda x: (-x[2], hashlib.sha256(f"7:{x[3]}".encode()).hexdigest())):
-        cost = [functools.reduce(operator.add, [(counts[j] + (s if j == c else 0) - goal[j]) ** 2 / max(1.0, goal[j]) for j in range(3)]) for c in range(3)]
+    for _, g, s, k in sorted(groups, key=lambda x: (-x[2], hashlib.sha256(f"{seed}:{x[3]}".encode()).hexdigest(), x[1])):
+        cost = [sum(Fraction((counts[j] + (s if j == c else 0) - goal[j]) ** 2, max(1, goal[j])) for j in range(3)) for c in range(3)]
         best = cost.index(min(cost))
         counts[best] += s
         want[g] = sampling.SPLITS[best]
-    assert got == want
-    again = {r.group: r.split for r in sampling.allocate_groups(spark.createDataFrame(groups[::-1], "label string, group long, size long, member_key string"), (0.85, 0.10, 0.05), 7).collect()}
-    assert again == got
+    return want
+
+
+def test_allocation_is_the_fold_in_turn(spark):
+    rng = random.Random(2)
+    cases = {f"l{c}": [(f"l{c}", 1000 * c + i, rng.choice([1, 1, 1, 2, 3, 7, 40]), f"k{i % 90}") for i in range(rng.choice([1, 2, 5, 60, 400]))] for c in range(12)}
+    rows = [g for c in cases.values() for g in c]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "label string, group long, size long, member_key string")
+    for ratios in ((0.85, 0.10, 0.05), (1 / 3, 1 / 3, 1 / 3), (0.5, 0.5, 0.0)):
+        got = {r.group: r.split for r in sampling.allocate_groups(df, ratios, 7).collect()}
+        assert got == {g: s for c in cases.values() for g, s in fold_exactly(c, ratios, 7).items()}
+
+
+@pytest.mark.parametrize("block", [1, 7, 1000])
+def test_ratio_fill_in_blocks(spark, block):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "a", None]), i, rng.randrange(1, 9), f"k{i}") for i in range(24)]
+    want = {}
+    for label in ("a", None):
+        mine = sorted((r for r in rows if r[0] == label), key=lambda r: (hashlib.sha256(f"5:{r[3]}".encode()).hexdigest(), r[1]))
+        goals, counts = [max(1.0, float(x)) for x in sampling.rounded_targets(sum(r[2] for r in mine), (0.85, 0.10, 0.05))], [0, 0, 0]
+        for r in mine:
+            shares = [c / g for c, g in zip(counts, goals, strict=True)]
+            s = shares.index(min(shares))
+            counts[s] += r[2]
+            want[r[1]] = sampling.SPLITS[s]
+    df = spark.createDataFrame(rows, "label string, group long, size long, member_key string")
+    assert {r.group: r.split for r in sampling.ratio_fill(df, (0.85, 0.10, 0.05), 5, block=block).collect()} == want
+    assert sampling.ratio_fill(df.limit(0), (0.85, 0.10, 0.05), 5).count() == 0 and sampling.allocate_groups(df.limit(0), (0.85, 0.10, 0.05), 5).count() == 0
+
+
+def test_tree_digest(spark):
+    rows = [(i, f"d{i}") for i in range(23)]
+    sha = lambda lines: hashlib.sha256("\n".join(lines).encode()).hexdigest()
+    level = [f"{i}\0{d}" for i, d in rows]
+    for _ in range(3):
+        level = [sha(level[i : i + 3]) for i in range(0, len(level), 3)]
+    df = spark.createDataFrame(rows[::-1], "path long, digest string").repartition(3)
+    assert [tuple(r) for r in metrics.tree_digest(df, "path", "digest", fan=3, levels=1).collect()] == [(23, level[0])]
+    assert [tuple(r) for r in metrics.tree_digest(df.limit(1), "path", "digest", fan=3, levels=2).collect()][0][0] == 1
+
+
+def test_near_pairs_of_wide_hashes(spark):
+    rng = random.Random(6)
+    base = [rng.getrandbits(256) for _ in range(20)]
+    rows = [(i, base[i % 20] ^ sum(1 << b for b in rng.sample(range(256), i // 20)), "abc"[i % 3]) for i in range(200)] + [(200, base[3], "a"), (201, 5, "a"), (202, 7, None)]
+    as_text = [(i, f"{h:x}".upper() if i % 2 else f"{h:064x}", g) for i, h, g in rows] + [(203, None, "a")]
+    df = spark.createDataFrame(as_text, "id long, hash string, g string")
+    reps = {}
+    for i, h, _ in rows:
+        reps[h] = min(i, reps.get(h, i))
+    want = {(a, b): (x ^ y).bit_count() for x, a in reps.items() for y, b in reps.items() if a < b and (x ^ y).bit_count() <= 12}
+    assert {(r.a, r.b): r.distance for r in dedup.near_pairs(df, "id", "hash", 12).collect()} == want and len(want) > 100
+    for threshold, chars in ((0, None), (3, 80), (64, None)):
+        got = {(r.a, r.b) for r in dedup.near_pairs(df, "id", "hash", threshold, chars=chars, agree=1 if threshold == 64 else None).collect()}
+        assert got == {(a, b) for x, a in reps.items() for y, b in reps.items() if a < b and (x ^ y).bit_count() <= threshold}
+    same = {r.id: r.cluster for r in dedup.near_clusters(spark.createDataFrame([(1, "ff", None), (2, "0FF", None), (3, "ff", "a"), (4, None, None)], "id long, hash string, g string"), "id", "hash", 1, within="g").collect()}
+    assert same == {1: "near-1", 2: "near-1"}
+
+
+def test_split_and_sampling(spark):
+    assert sampling.largest_remainder(10, (0.85, 0.10, 0.05)) == [9, 1, 0] and sampling.rounded_targets(7, (0.5, 0.5)) == [4, 3]
     many = sampling.oversample(spark.createDataFrame([("a", i) for i in range(3)], "g string, k long"), "g", "k", 8, 1).collect()
     assert len(many) == 8 and sorted(r.ordinal for r in many) == list(range(8))
     with pytest.raises(ValueError):
