@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 @F.pandas_udf(StringType())
-def unescape(texts: pd.Series) -> pd.Series:
-    """All named and numbered character references, by the standard's table."""
-    return texts.map(lambda t: html.unescape(t) if t is not None and "&" in t else t)
+def _unescape(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: html.unescape(t) if t is not None else t)
+
+
+def unescape(c: Column) -> Column:
+    """All named and numbered character references, by the standard's table; only texts that hold an ampersand leave the JVM."""
+    return F.coalesce(_unescape(F.when(c.contains("&"), c)), c)
 
 
 #: White space as text splitting knows it, beyond ASCII too.

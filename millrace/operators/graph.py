@@ -75,3 +75,40 @@ def reachable(edges: DataFrame, roots: list, max_depth: int) -> DataFrame:
             break
         seen = seen.unionAll(front)
     return seen
+
+
+def first_reached(members: DataFrame, root, max_depth: int, limit: int) -> DataFrame:
+    """The first `limit` leaves of a walk in the order a queue would find them: node, place (from 1), depth.
+
+    members: parent, at (place in the parent's list), child, leaf (a file, not a category). Categories are visited once each, in the order they were found, down to
+    `max_depth`; a leaf counts where it is met first. Each level is a join with the frontier; its finds are numbered by ranges of (place of the parent, at), and the walk
+    ends when the quota is full, so later levels are not read.
+    """
+    spark = members.sparkSession
+    kind = members.schema["child"].dataType.simpleString()
+    here = spark.createDataFrame([(root, 1)], f"node {kind}, place long")
+    visited, found, have = here.select("node"), None, 0
+    for depth in range(max_depth + 1):
+        met = here.join(members, here["node"] == members["parent"]).select(F.col("child").alias("node"), "leaf", F.struct("place", "at").alias("order"))
+        first = cut(met.groupBy("node", "leaf").agg(F.min("order").alias("order")))
+        leaves = first.where("leaf").drop("leaf")
+        if found is not None:
+            leaves = leaves.join(found.select("node"), "node", "left_anti")
+        numbered = _numbered(leaves).where(F.col("place") <= limit - have)
+        numbered = cut(numbered.select("node", (F.col("place") + have).alias("place"), F.lit(depth).alias("depth")))
+        found = numbered if found is None else found.unionAll(numbered)
+        have += numbered.count()
+        if have >= limit or depth == max_depth:
+            break
+        here = cut(_numbered(first.where("not leaf").drop("leaf").join(visited, "node", "left_anti")))
+        if here.isEmpty():
+            break
+        visited = visited.unionAll(here.select("node"))
+    return found
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows (node, order) with place from 1 in the order."""
+    from millrace.operators.sampling import group_ordinals
+
+    return group_ordinals(rows.withColumn("all", F.lit(0)), "all", [F.col("order"), F.col("node")], "place").select("node", "place")

@@ -195,16 +195,18 @@ def box_counts(rows: DataFrame, by: Sequence[str], boxes: str = "box_count") ->
     return rows.groupBy(*by).agg(F.count("*").alias("images"), F.sum(boxes).alias("boxes"), F.count_if(F.col(boxes) > 1).alias("multi_box"), F.count_if(F.col(boxes) == 0).alias("without"))
 
 
-def view_survivors(views: DataFrame, base: DataFrame) -> DataFrame:
+def view_survivors(views: DataFrame, base: DataFrame, by: str | None = None) -> DataFrame:
     """views (source_sha, view_sha, arrival) not in base (sha), the first arrival of each source and then of each view.
 
-    Adds ordinal, which counts kept views only.
+    Adds ordinal: 1, 2, ... in the order of arrival (within `by`, if given), which counts kept views only.
     """
     once = views.join(base.select(F.col("sha").alias("source_sha")), "source_sha", "left_anti")
     first = once.groupBy("source_sha").agg(F.min("arrival").alias("arrival"))
     once = once.join(first, ["source_sha", "arrival"], "left_semi").join(base.select(F.col("sha").alias("view_sha")), "view_sha", "left_anti")
     kept = once.join(once.groupBy("view_sha").agg(F.min("arrival").alias("arrival")), ["view_sha", "arrival"], "left_semi")
-    return kept
+    if by:
+        return sampling.group_ordinals(kept, by, [F.col("arrival")], "ordinal")
+    return sampling.group_ordinals(kept.withColumn("__all", F.lit(0)), "__all", [F.col("arrival")], "ordinal").drop("__all")
 
 
 def burst_rows(frames: DataFrame, samples: DataFrame) -> DataFrame:

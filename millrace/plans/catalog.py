@@ -747,12 +747,12 @@ def burst_range(spark, sf_dir):
     return builders.burst_rows(e.drop("event_type"), e.where("event_type = 'click'").select("burst", "at"))
 
 
-@query("""WITH v AS (SELECT doc_id AS arrival, sha256(text) AS s, sha256(source || (n_chars // 50)) AS w FROM documents), b AS (SELECT s AS sha FROM v WHERE arrival IN (SELECT doc_id FROM labels)),
-o AS (SELECT * FROM v WHERE arrival NOT IN (SELECT doc_id FROM labels) AND s NOT IN (SELECT sha FROM b)), f AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY arrival) AS k FROM o), u AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY arrival) AS j FROM f WHERE k = 1) SELECT arrival FROM u WHERE j = 1""")
+@query("""WITH v AS (SELECT doc_id AS arrival, sha256(text) AS s, sha256(source || (n_chars // 50)) AS w, lang FROM documents), b AS (SELECT s AS sha FROM v WHERE arrival IN (SELECT doc_id FROM labels)),
+o AS (SELECT * FROM v WHERE arrival NOT IN (SELECT doc_id FROM labels) AND s NOT IN (SELECT sha FROM b)), f AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY arrival) AS k FROM o), u AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY arrival) AS j FROM f WHERE k = 1) SELECT arrival, row_number() OVER (PARTITION BY lang ORDER BY arrival) AS ordinal FROM u WHERE j = 1""")
 def view_hash_dedup(spark, sf_dir):
-    v = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("arrival"), F.sha2("text", 256).alias("source_sha"), F.sha2(F.concat("source", F.floor(F.col("n_chars") / 50).cast("string")), 256).alias("view_sha"))
+    v = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("arrival"), "lang", F.sha2("text", 256).alias("source_sha"), F.sha2(F.concat("source", F.floor(F.col("n_chars") / 50).cast("string")), 256).alias("view_sha"))
     base = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("arrival"))
-    return builders.view_survivors(v.join(base, "arrival", "left_anti"), v.join(base, "arrival", "left_semi").select(F.col("source_sha").alias("sha"))).select("arrival")
+    return builders.view_survivors(v.join(base, "arrival", "left_anti"), v.join(base, "arrival", "left_semi").select(F.col("source_sha").alias("sha")), "lang").select("arrival", "ordinal")
 
 
 @query("SELECT doc_id, CASE quality WHEN 1 THEN 'accepted' WHEN 0 THEN 'rejected' ELSE '' END AS decision, CASE WHEN quality IS NULL THEN '' ELSE 'r1' END AS reviewer FROM (SELECT doc_id FROM documents) LEFT JOIN labels USING (doc_id)")

@@ -11,12 +11,15 @@ import io
 import tarfile
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import boxes as B
 from millrace.functions import hashing as H
+from millrace.functions import images
 from millrace.functions import pixels as PX
 from millrace.functions import text as X
 from millrace.functions import vectors as V
@@ -535,6 +538,60 @@ def image_arithmetic(spark, sf_dir):
     return rows.select("vec_id", F.round(F.get(blur, F.lit(0)), 5).alias("b0"), F.round(F.get(blur, F.lit(9)), 5).alias("b9"), F.round(F.aggregate(blur, F.lit(0.0), add), 4).alias("total"), F.round(F.get("px", F.lit(0)), 5).alias("corner"), F.size(framed).alias("framed"), F.round(F.aggregate(framed, F.lit(0.0), add), 4).alias("framed_sum"), F.round(F.get(pasted, F.lit(1)), 5).alias("pasted"))
 
 
+def _reduced(n: int, to: int) -> str:
+    """SQL rows (i, j, k): weight k, in units of 2**-22, of value j of n in place i of `to` under the bicubic kernel."""
+    return f"""(SELECT i, j, trunc(w / sum(w) OVER (PARTITION BY i) * 4194304 + CASE WHEN w < 0 THEN -0.5 ELSE 0.5 END)::BIGINT AS k FROM (SELECT i, j, CASE WHEN x < 1 THEN (1.5 * x - 2.5) * x * x + 1 WHEN x < 2 THEN ((-0.5 * x + 2.5) * x - 4) * x + 2 ELSE 0 END AS w
+FROM (SELECT i, j, abs((j - (i + 0.5) * {n}::DOUBLE / {to} + 0.5) / ({n}::DOUBLE / {to})) AS x FROM range({to}) a(i), range({n}) b(j)
+WHERE j >= trunc(greatest(0, (i + 0.5) * {n}::DOUBLE / {to} - 2 * {n}::DOUBLE / {to} + 0.5)) AND j < least({n}, trunc((i + 0.5) * {n}::DOUBLE / {to} + 2 * {n}::DOUBLE / {to} + 0.5)))))"""
+
+
+GRAY = "greatest(0, least(255, round(e[(y * 18 + x) % 64 + 1]::DOUBLE * 200 + 100)))::BIGINT"
+
+
+@query(f"""WITH s AS (SELECT vec_id, vec_id % 8 + 1 AS o, x, y, {GRAY} AS v FROM (SELECT vec_id, embedding AS e FROM embeddings), range(18) a(x), range(16) b(y)),
+d AS (SELECT vec_id, o >= 5 AS turned, CASE o WHEN 1 THEN x WHEN 2 THEN 17 - x WHEN 3 THEN 17 - x WHEN 4 THEN x WHEN 5 THEN y WHEN 6 THEN 15 - y WHEN 7 THEN 15 - y ELSE y END AS x, CASE o WHEN 1 THEN y WHEN 2 THEN y WHEN 3 THEN 15 - y WHEN 4 THEN 15 - y WHEN 5 THEN x WHEN 6 THEN x WHEN 7 THEN 17 - x ELSE 17 - x END AS y, v FROM s),
+wx AS (SELECT false AS turned, * FROM {_reduced(18, 9)} UNION ALL SELECT true, * FROM {_reduced(16, 9)}), wy AS (SELECT false AS turned, * FROM {_reduced(16, 8)} UNION ALL SELECT true, * FROM {_reduced(18, 8)}),
+h AS (SELECT vec_id, d.turned, wx.i AS x, d.y, greatest(0, least(255, (sum(v * k) + 2097152) >> 22)) AS v FROM d JOIN wx ON wx.turned = d.turned AND wx.j = d.x GROUP BY 1, 2, 3, 4),
+g AS (SELECT vec_id, h.x, wy.i AS y, greatest(0, least(255, (sum(v * k) + 2097152) >> 22)) AS v FROM h JOIN wy ON wy.turned = h.turned AND wy.j = h.y GROUP BY 1, 2, 3),
+b AS (SELECT l.vec_id, 63 - (l.y * 8 + l.x) AS bit, l.v > r.v AS on_ FROM g l JOIN g r ON r.vec_id = l.vec_id AND r.y = l.y AND r.x = l.x + 1)
+SELECT vec_id, printf('%016x', sum(CASE WHEN on_ THEN 1::UBIGINT << bit ELSE 0::UBIGINT END)::UBIGINT) AS hash FROM b GROUP BY 1""")
+def image_file_hash(spark, sf_dir):
+    """Difference hashes of whole PNG files: every line filter, eight orientations, bicubic resampling."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+
+    def files_of(batches):
+        for batch in batches:
+            at = np.arange(18 * 16) % 64
+            made = [images.encode_png(np.clip(np.rint(np.asarray(e, np.float32)[at].astype(float) * 200 + 100), 0, 255).astype(np.uint8).reshape(16, 18, 1), i % 8 + 1, range(5)) for i, e in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["vec_id", "content"])
+
+    return images.file_hashes(rows.mapInArrow(files_of, "vec_id long, content binary"), "vec_id", "content").select("vec_id", "hash")
+
+
+@query("""WITH f AS (SELECT 'c' || c_custkey AS node, n_nationkey, c_custkey FROM nation JOIN customer ON c_nationkey = n_nationkey)
+SELECT node, row_number() OVER (ORDER BY n_nationkey % 7, n_nationkey, c_custkey) AS place, 1 AS depth FROM f QUALIFY place <= 40""")
+def limited_walk(spark, sf_dir):
+    """The first forty items of a walk through categories, in the order in which a queue finds them."""
+    n, c = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
+    name = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
+    at = lambda *k: F.struct(*[x.cast("long") for x in k])
+    down = n.select(F.lit("root").alias("parent"), at(F.col("n_nationkey") % 7, F.col("n_nationkey")).alias("at"), name("n", "n_nationkey").alias("child"), F.lit(False).alias("leaf"))
+    back = n.select(name("n", "n_nationkey").alias("parent"), at(F.lit(-1), F.lit(0)).alias("at"), F.lit("root").alias("child"), F.lit(False).alias("leaf"))
+    items = c.select(name("n", "c_nationkey").alias("parent"), at(F.lit(0), F.col("c_custkey")).alias("at"), name("c", "c_custkey").alias("child"), F.lit(True).alias("leaf"))
+    return graph.first_reached(down.unionAll(back).unionAll(items), "root", 3, 40)
+
+
+@query("""WITH l AS (SELECT 'p' || p_partkey AS sample, unnest([1, 2]) AS line_no, p_partkey AS k, p_size FROM part)
+SELECT sample, line_no::BIGINT AS line_no, CASE WHEN line_no = 1 THEN (k % 6)::INT END AS class_id, CASE WHEN line_no = 1 THEN (k % 10) / 10.0 END::DOUBLE AS cx, CASE WHEN line_no = 1 THEN p_size / 100.0 END::DOUBLE AS w, line_no = 1 AND p_size > 0 AS ok FROM l""")
+def label_table_function(spark, sf_dir):
+    """Label lines parsed by a table function that SQL calls for each sample's partition."""
+    k = F.col("p_partkey")
+    good = F.format_string("%d %.1f 0.5 %.2f 0.25", (k % 6).cast("int"), (k % 10) / 10, F.col("p_size") / 100)
+    texts = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), k.cast("string")).alias("sample"), F.concat(good, F.lit("\n \nbroken line\n")).alias("text"))
+    files.register_label_lines(spark)
+    return spark.sql("SELECT sample, line_no, class_id, cx, w, ok FROM label_lines(TABLE({texts}) PARTITION BY sample)", texts=texts)
+
+
 # ---------------------------------------------------------------- counts, guards, differences
 
 

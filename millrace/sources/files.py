@@ -74,6 +74,40 @@ def box_lines(lines: DataFrame) -> DataFrame:
     return out.withColumn("ok", F.coalesce((F.col("n") == 5) & (F.col("class_id") >= 0) & inside, F.lit(False))).drop("n")
 
 
+@F.udtf(returnType="sample string, line_no long, class_id int, cx double, cy double, w double, h double, ok boolean")
+class LabelLines:
+    """Table function: rows of a table (sample, text) to one row for each label line that is not blank, numbered from 1 through a partition.
+
+    In SQL: FROM label_lines(TABLE(texts) PARTITION BY sample), once register_label_lines() has been called.
+    """
+
+    def __init__(self):
+        self.n = 0
+
+    def eval(self, row):
+        for line in (row["text"] or "").split("\n"):
+            parts = line.split()
+            if not parts:
+                continue
+            self.n += 1
+            numbers = [self._number(x) for x in [*parts[1:5], *[""] * 4][:4]]
+            kind = int(parts[0]) if parts[0].isascii() and parts[0].isdigit() else None
+            cx, cy, w, h = numbers
+            ok = len(parts) == 5 and kind is not None and None not in numbers and 0 <= cx <= 1 and 0 <= cy <= 1 and 0 < w <= 1 and 0 < h <= 1
+            yield row["sample"], self.n, kind, cx, cy, w, h, ok
+
+    @staticmethod
+    def _number(text: str) -> float | None:
+        try:
+            return float(text)
+        except ValueError:
+            return None
+
+
+def register_label_lines(spark: SparkSession, name: str = "label_lines") -> None:
+    spark.udtf.register(name, LabelLines)
+
+
 def resolve_exactly_one(wanted: DataFrame, files: DataFrame, key: str = "name") -> DataFrame:
     """wanted (key) joined to the only file of that name; `matches` tells how many there were."""
     found = files.groupBy(key).agg(F.count("*").alias("matches"), F.min("path").alias("path"), F.countDistinct("sha256").alias("contents") if "sha256" in files.columns else F.lit(None).cast("long").alias("contents"))
@@ -81,8 +115,8 @@ def resolve_exactly_one(wanted: DataFrame, files: DataFrame, key: str = "name")
 
 
 def resolve_first_root(wanted: DataFrame, files: DataFrame, roots: Sequence[str], key: str = "name") -> DataFrame:
-    """The file in the earliest root that holds the name."""
-    rank = F.coalesce(*[F.when(F.col("path").contains(r), F.lit(i)) for i, r in enumerate(roots)])
+    """The file in the earliest root that holds the name; a root is the beginning of a path, as whole folders."""
+    rank = F.coalesce(*[F.when(F.col("path").startswith(r.rstrip("/") + "/"), F.lit(i)) for i, r in enumerate(roots)])
     best = files.withColumn("rank", rank).where("rank is not null").groupBy(key).agg(F.min_by("path", F.struct("rank", "path")).alias("path"))
     return wanted.join(best, key, "left")
 
