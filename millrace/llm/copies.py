@@ -3,20 +3,20 @@
 A text's signature holds the smallest of PLACES hashes of its five-word shingles, so two texts agree in a place with a
 probability of their Jaccard similarity. Texts that agree on a whole band of places meet; those whose signatures agree
 in at least AGREE places are candidates, with the smallest key of the band and with their neighbour in it. A candidate is a link
-if the texts' sketches say so: BINS bins of the shingles by hash, each with a byte of its smallest, agree in at least SIMILAR of the
-bins that either text fills. Classes are the components of the links.
+if the texts share 75 % of their shingles. Sketches tell what is clear: BINS bins of the shingles by hash, each with a byte of its smallest, agree in a share of the
+bins that either text fills which comes within three standard deviations of the similarity. Pairs between CLEAR_NOT and CLEAR are decided by their sets of shingles, those alone. Classes are the components of the links.
 
-A text of similarity 0.75 meets a copy in one of ten bands with a probability of 99.6 %, agrees in 18 of 30 places with one of 97.8 % and passes the sketch with
-96 %, for every copy anew; one of similarity 0.6 passes the sketch with under 0.1 %, so classes do not chain.
+A text of similarity 0.75 meets a copy in one of ten bands with a probability of 99.6 % and agrees in 18 of 30 places with one of 97.8 %, for every copy anew, and a
+class is held together by many links; links below the threshold do not pass, so classes do not chain.
 
-This is an estimate, for votes only; the near-duplicate operator is exact. Scale: one pass over the texts, which leaves ten rows of
+The candidates are an estimate, for votes only; the near-duplicate operator is exact. Scale: one pass over the texts, which leaves ten rows of
 46 bytes and a sketch of BINS bytes for a text in the shared folder. A task links the copies that it meets in a slice itself and sends one row for them, so a large
 group of copies does not meet in one bucket.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from .jaccard import forest
 from .textops import U64, Words, buffers, mix, slices
 
 PLACES, BAND, AGREE = 30, 3, 18
-BINS, SIMILAR = 256, 0.7
+BINS, CLEAR_NOT, CLEAR, PERCENT = 256, 0.66, 0.83, 75
 _ODD = mix(np.arange(101, 101 + PLACES, dtype=U64)) | U64(1)
 
 
@@ -58,14 +58,25 @@ def sketches(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which rows of sketches agree in enough of the bins that either fills."""
-    either = ((a | b) > 0).sum(axis=1)
-    return ((a == b) & (a > 0)).sum(axis=1) >= SIMILAR * np.maximum(either, 1)
+def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Share of the bins that either sketch fills in which both agree."""
+    return ((a == b) & (a > 0)).sum(axis=1) / np.maximum(((a | b) > 0).sum(axis=1), 1)
 
 
-def linked(band: np.ndarray, key: np.ndarray, sig: np.ndarray, sketch: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, rows that still speak): candidates of each row with the first and the previous row of its band, links where sketches are given.
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets (distinct, sorted) share PERCENT of their union."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+
+
+def sets_of(h: np.ndarray, doc: np.ndarray) -> list[np.ndarray]:
+    """Distinct shingles of each text that has any, in the order of signatures()."""
+    edges = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]])) if len(doc) else np.zeros(1, int)
+    return [np.unique(h[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def linked(band: np.ndarray, key: np.ndarray, sig: np.ndarray, verified: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, rows that still speak): candidates of each row with the first and the previous row of its band, links where `verified` tells them from rows.
 
     A row that is linked with the first of its band is spoken for by it.
     """
@@ -78,9 +89,9 @@ def linked(band: np.ndarray, key: np.ndarray, sig: np.ndarray, sketch: np.ndarra
 
     def agree(to: np.ndarray) -> np.ndarray:
         good = (s[rest] == s[to]).sum(axis=1) >= AGREE
-        if sketch is not None:
+        if verified is not None:
             at = np.flatnonzero(good)
-            good[at] = alike(sketch[order[rest[at]]], sketch[order[to[at]]])
+            good[at] = verified(order[rest[at]], order[to[at]])
         return good
 
     to_first, to_previous = agree(first[rest]), agree(rest - 1)
@@ -110,12 +121,25 @@ def near_copies(texts: DataFrame, k: int = 5) -> DataFrame:
                     continue
                 key, short, sketch = keys[lo + rows], (sig & np.uint32(255)).astype(np.uint8), sketches(h, d)
                 own = (-1, b"", key.tobytes(), sketch.tobytes())
+                held: dict[int, np.ndarray] = {}
+                edge = np.append(np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])), len(d))
+
+                def verified(a: np.ndarray, b: np.ndarray, sketch=sketch, held=held, edge=edge, h=h) -> np.ndarray:
+                    share = likeness(sketch[a], sketch[b])
+                    out = share >= CLEAR
+                    for i in np.flatnonzero((share >= CLEAR_NOT) & ~out).tolist():
+                        for row in (int(a[i]), int(b[i])):
+                            if row not in held:
+                                held[row] = np.unique(h[edge[row] : edge[row + 1]])
+                        out[i] = similar(held[int(a[i])], held[int(b[i])])
+                    return out
+
                 links_a, links_b, parts = [], [], []
                 for j in range(0, PLACES, BAND):
                     band = np.full(len(rows), j + 1, U64)
                     for i in range(j, j + BAND):
                         band = mix(band + sig[:, i].astype(U64))
-                    a, b, speaks = linked(band, key, short, sketch)
+                    a, b, speaks = linked(band, key, short, verified)
                     links_a.append(a)
                     links_b.append(b)
                     parts.append((band[speaks], key[speaks], short[speaks]))
@@ -157,10 +181,32 @@ def near_copies(texts: DataFrame, k: int = 5) -> DataFrame:
             for a, b in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
                 yield from _pairs(np.frombuffer(a, np.int64), np.frombuffer(b, np.int64))
 
-    def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def weigh(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             one, other = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (2, 3))
-            yield batch.select(["a", "b"]).filter(pa.array(alike(one, other)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(likeness(one, other))], names=["a", "b", "share"])
+
+    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = buffers(batch.column(1))
+            for lo, hi in slices(offsets):
+                h, d = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]).shingles(k)
+                rows = np.unique(d)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lo + rows)), pa.array([x.tobytes() for x in sets_of(h, d)], pa.binary())], names=["key", "value"])
+
+    def decide(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [similar(np.frombuffer(x.as_py(), U64), np.frombuffer(y.as_py(), U64)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def beside(pairs: DataFrame, values: DataFrame) -> DataFrame:
+        """pairs (a, b) with the values (key, value) of both."""
+        one, other = values.select(F.col("key").alias("a"), F.col("value").alias("one")), values.select(F.col("key").alias("b"), F.col("value").alias("other"))
+        return pairs.select("a", "b").join(one.hint("merge"), "a").join(other.hint("merge"), "b").select("a", "b", "one", "other")
+
+    def only(values: DataFrame, pairs: DataFrame) -> DataFrame:
+        needed = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+        return values.join(needed.hint("merge"), "key", "left_semi")
 
     path = fresh_path(texts.sparkSession, "copies")
     schema = "bucket int, band binary, key binary, signature binary"
@@ -168,10 +214,10 @@ def near_copies(texts: DataFrame, k: int = 5) -> DataFrame:
     posted = texts.sparkSession.read.schema(schema).parquet(path)
     maybe = cut(dealt(posted.where("bucket >= 0")).mapInArrow(meet, "a long, b long").distinct())
     sketch = posted.where("bucket = -1").select("key", "signature").mapInArrow(unpack(BINS), "key long, value binary").dropDuplicates(["key"])
-    needed = maybe.select(F.col("a").alias("key")).union(maybe.select(F.col("b").alias("key"))).distinct()
-    sketch = cut(sketch.join(needed.hint("merge"), "key", "left_semi"))
-    one, other = sketch.select(F.col("key").alias("a"), F.col("value").alias("one")), sketch.select(F.col("key").alias("b"), F.col("value").alias("other"))
-    links = maybe.join(one.hint("merge"), "a").join(other.hint("merge"), "b").select("a", "b", "one", "other").mapInArrow(verify, "a long, b long")
+    weighed = cut(beside(maybe, cut(only(sketch, maybe))).mapInArrow(weigh, "a long, b long, share double"))
+    unclear = cut(weighed.where((F.col("share") >= CLEAR_NOT) & (F.col("share") < CLEAR)).select("a", "b"))
+    sets = cut(only(texts.select("key", "text"), unclear).mapInArrow(gather, "key long, value binary").dropDuplicates(["key"]))
+    links = weighed.where(F.col("share") >= CLEAR).select("a", "b").union(beside(unclear, sets).mapInArrow(decide, "a long, b long"))
     sure = posted.where("bucket = -2").select("key", "signature").mapInArrow(known, "a long, b long")
     return connected_components(links.union(sure))
 

@@ -526,6 +526,36 @@ def test_copy_classes(spark):
         assert got == {**{i: 0 for i in range(30)}, 300: 0}
 
 
+def test_copy_links_are_similar(spark):
+    """Every class is held together by pairs that share 75 % of their shingles, and nearly all such pairs share a class."""
+    from millrace.llm import copies
+
+    rng, rows = random.Random(9), []
+    for f in range(12):
+        base = prose(f"fam{f}", 150).split()
+        for i in range(12):
+            w = list(base)
+            for at in rng.sample(range(150), rng.randrange(1, 9)):
+                w[at] = f"n{f}x{i}x{at}"
+            rows.append((100 * f + i, " ".join(w)))
+    sets = {d: set(shingles(t)) for d, t in rows}
+    near = [(a, b) for a in sets for b in sets if a < b and a // 100 == b // 100 and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    root = {d: d for d in sets}
+
+    def top(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a, b in near:
+        root[max(top(a), top(b))] = min(top(a), top(b))
+    exact = {d: top(d) for d in sets}
+    for parts in (1, 6):
+        voice = {r.node: r.root for r in copies.near_copies(spark.createDataFrame(rows, "key long, text string").repartition(parts)).collect()}
+        assert all(exact[d] == exact[r] for d, r in voice.items())  # no class joins two exact ones
+        assert sum(voice.get(a, a) == voice.get(b, b) for a, b in near) >= 0.93 * len(near)  # families at the very threshold
+
+
 # ---------------------------------------------------------------- 7
 
 
