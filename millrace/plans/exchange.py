@@ -538,6 +538,49 @@ def image_arithmetic(spark, sf_dir):
     return rows.select("vec_id", F.round(F.get(blur, F.lit(0)), 5).alias("b0"), F.round(F.get(blur, F.lit(9)), 5).alias("b9"), F.round(F.aggregate(blur, F.lit(0.0), add), 4).alias("total"), F.round(F.get("px", F.lit(0)), 5).alias("corner"), F.size(framed).alias("framed"), F.round(F.aggregate(framed, F.lit(0.0), add), 4).alias("framed_sum"), F.round(F.get(pasted, F.lit(1)), 5).alias("pasted"))
 
 
+QUAD = """q AS (SELECT vec_id, embedding AS e, [3.0 + vec_id % 3, 9.0 + vec_id % 2, 8.0, 2.0]::DOUBLE[] AS x, [2.0, 3.0 + vec_id % 2, 9.0, 8.0 - vec_id % 3]::DOUBLE[] AS y FROM embeddings),
+d AS (SELECT *, x[2] - x[3] AS dx1, x[4] - x[3] AS dx2, x[1] - x[2] + x[3] - x[4] AS sx, y[2] - y[3] AS dy1, y[4] - y[3] AS dy2, y[1] - y[2] + y[3] - y[4] AS sy FROM q),
+g AS (SELECT *, (sx * dy2 - dx2 * sy) / (dx1 * dy2 - dx2 * dy1) AS g, (dx1 * sy - sx * dy1) / (dx1 * dy2 - dx2 * dy1) AS h FROM d),
+m AS (SELECT vec_id, e, x, y, (x[2] - x[1] + g * x[2]) / 7 AS a, (x[4] - x[1] + h * x[4]) / 7 AS b, x[1] AS c, (y[2] - y[1] + g * y[2]) / 7 AS d, (y[4] - y[1] + h * y[4]) / 7 AS k, y[1] AS f, g / 7 AS g, h / 7 AS h FROM g),
+t AS (SELECT vec_id, e, i % 12 AS tx, i // 12 AS ty, (k - f * h) AS i1, (c * h - b) AS i2, (b * f - c * k) AS i3, (f * g - d) AS i4, (a - c * g) AS i5, (c * d - a * f) AS i6, (d * h - k * g) AS i7, (b * g - a * h) AS i8, (a * k - b * d) AS i9, a, b, c, d, k, f, g, h FROM m, range(144) r(i)),
+u AS (SELECT *, (i1 * tx + i2 * ty + i3) / (i7 * tx + i8 * ty + i9) AS px, (i4 * tx + i5 * ty + i6) / (i7 * tx + i8 * ty + i9) AS py FROM t),
+c AS (SELECT vec_id, tx, ty, sum(w * greatest(0, least(255, e[((fy + dy) * 8 + fx + dx)::INT + 1]::DOUBLE * 200 + 100))) AS v, sum(w) AS cover FROM (SELECT *, CASE WHEN dx = 1 THEN px - fx ELSE 1 - (px - fx) END * CASE WHEN dy = 1 THEN py - fy ELSE 1 - (py - fy) END AS w
+FROM (SELECT vec_id, e, tx, ty, px, py, floor(px) AS fx, floor(py) AS fy, dx, dy FROM u, (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) s(dx, dy)) WHERE fx + dx BETWEEN 0 AND 7 AND fy + dy BETWEEN 0 AND 7) GROUP BY ALL),
+o AS (SELECT t.vec_id, t.tx, t.ty, coalesce(v * cover, 0) + 50 * (1 - coalesce(cover, 0)) AS v FROM t LEFT JOIN c USING (vec_id, tx, ty))"""
+
+
+@query(f"WITH {QUAD} SELECT vec_id, round(sum(v), 3) AS total, round(max(v) FILTER (tx = 6 AND ty = 5), 4) AS inner_, round(max(v) FILTER (tx = 0 AND ty = 0), 4) AS outer_, 0.0::DOUBLE AS off FROM o GROUP BY 1")
+def panel_perspective(spark, sf_dir):
+    """Panels of 8 by 8 laid into backgrounds of 12 by 12 as quads: a solved perspective, its inverse, sampling between pixels, mixed by cover. off: how far corners miss theirs."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", PX.contrast(F.transform("embedding", lambda v: v.cast("double")), 200.0, 100.0).alias("px"))
+    k = F.col("vec_id")
+    corners = [(3.0 + k % 3, F.lit(2.0)), (9.0 + k % 2, 3.0 + k % 2), (F.lit(8.0), F.lit(9.0)), (F.lit(2.0), 8.0 - k % 3)]
+    rows = rows.withColumn("quad", F.array(*[F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in corners]))
+    rows = rows.withColumn("m", PX.quad_homography(F.lit(7.0), F.lit(7.0), F.col("quad")))
+    put = [PX.mapped(F.col("m"), F.lit(x), F.lit(y)) for x, y in ((0.0, 0.0), (7.0, 0.0), (7.0, 7.0), (0.0, 7.0))]
+    off = F.greatest(*[F.abs(p[c] - F.get("quad", F.lit(i))[c]) for i, p in enumerate(put) for c in ("x", "y")])
+    ground = F.transform(F.sequence(F.lit(0), F.lit(143)), lambda i: F.lit(50.0))
+    out = rows.withColumn("o", PX.panel_composite(ground, 12, F.col("px"), 8, 8, PX.inverse_homography(F.col("m")))).withColumn("off", off)
+    return out.select("vec_id", F.round(F.aggregate("o", F.lit(0.0), lambda a, v: a + v), 3).alias("total"), F.round(F.get("o", F.lit(66)), 4).alias("inner_"), F.round(F.get("o", F.lit(0)), 4).alias("outer_"), F.round("off", 9).alias("off"))
+
+
+@query("""WITH p AS (SELECT vec_id, list_transform(embedding, lambda v: greatest(0, least(255, v::DOUBLE * 200 + 100))) AS px, 4 + vec_id % 9 AS fw, 5 + vec_id % 4 AS fh FROM embeddings), s AS (SELECT *, greatest(1, round_even(8 * least(fw / 8.0, fh / 8.0), 0))::INT AS w FROM p),
+t AS (SELECT vec_id, px, w, i, greatest(0, least(7, (i % w + 0.5) * 8 / w - 0.5)) AS x, greatest(0, least(7, (i // w + 0.5) * 8 / w - 0.5)) AS y FROM s, range(64) r(i) WHERE i < w * w),
+b AS (SELECT *, floor(x)::INT AS l, floor(y)::INT AS u, x - floor(x) AS a, y - floor(y) AS c FROM t),
+v AS (SELECT vec_id, w, i, (1 - a) * (1 - c) * px[u * 8 + l + 1] + a * (1 - c) * px[u * 8 + least(7, l + 1) + 1] + (1 - a) * c * px[least(7, u + 1) * 8 + l + 1] + a * c * px[least(7, u + 1) * 8 + least(7, l + 1) + 1] + ((('0x' || substr(sha256('paper:' || vec_id || ':' || i), 1, 8))::BIGINT / 4294967295.0::DOUBLE) * 2 - 1) * 3 AS v FROM b)
+SELECT vec_id, w AS width, w AS height, round(sum(greatest(0, least(255, v))), 3) AS ink FROM v GROUP BY ALL""")
+def printed_page(spark, sf_dir):
+    """Images fitted into frames of their own size and printed: resampled between pixels, with a paper grain that depends on seed, image and place alone."""
+    k = F.col("vec_id")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", PX.contrast(F.transform("embedding", lambda v: v.cast("double")), 200.0, 100.0).alias("px"), F.least(4 + k % 9, 5 + k % 4).cast("int").alias("frame"))
+    side = F.greatest(F.lit(1), F.rint(8 * F.col("frame") / 8).cast("int"))
+    rows = rows.withColumn("width", side).withColumn("height", side)
+    page = PX.resized_bilinear(F.col("px"), 8, 8, F.col("width"), F.col("height"))
+    grain = PX.stable_noise(k, "paper", F.col("width") * F.col("height"), 3.0)
+    ink = PX.contrast(F.zip_with(page, grain, lambda a, b: a + b), 1.0, 0.0)
+    return rows.select("vec_id", "width", "height", F.round(F.aggregate(ink, F.lit(0.0), lambda a, v: a + v), 3).alias("ink"))
+
+
 def _reduced(n: int, to: int) -> str:
     """SQL rows (i, j, k): weight k, in units of 2**-22, of value j of n in place i of `to` under the bicubic kernel."""
     return f"""(SELECT i, j, trunc(w / sum(w) OVER (PARTITION BY i) * 4194304 + CASE WHEN w < 0 THEN -0.5 ELSE 0.5 END)::BIGINT AS k FROM (SELECT i, j, CASE WHEN x < 1 THEN (1.5 * x - 2.5) * x * x + 1 WHEN x < 2 THEN ((-0.5 * x + 2.5) * x - 4) * x + 2 ELSE 0 END AS w
