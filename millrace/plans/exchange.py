@@ -25,7 +25,7 @@ from millrace.functions import text as X
 from millrace.functions import vectors as V
 from millrace.operators import audit, dedup, graph, metrics, sampling
 from millrace.plans import builders
-from millrace.plans.catalog import LINK, RATIOS, SIM, P, _hashed, _links, _r, predictions, query
+from millrace.plans.catalog import ALLOCATE, LINK, RATIOS, SIM, P, _hashed, _links, _r, predictions, query
 from millrace.sources import files, remote, tables
 from millrace.sources.storage import cut, fresh_path, table, write_text
 from millrace.sources.tables import LABELS
@@ -744,27 +744,32 @@ def panel_composition(spark, sf_dir):
     return builders.panel_plan(p.select(F.col("p_partkey").alias("id")), n.select(F.concat(F.lit("bg/"), "n_name").alias("path")), 40, 3)
 
 
-@query("SELECT lang AS label, count(*)::BIGINT AS rows, 3::BIGINT AS splits, 0::BIGINT AS leaks FROM (SELECT lang, doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)) GROUP BY 1")
+_FOLD = "og AS" + ALLOCATE.split("og AS", 1)[1].replace("20260715:", "7:")
+_SPLIT = "['train', 'val_select', 'val_cal'][s + 1] AS split"
+_ACCEPTED = LINK.replace("FROM documents)", "FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0))").replace("sha256(text)", "sha256(coalesce(text, ''))")
+
+
+@query(f"WITH RECURSIVE {_ACCEPTED}, gr AS (SELECT label, component AS grp, count(*) AS size FROM k JOIN t USING (doc_id) GROUP BY ALL), {_FOLD} SELECT doc_id AS image_id, t.label, component, {_SPLIT} FROM k JOIN t USING (doc_id) JOIN fold ON fold.label = t.label AND grp = component WHERE nth > 0")
 def frozen_split_build(spark, sf_dir):
-    """Reviewed documents to a split that cuts no group: every label in all three splits, nothing in two."""
+    """Reviewed documents to a split that cuts no group of a source or of equal contents."""
     d = table(spark, sf_dir, "documents")
     bad = table(spark, sf_dir, "labels").where("quality = 0").select("doc_id", F.lit(True).alias("bad"))
     rows = d.join(bad, "doc_id", "left").select(F.col("doc_id").alias("image_id"), F.col("lang").alias("label"), F.concat("lang", (F.col("doc_id") % 331).cast("string")).alias("source_group_id"), F.lit("").alias("duplicate_cluster_id"), F.concat("lang", F.sha2(F.coalesce("text", F.lit("")), 256)).alias("exact_sha256"), F.when(F.col("bad"), "rejected").otherwise("accepted").alias("decision"))
     rows = cut(rows)
     queue = rows.select(F.col("image_id").alias("row"), "image_id", "decision", F.lit("r1").alias("reviewer"), F.col("decision").alias("second_decision"), F.lit("r2").alias("second_reviewer"))
     out = cut(builders.frozen_split(rows.drop("decision"), queue, second_labels=("es",), floor=1, reject_label="es", reject_floor=1, ratios=RATIOS, seed=7))
-    leaks = audit.cross_split(out, {"source_group_id": "group", "exact_sha256": "content"}).agg(F.count("*").alias("leaks"))
-    return out.groupBy("label").agg(F.count("*").alias("rows"), F.countDistinct("split").alias("splits")).join(leaks, F.lit(True))
+    return out.select("image_id", "label", "component", "split")
 
 
-@query("""WITH x AS (SELECT min(doc_id) AS id, lang, sha256(text) AS sha FROM documents GROUP BY 2, 3), n AS (SELECT sha FROM x GROUP BY 1 HAVING count(*) = 1) SELECT lang AS label, count(*)::BIGINT AS rows, 3::BIGINT AS splits FROM x JOIN n USING (sha) GROUP BY 1""")
+@query(f"""WITH RECURSIVE x AS (SELECT min(doc_id) AS id, lang, sha256(text) AS sha FROM documents GROUP BY 2, 3), n AS (SELECT sha FROM x GROUP BY 1 HAVING count(*) = 1),
+gr AS (SELECT lang AS label, id AS grp, 1 AS size FROM x JOIN n USING (sha)), {_FOLD} SELECT grp AS sample, label, {_SPLIT} FROM fold WHERE nth > 0""")
 def provisional_split_build(spark, sf_dir):
     """One row of each content that one label holds, dealt to splits by label."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample"), F.col("lang").alias("label"), F.sha2("text", 256).alias("sha"))
     single = d.groupBy("sha").agg(F.countDistinct("label").alias("n")).where("n = 1").select("sha")
     rows = cut(builders.exact_survivors(cut(d.join(single, "sha", "left_semi")), "sha", "label", "sample"))
     out = builders.split_components(rows.withColumn("group", F.col("sha")), "sample", ["group"], RATIOS, 7)
-    return out.groupBy("label").agg(F.count("*").alias("rows"), F.countDistinct("split").alias("splits"))
+    return out.select("sample", "label", "split")
 
 
 @query("""WITH u AS (SELECT 'a' || p_partkey AS sample, 'train' AS split, p_partkey % 4 AS boxes FROM part UNION ALL SELECT 'b' || s_suppkey, 'val', s_suppkey % 3 FROM supplier) SELECT split, count(*)::BIGINT AS images, sum(boxes)::BIGINT AS boxes, count(*) FILTER (boxes > 1)::BIGINT AS multi_box, count(*) FILTER (boxes = 0)::BIGINT AS without FROM u GROUP BY 1""")
