@@ -625,14 +625,14 @@ def limited_walk(spark, sf_dir):
 
 
 @query("""WITH l AS (SELECT 'p' || p_partkey AS sample, unnest([1, 2]) AS line_no, p_partkey AS k, p_size FROM part)
-SELECT sample, line_no::BIGINT AS line_no, CASE WHEN line_no = 1 THEN (k % 6)::INT END AS class_id, CASE WHEN line_no = 1 THEN (k % 10) / 10.0 END::DOUBLE AS cx, CASE WHEN line_no = 1 THEN p_size / 100.0 END::DOUBLE AS w, line_no = 1 AND p_size > 0 AS ok FROM l""")
+SELECT sample, line_no::BIGINT AS line_no, CASE WHEN line_no = 1 THEN (k % 6)::INT ELSE -1 END AS class_id, CASE WHEN line_no = 1 THEN (k % 10) / 10.0 END::DOUBLE AS cx, CASE WHEN line_no = 1 THEN p_size / 100.0 END::DOUBLE AS w, line_no = 1 AND p_size > 0 AS ok FROM l""")
 def label_table_function(spark, sf_dir):
     """Label lines parsed by a table function that SQL calls for each sample's partition."""
     k = F.col("p_partkey")
     good = F.format_string("%d %.1f 0.5 %.2f 0.25", (k % 6).cast("int"), (k % 10) / 10, F.col("p_size") / 100)
     texts = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), k.cast("string")).alias("sample"), F.concat(good, F.lit("\n \nbroken line\n")).alias("text"))
     files.register_label_lines(spark)
-    return spark.sql("SELECT sample, line_no, class_id, cx, w, ok FROM label_lines(TABLE({texts}) PARTITION BY sample)", texts=texts)
+    return spark.sql("SELECT sample, line_no, coalesce(class_id, -1) AS class_id, cx, w, ok FROM label_lines(TABLE({texts}) PARTITION BY sample)", texts=texts)
 
 
 # ---------------------------------------------------------------- counts, guards, differences

@@ -21,7 +21,7 @@ SELECT f.conv_id, o.nth, CASE WHEN o.kind = 'confirm' AND len(waiting) < 2 THEN
 CASE WHEN o.kind = 'preview' THEN o.turn::BIGINT WHEN o.kind = 'pop' AND len(waiting) = 0 THEN NULL ELSE preview END, o.turn::BIGINT, o.kind,
 CASE o.kind WHEN 'preview' THEN CASE WHEN preview IS NULL THEN 'held' ELSE 'replaced' END WHEN 'confirm' THEN CASE WHEN len(waiting) < 2 THEN 'queued' ELSE 'rejected' END ELSE CASE WHEN len(waiting) > 0 OR preview IS NOT NULL THEN 'popped' ELSE 'empty' END END,
 CASE WHEN o.kind = 'pop' THEN CASE WHEN len(waiting) > 0 THEN waiting[1] ELSE preview END END FROM f JOIN o ON o.conv_id = f.conv_id AND o.nth = f.nth + 1)
-SELECT conv_id, turn, kind, outcome, item FROM f WHERE nth > 0""")
+SELECT conv_id, turn, kind, outcome, coalesce(item, -1) AS item FROM f WHERE nth > 0""")
 def queue_stream(spark, sf_dir):
     """The bounded queue of every conversation as keyed state: what became of each command, over four starts."""
     kind = F.when(F.col("role") == "user", F.when(F.col("turn") % 4 == 0, "confirm").otherwise("preview")).otherwise("pop")
@@ -30,7 +30,7 @@ def queue_stream(spark, sf_dir):
     with runs.keyed_state(spark):
         out = feed.stream().groupBy("key").transformWithStateInPandas(W.BoundedQueue(2), W.BoundedQueue.SCHEMA, "Append", "None")
         done = runs.in_starts([feed], [(p,) for p in runs.slices(rows, F.col("at"), 4)], out, "queue")
-    return done.select(F.col("key").alias("conv_id"), F.col("at").alias("turn"), "kind", "outcome", "item")
+    return done.select(F.col("key").alias("conv_id"), F.col("at").alias("turn"), "kind", "outcome", F.coalesce("item", F.lit(-1)).alias("item"))
 
 
 @query("""SELECT event_id // 3 AS id, arg_min(event_id, event_id) AS event_id, arg_min(user_id, event_id) AS user_id, arg_min(event_type, event_id) AS event_type FROM events GROUP BY 1""")
@@ -65,7 +65,7 @@ l AS (SELECT *, lag(a) OVER w AS prev, lag(ok) OVER w AS pok, lead(a) OVER w AS
 s AS (SELECT *, sum((NOT ok OR prev IS NULL OR NOT pok OR a - prev > {IDLE_S} * 1000000)::INT) OVER (PARTITION BY client ORDER BY a, click_id ROWS UNBOUNDED PRECEDING) AS seg FROM l),
 w AS (SELECT *, count(*) OVER p AS n, avg(value) OVER p AS m FROM s WINDOW p AS (PARTITION BY client, seg ORDER BY a, click_id ROWS 6 PRECEDING))
 SELECT client, click_id, a AS at, CASE WHEN ok THEN n ELSE 0 END::BIGINT AS size, CASE WHEN ok THEN round(m, 6) END AS mean FROM w
-UNION ALL SELECT client, NULL, a + {IDLE_S} * 1000000, 0, NULL FROM l WHERE ok AND (nxt - a > {IDLE_S} * 1000000 OR nxt IS NULL AND a + {IDLE_S} * 1000000 <= (SELECT max(a) FROM l))""")
+UNION ALL SELECT client, -1, a + {IDLE_S} * 1000000, 0, NULL FROM l WHERE ok AND (nxt - a > {IDLE_S} * 1000000 OR nxt IS NULL AND a + {IDLE_S} * 1000000 <= (SELECT max(a) FROM l))""")
 def clocked_window_stream(spark, sf_dir):
     """Windows of every client's clicks, which broken, late and future ones empty, and the clock after ten minutes without any; clicks without arrival have no place in the stream."""
     c = table(spark, sf_dir, "clicks").where("arrived_at is not null")
@@ -77,7 +77,7 @@ def clocked_window_stream(spark, sf_dir):
         timed = feed.stream().withColumn("time", F.timestamp_micros("at")).withWatermark("time", "0 seconds")
         out = timed.groupBy("key").transformWithStateInPandas(W.ClockedWindow(7, MAX_AGE_S * 1_000_000, IDLE_S * 1000), W.ClockedWindow.SCHEMA, "Append", "EventTime")
         done = runs.in_starts([feed], [(p,) for p in runs.slices(rows, F.col("at"), 4)], out, "windows")
-    return done.select(F.col("key").alias("client"), F.col("id").alias("click_id"), "at", "size", _r("mean").alias("mean"))
+    return done.select(F.col("key").alias("client"), F.coalesce("id", F.lit(-1)).alias("click_id"), "at", "size", _r("mean").alias("mean"))
 
 
 @query("""WITH o AS (SELECT event_id, (event_id + event_id % 4) AS oid, event_id % 4 = 0 AS same FROM events) SELECT e.event_id, o.oid IS NULL AS fallback FROM events e LEFT JOIN o ON o.oid = e.event_id AND o.same""")
