@@ -1,8 +1,9 @@
 """Toxicity: noisy-channel deobfuscation, then scoring of the restored text.
 
 Spans that may hide a word (tokens that mix letters with digits or symbols, three or more single letters that are
-spaced out, letters repeated three times or more) become character lattices: every symbol may stand for itself,
-for the letters it imitates, or, where it repeats or separates, for nothing. A Viterbi decoder picks
+spaced out, letters repeated three times or more, words with accents, full-width letters, letters of other alphabets
+that look like Latin ones, or invisible characters) become character lattices: every symbol may stand for itself,
+for the letters it imitates, or, where it repeats, separates or is invisible, for nothing. A Viterbi decoder picks
 the path with the best product of channel and character language model; a span whose best path is
 itself stays. Restored words are then scored by evidence learned from labelled rows.
 
@@ -15,8 +16,11 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from heapq import merge
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +36,13 @@ SYMBOLS = 32
 
 #: What a symbol may stand for besides itself, with its channel log probability.
 IMITATES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "*": "aeiou"}
+#: Letters of other alphabets by the Latin letter that they look like (Cyrillic, then Greek, then others).
+LOOKALIKES = {
+    "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "ԛ": "q",
+    "ѕ": "s", "т": "t", "у": "y", "ѵ": "v", "ԝ": "w", "х": "x", "ӏ": "l",
+    "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "ω": "w", "χ": "x",
+    "ı": "i", "ɑ": "a", "ɡ": "g", "ø": "o", "ł": "l", "đ": "d",
+}
 IMITATE, SAME, DROP_REPEAT, DROP_SEPARATOR, KEEP_ODD = math.log(0.3), 0.0, math.log(0.4), math.log(0.4), math.log(0.02)
 
 _LEET = r"0-9@$!|+(€*"
@@ -44,6 +55,9 @@ _ODD = re.compile(
 )
 _TRIPLE = re.compile(r"([^\W\d_])\1\1+")
 _WORD = re.compile(r"[^\W\d_]+")
+#: Characters that may disguise a word: outside of Latin letters with and without accents, but for the dotless i.
+_FOREIGN = re.compile("[\u00ad\u0131\u0250-\U0010ffff]+")
+LEET = set("0123456789@$!|+(*")
 
 
 def repeats(text: str) -> Iterator[tuple[int, int]]:
@@ -59,15 +73,52 @@ def repeats(text: str) -> Iterator[tuple[int, int]]:
             yield start, end
 
 
-def spans(text: str) -> Iterator[tuple[int, int]]:
-    """(start, end) of the spans that may hide a word, in order; of two that overlap the one that begins first."""
-    odd, more, end = ((m.start(), m.end()) for m in _ODD.finditer(text)), repeats(text), 0
-    a, b = next(odd, None), next(more, None)
-    while a or b:
-        if b is None or (a is not None and a[0] <= b[0]):
-            span, a = a, next(odd, None)
-        else:
-            span, b = b, next(more, None)
+@lru_cache(1 << 12)
+def latin(c: str) -> str:
+    """The Latin letter that a character outside ASCII stands for (by its looks, or without its accent, width or style), or ''."""
+    if c in LOOKALIKES:
+        return LOOKALIKES[c]
+    first, *marks = unicodedata.normalize("NFKD", c).lower()
+    return first if "a" <= first <= "z" and all(map(unicodedata.combining, marks)) else ""
+
+
+@lru_cache(1 << 12)
+def invisible(c: str) -> bool:
+    """Zero-width characters, soft hyphens and marks over the letter before."""
+    return unicodedata.category(c) in ("Cf", "Mn")
+
+
+@lru_cache(1 << 15)
+def disguised(token: str) -> bool:
+    """Whether all characters outside ASCII stand for Latin letters or are invisible, and the token is not plainly a word of another alphabet."""
+    odd = [c for c in token if c > "\x7f"]
+    seen = [c for c in odd if not invisible(c)]
+    return all(map(latin, seen)) and (any("a" <= c <= "z" for c in token) or any(c not in LOOKALIKES for c in seen))
+
+
+def foreign(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the tokens with foreign characters that may be Latin words in disguise. Every character is passed once."""
+    end = 0
+    for m in _FOREIGN.finditer(text):
+        if m.start() >= end:
+            start = m.start()
+            while start > end and (text[start - 1].isalpha() or text[start - 1] in LEET):
+                start -= 1
+            end = m.end()
+            while end < len(text) and (text[end].isalpha() or text[end] in LEET or (text[end] > "\x7f" and invisible(text[end]))):
+                end += 1
+            if disguised(text[start:end]) if end - start <= 64 else disguised.__wrapped__(text[start:end]):
+                yield start, end
+
+
+def spans(text: str, odd: bool = True) -> Iterator[tuple[int, int]]:
+    """(start, end) of the spans that may hide a word, in order; of two that overlap the one that begins first. Without `odd` only those
+    with characters outside ASCII."""
+    found = [((m.start(), m.end()) for m in _ODD.finditer(text)), repeats(text)] if odd else []
+    if not text.isascii():
+        found.append(foreign(text))
+    end = 0
+    for span in merge(*found, key=lambda x: x[0]):
         if span[0] >= end:
             yield span
             end = span[1]
@@ -138,14 +189,21 @@ class Restorer:
     """Viterbi decoder over character lattices, with a bounded cache of spans."""
 
     def __init__(self, model: np.ndarray, limit: int = 50_000):
-        self.model, self.limit, self.cache = model, limit, {}
+        self.model, self.limit, self.cache, self.plain = model, limit, {}, {}
 
     def arcs(self, span: str) -> list[list[tuple[str, float]]]:
         """For each character, what it may stand for ('' for nothing) and the channel's log probability."""
         lattice, spaced = [], len(re.findall(r"[ .\-_*]", span)) >= 3 or re.fullmatch(_SPACED, span)
         for i, c in enumerate(span):
             out = []
-            if c.isalpha():
+            if c > "\x7f" and invisible(c):
+                out += [(c, KEEP_ODD), ("", DROP_SEPARATOR)]
+            elif c > "\x7f" and (plain := latin(c)):
+                styled = c not in LOOKALIKES and unicodedata.decomposition(c).startswith("<")  # another width or style of the letter itself
+                out += [(plain, SAME)] if styled else [(c, SAME), (plain, IMITATE)]
+                if i and span[i - 1] == c:
+                    out.append(("", DROP_REPEAT))
+            elif c.isalpha():
                 out.append((c, SAME))
                 if i and span[i - 1] == c:
                     out.append(("", DROP_REPEAT))
@@ -190,11 +248,28 @@ class Restorer:
             self.cache[span] = result
         return result
 
-    def words(self, text: str, suspicious: bool = True) -> set[str]:
-        """Distinct words of the text as written and, where it may hide some, as restored."""
+    def words(self, text: str, suspicious: bool = True, sought=None) -> set[str]:
+        """Distinct words of the text as written and, where it may hide some, as restored (unless suspicious only those with foreign characters).
+
+        Accents are part of many languages: a word with some is read without them only where `sought` says so of the plain word.
+        """
         low = text.lower()
         found = set(_WORD.findall(low))
-        for start, end in spans(low) if suspicious else ():
+        if sought and not low.isascii():
+            known, more = self.plain, []
+            for w in found:
+                if not w.isascii():
+                    hit = known.get(w)
+                    if hit is None:
+                        plain = unicodedata.normalize("NFKD", w).encode("ascii", "ignore").decode()
+                        hit = len(plain) >= len(w) and sought(plain)
+                        if len(known) >= self.limit:
+                            known.clear()
+                        known[w] = hit
+                    if hit:
+                        more += _WORD.findall(self.decode(w))
+            found.update(more)
+        for start, end in spans(low, suspicious):
             span = low[start:end]
             restored = self.decode(span)
             if restored != span:
@@ -215,7 +290,7 @@ _GAP_BYTE[[ord(c) for c in " .-_*"]] = True
 
 
 def suspicious_texts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """False for texts in which no span can match; a few array passes spare most texts the search.
+    """False for texts in which no span of ASCII can match; a few array passes spare most texts the search.
 
     A span holds a symbol right before a letter, one that imitates a letter right after a letter or a separator, a letter three
     times in a row, or three single letters with separators between. Characters outside ASCII count as letters and as symbols.
@@ -275,6 +350,9 @@ class Evidence:
             self.cache[word] = got
         return got
 
+    def strong(self, word: str) -> bool:
+        return self.of(word) >= self.s.min_evidence
+
     def summary(self, words: set[str]) -> tuple[float, float, float, float]:
         """The three strongest evidences, and the log of the number of words (more words, more chance hits)."""
         strong = sorted((e for e in map(self.of, words) if e >= self.s.min_evidence), reverse=True)[:3]
@@ -362,7 +440,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, evidence = Restorer(shipped.value), Evidence(known.value, s)
         for batch in batches:
-            found = [evidence.summary(restorer.words(t or "")) for t in batch.column(0).to_pylist()]
+            found = [evidence.summary(restorer.words(t or "", sought=evidence.strong)) for t in batch.column(0).to_pylist()]
             columns = zip(*found, strict=True) if found else [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(c, pa.float64()) for c in columns)], names=["label", "a", "b", "c", "n"])
 
@@ -398,7 +476,7 @@ def score(docs: DataFrame, model: Model, s: Settings = Settings()) -> DataFrame:
             for lo, hi in slices(offsets, 1 << 20):
                 flags = suspicious_texts(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 for text, flag in zip(column.slice(lo, hi - lo).to_pylist(), flags.tolist(), strict=True):
-                    z = first + sum(b * x for b, x in zip(rest, evidence.summary(restorer.words(text or "", flag)), strict=True))
+                    z = first + sum(b * x for b, x in zip(rest, evidence.summary(restorer.words(text or "", flag, evidence.strong)), strict=True))
                     out.append(1 / (1 + math.exp(-max(-500.0, min(500.0, z)))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "score"])
 

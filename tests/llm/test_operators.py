@@ -221,6 +221,19 @@ def test_very_long_texts_take_linear_time():
     assert time.perf_counter() - began < 20 and found
 
 
+def test_other_alphabets_accents_and_invisible_characters():
+    r = toxicity.Restorer(small_model())
+    for given, want in {"stuріd": "stupid", "іdіot": "idiot", "ıdıot": "idiot", "ｓｔｕｐｉｄ": "stupid", "𝐬𝐭𝐮𝐩𝐢𝐝": "stupid", "stu\u200bpid": "stupid", "s\u00adt\u00adu\u00adpid": "stupid", "l0ѕеr": "loser", "lo\u0301ser": "loser"}.items():
+        for text in (given, f"you {given} there", f'"{given.upper()}"'):
+            assert want in r.words(text, suspicious="0" in given), text
+    assert not list(toxicity.spans("привет мир, 東京 für naïve café – “so” it’s 5 €"))  # words of other languages are as they are
+    sought = {"idiot"}.__contains__
+    assert "idiot" in r.words("you ídiót", False, sought) and "idiot" not in r.words("you ídiót", False)
+    assert r.words("café ídiot für", False, lambda w: False) == {"café", "ídiot", "für"}
+    text = "aé\u200b1" * 50_000 + " " + "\u200b" * 50_000 + "х" * 50_000
+    assert len(list(toxicity.spans(text, False))) == 1  # every character is passed once
+
+
 def test_suspicion_misses_no_span():
     import pyarrow as pa
 
