@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -190,6 +191,7 @@ class Restorer:
 
     def __init__(self, model: np.ndarray, limit: int = 50_000):
         self.model, self.limit, self.cache, self.plain = model, limit, {}, {}
+        self.flat = array("f", np.ascontiguousarray(model, np.float32).tobytes())
 
     def arcs(self, span: str) -> list[list[tuple[str, float]]]:
         """For each character, what it may stand for ('' for nothing) and the channel's log probability."""
@@ -221,22 +223,23 @@ class Restorer:
         known = self.cache.get(span)
         if known is not None:
             return known
-        model = self.model
-        states: dict[tuple[int, int, int], tuple[float, tuple]] = {(0, 0, 0): (0.0, ())}
+        flat, mask = self.flat, SYMBOLS**3 - 1
+        states: dict[int, tuple[float, tuple]] = {0: (0.0, ())}  # the three symbols before, five bits each
         for arcs in self.arcs(span):
-            after: dict[tuple[int, int, int], tuple[float, tuple]] = {}
-            for (a, b, c), (score, path) in states.items():
-                for out, cost in arcs:
-                    if out == "":
-                        key, value = (a, b, c), score + cost
+            after: dict[int, tuple[float, tuple]] = {}
+            coded = [(out, cost, symbol(out) if out else -1) for out, cost in arcs]
+            for before, (score, path) in states.items():
+                for out, cost, d in coded:
+                    if d < 0:
+                        key, value = before, score + cost
                     else:
-                        d = symbol(out)
-                        key, value = (b, c, d), score + cost + model[a, b, c, d]
+                        at = before * SYMBOLS + d
+                        key, value = at & mask, score + cost + flat[at]
                     best = after.get(key)
                     if best is None or value > best[0]:
                         after[key] = (value, (path, out) if out else path)
             states = after
-        path = max(states.items(), key=lambda x: (x[1][0] + model[(*x[0], 0)], x[0]))[1][1]
+        path = max(states.items(), key=lambda x: (x[1][0] + flat[x[0] * SYMBOLS], x[0]))[1][1]
         letters = []
         while path:
             path, out = path
@@ -338,13 +341,13 @@ class Evidence:
     """Learned log odds of words and word beginnings."""
 
     def __init__(self, weights: dict[str, float], s: Settings, limit: int = 200_000):
-        self.weights, self.s, self.limit, self.cache = weights, s, limit, {}
+        self.weights, self.s, self.limit, self.cache, self.least = weights, s, limit, {}, min(s.prefixes, default=1 << 30)
 
     def of(self, word: str) -> float:
         got = self.cache.get(word)
         if got is None:
-            get = self.weights.get
-            got = max([get(word, 0.0), *(get(word[:k] + "~", 0.0) for k in self.s.prefixes if len(word) >= k)])
+            get, size = self.weights.get, len(word)
+            got = get(word, 0.0) if size < self.least else max([get(word, 0.0), *[get(word[:k] + "~", 0.0) for k in self.s.prefixes if size >= k]])
             if len(self.cache) >= self.limit:
                 self.cache.clear()
             self.cache[word] = got
@@ -355,7 +358,14 @@ class Evidence:
 
     def summary(self, words: set[str]) -> tuple[float, float, float, float]:
         """The three strongest evidences, and the log of the number of words (more words, more chance hits)."""
-        strong = sorted((e for e in map(self.of, words) if e >= self.s.min_evidence), reverse=True)[:3]
+        known, least, strong = self.cache.get, self.s.min_evidence, []
+        for word in words:
+            e = known(word)
+            if e is None:
+                e = self.of(word)
+            if e >= least:
+                strong.append(e)
+        strong = sorted(strong, reverse=True)[:3]
         return (*strong, *[0.0] * (3 - len(strong)), math.log1p(len(words)))
 
 
