@@ -127,8 +127,13 @@ def try_unit_float(c: Column) -> Column:
 
 
 def iso_of_nanos(ns: Column, zone: str = "UTC") -> Column:
-    """ISO seconds with offset of a nanosecond epoch; fractions are dropped."""
-    return F.date_format(F.from_utc_timestamp(F.timestamp_seconds(F.floor(ns / F.lit(1_000_000_000))), zone), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    """ISO seconds with the zone's offset of a nanosecond epoch, whatever the session's zone is; fractions are dropped."""
+    seconds = (ns - F.pmod(ns, F.lit(1_000_000_000))) / F.lit(1_000_000_000)  # a whole number, exact as a double
+    utc = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
+    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
+    minutes = F.timestamp_diff("MINUTE", utc, local)
+    offset = F.format_string("%s%02d:%02d", F.when(minutes < 0, "-").otherwise("+"), F.floor(F.abs(minutes) / 60), F.abs(minutes) % 60)
+    return F.concat(F.replace(local.cast("string"), F.lit(" "), F.lit("T")), offset)
 
 
 def json_path(c: Column, path: str, default: str = "") -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from millrace.functions.hashing import hash_words, normal_hash
 from millrace.functions.text import normalize_url
 from millrace.operators.graph import connected_components
-from millrace.sources.storage import cut
+from millrace.sources.storage import cut, unused
 
 #: Fixed order of sources; all others come last.
 SOURCE_PRIORITY = {"oxford_iiit_pet": 0, "inaturalist": 1, "wikimedia_commons": 2, "gbif": 3}
@@ -155,10 +155,11 @@ def prepare_candidates(rows: DataFrame, *, min_side: int = 160, threshold: int =
     Precedence: id, technical, exact content, URL; what an earlier stage rejects never enters a later one, and
     near duplicates are only flagged, within a label. Groups that span labels are rejected whole.
     """
-    ranked = rows.withColumn("nth", F.row_number().over(Window.partitionBy("image_id").orderBy("label", "source_dataset")))
-    spread = rows.groupBy("image_id").agg(F.size(F.collect_set("label")).alias("labels_of_id"))
-    base = ranked.where("nth = 1").drop("nth").join(spread, "image_id")
-    conflict = F.col("labels_of_id") > 1
+    nth, spans = unused(rows, "nth", "labels_of_id")
+    ranked = rows.withColumn(nth, F.row_number().over(Window.partitionBy("image_id").orderBy("label", "source_dataset")))
+    spread = rows.groupBy("image_id").agg(F.size(F.collect_set("label")).alias(spans))
+    base = ranked.where(F.col(nth) == 1).drop(nth).join(spread, "image_id")
+    conflict = F.col(spans) > 1
     small = F.coalesce((F.col("width") < min_side) | (F.col("height") < min_side), F.lit(True))
     base = base.withColumn("reason", F.when(conflict, "id_label_conflict").when(small, "too_small"))
     base = base.withColumn("cluster", F.when(conflict, F.concat(F.lit("id-conflict-"), F.col("image_id").cast("string"))))
@@ -166,17 +167,18 @@ def prepare_candidates(rows: DataFrame, *, min_side: int = 160, threshold: int =
     base = _stage(base, normalize_url(F.col("original_url")), [source_priority(F.col("source_kind"))], "url", lambda k: F.substring(F.sha2(k, 256), 1, 12))
     base = cut(base)
     near = near_clusters(base.where("reason is null"), "image_id", "perceptual_hash", threshold, within="label").select(F.col("id").alias("image_id"), F.col("cluster").alias("near_cluster"))
-    return base.join(near, "image_id", "left").withColumn("status", F.when(F.col("reason").isNull(), "quarantine").otherwise("rejected")).drop("labels_of_id")
+    return base.join(near, "image_id", "left").withColumn("status", F.when(F.col("reason").isNull(), "quarantine").otherwise("rejected")).drop(spans)
 
 
 def _stage(rows: DataFrame, key: Column, order: list[Column], name: str, short) -> DataFrame:
-    keyed = rows.withColumn("__key", F.when(F.col("reason").isNull() & (F.coalesce(key, F.lit("")) != ""), key))
-    per = keyed.where("__key is not null").groupBy("__key").agg(F.count("*").alias("__n"), F.size(F.collect_set("label")).alias("__labels"), F.min_by("image_id", F.struct(*order, F.col("image_id"))).alias("__keeper")).where("__n > 1")
-    both = keyed.join(per, "__key", "left")
-    hit = F.col("__n").isNotNull()
-    both = both.withColumn("reason", F.when(hit & (F.col("__labels") > 1), f"{name}_label_conflict").when(hit & (F.col("image_id") != F.col("__keeper")), f"{name}_duplicate").otherwise(F.col("reason")))
-    both = both.withColumn("cluster", F.when(hit, F.coalesce("cluster", F.concat(F.lit(f"{name}-"), short(F.col("__key"))))).otherwise(F.col("cluster")))
-    return both.drop("__key", "__n", "__labels", "__keeper")
+    k, n, labels, keeper = unused(rows, "stage_key", "stage_n", "stage_labels", "stage_keeper")
+    keyed = rows.withColumn(k, F.when(F.col("reason").isNull() & (F.coalesce(key, F.lit("")) != ""), key))
+    per = keyed.where(F.col(k).isNotNull()).groupBy(k).agg(F.count("*").alias(n), F.size(F.collect_set("label")).alias(labels), F.min_by("image_id", F.struct(*order, F.col("image_id"))).alias(keeper)).where(F.col(n) > 1)
+    both = keyed.join(per, k, "left")
+    hit = F.col(n).isNotNull()
+    both = both.withColumn("reason", F.when(hit & (F.col(labels) > 1), f"{name}_label_conflict").when(hit & (F.col("image_id") != F.col(keeper)), f"{name}_duplicate").otherwise(F.col("reason")))
+    both = both.withColumn("cluster", F.when(hit, F.coalesce("cluster", F.concat(F.lit(f"{name}-"), short(F.col(k))))).otherwise(F.col("cluster")))
+    return both.drop(k, n, labels, keeper)
 
 
 def gap_fill(rows: DataFrame, frozen: DataFrame, *, min_side: int, limit: int, by: str = "label") -> DataFrame:
@@ -184,18 +186,19 @@ def gap_fill(rows: DataFrame, frozen: DataFrame, *, min_side: int, limit: int, b
 
     rows: image_id, label, source_kind, sha, width, height, license, provenance. frozen: sha.
     """
-    marked = rows.join(frozen.select("sha").distinct().withColumn("frozen", F.lit(True)), "sha", "left")
+    held, first, last_ = unused(rows.withColumn("reason", F.lit("")), "frozen", "first", "last")
+    marked = rows.join(frozen.select("sha").distinct().withColumn(held, F.lit(True)), "sha", "left")
     order = F.struct("source_kind", "image_id")
     small = F.coalesce((F.col("width") < min_side) | (F.col("height") < min_side), F.lit(True))
     bare = (F.coalesce("license", F.lit("")) == "") | (F.coalesce("provenance", F.lit("")) == "")
-    fresh = F.col("frozen").isNull()
+    fresh = F.col(held).isNull()
     # A content is a duplicate only after a row that was taken, so the first row that passes all else decides.
-    taken = marked.where(fresh & ~small & ~bare).groupBy("sha").agg(F.min(order).alias("first"))
+    taken = marked.where(fresh & ~small & ~bare).groupBy("sha").agg(F.min(order).alias(first))
     marked = marked.join(taken, "sha", "left")
-    reason = F.when(~fresh, "already_in_frozen_split").when(order > F.col("first"), "duplicate_in_new_pool").when(small, "too_small").when(bare, "missing_provenance_or_license")
-    done = cut(marked.withColumn("reason", reason).drop("first", "frozen"))
+    reason = F.when(~fresh, "already_in_frozen_split").when(order > F.col(first), "duplicate_in_new_pool").when(small, "too_small").when(bare, "missing_provenance_or_license")
+    done = cut(marked.withColumn("reason", reason).drop(first, held))
     # The last row that a label takes; ranks stop at the limit before the shuffle, so no label is sorted whole.
     nth = F.row_number().over(Window.partitionBy(by).orderBy("source_kind", "image_id"))
-    last = cut(done.where("reason is null").select(by, "source_kind", "image_id", nth.alias("nth")).where(F.col("nth") <= limit).groupBy(by).agg(F.max(order).alias("last")))
-    over = F.col("reason").isNull() & (order > F.col("last"))
-    return done.join(last, by, "left").withColumn("reason", F.when(over, "over_limit").otherwise(F.col("reason"))).drop("last")
+    last = cut(done.where("reason is null").select(by, "source_kind", "image_id", nth.alias("nth")).where(F.col("nth") <= limit).groupBy(by).agg(F.max(order).alias(last_)))
+    over = F.col("reason").isNull() & (order > F.col(last_))
+    return done.join(last, by, "left").withColumn("reason", F.when(over, "over_limit").otherwise(F.col("reason"))).drop(last_)

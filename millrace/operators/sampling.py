@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.hashing import stable_key
-from millrace.sources.storage import cut
+from millrace.sources.storage import cut, unused
 
 # Fixed order of splits; earlier ones win ties.
 SPLITS = ("train", "val_select", "val_cal")
@@ -210,28 +210,31 @@ def group_ordinals(rows: DataFrame, by: str, order: list[Column], name: str) ->
     Rows are dealt by ranges of (group, order), so a group with a third of all rows is sorted by many tasks: each task
     numbers its own rows, and the counts of the ranges before are added. The order must be total.
     """
-    keys = {f"__o{i}": c for i, c in enumerate(order)}
-    placed = rows.withColumns(keys).repartitionByRange(F.col(by), *keys).sortWithinPartitions(by, *keys).drop(*keys)
-    placed = cut(placed.withColumn("__at", F.monotonically_increasing_id()))
-    part = F.shiftright("__at", 33)
-    ranges = cut(placed.groupBy(by, part.alias("__part")).agg(F.min("__at").alias("__first"), F.count("*").alias("__n")))
-    before = F.coalesce(F.sum("__n").over(Window.partitionBy(by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranges = cut(ranges.select(F.col(by).alias("__by"), "__part", (before + 1 - F.col("__first")).alias("__shift")))
-    here = placed.withColumn("__p", part)
-    both = here.join(ranges, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__p") == F.col("__part")))
-    return both.withColumn(name, (F.col("__at") + F.col("__shift")).cast("bigint")).drop("__at", "__p", "__by", "__part", "__shift")
+    at, part_, first, n, by_, shift, here_, *names = unused(rows.withColumn(name, F.lit(0)), "at", "part", "first", "n", "of_group", "shift", "in_part", *(f"order{i}" for i in range(len(order))))
+    keys = dict(zip(names, order, strict=True))
+    placed = rows.withColumns(keys).repartitionByRange(F.col(by), *names).sortWithinPartitions(by, *names).drop(*names)
+    placed = cut(placed.withColumn(at, F.monotonically_increasing_id()))
+    part = F.shiftright(at, 33)
+    ranges = cut(placed.groupBy(by, part.alias(part_)).agg(F.min(at).alias(first), F.count("*").alias(n)))
+    before = F.coalesce(F.sum(n).over(Window.partitionBy(by).orderBy(part_).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = cut(ranges.select(F.col(by).alias(by_), part_, (before + 1 - F.col(first)).alias(shift)))
+    here = placed.withColumn(here_, part)
+    both = here.join(ranges, F.col(by).eqNullSafe(F.col(by_)) & (F.col(here_) == F.col(part_)))
+    return both.withColumn(name, (F.col(at) + F.col(shift)).cast("bigint")).drop(at, here_, by_, part_, shift)
 
 
 def numbered(rows: DataFrame, by: str, order: str, prefix: Column, width: int = 6) -> DataFrame:
     """Adds `name`: prefix and a zero-padded ordinal in each group."""
-    placed = group_ordinals(rows, by, [F.col(order)], "__nth")
-    return placed.withColumn("name", F.concat_ws("-", prefix, F.lpad(F.col("__nth").cast("string"), width, "0"))).drop("__nth")
+    (nth,) = unused(rows, "nth")
+    placed = group_ordinals(rows, by, [F.col(order)], nth)
+    return placed.withColumn("name", F.concat_ws("-", prefix, F.lpad(F.col(nth).cast("string"), width, "0"))).drop(nth)
 
 
 def batches(rows: DataFrame, by: str, order: str, size: int) -> DataFrame:
     """Adds `batch`: group and number of the batch of `size` rows, three digits."""
-    placed = group_ordinals(rows, by, [F.col(order)], "__nth")
-    return placed.withColumn("batch", F.format_string("%s-%03d", F.col(by), (F.floor((F.col("__nth") - 1) / size) + 1).cast("int"))).drop("__nth")
+    (nth,) = unused(rows, "nth")
+    placed = group_ordinals(rows, by, [F.col(order)], nth)
+    return placed.withColumn("batch", F.format_string("%s-%03d", F.col(by), (F.floor((F.col(nth) - 1) / size) + 1).cast("int"))).drop(nth)
 
 
 def hash_slices(rows: DataFrame, key: str, parts: int, seed: int | str, by: str | None = None) -> DataFrame:
@@ -239,16 +242,18 @@ def hash_slices(rows: DataFrame, key: str, parts: int, seed: int | str, by: str
 
     Takes the place of an even split of a shuffled list.
     """
-    scope = by or "__all"
+    one, nth = unused(rows, "all_rows", "nth")
+    scope = by or one
     rows = rows if by else rows.withColumn(scope, F.lit(0))
-    placed = group_ordinals(rows, scope, [stable_key(seed, F.col(key)), F.col(key)], "__nth")
-    out = placed.withColumn("slice", ((F.col("__nth") - 1) % parts).cast("int")).drop("__nth")
+    placed = group_ordinals(rows, scope, [stable_key(seed, F.col(key)), F.col(key)], nth)
+    out = placed.withColumn("slice", ((F.col(nth) - 1) % parts).cast("int")).drop(nth)
     return out if by else out.drop(scope)
 
 
 def augmentation_plan(rows: DataFrame, by: str, key: str, target: int, seed: int | str) -> DataFrame:
     """by, key, times: augmented rows of each parent, in turn until the group has `target` rows; one each at least."""
-    sizes = cut(rows.groupBy(by).agg(F.count("*").alias("__size")))
-    placed = group_ordinals(rows, by, [stable_key(seed, F.col(key)), F.col(key)], "__nth").join(sizes, by)
-    need = F.greatest(F.col("__size"), F.lit(target) - F.col("__size"))
-    return placed.select(by, key, (F.floor((need - F.col("__nth")) / F.col("__size")) + 1).cast("long").alias("times"))
+    nth, size = unused(rows, "nth", "size")
+    sizes = cut(rows.groupBy(by).agg(F.count("*").alias(size)))
+    placed = group_ordinals(rows, by, [stable_key(seed, F.col(key)), F.col(key)], nth).join(sizes, by)
+    need = F.greatest(F.col(size), F.lit(target) - F.col(size))
+    return placed.select(by, key, (F.floor((need - F.col(nth)) / F.col(size)) + 1).cast("long").alias("times"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions.text import license_code
 from millrace.operators import audit, dedup, graph, sampling
 from millrace.operators.audit import MANIFEST_COLUMNS, require_empty
-from millrace.sources.storage import cut
+from millrace.sources.storage import cut, unused
 from millrace.sources.tables import ordinals, project
 
 # States of an intake row.
@@ -123,8 +123,9 @@ def view_rows(views: DataFrame) -> DataFrame:
 
 def with_parent_source(rows: DataFrame, parents: DataFrame, key: str = "parent_id", column: str = "source_dataset") -> DataFrame:
     """rows with the parent's value of a column, empty text where there is no such parent."""
-    found = parents.select(F.col(key).alias("__parent"), F.col(column).alias("__value"))
-    return rows.drop(column).join(found, F.col(key) == F.col("__parent"), "left").withColumn(column, F.coalesce("__value", F.lit(""))).drop("__parent", "__value")
+    parent, value = unused(rows, "its_parent", "its_value")
+    found = parents.select(F.col(key).alias(parent), F.col(column).alias(value))
+    return rows.drop(column).join(found, F.col(key) == F.col(parent), "left").withColumn(column, F.coalesce(value, F.lit(""))).drop(parent, value)
 
 
 def source_root(kind: Column, roots: dict[str, str], default: str) -> Column:
@@ -137,9 +138,10 @@ def source_root(kind: Column, roots: dict[str, str], default: str) -> Column:
 
 def relabelled(rows: DataFrame, changes: DataFrame, key: str, label: str = "label") -> DataFrame:
     """rows with the label that changes (key, label, note) give, the former one in `was`, and the note."""
-    new = changes.select(F.col(key).alias("__key"), F.col(label).alias("__label"), F.col("note").alias("__note"))
-    both = rows.join(new, F.col(key) == F.col("__key"), "left")
-    return both.withColumns({"was": F.when(F.col("__label").isNotNull(), F.col(label)).otherwise(F.lit("")), label: F.coalesce("__label", label), "note": F.coalesce("__note", F.lit(""))}).drop("__key", "__label", "__note")
+    k, value, note = unused(rows, "new_key", "new_label", "new_note")
+    new = changes.select(F.col(key).alias(k), F.col(label).alias(value), F.col("note").alias(note))
+    both = rows.join(new, F.col(key) == F.col(k), "left")
+    return both.withColumns({"was": F.when(F.col(value).isNotNull(), F.col(label)).otherwise(F.lit("")), label: F.coalesce(value, label), "note": F.coalesce(note, F.lit(""))}).drop(k, value, note)
 
 
 def with_defaults(rows: DataFrame, defaults: dict[str, str]) -> DataFrame:
@@ -206,7 +208,8 @@ def view_survivors(views: DataFrame, base: DataFrame, by: str | None = None) ->
     kept = once.join(once.groupBy("view_sha").agg(F.min("arrival").alias("arrival")), ["view_sha", "arrival"], "left_semi")
     if by:
         return sampling.group_ordinals(kept, by, [F.col("arrival")], "ordinal")
-    return sampling.group_ordinals(kept.withColumn("__all", F.lit(0)), "__all", [F.col("arrival")], "ordinal").drop("__all")
+    (one,) = unused(kept, "all_rows")
+    return sampling.group_ordinals(kept.withColumn(one, F.lit(0)), one, [F.col("arrival")], "ordinal").drop(one)
 
 
 def burst_rows(frames: DataFrame, samples: DataFrame) -> DataFrame:
@@ -229,8 +232,9 @@ def layout_differences(counts: DataFrame, expected: DataFrame) -> DataFrame:
 
 def upsert_decisions(rows: DataFrame, prior: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Rows with the human decisions that a prior batch already holds; empty text for new ones."""
-    old = prior.select(key, *[F.col(c).alias(f"__{c}") for c in columns])
-    return rows.drop(*columns).join(old, key, "left").select("*", *[F.coalesce(f"__{c}", F.lit("")).alias(c) for c in columns]).drop(*[f"__{c}" for c in columns])
+    names = unused(rows, *(f"prior_{c}" for c in columns))
+    old = prior.select(key, *[F.col(c).alias(n) for c, n in zip(columns, names, strict=True)])
+    return rows.drop(*columns).join(old, key, "left").select("*", *[F.coalesce(n, F.lit("")).alias(c) for c, n in zip(columns, names, strict=True)]).drop(*names)
 
 
 def panel_plan(originals: DataFrame, backgrounds: DataFrame, blanks: int, seed: int) -> DataFrame:

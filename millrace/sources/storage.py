@@ -85,6 +85,17 @@ def arrow_path(root: str):
     return fs.FileSystem.from_uri(root if ":/" in root else f"file://{root}")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores behind it until no column of df has it: helper columns that clash with none."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df on all cores where its files have fewer parts than there are cores; a large table is left as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.text import blank_to_empty, try_unit_float
-from millrace.sources.storage import read_text, write_text
+from millrace.sources.storage import read_text, unused, write_text
 
 # Fixed values of the prediction table: its columns in order, and its splits.
 PREDICTION_COLUMNS = ("image_id", "split", "true_label", "p_ragdoll", "p_singapura", "p_persian", "p_sphynx", "p_pallas", "p_not_target", "model_id", "dataset_sha256", "checkpoint_sha256", "source_group_id")
@@ -45,17 +45,18 @@ def read_numbered_csv(spark: SparkSession, path: str, expected: Sequence[str]) -
 
 def ordinals(rows: DataFrame, name: str, start: int = 0) -> DataFrame:
     """Consecutive numbers in the order of partitions and rows."""
-    placed = rows.withColumn("__at", F.monotonically_increasing_id())
-    part = F.shiftright("__at", 33)
+    (at_,) = unused(rows.withColumn(name, F.lit(0)), "ordinal_at")
+    placed = rows.withColumn(at_, F.monotonically_increasing_id())
+    part = F.shiftright(at_, 33)
     sizes = {r[0]: r[1] for r in placed.groupBy(part.alias("p")).count().collect()}
     base, at = {}, start
     for p in sorted(sizes):
         base[p] = at
         at += sizes[p]
     if not base:
-        return placed.withColumn(name, F.lit(None).cast("long")).drop("__at")
+        return placed.withColumn(name, F.lit(None).cast("long")).drop(at_)
     starts = F.create_map(*[x for k, v in base.items() for x in (F.lit(k), F.lit(v))])
-    return placed.withColumn(name, (F.element_at(starts, part) + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("__at")
+    return placed.withColumn(name, (F.element_at(starts, part) + F.col(at_).bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop(at_)
 
 
 def read_required(spark: SparkSession, path: str, required: Sequence[str]) -> DataFrame:

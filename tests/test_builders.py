@@ -1,9 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import audit, graph
+from millrace.operators import audit, dedup, graph, sampling
 from millrace.plans import builders
-from millrace.sources.tables import keep_last, merge_reports, replace_source
+from millrace.sources.tables import keep_last, merge_reports, ordinals, replace_source
 
 LABELS = ("a", "b", "c")
 
@@ -67,3 +67,21 @@ def test_intake(spark):
 def test_string_components(spark):
     e = spark.createDataFrame([("b", "a"), ("c", "b")], "a string, b string")
     assert {r.node: r.root for r in graph.connected_components(e).collect()} == {"a": "a", "b": "a", "c": "a"}
+
+
+def test_helper_columns_clash_with_none(spark):
+    extra = {c: F.lit("mine") for c in ("new_key", "new_label", "new_note", "its_parent", "all_rows", "nth", "at", "part", "size", "order0", "stage_key", "stage_n", "frozen", "first", "last", "ordinal_at")}
+    rows = spark.createDataFrame([("i1", "a", "p1"), ("i2", "b", "p2"), ("i3", "a", None)], "image_id string, label string, parent_id string").withColumns(extra)
+    kept = lambda df: df.count() == 3 and all(r[c] == "mine" for r in df.collect() for c in extra)
+    changed = builders.relabelled(rows, spark.createDataFrame([("i1", "c", "why")], "image_id string, label string, note string"), "image_id")
+    assert kept(changed) and {(r.image_id, r.label, r.was) for r in changed.collect()} == {("i1", "c", "a"), ("i2", "b", ""), ("i3", "a", "")}
+    parents = spark.createDataFrame([("p1", "src")], "parent_id string, source_dataset string")
+    sourced = builders.with_parent_source(rows, parents)
+    assert kept(sourced) and {(r.image_id, r.source_dataset) for r in sourced.collect()} == {("i1", "src"), ("i2", ""), ("i3", "")}
+    placed = sampling.group_ordinals(rows, "label", [F.col("image_id")], "place")
+    assert kept(placed) and {(r.image_id, r.place) for r in placed.collect()} == {("i1", 1), ("i2", 1), ("i3", 2)}
+    assert kept(sampling.hash_slices(rows, "image_id", 2, 1)) and kept(sampling.numbered(rows, "label", "image_id", F.col("label")))
+    assert kept(ordinals(rows, "row")) and sorted(r.row for r in ordinals(rows, "row").collect()) == [0, 1, 2]
+    pool = rows.select(*extra, "image_id", "label", F.lit("k").alias("source_kind"), F.col("image_id").alias("sha"), F.lit(500).alias("width"), F.lit(500).alias("height"), F.lit("cc0").alias("license"), F.lit("web").alias("provenance"))
+    filled = dedup.gap_fill(pool, spark.createDataFrame([("i2",)], "sha string"), min_side=100, limit=1)
+    assert kept(filled) and {(r.image_id, r.reason) for r in filled.collect()} == {("i1", None), ("i2", "already_in_frozen_split"), ("i3", "over_limit")}

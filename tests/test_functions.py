@@ -69,3 +69,16 @@ def test_boxes(spark):
     assert [x.confidence for x in r.k] == [0.9, 0.7] and tuple(r.p) == (0, 0, 12, 14) and tuple(r.c) == (1, 1, 3, 5) and r.i == 1 and r.v
     mode, reason = B.route(F.lit(True), F.lit(True), F.lit(False), F.array(F.lit(1)), F.lit(True), F.lit(9), 1)
     assert tuple(one(spark, m=mode, r=reason)) == ("centre_fallback", "mismatched_observation")
+
+
+def test_times_carry_the_offset_of_their_zone(spark):
+    summer = 1_720_000_000_999_999_999  # 2024-07-03T09:46:40 UTC
+    want = {"UTC": "2024-07-03T09:46:40+00:00", "Asia/Kolkata": "2024-07-03T15:16:40+05:30", "America/New_York": "2024-07-03T05:46:40-04:00"}
+    for session in ("UTC", "Asia/Tokyo"):
+        before = spark.conf.get("spark.sql.session.timeZone")
+        spark.conf.set("spark.sql.session.timeZone", session)
+        try:
+            got = spark.range(1).select(*[X.iso_of_nanos(F.lit(summer), z).alias(z) for z in want], X.iso_of_nanos(F.lit(-1)).alias("old"), X.iso_of_nanos(F.lit(None).cast("long")).alias("none")).first()
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", before)
+        assert {z: got[z] for z in want} == want and got.old == "1969-12-31T23:59:59+00:00" and got.none is None
