@@ -355,50 +355,57 @@ class Cameras(DataSource):
 
 
 class Recording:
-    """A capture that plays what write_recording() wrote for a camera, from the given read on."""
+    """A capture that plays what write_recording() wrote for a camera, from the given read on: the file that holds it is found by its number, so opening costs the same everywhere."""
 
     def __init__(self, endpoint: str, position: int = 0):
-        from pyarrow import fs as pafs
-
-        self.fs, folder = arrow_path(endpoint)
-        self.files = sorted(f.path for f in self.fs.get_file_info(pafs.FileSelector(folder)) if f.base_name.endswith(".rec"))
-        self.raw, self.at = b"", 0
-        while position:
-            self._more()
-            size = struct.unpack_from("<q", self.raw, self.at)[0]
-            self.at += 8 + max(0, size)
-            position -= 1
-
-    def _more(self) -> None:
-        while self.at >= len(self.raw):
-            if not self.files:
-                raise EOFError
-            with self.fs.open_input_stream(self.files.pop(0), compression=None) as f:
-                self.raw, self.at = f.read(), 0
+        self.fs, self.folder = arrow_path(endpoint)
+        self.file, self.sizes, self.at, self.number = None, [], 0, -1
+        if position and self._open(0):
+            self.release()
+            number, self.at = divmod(position, self.chunk)
+            self._open(number)
+            if self.file is not None:
+                self.file.seek(16 + 8 * len(self.sizes) + sum(s for s in self.sizes[: self.at] if s > 0))
+
+    def _open(self, number: int) -> bool:
+        """The file of that number, at its first read; False behind the last."""
+        self.number, self.sizes = number, []
+        path = f"{self.folder}/{number:010d}.rec"
+        if not self.fs.get_file_info(path).is_file:
+            return False
+        self.file = self.fs.open_input_file(path)
+        self.chunk, n = struct.unpack("<qq", self.file.read(16))
+        self.sizes = list(struct.unpack(f"<{n}q", self.file.read(8 * n)))
+        return True
 
     def read(self) -> bytes | None:
-        self._more()
-        size = struct.unpack_from("<q", self.raw, self.at)[0]
-        self.at += 8
-        if size < 0:
-            return None
-        self.at += size
-        return self.raw[self.at - size : self.at]
+        while self.at >= len(self.sizes):
+            if self.number >= 0 and not self.sizes:
+                raise EOFError
+            self.release()
+            self.at = 0
+            self._open(self.number + 1)
+        size = self.sizes[self.at]
+        self.at += 1
+        return None if size < 0 else self.file.read(size)
 
     def release(self) -> None:
-        self.raw = b""
+        if self.file is not None:
+            self.file.close()
+            self.file = None
 
 
 def write_recording(frames: DataFrame, root: str, chunk: int = 1000) -> None:
-    """frames (camera, nth from 1, image; null: a read that fails) as files of `chunk` reads under root/camera."""
+    """frames (camera, nth from 1 without gaps, image; null: a read that fails) as files of `chunk` reads under root/camera: chunk, reads, their sizes (-1: failed), images."""
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("nth")
         fs, base = arrow_path(root)
         folder = f"{base}/{pdf['camera'].iloc[0]}"
         fs.create_dir(folder, recursive=True)
+        images = [None if x is None else bytes(x) for x in pdf["image"]]
         with fs.open_output_stream(f"{folder}/{int(pdf['chunk'].iloc[0]):010d}.rec", compression=None) as f:
-            f.write(b"".join(struct.pack("<q", -1) if x is None else struct.pack("<q", len(x)) + bytes(x) for x in pdf["image"]))
+            f.write(struct.pack(f"<{2 + len(images)}q", chunk, len(images), *(-1 if x is None else len(x) for x in images)) + b"".join(x for x in images if x))
         return pd.DataFrame({"n": [len(pdf)]})
 
     parts = frames.select("camera", "nth", "image", F.floor((F.col("nth") - 1) / chunk).alias("chunk"))

@@ -61,6 +61,20 @@ def test_cameras_go_on_after_failures_and_restarts(spark, tmp_path):
         list(reader.read(reader.partitions({"left": 9, "right": 4}, {"left": 10, "right": 4})[0]))
 
 
+def test_a_recording_opens_at_a_read_without_those_before_it(spark, tmp_path):
+    reads = [("left", i + 1, None if i % 4 == 1 else f"image {i}".encode() * (i % 3)) for i in range(23)]
+    remote.write_recording(spark.createDataFrame(reads, "camera string, nth long, image binary"), f"file://{tmp_path}/rec", chunk=5)
+    for name in ("1", "2"):
+        (tmp_path / "rec" / "left" / f"{name:>010}.rec").unlink()  # files before the read are not needed
+    for start in (17, 20, 23):
+        capture, got = remote.Recording(f"file://{tmp_path}/rec/left", start), []
+        with pytest.raises(EOFError):
+            while True:
+                got.append(capture.read())
+        capture.release()
+        assert got == [x for _, _, x in reads[start:]]
+
+
 def test_a_dead_camera_gives_no_frames_and_no_gaps(spark, tmp_path):
     reads = [("left", i, None if 3 <= i <= 6 else f"l{i}".encode()) for i in range(1, 10)] + [("right", 1, b"r")]
     root = f"file://{tmp_path}/rec"
