@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,9 +15,20 @@ def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: html.unescape(t) if t is not None else t)
 
 
-def unescape(c: Column) -> Column:
-    """All named and numbered character references, by the standard's table; only texts that hold an ampersand leave the JVM."""
-    return F.coalesce(_unescape(F.when(c.contains("&"), c)), c)
+_ENDED = re.compile(r"&#?\w+;")
+
+
+@F.pandas_udf(StringType())
+def _unescape_ended(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: _ENDED.sub(lambda m: html.unescape(m[0]), t) if t is not None else t)
+
+
+def unescape(c: Column, ended: bool = False) -> Column:
+    """All named and numbered character references, by the standard's table; only texts that hold an ampersand leave the JVM.
+
+    With `ended`, only those that end in a semicolon: in a text that was cut off behind "&amp" it stays.
+    """
+    return F.coalesce((_unescape_ended if ended else _unescape)(F.when(c.contains("&"), c)), c)
 
 
 #: White space as text splitting knows it, beyond ASCII too.
@@ -38,9 +50,9 @@ def blank_to_empty(c: Column) -> Column:
     return F.coalesce(F.regexp_replace(c, r"^\s+|\s+$", ""), F.lit(""))
 
 
-def clean_html(c: Column) -> Column:
-    """Tags become spaces, character references are decoded, white space collapses; null is empty."""
-    return F.trim(F.regexp_replace(unescape(F.regexp_replace(F.coalesce(c, F.lit("")), "<[^>]+>", " ")), _BLANKS, " "))
+def clean_html(c: Column, ended: bool = False) -> Column:
+    """Tags become spaces, character references (with `ended`, those with a semicolon) are decoded, white space collapses; null is empty."""
+    return F.trim(F.regexp_replace(unescape(F.regexp_replace(F.coalesce(c, F.lit("")), "<[^>]+>", " "), ended), _BLANKS, " "))
 
 
 def normalize_url(c: Column) -> Column:

@@ -82,3 +82,19 @@ def test_times_carry_the_offset_of_their_zone(spark):
         finally:
             spark.conf.set("spark.sql.session.timeZone", before)
         assert {z: got[z] for z in want} == want and got.old == "1969-12-31T23:59:59+00:00" and got.none is None
+
+
+def test_references_that_were_cut_off_stay_where_an_end_is_asked_for(spark):
+    cut_off = F.lit("<title>a &am</title><p>b&amp</p> &#39; &amp;lt; &notit; &eacute;&#3")
+    got = spark.range(1).select(X.clean_html(cut_off, ended=True).alias("ended"), X.clean_html(cut_off).alias("all")).first()
+    assert got["ended"] == "a &am b&amp ' &lt; ¬it; é&#3" and got["all"].startswith("a &am b& ' &lt;")
+
+
+def test_html_clean_keeps_a_title_that_ends_inside_a_reference(spark, tmp_path):
+    from millrace.plans import catalog
+
+    spark.createDataFrame([(1, "u", "<h1>x &amp; y&amp</h1>z"), (2, "u", "open <b"), (3, "u", None)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    import duckdb
+
+    want = duckdb.sql(catalog.ORACLE["html_clean"].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'")).fetchall()
+    assert sorted(tuple(r) for r in catalog.QUERIES["html_clean"](spark, str(tmp_path)).collect()) == sorted(want)
