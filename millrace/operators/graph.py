@@ -2,11 +2,65 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from millrace.sources.storage import cut
 
+HELD = 1 << 19  # edges that a task holds at once
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stars with the components of the edges: every node but the smallest of its component, and that smallest."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    label, x, y = np.arange(len(nodes)), at[: len(a)], at[len(a) :]
+    while len(x):
+        low = np.minimum(label[x], label[y])
+        np.minimum.at(label, label[x], low)
+        np.minimum.at(label, label[y], low)
+        while not np.array_equal(label, up := label[label]):
+            label = up
+        apart = label[x] != label[y]
+        x, y = x[apart], y[apart]
+    other = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[other], nodes[label[other]]
+
+
+def local_stars(edges: DataFrame) -> DataFrame:
+    """edges (a, b) of numbers with each task's own replaced by stars of the same components.
+
+    A task sends at most one edge for each node it meets, however many edges run between them; it holds HELD edges at once.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
+
+        def packed(stars: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in stars], names=["a", "b"])
+
+        def stars() -> tuple[np.ndarray, np.ndarray]:
+            return _forest(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+
+        for batch in batches:
+            parts.append(tuple(batch.column(i).to_numpy() for i in range(2)))
+            held += batch.num_rows
+            if held >= HELD:
+                parts = [stars()]
+                held = len(parts[0][0])
+                if held >= HELD // 2:  # few edges between many nodes: they go on as they are
+                    yield packed(parts[0])
+                    parts, held = [], 0
+        if parts:
+            yield packed(stars())
+
+    return edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(run, "a long, b long")
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -25,9 +79,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """edges (a, b) -> (node, root): root is the smallest node reachable. Loops and repeats are fine.
 
     Alternating large-star and small-star rounds of hash joins and minimum aggregations: no vertex's neighbours
-    are gathered into one row, each round is checkpointed, and a chain of n edges takes about log n rounds.
+    are gathered into one row, each round is checkpointed, and a chain of n edges takes about log n rounds. Edges between numbers
+    are first replaced by stars inside of each task.
     """
-    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    if all(isinstance(f.dataType, IntegralType) for f in e.schema.fields):
+        kinds = [F.col(f.name).cast(f.dataType) for f in e.schema.fields]
+        e = local_stars(e).select(*kinds)  # what is shuffled follows the nodes, not the edges
+    e = cut(e.distinct())
     state = None
     for _ in range(max_rounds):
         e = cut(_star(_star(e, True), False))

@@ -159,6 +159,17 @@ def test_tree_digest(spark):
     assert [tuple(r) for r in metrics.tree_digest(df.limit(1), "path", "digest", fan=3, levels=2).collect()][0][0] == 1
 
 
+def test_components_of_dense_edges_start_from_few(spark):
+    rng = random.Random(3)
+    edges = [(a, b) for lo in (0, -90) for a in range(lo, lo + 80) for b in range(lo, a)] + [(1000 + i, 1001 + i) for i in range(50)] + [(5, 5)]
+    rng.shuffle(edges)
+    df = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    stars = graph.local_stars(df).where("a <> b")
+    assert stars.count() <= 3 * (80 + 80 + 51)  # of 6,370 edges
+    assert {(r.node, r.root) for r in graph.connected_components(df).collect()} == {(a, lo) for lo in (0, -90) for a in range(lo, lo + 80)} | {(1000 + i, 1000) for i in range(51)}
+    assert graph.connected_components(df.selectExpr("cast(a as int) a", "cast(b as int) b")).schema["root"].dataType.simpleString() == "int"
+
+
 def test_near_pairs_of_wide_hashes(spark):
     rng = random.Random(6)
     base = [rng.getrandbits(256) for _ in range(20)]
