@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -69,16 +69,17 @@ def simhash(docs: DataFrame, id_col: str, text_col: str, keep: list[str] | None
 
 
 _BLANK = re.compile("[ \t\n\x0b\f\r]+")
-_WORDS_AT_ONCE = 1 << 17
+_WORDS_AT_ONCE, _TEXTS_AT_ONCE, _KNOWN_WORDS = 1 << 15, 256, 1 << 17
 
 
-@F.pandas_udf(StringType())
-def _simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.arrow_udf(StringType())
+def _simhash(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """What a task holds besides its batch does not grow with texts: words of _WORDS_AT_ONCE, hashes of _KNOWN_WORDS words, texts of _TEXTS_AT_ONCE as Python's."""
     known: dict[str, int] = {}
 
     def hashes(texts: list[list[str]]) -> np.ndarray:
         """Sums of signed bits of 64-bit word hashes, one row for each text."""
-        if len(known) > 500_000:
+        if len(known) > _KNOWN_WORDS:
             known.clear()
         for w in {w for t in texts for w in t} - known.keys():
             known[w] = int.from_bytes(hashlib.md5(w.encode()).digest()[:8], "big")
@@ -91,21 +92,25 @@ def _simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             out[used] = 2 * ones - sizes[used, None]
         return out
 
-    for texts in batches:
+    def signs(sums: np.ndarray) -> list[str]:
+        return [row.tobytes().hex() for row in np.packbits(sums > 0, axis=1)]
+
+    for batch in batches:
         found, held, n = [], [], 0
-        for text in texts:
-            words = [w for w in _BLANK.split(text) if w]
-            if len(words) > _WORDS_AT_ONCE:  # a very long text alone, in parts
-                total = sum(hashes([words[i : i + _WORDS_AT_ONCE]]) for i in range(0, len(words), _WORDS_AT_ONCE))
-                found += [hashes(held), total] if held else [total]
-                held, n = [], 0
-                continue
-            held.append(words)
-            n += len(words)
-            if n >= _WORDS_AT_ONCE:
-                found.append(hashes(held))
-                held, n = [], 0
+        for at in range(0, len(batch), _TEXTS_AT_ONCE):
+            for text in batch.slice(at, _TEXTS_AT_ONCE).to_pylist():
+                words = [w for w in _BLANK.split(text) if w]
+                if len(words) > _WORDS_AT_ONCE:  # a very long text alone, in parts
+                    if held:
+                        found += signs(hashes(held))
+                    found += signs(sum(hashes([words[i : i + _WORDS_AT_ONCE]]) for i in range(0, len(words), _WORDS_AT_ONCE)))
+                    held, n = [], 0
+                    continue
+                held.append(words)
+                n += len(words)
+                if n >= _WORDS_AT_ONCE:
+                    found += signs(hashes(held))
+                    held, n = [], 0
         if held:
-            found.append(hashes(held))
-        sums = np.concatenate(found) if found else np.zeros((0, 64), np.int64)
-        yield pd.Series([row.tobytes().hex() for row in np.packbits(sums > 0, axis=1)], dtype=object)
+            found += signs(hashes(held))
+        yield pa.array(found, pa.string())

@@ -98,3 +98,23 @@ def test_html_clean_keeps_a_title_that_ends_inside_a_reference(spark, tmp_path):
 
     want = duckdb.sql(catalog.ORACLE["html_clean"].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'")).fetchall()
     assert sorted(tuple(r) for r in catalog.QUERIES["html_clean"](spark, str(tmp_path)).collect()) == sorted(want)
+
+
+def test_fingerprints_hold_few_words_whatever_a_batch_has(spark):
+    import hashlib
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{i}-{j}" for j in range(1000)) for i in range(400)] + ["", "a b a", " ".join(["x", "y"] * 40_000)]
+    tracemalloc.start()
+    (got,) = H._simhash.func(iter([pa.array(texts)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6  # 400,000 different words would take more
+    for text, found in zip(texts[-4:], got.to_pylist()[-4:], strict=True):
+        sums = [0] * 64
+        for w in text.split():
+            h = int.from_bytes(hashlib.md5(w.encode()).digest()[:8], "big")
+            sums = [s + (1 if h >> (63 - i) & 1 else -1) for i, s in enumerate(sums)]
+        assert int(found, 16) == sum(1 << (63 - i) for i, s in enumerate(sums) if s > 0)
