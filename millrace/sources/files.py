@@ -15,24 +15,80 @@ import zipfile
 from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import file_stem, safe_member_path
-from millrace.sources.storage import arrow_path, cut
+from millrace.sources.storage import arrow_path, cut, folder_uri
 
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "webp", "bmp")
 
 
+def _hidden(name: str) -> bool:
+    """Names that Spark's readers pass over too."""
+    return (name.startswith("_") and "=" not in name) or name.startswith(".") or name.endswith("._COPYING_")
+
+
+def _listing(spark: SparkSession, root: str) -> DataFrame:
+    """path, length of all files below a folder: every level's folders are listed by tasks, so names do not pass through the driver."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs as pafs
+
+        fs, base = arrow_path(root)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                found = [f for f in fs.get_file_info(pafs.FileSelector(base + folder[len(root) :])) if not _hidden(f.base_name)]
+                path, length, is_folder = [f"{folder}/{f.base_name}" for f in found], [f.size or 0 for f in found], [f.type == pafs.FileType.Directory for f in found]
+                yield pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array(length, pa.int64()), pa.array(is_folder, pa.bool_())], names=["path", "length", "folder"])
+
+    front, found = spark.createDataFrame([(root,)], "path string"), None
+    while True:
+        level = cut(front.mapInArrow(run, "path string, length long, folder boolean"))
+        here = level.where("not folder").drop("folder")
+        found = here if found is None else found.unionAll(here)
+        front = level.where("folder").select("path")
+        if front.isEmpty():
+            return found
+        front = front.repartition("path")
+
+
+def _contents(listed: DataFrame, root: str) -> DataFrame:
+    """path, length with the content; a task reads a few files at once."""
+
+    def packed(out: list[tuple]) -> pa.RecordBatch:
+        path, length, content = zip(*out, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array(length, pa.int64()), pa.array(content, pa.binary())], names=["path", "length", "content"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = arrow_path(root)
+        for batch in batches:
+            out, size = [], 0
+            for path, length in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+                with fs.open_input_stream(base + path[len(root) :], compression=None) as f:
+                    out.append((path, length, f.read()))
+                size += length
+                if size >= 1 << 24 or len(out) == 1000:
+                    yield packed(out)
+                    out, size = [], 0
+            if out:
+                yield packed(out)
+
+    return listed.repartition("path").mapInArrow(run, "path string, length long, content binary")
+
+
 def inventory(spark: SparkSession, root: str, suffixes: Sequence[str] | None = None, *, content: bool = False, exclude: Sequence[str] = ()) -> DataFrame:
-    """path, name, stem, parent, suffix, length (and content, sha256) of all files under root."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    df = df.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), file_stem(F.col("path")).alias("stem"), F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("parent"), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("suffix"), "length", *(["content", F.sha2("content", 256).alias("sha256")] if content else []))
+    """path, name, stem, parent, suffix, length (and content, sha256) of all files under root, listed and read by tasks."""
+    root = folder_uri(spark, root)
+    df = _listing(spark, root)
     if suffixes:
-        df = df.where(F.col("suffix").isin(*suffixes))
+        df = df.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*suffixes))
     for part in exclude:
         df = df.where(~F.col("path").contains(f"/{part}/"))
-    return df
+    if content:
+        df = _contents(df, root)
+    return df.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), file_stem(F.col("path")).alias("stem"), F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("parent"), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("suffix"), "length", *(["content", F.sha2("content", 256).alias("sha256")] if content else []))
 
 
 def storage_rollup(files: DataFrame, depth_root: str) -> DataFrame:

@@ -77,6 +77,19 @@ def pages(url):
     return json.dumps({"results": [{"id": page * 10 + i} for i in range(2 if page < 3 else 1)]}).encode()
 
 
+def test_inventory_lists_in_tasks_what_the_reader_lists(spark, tmp_path):
+    for name in ("a/b/c/deep.txt", "a/x.txt", "a/_hidden/no.txt", "a/.no.txt", "a/_k=1/yes.txt", "a b/ä%20#.TXT", "empty.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"" if name == "empty.txt" else name.encode())
+    (tmp_path / "none").mkdir()
+    want = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(tmp_path)).select("path", "length", "content")
+    inv = files.inventory(spark, str(tmp_path), content=True)
+    got = sorted(map(tuple, inv.select("path", "length", "content").collect()))
+    assert [r for r in got if r[1]] == sorted(map(tuple, want.collect())) and len(got) == 5  # the reader leaves empty files out
+    assert [r[2] for r in got if r[0].endswith("/empty.txt")] == [b""]
+    assert not inv.inputFiles()  # no list of files in the driver
+
+
 def test_remote(spark):
     spark.dataSource.register(remote.JsonPages)
     df = spark.read.format("json_pages").options(urls="http://a/x\nhttp://b/x", paging="number", pagesize="2", opener="tests.test_sources_and_streams:pages").load()
