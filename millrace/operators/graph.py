@@ -62,41 +62,55 @@ def local_stars(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(run, "a long, b long")
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    sym = both if large else both.where("b < a")
+def _raised(edges: DataFrame) -> DataFrame:
+    """Large stars of edges (a, b), a > b: every node's larger neighbours go to its smallest one, itself included."""
+    sym = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     # Checkpointed, so the join has a shuffle on both sides and a node with very many neighbours can be split.
     lowest = cut(sym.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-    pairs = sym.join(lowest, "a")
-    if large:
-        out = pairs.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:
-        out = pairs.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(lowest.select("a", F.col("m").alias("b")))
-    return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    pairs = edges.select(F.col("b").alias("a"), F.col("a").alias("b")).join(lowest, "a")
+    return pairs.select(F.col("b").alias("a"), F.col("m").alias("b"))
+
+
+def _lowered(edges: DataFrame) -> DataFrame:
+    """Small stars of edges (a, b), a > b: a node's smaller neighbours and itself go to its smallest one."""
+    lowest = cut(edges.groupBy("a").agg(F.min("b").alias("m")))
+    return edges.join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionAll(lowest.select("a", F.col("m").alias("b"))).distinct()
+
+
+def _merged(edges: DataFrame) -> DataFrame:
+    """Fewer edges (a, b), a > b, of the same components.
+
+    Stars inside of each task leave a node one edge a task at most, so nodes can meet by hash, however many edges they had; there
+    the roots that a node has from several tasks are joined, as small stars would. Edges between other things than numbers become small stars.
+    """
+    if not all(isinstance(f.dataType, IntegralType) for f in edges.schema.fields):
+        return _lowered(edges)
+    met = local_stars(edges).repartition("a").distinct()  # dealt by a, so this needs no further shuffle
+    return local_stars(met).select(*[F.col(f.name).cast(f.dataType) for f in edges.schema.fields])
+
+
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether every node has one root, which has none itself: then the components are found."""
+    ends = edges.select(F.col("a").alias("node"), F.col("b").alias("up")).unionAll(edges.select("b", F.lit(None).cast(edges.schema["b"].dataType)))
+    met = ends.groupBy("node").agg(F.min("up").alias("low"), F.max("up").alias("high"), (F.count("*") > F.count("up")).alias("root"))
+    return not met.agg(F.count_if((F.col("low") != F.col("high")) | (F.col("root") & F.col("low").isNotNull()))).first()[0]
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """edges (a, b) -> (node, root): root is the smallest node reachable. Loops and repeats are fine.
 
-    Alternating large-star and small-star rounds of hash joins and minimum aggregations: no vertex's neighbours
-    are gathered into one row, each round is checkpointed, and a chain of n edges takes about log n rounds. Edges between numbers
-    are first replaced by stars inside of each task.
+    Edges between numbers are merged inside of tasks, before and after nodes meet by hash; that alone solves graphs that are not
+    long and thin, in one shuffle or two. What is not solved goes on in rounds of large stars, by hash joins and minimum aggregations, and
+    such merging: no vertex's neighbours are gathered into one row, each round is checkpointed, and a chain of n edges takes about log n rounds.
     """
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    if all(isinstance(f.dataType, IntegralType) for f in e.schema.fields):
-        kinds = [F.col(f.name).cast(f.dataType) for f in e.schema.fields]
-        e = local_stars(e).select(*kinds)  # what is shuffled follows the nodes, not the edges
-    e = cut(e.distinct())
-    state = None
+    e = cut(_merged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))))
     for _ in range(max_rounds):
-        e = cut(_star(_star(e, True), False))
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state or now[0] == 0:
+        if _is_stars(e):
             break
-        state = now
+        e = cut(_merged(_raised(e)))
     else:
         raise RuntimeError("components did not converge")
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(e.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("root")))
+    return e.distinct().select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(e.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("root")))
 
 
 def link_components(rows: DataFrame, id_col: str, token_cols: list[str], within: str | None = None) -> DataFrame:
