@@ -8,9 +8,10 @@ Class names count by whole words of the element itself: inside an article only n
 the text elements, and not after words like "has" or "no". A section of main that opens with a heading "Comments" is the readers'.
 Pages of a host are ordered by URL path and each is paired with the
 nearest page before and after it whose lines are others; the lines of a pair are aligned by longest common
-subsequence, and shared lines are deleted. Where a page marks its article, differencing is applied
-to the lines outside of it only: two editions of one article share true text, and the contract drops
-nothing of an article. Otherwise it decides for all lines.
+subsequence, and shared lines are deleted. Where a page marks its article, all its lines are aligned, but a shared line of the
+article is deleted only as part of the template: both neighbours have it in their chrome, next to another line that is
+shared. What only one has there may be a quotation or a link to this page, and two editions of one article share true text, of
+which the contract drops nothing. Without an article differencing decides for all lines.
 
 Scale: pages are range-partitioned by (host, path, page_id), so a host with a third of all pages is spread
 over many tasks and pairs are neighbours inside a partition; the shuffle carries lines, not markup.
@@ -235,11 +236,18 @@ def common_lines(a: list[str], b: list[str]) -> tuple[set[int], set[int]]:
 def main_text(lines: list[tuple[str, int]], neighbours: list[list[tuple[str, int]]]) -> str:
     """Lines that stay after differencing against the neighbours' lines."""
     marked = any(kind == ARTICLE for _, kind in lines)
-    free = [i for i, (_, kind) in enumerate(lines) if kind != ARTICLE]
-    shared: set[int] = set()
+    found: list[set[int]] = []
     for other in neighbours:
-        mine, theirs = [lines[i][0] for i in free], [t for t, kind in other if kind != ARTICLE]
-        shared.update(free[k] for k in common_lines(mine, theirs)[0])
+        theirs = other if marked else [x for x in other if x[1] != ARTICLE]
+        left, right = common_lines([t for t, _ in lines], [t for t, _ in theirs])
+        if marked:
+            pairs = set(zip(sorted(left), sorted(right), strict=True))
+            left = {i for i, j in pairs if theirs[j][1] == CHROME_LINE and not pairs.isdisjoint({(i - 1, j - 1), (i + 1, j + 1)})}
+        found.append(left)
+    if marked:
+        shared = set.intersection(*found) if len(found) > 1 else set()
+    else:
+        shared = set().union(*found)
     stay = [i for i, (_, kind) in enumerate(lines) if i not in shared and kind == (ARTICLE if marked else OUTSIDE)]
     return "\n".join(lines[i][0] for i in stay)
 

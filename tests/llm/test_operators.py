@@ -682,6 +682,19 @@ def test_hostile_pages_take_no_long_time():
     assert time.time() - began < 8
 
 
+def test_template_lines_inside_of_an_article_go():
+    """Both neighbours mark as chrome what this page forgot to mark: differencing decides, also where the article is marked."""
+    share = "<{2}><p>Share this page</p><p>By mail</p></{2}>"
+    page = "<nav>Home</nav><article><h1>{0}</h1><p>{1}</p>" + share + "</article><footer>End</footer>"
+    mine, before, after = (html_main.page_lines(page.format("T" + t, "text " + t, tag)) for t, tag in (("b", "div"), ("a", "aside"), ("c", "aside")))
+    assert html_main.main_text(mine, [before, after]) == "Tb\ntext b"
+    assert html_main.main_text(mine, [before]) == "Tb\ntext b\nShare this page\nBy mail"  # one neighbour may quote
+    same = html_main.page_lines(page.format("Tb", "text b", "div"))
+    assert html_main.main_text(mine, [same, same]) == "Tb\ntext b\nShare this page\nBy mail"  # editions share true text
+    links = [html_main.page_lines(f"<nav>Home</nav><article><h1>{t}</h1><p>{t}</p></article><aside><p>More</p><p>Tb</p><p>T{t}</p></aside>") for t in "ac"]
+    assert html_main.main_text(mine, links).startswith("Tb\n")  # a link to this page is no template
+
+
 def test_page_ids_may_be_texts(spark):
     df = spark.createDataFrame([("a", "https://h.test/1", "<p>x</p>"), (None, None, None)], "page_id string, url string, html string")
     assert {(r.page_id, r.text) for r in html_main.extract(df).collect()} == {("a", "x"), (None, "")}
