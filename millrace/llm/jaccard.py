@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.graph import connected_components
 
-from .common import cut, dealt, partitions, release, table
+from .common import cut, dealt, partitions, release, table, trim
 from .textops import U64, Words, buffers, distinct_per_doc, mix, slices
 
 PERCENT = 75
@@ -107,6 +107,7 @@ def shared_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Data
     n_buckets = partitions(docs.sparkSession)
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         for batch in batches:
             for _, tokens, first, cls in _sets(batch.column(0), k):
                 n = np.diff(first)
@@ -122,6 +123,7 @@ def shared_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Data
                 yield _dealt_batch(rows)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         parts: list[list[np.ndarray]] = [[], [], [], []]
         at = 0
         for batch in batches:
@@ -158,6 +160,7 @@ def shared_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Data
                 yield _dealt_batch(_deal(target[d], d, [t, np.minimum(df, 65535).astype("<u2")], all_cls, size, n_buckets))
 
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         parts: list[list[np.ndarray]] = [[], [], [], []]
         at = 0
         for batch in batches:
