@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -590,6 +591,24 @@ def test_suffix_array(monkeypatch, n, kinds, wave):
         assert phi[b] == a and plcp[b] == common
 
 
+def test_waves_of_few_suffixes_take_no_array_operation():
+    """A long run of one byte is a wave for each suffix; sorting each wave took most of the time of a shard."""
+    data = np.frombuffer(b"a" * 3000 + b"b" * 3000 + b"ab" * 1000, np.uint8)
+    sorts = 0
+
+    def count(_, event, what):
+        nonlocal sorts
+        sorts += event == "c_call" and what.__name__ == "argsort"
+
+    sys.setprofile(count)
+    try:
+        sa = suffix.suffix_array(data)
+    finally:
+        sys.setprofile(None)
+    raw = data.tobytes()
+    assert list(sa) == sorted(range(len(raw)), key=lambda i: raw[i:]) and sorts < 100
+
+
 def brute_repeats(rows, length):
     raws = [(d, (t or "").encode()) for d, t in rows]
     seen = collections.Counter(r[i : i + length] for _, r in raws for i in range(len(r) - length + 1))
