@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.graph import connected_components
 
-from .common import cut, dealt, fresh_path, partitions
+from .common import cut, dealt, fresh_path, partitions, tidy
 from .jaccard import forest
 from .textops import U64, Words, buffers, mix, slices
 
@@ -210,15 +210,15 @@ def near_copies(texts: DataFrame, k: int = 5) -> DataFrame:
 
     path = fresh_path(texts.sparkSession, "copies")
     schema = "bucket int, band binary, key binary, signature binary"
-    texts.select("key", "text").mapInArrow(post, schema).write.parquet(path)
+    texts.select("key", "text").mapInArrow(tidy(post), schema).write.parquet(path)
     posted = texts.sparkSession.read.schema(schema).parquet(path)
-    maybe = cut(dealt(posted.where("bucket >= 0")).mapInArrow(meet, "a long, b long").distinct())
-    sketch = posted.where("bucket = -1").select("key", "signature").mapInArrow(unpack(BINS), "key long, value binary").dropDuplicates(["key"])
-    weighed = cut(beside(maybe, cut(only(sketch, maybe))).mapInArrow(weigh, "a long, b long, share double"))
+    maybe = cut(dealt(posted.where("bucket >= 0")).mapInArrow(tidy(meet), "a long, b long").distinct())
+    sketch = posted.where("bucket = -1").select("key", "signature").mapInArrow(tidy(unpack(BINS)), "key long, value binary").dropDuplicates(["key"])
+    weighed = cut(beside(maybe, cut(only(sketch, maybe))).mapInArrow(tidy(weigh), "a long, b long, share double"))
     unclear = cut(weighed.where((F.col("share") >= CLEAR_NOT) & (F.col("share") < CLEAR)).select("a", "b"))
-    sets = cut(only(texts.select("key", "text"), unclear).mapInArrow(gather, "key long, value binary").dropDuplicates(["key"]))
-    links = weighed.where(F.col("share") >= CLEAR).select("a", "b").union(beside(unclear, sets).mapInArrow(decide, "a long, b long"))
-    sure = posted.where("bucket = -2").select("key", "signature").mapInArrow(known, "a long, b long")
+    sets = cut(only(texts.select("key", "text"), unclear).mapInArrow(tidy(gather), "key long, value binary").dropDuplicates(["key"]))
+    links = weighed.where(F.col("share") >= CLEAR).select("a", "b").union(beside(unclear, sets).mapInArrow(tidy(decide), "a long, b long"))
+    sure = posted.where("bucket = -2").select("key", "signature").mapInArrow(tidy(known), "a long, b long")
     return connected_components(links.union(sure))
 
 

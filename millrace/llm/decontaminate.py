@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidy
 from .textops import U64, Words, buffers, mix, slices
 
 WORDS = 5
@@ -262,7 +262,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = WORDS, threshold: floa
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = None
     for shipped in _blocks(benchmark, block_items):
-        found = docs.select("doc_id", "text").mapInArrow(_scan(shipped, k, threshold, whole), f"doc_id {kind}, item_id long, first_word long, similarity double")
+        found = docs.select("doc_id", "text").mapInArrow(tidy(_scan(shipped, k, threshold, whole)), f"doc_id {kind}, item_id long, first_word long, similarity double")
         out = found if out is None else out.unionAll(found)
     return out
 
@@ -280,7 +280,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, k: int = WORDS, thresho
     """The rows of docs that leak no item, all columns as they are; one filtering pass per block, no join."""
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     for shipped in _blocks(benchmark, block_items):
-        docs = docs.mapInArrow(_filter(shipped, k, threshold, whole), kinds)
+        docs = docs.mapInArrow(tidy(_filter(shipped, k, threshold, whole)), kinds)
     return docs
 
 

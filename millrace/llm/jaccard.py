@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.graph import connected_components
 
-from .common import cut, dealt, partitions, release, table, trim
+from .common import cut, dealt, partitions, release, table, tidy
 from .textops import U64, Words, buffers, distinct_per_doc, mix, slices
 
 PERCENT = 75
@@ -67,7 +67,7 @@ def shingle_classes(docs: DataFrame, k: int = WORDS) -> DataFrame:
             for lo, _, first, cls in _sets(batch.column(1), k):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(cls)).cast(pa.int64()), pa.array(np.diff(first).astype(np.int64)), pa.array(cls.view(np.int64))], names=["doc_id", "n_shingles", "cls"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, cls long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_shingles long, cls long")
 
 
 def needed(n: np.ndarray, part: int, whole: int) -> np.ndarray:
@@ -107,7 +107,6 @@ def shared_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Data
     n_buckets = partitions(docs.sparkSession)
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trim()
         for batch in batches:
             for _, tokens, first, cls in _sets(batch.column(0), k):
                 n = np.diff(first)
@@ -123,7 +122,6 @@ def shared_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Data
                 yield _dealt_batch(rows)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trim()
         parts: list[list[np.ndarray]] = [[], [], [], []]
         at = 0
         for batch in batches:
@@ -160,7 +158,6 @@ def shared_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Data
                 yield _dealt_batch(_deal(target[d], d, [t, np.minimum(df, 65535).astype("<u2")], all_cls, size, n_buckets))
 
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trim()
         parts: list[list[np.ndarray]] = [[], [], [], []]
         at = 0
         for batch in batches:
@@ -184,8 +181,8 @@ def shared_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Data
             i = stay[lo : lo + 2048]
             yield pa.RecordBatch.from_arrays([pa.array(cls[begin[i]].view(np.int64)), pa.array(n[begin[i]]), pa.array([token[a:b].tobytes() for a, b in zip(begin[i], end[i], strict=True)], pa.binary())], names=["cls", "n", "tokens"])
 
-    counted = dealt(docs.select("text").mapInArrow(deal, DEALT)).mapInArrow(count, DEALT)
-    return dealt(counted).mapInArrow(gather, "cls long, n long, tokens binary")
+    counted = dealt(docs.select("text").mapInArrow(tidy(deal), DEALT)).mapInArrow(tidy(count), DEALT)
+    return dealt(counted).mapInArrow(tidy(gather), "cls long, n long, tokens binary")
 
 
 def candidate_edges(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -207,7 +204,7 @@ def candidate_edges(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
                 if tokens and (out := pack(np.concatenate(tokens), np.concatenate(doc), np.concatenate(rest), cls, n, n_buckets)) is not None:
                     yield out
 
-    return _meet(sets.select("cls", "n", "tokens").mapInArrow(post, POSTING), percent)
+    return _meet(sets.select("cls", "n", "tokens").mapInArrow(tidy(post), POSTING), percent)
 
 
 POSTING = "bucket int, token binary, local binary, rest binary, cls binary, n binary"
@@ -261,7 +258,7 @@ def _meet(posted: DataFrame, percent: int) -> DataFrame:
             for lo in range(0, len(a), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(a[lo : lo + 100_000].view(np.int64)), pa.array(b[lo : lo + 100_000].view(np.int64))], names=["a", "b"])
 
-    return dealt(posted).mapInArrow(meet, "a long, b long")
+    return dealt(posted).mapInArrow(tidy(meet), "a long, b long")
 
 
 def list_edges(token: np.ndarray, cls: np.ndarray, n: np.ndarray, rest: np.ndarray, percent: int, small: int = 64) -> tuple[np.ndarray, np.ndarray]:
@@ -425,7 +422,7 @@ def _cells(sets: DataFrame, percent: int, n: int) -> DataFrame:
             yield out
 
     ordered = sets.select("cell", "cls", "query", "n", "tokens").repartition(n, "cell").sortWithinPartitions("cell", "cls")
-    return ordered.mapInArrow(run, "a long, b long")
+    return ordered.mapInArrow(tidy(run), "a long, b long")
 
 
 def linked_classes(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, dealt, partitions, release, table, unused
+from .common import cut, dealt, partitions, release, table, tidy, unused
 from .copies import near_copies
 from .textops import U64, buffers, slices
 
@@ -111,8 +111,8 @@ def leaf_votes(texts: DataFrame, depth: int, min_tokens: int, min_documents: int
             part = slice(at, at + 100_000)
             yield pa.RecordBatch.from_arrays([pa.array(value[part].view(np.int64)), pa.array(key[part])], names=["leaf", "key"])
 
-    posted = texts.select("key", "text").mapInArrow(post, "bucket int, value binary, key binary")
-    return dealt(posted).mapInArrow(meet, "leaf long, key long")
+    posted = texts.select("key", "text").mapInArrow(tidy(post), "bucket int, value binary, key binary")
+    return dealt(posted).mapInArrow(tidy(meet), "leaf long, key long")
 
 
 LINE = "key long, doc_id long, line int, mask long, leaf long, tokens array<string>"
@@ -150,7 +150,7 @@ def lines_of(texts: DataFrame, leaves: DataFrame, depth: int, min_tokens: int) -
                     types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string())]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["key", "doc_id", "line", "mask", "leaf", "tokens"])
 
-    return texts.select("key", "doc_id", "text").mapInArrow(run, LINE)
+    return texts.select("key", "doc_id", "text").mapInArrow(tidy(run), LINE)
 
 
 def groups_of(leaf: str, tokens: str, min_documents: int, fewest: int):
@@ -190,7 +190,7 @@ def spots_of(lines: DataFrame, most: int = 200_000) -> DataFrame:
         if tally:
             yield full()
 
-    return lines.select("group", "n", "tokens").mapInArrow(run, "group long, at int, token string, n long")
+    return lines.select("group", "n", "tokens").mapInArrow(tidy(run), "group long, at int, token string, n long")
 
 
 def dropped_lines(texts: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_documents: int = MIN_DOCUMENTS, agree: float = 0.8) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import table, tidy
 from .tokens import tokenizer, vocabulary
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -160,7 +160,7 @@ def pack(docs: DataFrame, vocab: str = "byte_bpe_50k.json", kind: str = "byte",
         if (out := packer.drain()) is not None:
             yield out
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run, keep=True), SCHEMA)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

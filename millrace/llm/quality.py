@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remainder, rows_with, table
+from .common import remainder, rows_with, table, tidy
 from .textops import U64, Words, buffers, mix, rolling, slices, span_hash
 
 THRESHOLD = 0.3
@@ -154,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
             )
 
     sample = labelled_sample(docs, labels, "quality", held_out, s.sample_per_class).select("doc_id", "text", "label")
-    got = sample.mapInArrow(sparse, "doc_id long, label int, buckets binary, counts binary").toArrow()
+    got = sample.mapInArrow(tidy(sparse), "doc_id long, label int, buckets binary, counts binary").toArrow()
     rows = sorted(zip(*(got.column(c).to_pylist() for c in ("doc_id", "label", "buckets", "counts")), strict=True))
     del got
     return train([(np.frombuffer(b, np.uint16), np.frombuffer(c, "<u4"), label) for _, label, b, c in rows], s)
@@ -178,7 +178,7 @@ def score(docs: DataFrame, model: Model, s: Settings = Settings()) -> DataFrame:
                 out[lo:hi] = 1 / (1 + np.exp(-np.clip(total / np.maximum(n, 1) + b, -500, 500)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "score"])
 
-    return docs.mapInArrow(run, rows_with(docs, "score double"))
+    return docs.mapInArrow(tidy(run), rows_with(docs, "score double"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,3 +73,25 @@ def test_trim_gives_back_freed_memory():
     before = resident()
     trim()
     assert resident() < before + 1_000_000 and len(last) == 20
+
+
+def test_tasks_of_the_pipeline_leave_no_memory_behind(spark, tmp_path, monkeypatch):
+    """Every stage's tasks give back what they freed; only those that use a kept tokenizer leave it for the next task."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from millrace.llm import common
+
+    calls, seen, given = DataFrame.mapInArrow, [], []
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, f, *a, **b: seen.append(f) or calls(self, f, *a, **b))
+    text = "some words of a text that has a number of lines\n"
+    docs = spark.createDataFrame([(i, text * 3 + f"and its own line {i} here") for i in range(12)], "doc_id long, text string")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(12)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "one item of the benchmark that nothing leaks")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, str(tmp_path)).count()
+    own = [f for f in seen if f.__module__.startswith("millrace.llm")]
+    assert len(own) > 10 and all(hasattr(f, "__wrapped__") for f in own)
+    monkeypatch.setattr(common, "trim", lambda: given.append(1))
+    common.KEPT["x"] = 1
+    assert list(common.tidy(lambda batches: batches, keep=True)([1, 2])) == [1, 2] and len(given) == 4 and common.KEPT == {"x": 1}
+    assert list(common.tidy(lambda batches: batches)([])) == [] and len(given) == 6 and not common.KEPT
