@@ -44,7 +44,7 @@ def _hash_chars(rows: DataFrame, hash_col: str) -> int:
     return -(-longest // 16) * 16
 
 
-def near_pairs(rows: DataFrame, id_col: str, hash_col: str, threshold: int = 4, within: str | None = None, agree: int | None = None, chars: int | None = None) -> DataFrame:
+def near_pairs(rows: DataFrame, id_col: str, hash_col: str, threshold: int = 4, within: str | None = None, agree: int | None = None, chars: int | None = None, linked: bool = False) -> DataFrame:
     """Pairs (a, b, distance) of representatives of different hashes within `threshold` bits.
 
     Hashes are numbers of any length in hex; `chars` is the most digits, by default those of the longest in whole words of 64 bits. Rows with equal hashes are one class,
@@ -53,6 +53,10 @@ def near_pairs(rows: DataFrame, id_col: str, hash_col: str, threshold: int = 4,
     equi-join on (choice of blocks, bits) loses nothing. A key of two blocks of six has 21 of 64 bits; unless `agree` is given
     it follows the number of hashes, so that keys have two bits more than that number and unrelated hashes seldom meet.
     A pair is kept at the first choice it agrees on.
+
+    With `linked`, only pairs that hold the same hashes together: each hash first meets the smallest of its keys, and of all other
+    pairs those within a component of such links, which would add nothing, are not made. So copies of a text give pairs in
+    proportion to their number.
     """
     scope = [within] if within else []
     chars = chars or _hash_chars(rows, hash_col)
@@ -84,13 +88,29 @@ def near_pairs(rows: DataFrame, id_col: str, hash_col: str, threshold: int = 4,
             out = F.shiftleft(out, edges[i + 1] - edges[i]).bitwiseOR(bits(i)[0])
         return out
 
-    posted = reps.select(*scope, "id", *[f"h{i}" for i in range(len(words))], F.posexplode(F.array(*[key(c) for c in choices])).alias("band", "bits"))
+    values = [f"h{i}" for i in range(len(words))]
+
+    def post(held: DataFrame) -> DataFrame:
+        return held.select("*", F.posexplode(F.array(*[key(c) for c in choices])).alias("band", "bits"))
+
+    posted, at, sure = post(reps), [*scope, "band", "bits"], None
+    if linked:
+        lowest = posted.groupBy(*at).agg(F.min(F.struct("id", *values)).alias("low"), F.count("*").alias("n")).where("n > 1")
+        apart = [F.bit_count(F.col(v).bitwiseXOR(F.col(f"low.{v}"))) for v in values]
+        met = posted.join(cut(lowest), at).withColumn("distance", sum(apart[1:], apart[0])).where((F.col("low.id") < F.col("id")) & (F.col("distance") <= threshold))
+        sure = cut(met.select(*scope, F.col("low.id").alias("a"), F.col("id").alias("b"), "distance").distinct())
+        found = connected_components(sure.select("a", "b")).withColumnRenamed("node", "id")
+        posted = post(cut(reps.join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))))
+        several = posted.groupBy(*at).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(*at)
+        posted = cut(posted.join(several, at, "left_semi"))
     left, right = posted.alias("l"), posted.alias("r")
     differ = [F.col(f"l.h{i}").bitwiseXOR(F.col(f"r.h{i}")) for i in range(len(words))]
     distance = sum((F.bit_count(d) for d in differ[1:]), F.bit_count(differ[0]))
     same = (F.col("l.band") == F.col("r.band")) & (F.col("l.bits") == F.col("r.bits")) & (F.col("l.id") < F.col("r.id")) & (distance <= threshold)
     for s in scope:
         same &= F.col(f"l.{s}") == F.col(f"r.{s}")
+    if linked:
+        same &= F.col("l.root") != F.col("r.root")
     # The first choice that a pair agrees on: the first whose bits do not differ.
     first = F.lit(None).cast("int")
     for band in reversed(range(len(choices))):
@@ -104,7 +124,8 @@ def near_pairs(rows: DataFrame, id_col: str, hash_col: str, threshold: int = 4,
             both &= e
         first = F.when(both, band).otherwise(first)
     pairs = left.join(right, same & (F.col("l.band") == first))
-    return pairs.select(*[F.col(f"l.{s}").alias(s) for s in scope], F.col("l.id").alias("a"), F.col("r.id").alias("b"), distance.alias("distance"))
+    pairs = pairs.select(*[F.col(f"l.{s}").alias(s) for s in scope], F.col("l.id").alias("a"), F.col("r.id").alias("b"), distance.alias("distance"))
+    return pairs if sure is None else pairs.unionAll(sure)
 
 
 def _classes_of_hash(rows: DataFrame, id_col: str, hash_col: str, scope: list[str], chars: int) -> DataFrame:
@@ -121,7 +142,7 @@ def near_clusters(rows: DataFrame, id_col: str, hash_col: str, threshold: int =
     scope = [within] if within else []
     chars = chars or _hash_chars(rows, hash_col)
     reps = _classes_of_hash(rows, id_col, hash_col, scope, chars).drop("n")
-    found = connected_components(near_pairs(rows, id_col, hash_col, threshold, within, chars=chars).select("a", "b"))
+    found = connected_components(near_pairs(rows, id_col, hash_col, threshold, within, chars=chars, linked=True).select("a", "b"))
     mine = rows.where(F.col(hash_col).isNotNull()).select(*scope, F.col(id_col).alias("id"), normal_hash(F.col(hash_col), chars).alias("h"))
     other = reps.select(*[F.col(c).alias(f"{c}_") for c in scope], F.col("hash").alias("hash_"), "rep")
     same = F.col("h") == F.col("hash_")

@@ -170,6 +170,32 @@ def test_components_of_dense_edges_start_from_few(spark):
     assert graph.connected_components(df.selectExpr("cast(a as int) a", "cast(b as int) b")).schema["root"].dataType.simpleString() == "int"
 
 
+def test_links_of_near_hashes_hold_the_same_components_with_few_pairs(spark):
+    """Copies with small changes lie near each other in every pair; clusters need no more than what connects them."""
+    rng = random.Random(5)
+    rows = []
+    for _ in range(12):
+        base = rng.getrandbits(64)
+        for _ in range(40):
+            h = base
+            for _ in range(rng.randrange(4)):
+                h ^= 1 << rng.randrange(64)
+            rows.append((len(rows), f"{h:016x}", rng.choice(["x", "x", "y", None])))
+    df = spark.createDataFrame(rows, "id long, h string, lab string")
+    for within in (None, "lab"):
+        every, few = (dedup.near_pairs(df, "id", "h", 4, within=within, linked=x).collect() for x in (False, True))
+        known = {(r.a, r.b): r.distance for r in every}
+        assert all(known[r.a, r.b] == r.distance for r in few) and len(every) > 2 * len(few)
+
+        def roots(pairs):
+            if not pairs:
+                return {}
+            found = graph.connected_components(spark.createDataFrame([(r.a, r.b) for r in pairs], "a long, b long"))
+            return {r.node: r.root for r in found.collect()}
+
+        assert roots(every) == roots(few)
+
+
 def test_near_pairs_of_wide_hashes(spark):
     rng = random.Random(6)
     base = [rng.getrandbits(256) for _ in range(20)]
