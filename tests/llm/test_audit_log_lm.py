@@ -1,6 +1,7 @@
 """Log replay, filter audit and language-model scores against brute-force versions, and odd rows."""
 
 import collections
+import dataclasses
 import itertools
 import math
 import random
@@ -267,3 +268,40 @@ def test_gradient_equals_differences():
         down = loss()
         model.weights[name][at] = old
         assert abs((up - down) / 2e-2 - grad[name][at]) < 2e-3 + 0.05 * abs(grad[name][at]), name
+
+
+def test_every_window_of_the_training_texts_is_learned_in_one_round(spark, tmp_path, monkeypatch):
+    """Of the sample alone, one window, nothing could be learned; the sums of all rounds are the gradient over all texts."""
+    rng, words = random.Random(4), [chr(c) for c in range(97, 123)]
+    said = []
+    for _ in range(150):
+        x = [rng.randrange(26), rng.randrange(26)]
+        while len(x) < 120:
+            x.append((x[-2] * 5 + 3) % 26 if rng.random() < 0.9 else rng.randrange(26))
+        said.append(" ".join(words[i] for i in x))
+    docs = spark.createDataFrame([*enumerate(said), (150, None), (None, "a b c")], "doc_id long, text string").repartition(3)
+    size = lm_score.tokenizer(lm_score.vocabulary(lm_score.VOCABULARY), "byte").tok.get_vocab_size()
+    encoded = lm_score.encode(docs, str(tmp_path / "blocks"))
+    s = dataclasses.replace(SMALL, windows=1, rounds=12, rate=0.1)
+    given, places = attention.Sums.gradient, []
+    monkeypatch.setattr(attention.Sums, "gradient", lambda self, flat=None: (places.append(flat), given(self, flat))[1])
+    model, symbol, _ = lm_score.fit(encoded, size, s)
+    sums = [x for x in places if x is not None]
+    blocks = [b for _, b in lm_score._blocks(encoded.toArrow().to_batches(), size)]
+    assert len(sums) == 12 and sum(x[-1] for x in sums) == sum(int(b.learned().sum()) for b in blocks)
+
+    start = attention.untrained(np.full((s.symbols, s.symbols), 0.01), s)
+    start.weights["O"] += 0.1
+    texts = [symbol[b.ids[lo:hi]] for b in blocks for lo, hi, of in zip(b.offsets[:-1], b.offsets[1:], b.learn, strict=True) if of]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+    whole = attention.Sums(start)
+    windows = attention.windows_of(np.concatenate(texts), offsets, np.arange(attention.window_starts(offsets, s)[-1]), s)
+    whole.add(windows[0].reshape(-1, s.chunk), *windows[1:])
+    spread = lm_score.by_round(encoded, symbol, size, s, str(tmp_path / "symbols"))
+    tables = spark.sparkContext.broadcast((start.group, start.start))
+    found = sum(lm_score._sum_of_round(spread.where(f"round = {r}"), start, tables) for r in range(s.rounds))
+    assert np.allclose(found, whole.flat(), rtol=1e-3, atol=1e-3)
+
+    plain = dataclasses.replace(model, weights=model.weights | {"O": np.zeros_like(model.weights["O"])})
+    with_, without = (attention.Scorer(m).texts(np.concatenate(texts), offsets).sum() for m in (model, plain))
+    assert with_ > without + 0.1 * offsets[-1]
