@@ -58,6 +58,8 @@ def exactly_once_stream(spark, sf_dir):
 
 
 IDLE_S, MAX_AGE_S = 600, 60
+DAY_US = 86_400_000_000
+NO_ID = (1 << 63) - 1  # of clicks without an id, which come last among those of their instant
 
 
 @query(f"""WITH c AS (SELECT click_id, coalesce(client_id, -1) AS client, epoch_us(arrived_at) AS a, coalesce(value IS NOT NULL AND kind <> 'error' AND arrived_at >= ts AND arrived_at - ts <= INTERVAL {MAX_AGE_S} SECOND, false) AS ok, value FROM clicks WHERE arrived_at IS NOT NULL),
@@ -67,17 +69,23 @@ w AS (SELECT *, count(*) OVER p AS n, avg(value) OVER p AS m FROM s WINDOW p AS
 SELECT client, click_id, a AS at, CASE WHEN ok THEN n ELSE 0 END::BIGINT AS size, CASE WHEN ok THEN round(m, 6) END AS mean FROM w
 UNION ALL SELECT client, -1, a + {IDLE_S} * 1000000, 0, NULL FROM l WHERE ok AND (nxt - a > {IDLE_S} * 1000000 OR nxt IS NULL AND a + {IDLE_S} * 1000000 <= (SELECT max(a) FROM l))""")
 def clocked_window_stream(spark, sf_dir):
-    """Windows of every client's clicks, which broken, late and future ones empty, and the clock after ten minutes without any; clicks without arrival have no place in the stream."""
+    """Windows of every client's clicks, which broken, late and future ones empty, and the clock after ten minutes without any; clicks without arrival have no place in the stream.
+
+    Identical clicks follow each other in one order throughout. The SQL sorts anew for each of its windows and leaves their order open, so its own runs may differ there.
+    """
     c = table(spark, sf_dir, "clicks").where("arrived_at is not null")
     us = lambda x: F.unix_micros(F.col(x).cast("timestamp"))
+    first = c.agg(F.min(us("arrived_at"))).first()[0]
+    later = F.lit(0 if first is None or first > 0 else (1 - first // DAY_US) * DAY_US)  # watermarks begin at 1970 and drop what is not behind it
     valid = F.coalesce(F.col("value").isNotNull() & (F.col("kind") != "error") & F.col("ts").isNotNull(), F.lit(False))
-    rows = c.select(F.coalesce("client_id", F.lit(-1)).cast("long").alias("key"), F.col("click_id").alias("id"), us("arrived_at").alias("at"), F.coalesce(us("ts"), F.lit(0)).alias("captured"), valid.alias("valid"), F.coalesce("value", F.lit(0.0)).alias("value"))
+    rows = c.select(F.coalesce("client_id", F.lit(-1)).cast("long").alias("key"), F.coalesce("click_id", F.lit(NO_ID)).alias("id"), (us("arrived_at") + later).alias("at"), F.coalesce(us("ts") + later, F.lit(0)).alias("captured"), valid.alias("valid"), F.coalesce("value", F.lit(0.0)).alias("value"))
     feed = runs.Feed(rows, "clicks")
     with runs.keyed_state(spark):
         timed = feed.stream().withColumn("time", F.timestamp_micros("at")).withWatermark("time", "0 seconds")
         out = timed.groupBy("key").transformWithStateInPandas(W.ClockedWindow(7, MAX_AGE_S * 1_000_000, IDLE_S * 1000), W.ClockedWindow.SCHEMA, "Append", "EventTime")
         done = runs.in_starts([feed], [(p,) for p in runs.slices(rows, F.col("at"), 4)], out, "windows")
-    return done.select(F.col("key").alias("client"), F.coalesce("id", F.lit(-1)).alias("click_id"), "at", "size", _r("mean").alias("mean"))
+    click = F.when(F.col("id").isNull(), -1).when(F.col("id") != NO_ID, F.col("id"))
+    return done.select(F.col("key").alias("client"), click.alias("click_id"), (F.col("at") - later).alias("at"), "size", _r("mean").alias("mean"))
 
 
 @query("""WITH o AS (SELECT event_id, (event_id + event_id % 4) AS oid, event_id % 4 = 0 AS same FROM events) SELECT e.event_id, o.oid IS NULL AS fallback FROM events e LEFT JOIN o ON o.oid = e.event_id AND o.same""")

@@ -134,3 +134,15 @@ def test_slices_cover_all_rows(spark):
     parts = [[r.x for r in p.collect()] for p in runs.slices(df, F.col("x"), 3)]
     assert sorted((x for p in parts for x in p), key=str) == sorted([None, 1, 1, 2, 3, 3, 3, 9], key=str)
     assert sum(3 in p for p in parts) == 1 and None in parts[0] and [r.x for p in runs.slices(df.limit(0), F.col("x"), 3) for r in p.collect()] == []
+
+
+def test_clicks_before_1970_with_large_ids_or_none_are_in_the_stream(spark, tmp_path):
+    from millrace.plans import streams
+
+    s, big = 1_000_000, 1 << 60
+    rows = [(big + 1, -100 * s, 1, 1.0), (big + 3, -99 * s, 1, 3.0), (None, -98 * s, 1, 5.0), (7, 700 * s, 2, 2.0)]
+    at = F.timestamp_micros("at")
+    clicks = spark.createDataFrame(rows, "click_id long, at long, client_id long, value double")
+    clicks.select("click_id", at.alias("ts"), at.alias("arrived_at"), "client_id", F.lit("view").alias("kind"), "value").write.parquet(f"{tmp_path}/clicks.parquet")
+    got = {tuple(r) for r in streams.clocked_window_stream(spark, str(tmp_path)).collect()}
+    assert got == {(1, big + 1, -100 * s, 1, 1.0), (1, big + 3, -99 * s, 2, 2.0), (1, None, -98 * s, 3, 3.0), (1, -1, 502 * s, 0, None), (2, 7, 700 * s, 1, 2.0)}
